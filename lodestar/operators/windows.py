@@ -76,3 +76,21 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
         pair = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
         cond = pair if i == 0 else cond & pair
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def previous_in_group(
+    df: DataFrame, keys: list[str], block: Column, order: list, value: str, name: str
+) -> DataFrame:
+    """``value`` of the row just before each row of its group, block by block."""
+    tagged = df.withColumn("__block", block)
+    local = tagged.withColumn(
+        "__here", F.lag(value).over(Window.partitionBy(*keys, "__block").orderBy(*order))
+    )
+    ends = tagged.groupBy(*keys, "__block").agg(F.max_by(value, F.struct(*order)).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__block")
+    carried = ends.select(*keys, "__block", F.lag("__end").over(before).alias("__carry"))
+    return (
+        _join_null_safe(local, carried, [*keys, "__block"])
+        .withColumn(name, F.coalesce("__here", "__carry"))
+        .drop("__here", "__carry", "__block")
+    )

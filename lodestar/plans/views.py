@@ -26,6 +26,13 @@ def _arr(*values: str) -> str:
     return "@ARRAY(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
+QUERY_TEXTS = [
+    "loan for women in dairy", "mujhe startup ke liye seed funding chahiye", "5 lakh grant", "1.5 crore equity", "ai",
+    "iot device", "artificial intelligence startup funding", "Food Technology subsidy scheme", "red ring", "GST refund",
+    "income tax exemption for start-up", "animal husbandry loan 25 lakh msme", "certificate", "small bolt grant",
+    "zzz nothing matches this zzz", "export & import_credit", "venture capital", "section 8 company research", "ention",
+    "Grant of Rs. 5.00 Lakh", "hot gear registration", "machinery", "the whole thing", "tech growth",
+]
 NO_ARRAY = "CAST(NULL AS @STRARRAY)"
 
 SERVICE_SQL = f"""
@@ -38,7 +45,7 @@ SELECT p.p_partkey AS id,
   {pick('p.p_partkey', ['REGISTRATION', 'COMPLIANCE', 'CERTIFICATION', 'GOVT_SCHEME', 'GRANT', 'LOAN', 'DEBT', 'EQUITY', 'VC', 'SUBSIDY', 'LEGAL', 'DIGITAL', 'CONSULTING', 'OTHER'])} AS service_kind,
   {pick('p.p_partkey', ['PUBLISHED', 'APPROVED', 'PUBLISHED', 'EXPIRING', 'DRAFT', 'PUBLISHED', 'UNDER_REVIEW', 'APPROVED', 'ARCHIVED'])} AS status,
   {pick('p.p_size', ['CRITICAL', 'HIGH', 'NORMAL', 'LOW', ''])} AS priority,
-  CASE WHEN p.p_partkey % 5 = 0 THEN NULL ELSE DATE '@TODAY' + CAST((p.p_partkey * 17) % 131 - 115 AS INT) END AS effective_from,
+  CASE WHEN p.p_partkey % 5 = 0 THEN NULL WHEN p.p_partkey % 12 = 0 THEN DATE '@TODAY' + CAST((p.p_partkey * 17) % 131 - 65 AS INT) ELSE DATE '@TODAY' - CAST((p.p_partkey * 17) % 131 AS INT) END AS effective_from,
   CASE WHEN p.p_partkey % 3 = 0 THEN NULL ELSE DATE '@TODAY' + CAST((p.p_partkey * 7) % 90 - 20 AS INT) END AS pitch_until,
   CASE WHEN p.p_partkey % 4 = 0 THEN NULL ELSE DATE '@TODAY' + CAST((p.p_partkey * 11) % 120 - 15 AS INT) END AS application_deadline,
   CASE WHEN p.p_partkey % 8 = 0 THEN ' Rolling basis ' ELSE '' END AS application_deadline_raw,
@@ -101,6 +108,11 @@ VIEW_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey""",
         ("customer", "nation"),
     ),
+    "v_query": (
+        f"""SELECT query, min(c_custkey) AS query_id FROM (SELECT c_custkey, {pick('c_custkey', QUERY_TEXTS)} ||
+        CASE WHEN c_custkey % 9 < 7 THEN '' ELSE ' ' || lower(c_mktsegment) END AS query FROM {{customer}}) c GROUP BY query""",
+        ("customer",),
+    ),
     "v_section": (
         f"""SELECT doc_id AS id, doc_id % (SELECT count(*) FROM {{part}}) AS service_id, source AS title, text AS content,
         {pick('doc_id', ['OVERVIEW', 'BENEFITS', 'ELIGIBILITY', 'FUNDING', 'PROCESS', 'DOCUMENTS', 'NOTES', 'COMMERCIAL', 'OTHER'])} AS section_type,
@@ -243,8 +255,12 @@ def oracle_view(name: str) -> str:
 
 def with_views(names: str, body: str) -> str:
     """``WITH`` clause over the named views, followed by ``body`` (SELECT or more CTEs)."""
-    parts = [f"{n} AS ({oracle_view(n)})" for n in names.split()]
+    parts = ", ".join(f"{n} AS ({oracle_view(n)})" for n in names.split())
     body = body.replace("@TODAY", TODAY).strip()
+    if not parts:
+        return body
+    if body.startswith(","):
+        return f"WITH {parts}{body}"
     if body.upper().startswith("WITH "):
-        return "WITH " + ", ".join(parts) + ", " + body[5:]
-    return "WITH " + ", ".join(parts) + " " + body
+        return f"WITH {parts}, {body[5:]}"
+    return f"WITH {parts} {body}"
