@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import pitch, text
+from ..functions import text
 from ..functions.money import amount_variants, amounts_in_lakh
 from ..functions.search_terms import (
     CONCEPT_VARIANTS,
@@ -22,6 +22,7 @@ from ..functions.search_terms import (
     SPECIFIC_FINANCE,
     TOKEN_TO_CONCEPT,
 )
+from ..session import fits_broadcast, materialize
 
 #: never part of a query, so joined fields cannot match across their border
 FIELD_BREAK = "\u0001"
@@ -156,22 +157,34 @@ def needle_match(body: Column, sector: Column, terms: Column) -> Column:
 
 
 def group_hits(texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """Distinct ``(grp, service_id)`` where any variant of the group is found."""
-    sought = needles(groups)
-    hits = word_hits(texts, sought)
-    found = (
-        texts.select("service_id", "sector", "text", F.explode(_words(F.col("text"))).alias("word"))
-        .join(hits, "word")
-        .join(sought.withColumnRenamed("sector", "n_sector"), "anchor")
-        .where((F.col("sector") == F.col("n_sector")) & needle_match(F.col("text"), F.col("sector"), F.col("terms")))
-    )
+    """Distinct ``(grp, service_id)`` where any variant of the group is found.
+
+    The hit words are few when the queries are. Up to a row bound they are broadcast, so texts
+    are only scanned; beyond it row keys, not texts, meet the hit words in a shuffle.
+    """
+    sought = materialize(needles(groups).withColumnRenamed("sector", "n_sector"))
+    hits = materialize(word_hits(texts, sought))
+    small = fits_broadcast(hits) and fits_broadcast(sought)
+    test = (F.col("sector") == F.col("n_sector")) & needle_match(F.col("text"), F.col("sector"), F.col("terms"))
+    if small:
+        rows = texts.select("service_id", "sector", "text", F.explode(_words(F.col("text"))).alias("word"))
+        found = rows.join(F.broadcast(hits), "word").join(F.broadcast(sought), "anchor").where(test)
+    else:
+        keyed = texts.withColumn("text_key", F.sha2("text", 256))
+        rows = keyed.select("service_id", "sector", "text_key", F.explode(_words(F.col("text"))).alias("word"))
+        pairs = rows.join(hits, "word").select("service_id", "sector", "text_key", "anchor").distinct()
+        found = pairs.join(keyed, ["service_id", "sector", "text_key"]).join(sought, "anchor").where(test)
     return found.select("grp", "service_id").distinct()
 
 
-def short_tech_evidence(services: DataFrame, texts: DataFrame) -> DataFrame:
+def short_tech_evidence(texts: DataFrame) -> DataFrame:
     """``(term, service_id)`` with ai or iot as a whole word in any text or industry."""
-    words = F.array(F.lit("ai"), F.lit("iot"))
-    found = F.filter(words, lambda w: F.regexp_like("text", F.concat(F.lit("(^|[^a-z0-9])"), w, F.lit("([^a-z0-9]|$)"))))
+
+    def shows(term: str) -> Column:
+        word = F.regexp_like("text", F.lit(f"(^|[^a-z0-9]){term}([^a-z0-9]|$)"))
+        return F.when(F.contains("text", F.lit(term)) & word, F.lit(term))
+
+    found = F.array_compact(F.array(shows("ai"), shows("iot")))
     return texts.select("service_id", F.explode(found).alias("term")).distinct()
 
 
@@ -276,23 +289,20 @@ def title_boost(query, title) -> Column:
     )
 
 
-def search_candidates(queries: DataFrame, services: DataFrame, texts: DataFrame, persist: bool = True) -> DataFrame:
+def search_candidates(queries: DataFrame, services: DataFrame, texts: DataFrame) -> DataFrame:
     """Every matching ``(query, service_id)`` with its relevance score.
 
     A service matches when the raw query is found as it stands (in any text or as sector terms),
     or when enough of the query's concept groups are. ``services`` must hold visible rows only.
     """
     queries = queries.select("query").where(F.trim("query") != "").distinct()
-    groups = query_groups(queries)
+    groups = materialize(query_groups(queries))
     raw = queries.select("query", F.concat(F.lit("raw:"), "query").alias("grp"), F.array("query").alias("variants"))
     visible = services.select(F.col("id").alias("service_id"))
-    hits = group_hits(texts, groups.unionByName(raw)).join(visible, "service_id", "left_semi")
-    if persist:
-        hits = hits.persist()
-    natural = guard(
-        natural_matches(groups, hits).select("query", "service_id"),
-        short_tech_evidence(services, texts),
-    )
+    hits = materialize(group_hits(texts, groups.unionByName(raw)).join(visible, "service_id", "left_semi"))
+    natural = natural_matches(groups, hits).select("query", "service_id")
+    if not queries.where(F.size(required_terms(F.col("query"))) > 0).isEmpty():
+        natural = guard(natural, short_tech_evidence(texts))
     direct = raw.select("query", "grp").join(hits, "grp").select("query", "service_id")
     matched = natural.union(direct).distinct()
     scores = rank_scores(services, groups, hits)

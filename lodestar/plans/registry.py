@@ -17,9 +17,12 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, f"v_{name}")
+        if name not in self._made:
+            self._made[name] = view(self.spark, self.sf_dir, f"v_{name}")
+        return self._made[name]
 
 
 @dataclass

@@ -8,6 +8,7 @@ from ..functions import money, pitch, text
 from ..functions import search_terms as st
 from ..operators import catalogue as cat
 from ..operators import search as se
+from ..session import materialize
 from .registry import Registry
 
 VIEWS = "v_service v_domain v_category v_classification v_section v_source v_rule v_query"
@@ -99,33 +100,33 @@ def register(reg: Registry) -> None:
 
     @reg.add("Q2_variant_match", VIEWS, f"WITH {GROUPS}, {TEXTS} SELECT grp, service_id FROM hits")
     def _(v):
-        g = se.query_groups(v.query)
+        g = materialize(se.query_groups(v.query))
         raw = v.query.select("query", F.concat(F.lit("raw:"), "query").alias("grp"), F.array("query").alias("variants"))
         vis = catalogue(v).select(F.col("id").alias("service_id"))
         return se.group_hits(texts(v), g.unionByName(raw)).join(vis, "service_id", "left_semi").select("grp", "service_id")
 
     @reg.add("A24_concept_hits", VIEWS, f"WITH {GROUPS}, {TEXTS} SELECT qg.query, hits.service_id, count(*) AS hits FROM qg JOIN hits ON hits.grp = qg.grp GROUP BY 1, 2")
     def _(v):
-        g = se.query_groups(v.query)
+        g = materialize(se.query_groups(v.query))
         vis = catalogue(v).select(F.col("id").alias("service_id"))
         hits = se.group_hits(texts(v), g).join(vis, "service_id", "left_semi")
         return g.select("query", "grp").join(hits, "grp").groupBy("query", "service_id").agg(F.count(F.lit(1)).alias("hits"))
 
     @reg.add("Q4_intersection_or_threshold", VIEWS, f"WITH {GROUPS}, {TEXTS}, {NATURAL} SELECT query, service_id, hits, n AS n_groups FROM nm")
     def _(v):
-        g = se.query_groups(v.query)
+        g = materialize(se.query_groups(v.query))
         vis = catalogue(v).select(F.col("id").alias("service_id"))
         return se.natural_matches(g, se.group_hits(texts(v), g).join(vis, "service_id", "left_semi"))
 
     @reg.add("F7_short_term_guard", VIEWS, f"WITH {GROUPS}, {TEXTS}, {NATURAL} SELECT query, service_id FROM gd")
     def _(v):
-        g, s, tx = se.query_groups(v.query), catalogue(v), texts(v)
+        g, s, tx = materialize(se.query_groups(v.query)), catalogue(v), texts(v)
         hits = se.group_hits(tx, g).join(s.select(F.col("id").alias("service_id")), "service_id", "left_semi")
-        return se.guard(se.natural_matches(g, hits).select("query", "service_id"), se.short_tech_evidence(s, tx))
+        return se.guard(se.natural_matches(g, hits).select("query", "service_id"), se.short_tech_evidence(tx))
 
     @reg.add("Q5_rank_scores", VIEWS, f"WITH {GROUPS}, {TEXTS}, {SCORES} SELECT query, service_id, score FROM rk")
     def _(v):
-        g, s = se.query_groups(v.query), catalogue(v)
+        g, s = materialize(se.query_groups(v.query)), catalogue(v)
         hits = se.group_hits(texts(v), g).join(s.select(F.col("id").alias("service_id")), "service_id", "left_semi")
         return se.rank_scores(s, g, hits)
 

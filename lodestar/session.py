@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,24 +41,29 @@ def build_session(
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for ``checkpoint()``: the shared folder the cluster names in
+def scratch_dir(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: the one the cluster names in
     ``spark.checkpoint.dir``. Only a local session without that setting gets its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+        return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="lodestar-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(made)
+    made = tempfile.mkdtemp(prefix="lodestar-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, lineage cut.
+
+    Survives lost executors, and its file sizes let Catalyst choose the join by itself.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/part-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``limit`` rows. Counts at most ``limit + 1`` rows."""
     return df.limit(limit + 1).count() <= limit
