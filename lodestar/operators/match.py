@@ -29,24 +29,40 @@ def _check(state: Column, reason: Column) -> Column:
     return F.when(state.isNotNull(), F.struct(state.alias("state"), reason.alias("reason")))
 
 
+def prepare_services(services: DataFrame) -> DataFrame:
+    """Add the cleaned rule lists once per service, before any pair is made."""
+    extra = {}
+    for _, allowed, _, wildcards in CATEGORICAL:
+        names = F.transform(text.clean_list(allowed), text.normalize_ws)
+        extra[f"{allowed}__names"] = names
+        wild = F.array(*[F.lit(w) for w in (*GENERIC_WILDCARDS, *wildcards)])
+        extra[f"{allowed}__wild"] = F.arrays_overlap(names, wild)
+    return services.withColumns(extra)
+
+
+def prepare_clients(clients: DataFrame) -> DataFrame:
+    return clients.withColumns({f"{c}__name": text.normalize_ws(c) for c, *_ in CATEGORICAL})
+
+
 def categorical_check(client: str, allowed: str, label: str, extra=()) -> Column:
-    """NULL without a rule, else match, mismatch or unknown with its reason."""
-    kept = text.clean_list(allowed)
-    names = F.transform(kept, text.normalize_ws)
-    wild = F.arrays_overlap(names, F.array(*[F.lit(w) for w in (*GENERIC_WILDCARDS, *extra)]))
-    missing = F.coalesce(F.col(client), F.lit("")) == ""
+    """NULL without a rule, else match, mismatch or unknown with its reason.
+
+    Works on prepared client and service columns.
+    """
+    missing = F.col(f"{client}__name") == ""
+    wild, names = F.col(f"{allowed}__wild"), F.col(f"{allowed}__names")
+    same = F.array_contains(names, F.col(f"{client}__name"))
     state = (
-        F.when(F.size(kept) == 0, F.lit(None))
+        F.when(F.size(names) == 0, F.lit(None))
         .when(missing, "unknown")
-        .when(wild, "match")
-        .when(F.array_contains(names, text.normalize_ws(client)), "match")
+        .when(wild | same, "match")
         .otherwise("mismatch")
     )
     reason = (
         F.when(missing, F.lit(f"{label} is required by this service but was not provided."))
         .when(wild, F.lit(f"{label}: applicable broadly."))
-        .when(state == "match", F.concat(F.lit(f"{label} matches: "), client, F.lit(".")))
-        .otherwise(F.concat(F.lit(f"{label} mismatch. Allowed: "), F.array_join(kept, ", "), F.lit(".")))
+        .when(same, F.concat(F.lit(f"{label} matches: "), client, F.lit(".")))
+        .otherwise(F.concat(F.lit(f"{label} mismatch. Allowed: "), F.array_join(allowed, ", "), F.lit(".")))
     )
     return _check(state, reason)
 
@@ -75,7 +91,7 @@ def deadline_check(today) -> Column:
 
 
 def evaluate(pairs: DataFrame, today, limits_in_lakh: bool = False) -> DataFrame:
-    """Verdict of ``(client, service)`` pairs that carry both sides' columns.
+    """Verdict of ``(client, service)`` pairs that carry both prepared sides' columns.
 
     ``limits_in_lakh`` converts turnover limits to rupees, the unit of client turnover.
     """
@@ -132,8 +148,8 @@ def match_need(clients: DataFrame, services: DataFrame, found: DataFrame, today,
 
     ``found`` is ``(query, service_id, score)`` with the title boost already added.
     """
-    asked = clients.where("need_query <> ''").withColumnRenamed("need_query", "query")
-    svc = services.where(pitch.pitchable(today)).withColumnRenamed("id", "sid")
+    asked = prepare_clients(clients).where("need_query <> ''").withColumnRenamed("need_query", "query")
+    svc = prepare_services(services.where(pitch.pitchable(today))).withColumnRenamed("id", "sid")
     pairs = asked.join(found, "query").join(
         svc.drop("service_id").withColumnRenamed("sid", "service_id"), "service_id"
     )

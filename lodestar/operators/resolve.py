@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import titles as tt
 from ..session import materialize
@@ -140,7 +141,7 @@ def resolve_titles(incoming: DataFrame, catalogue: DataFrame, block_titles: int
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two canonical titles; no built-in function equals it."""
     return pd.Series([sequence_ratio(a, b) for a, b in zip(left, right)])

@@ -6,9 +6,9 @@ from .registry import Registry
 
 
 def all_queries() -> Registry:
-    from . import activity_queries, catalogue_queries, match_queries, search_queries
+    from . import activity_queries, catalogue_queries, ingest_queries, match_queries, search_queries
 
     reg = Registry()
-    for module in (catalogue_queries, activity_queries, search_queries, match_queries):
+    for module in (catalogue_queries, activity_queries, search_queries, match_queries, ingest_queries):
         module.register(reg)
     return reg

@@ -48,8 +48,8 @@ def bought_pairs(v):
     o = table(v.spark, v.sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("client_id"))
     li = table(v.spark, v.sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("service_id"))
     keys = o.join(li, "o_orderkey").select("client_id", "service_id").distinct()
-    svc = v.service.drop("service_id").withColumnRenamed("id", "service_id").select("service_id", "title", "priority", *RULES)
-    return keys.join(v.client, "client_id").join(svc, "service_id")
+    svc = ma.prepare_services(v.service.drop("service_id").withColumnRenamed("id", "service_id").select("service_id", "title", "priority", *RULES))
+    return keys.join(ma.prepare_clients(v.client), "client_id").join(svc, "service_id")
 
 
 def register(reg: Registry) -> None:
@@ -126,7 +126,7 @@ def register(reg: Registry) -> None:
        UNION ALL SELECT s.id, s.title, {clean.format('x.content')}, x.id FROM v_section x JOIN v_service s ON s.id = x.service_id WHERE x.visibility = 'BDE' AND x.section_type = 'ELIGIBILITY'),
       fx AS (SELECT id, list_concat({labels_sql(el.BUSINESS_TYPES)}, {labels_sql((el.PARTNERSHIP,), rest)}) AS bt, {labels_sql(el.BUSINESS_STAGES)} AS bs, {labels_sql(el.INDUSTRIES)} AS ind,
         CASE WHEN regexp_matches(body, '{el.PAN_INDIA}') THEN ['Pan India'] ELSE {named} END AS st, list_concat(CASE WHEN regexp_matches(lower(title), '{el.WOMEN}') AND regexp_matches(body, '{el.WOMEN}') THEN ['Women'] ELSE [] END, {labels_sql(el.FOUNDERS)}) AS fo,
-        CAST({age} AS BIGINT) * 12 AS age, {rule_of(el.AGE_YEARS)} * 1000000000 + pos AS age_at, {turn} AS turn, {rule_of(el.TURNOVER)} * 1000000000 + pos AS turn_at FROM bd),
+        CAST({age} AS BIGINT) * 12 AS age, {rule_of(el.AGE_YEARS)} * CAST(1000000000 AS BIGINT) + pos AS age_at, {turn} AS turn, {rule_of(el.TURNOVER)} * CAST(1000000000 AS BIGINT) + pos AS turn_at FROM bd),
       ex AS (SELECT id, list_sort(list_distinct(flatten(list(bt)))) AS bt, list_sort(list_distinct(flatten(list(bs)))) AS bs, list_sort(list_distinct(flatten(list(ind)))) AS ind,
         CASE WHEN list_contains(flatten(list(st)), 'Pan India') THEN ['Pan India'] ELSE list_sort(list_distinct(flatten(list(st)))) END AS st, list_sort(list_distinct(flatten(list(fo)))) AS fo, arg_min(age, age_at) AS age, arg_min(turn, turn_at) AS turn FROM fx GROUP BY id)"""
 
