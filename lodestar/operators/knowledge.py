@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -13,6 +17,8 @@ from ..functions.wordlists import (
     MANDATORY_DOCUMENT_MARKERS,
     REQUIRED_MARKERS,
 )
+from ..session import materialize
+from .windows import best_per_group, carry_forward, group_row_number
 
 
 def contains_any(haystack: Column, needles) -> Column:
@@ -48,3 +54,194 @@ def documents_required(heading, content) -> Column:
     return contains_any(
         text.norm_space(F.concat_ws(" ", text.blank(heading), text.blank(content))), MANDATORY_DOCUMENT_MARKERS
     )
+
+
+# --- raw import rows to sections -------------------------------------------------------------
+def _walk(obj, prefix: str = ""):
+    """Yield ``(path, value, urls)`` leaves; ``_meta`` is skipped, ``value`` objects are leaves."""
+    if isinstance(obj, dict):
+        if "value" in obj:
+            links = [obj.get(k) for k in ("hyperlink_target", "hyperlink_location")]
+            yield prefix, obj["value"], [str(u) for u in links if u]
+            return
+        for key, value in obj.items():
+            if key != "_meta":
+                yield from _walk(value, f"{prefix}.{key}" if prefix else str(key))
+    elif isinstance(obj, list):
+        for i, value in enumerate(obj):
+            yield from _walk(value, f"{prefix}[{i}]")
+    else:
+        yield prefix, obj, []
+
+
+def flatten_json(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
+    """Leaves of JSON texts of unknown depth as ``(row_id, key, value, links)`` rows."""
+
+    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [
+                (row_id, key, "" if value is None else str(value), links)
+                for row_id, raw in batch.itertuples(index=False, name=None)
+                for key, value, links in _walk(json.loads(raw) if raw else {})
+            ]
+            yield pd.DataFrame(out, columns=["row_id", "key", "value", "links"])
+
+    rows = df.select(F.col(id_column).cast("bigint").alias("row_id"), json_column)
+    flat = rows.mapInPandas(flatten, "row_id bigint, key string, value string, links array<string>")
+    return flat.withColumn("value", text.plain("value")).where("value <> ''")
+
+
+def raw_sections(flat: DataFrame) -> DataFrame:
+    """Typed sections of flattened import rows; blocked and untyped keys drop out."""
+    kind = key_section_type("key")
+    return flat.withColumn("section_type", kind).where("section_type IS NOT NULL").select(
+        "row_id", "section_type", F.initcap(text.normalise_key("key")).alias("title"), F.col("value").alias("content")
+    )
+
+
+def dedupe_sections(sections: DataFrame, order: list[str]) -> DataFrame:
+    """First section of each (service, type, text), compared without case and spacing."""
+    kept = sections.withColumn("content", text.plain("content")).where("content <> ''")
+    tagged = kept.withColumn("fingerprint", F.sha2(text.normalize_ws("content"), 256))
+    return best_per_group(tagged, ["service_id", "section_type", "fingerprint"], order).drop("fingerprint")
+
+
+def section_items(sections: DataFrame, strict: bool = False) -> DataFrame:
+    """List items of sections, numbered per service and type across its sections.
+
+    ``sections`` is ``(service_id, id, section_type, content)``.
+    """
+    split = text.split_items_strict if strict else text.split_items
+    items = sections.select("service_id", "id", "section_type", F.posexplode(split("content")).alias("pos", "item"))
+    return group_row_number(items, ["service_id", "section_type"], F.floor(F.col("id") / 100_000), ["id", "pos"], "item_no")
+
+
+def carried_heading(sections: DataFrame, block_rows: int = 100_000) -> DataFrame:
+    """Each section with the last heading of its (service, type) at or before it."""
+    return carry_forward(
+        sections, ["service_id", "section_type"], F.floor(F.col("id") / block_rows), ["id"], "heading", "carried"
+    )
+
+
+def resolve_section_service(sections: DataFrame, rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Service of a section: own, its import row's, its document's, the document's import row's."""
+    r = rows.select(F.col("id").alias("rid"), F.coalesce("imported_service_id", "matched_service_id").alias("row_service"))
+    own_row = r.select(F.col("rid").alias("import_row_id"), F.col("row_service").alias("s2"))
+    doc = documents.join(r, F.col("import_row_id") == F.col("rid"), "left").select(
+        F.col("id").alias("document_id"), F.col("service_id").alias("s3"), F.col("row_service").alias("s4"))
+    out = sections.join(own_row, "import_row_id", "left").join(doc, "document_id", "left")
+    s1 = F.col("service_id")
+    method = (
+        F.when(s1.isNotNull(), "DIRECT_SERVICE").when(F.col("s2").isNotNull(), "SOURCE_IMPORT_ROW")
+        .when(F.col("s3").isNotNull(), "DOCUMENT_SERVICE").when(F.col("s4").isNotNull(), "DOCUMENT_IMPORT_ROW").otherwise("UNRESOLVED")
+    )
+    return out.withColumn("resolved_id", F.coalesce("service_id", "s2", "s3", "s4")).withColumn("method", method).drop("s2", "s3", "s4")
+
+
+def missing_rows(new: DataFrame, existing: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """New rows whose normalised value does not exist yet under the same keys."""
+    have = existing.select(*keys, F.sha2(text.normalize_text(value), 256).alias("fp")).distinct()
+    return new.withColumn("fp", F.sha2(text.normalize_text(value), 256)).join(have, [*keys, "fp"], "left_anti").drop("fp")
+
+
+def apply_knowledge(sections: DataFrame, content: DataFrame, rules: DataFrame, documents: DataFrame, steps: DataFrame) -> dict[str, DataFrame]:
+    """Rows that a set of knowledge sections adds: content, rules, documents and process steps.
+
+    ``sections`` is ``(id, service_id, section_type, heading, content)``; existing tables are
+    ``(service_id, text, seq)``. Sequence numbers continue after the existing ones.
+    """
+    titled = materialize(carried_heading(sections))
+    bodies = titled.where("heading IS NULL OR heading <> content")
+
+    def append(items: DataFrame, existing: DataFrame) -> DataFrame:
+        new = missing_rows(items.withColumnRenamed("item", "text"), existing, ["service_id"], "text")
+        top = existing.groupBy("service_id").agg(F.max("seq").alias("top"))
+        numbered = group_row_number(new, ["service_id"], F.floor(F.col("id") / 100_000), ["id", "pos"], "n")
+        return numbered.join(top, "service_id", "left").withColumn("seq", F.coalesce("top", F.lit(0)) + F.col("n")).drop("top", "n")
+
+    def listed(kind: str) -> DataFrame:
+        rows = bodies.where(F.col("section_type") == kind)
+        parts = text.split_items_strict("content")
+        whole = F.when(F.size(parts) > 0, parts).otherwise(F.array(text.plain("content")))
+        return rows.select("service_id", "id", "carried", F.posexplode(whole).alias("pos", "item"))
+
+    all_content = titled.select("service_id", "id", F.lit(0).alias("pos"), F.col("content").alias("item"), "section_type", "carried")
+    docs = append(listed("DOCUMENTS"), documents)
+    return {
+        "content": append(all_content, content),
+        "rules": append(listed("ELIGIBILITY"), rules).withColumn("rule_type", rule_type("text")),
+        "documents": docs.withColumn("is_mandatory", documents_required("carried", "text")),
+        "steps": append(listed("PROCESS"), steps).withColumn("title", F.substring("text", 1, 180)),
+    }
+
+
+# --- completeness -----------------------------------------------------------------------------
+COMPLETENESS = ("overview", "benefits", "eligibility", "documents", "process", "funding", "deadline", "source_link", "classification")
+
+
+def completeness(services: DataFrame, sections: DataFrame, sources: DataFrame, classifications: DataFrame) -> DataFrame:
+    """Nine checks per service, their score in percent and the missing ones."""
+    kinds = ("ELIGIBILITY", "DOCUMENTS", "PROCESS", "FUNDING", "TIMELINE")
+    flags = sections.groupBy("service_id").agg(*[F.max(F.col("section_type") == k).alias(k) for k in kinds])
+    linked = sources.where("source_url <> ''").select("service_id", F.lit(True).alias("linked")).distinct()
+    classed = classifications.select("service_id", F.lit(True).alias("classed")).distinct()
+    s = services.withColumnRenamed("service_id", "code").withColumnRenamed("id", "service_id")
+    for part in (flags, linked, classed):
+        s = s.join(part, "service_id", "left")
+
+    def filled(column: str) -> Column:
+        return text.plain(column) != ""
+
+    def flag(column: str) -> Column:
+        return F.coalesce(F.col(column), F.lit(False))
+
+    checks = [
+        filled("overview"), filled("benefits"), filled("eligibility_summary") | flag("ELIGIBILITY"), flag("DOCUMENTS"), flag("PROCESS"),
+        filled("funding_type") | filled("funding_organisation") | flag("FUNDING"),
+        F.col("application_deadline").isNotNull() | filled("application_deadline_raw") | flag("TIMELINE"),
+        flag("linked"), flag("classed"),
+    ]
+    missing = F.array_compact(F.array(*[F.when(~c, F.lit(n)) for n, c in zip(COMPLETENESS, checks)]))
+    return s.select("service_id", missing.alias("missing")).withColumn(
+        "score", F.round((len(COMPLETENESS) - F.size("missing")) / len(COMPLETENESS) * 100, 1)
+    )
+
+
+def missing_counts(scores: DataFrame) -> DataFrame:
+    return scores.select(F.explode("missing").alias("check")).groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+
+
+def intelligence_plan(services: DataFrame, sections: DataFrame, sources: DataFrame, classifications: DataFrame) -> DataFrame:
+    """Per published service: completeness and how many sections and items each type offers."""
+    shown = services.where("status = 'PUBLISHED'")
+    unique = dedupe_sections(sections, ["id"])
+    items = section_items(unique).groupBy("service_id").agg(
+        *[F.count_if(F.col("section_type") == k).alias(n) for k, n in (("ELIGIBILITY", "eligibility_items"), ("DOCUMENTS", "document_items"), ("PROCESS", "process_items"))])
+    counts = unique.groupBy("service_id").agg(F.count(F.lit(1)).alias("n_sections"))
+    scores = completeness(shown, sections, sources, classifications)
+    return scores.join(counts, "service_id", "left").join(items, "service_id", "left").fillna(0)
+
+
+def verbatim(services: DataFrame, sections: DataFrame) -> DataFrame:
+    """Benefits, focus sectors and eligibility wording per service, as ordered tall parts.
+
+    ``(service_id, part, ord, content)`` with each distinct text once; a part without sections
+    falls back to the service's own columns.
+    """
+    title = F.regexp_replace(F.lower(F.trim(text.blank("title"))), r"^fields[.:]\s*", "")
+    kind = F.upper(F.trim(text.blank("section_type")))
+    parts = F.array_compact(F.array(
+        F.when((kind == "BENEFITS") | title.isin("benefit", "benefits"), F.lit("benefits")),
+        F.when(F.contains(title, F.lit("focus sector")) | title.isin("sector", "sectors"), F.lit("focus_sectors")),
+        F.when((kind == "ELIGIBILITY") | title.isin("eligibility", "eligibility criteria", "eligibility criterion"), F.lit("eligibility")),
+    ))
+    rows = sections.where(text.strip(text.blank("content")) != "").select("service_id", F.explode(parts).alias("part"), F.col("id").alias("ord"), "content")
+    first = rows.withColumn("fp", F.sha2("content", 256)).groupBy("service_id", "part", "fp").agg(F.min("ord").alias("ord"), F.first("content").alias("content")).drop("fp")
+    have = first.select("service_id", "part").distinct()
+    sector = F.array_join(text.clean_list("industries"), "\n")
+    elig = F.when(F.trim("eligibility_summary") != "", F.col("eligibility_summary")).otherwise(F.col("applicable_for_raw"))
+    own = services.select(F.col("id").alias("service_id"), F.explode(F.array(*[
+        F.struct(F.lit(n).alias("part"), text.blank(c).alias("content")) for n, c in (("benefits", "benefits"), ("focus_sectors", sector), ("eligibility", elig))
+    ])).alias("x")).select("service_id", "x.part", F.lit(-1).cast("bigint").alias("ord"), "x.content").where(F.trim("content") != "")
+    fallback = own.join(have, ["service_id", "part"], "left_anti")
+    return first.unionByName(fallback).withColumn("content", text.list_layout("content"))

@@ -6,9 +6,9 @@ from .registry import Registry
 
 
 def all_queries() -> Registry:
-    from . import activity_queries, catalogue_queries, ingest_queries, match_queries, search_queries
+    from . import activity_queries, catalogue_queries, ingest_queries, match_queries, merge_queries, search_queries, stream_queries
 
     reg = Registry()
-    for module in (catalogue_queries, activity_queries, search_queries, match_queries, ingest_queries):
+    for module in (catalogue_queries, activity_queries, search_queries, match_queries, ingest_queries, merge_queries, stream_queries):
         module.register(reg)
     return reg

@@ -120,7 +120,7 @@ VIEW_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
           CASE ((p_partkey * 7) % 25) % 4
             WHEN 0 THEN @ARRAY(p_name || ' ' || CASE p_size % 3 WHEN 0 THEN 'seed funding' WHEN 1 THEN 'loan' ELSE 'certificate' END, CASE WHEN p_size % 2 = 0 THEN 'Grant of Rs. 5 lakh' ELSE '' END, 'Registered MSME', CAST(p_size AS STRING) || ' March', 'https://portal.example/' || CAST(p_partkey AS STRING))
             WHEN 1 THEN @ARRAY(p_name || ' registration', 'Rs ' || CAST(p_size * 100 AS STRING), CASE WHEN p_size % 3 = 0 THEN '' ELSE 'Rs 10' END, '')
-            WHEN 2 THEN @ARRAY(p_name || ' ' || CASE p_size % 6 WHEN 0 THEN 'grant' WHEN 1 THEN 'loan scheme' WHEN 2 THEN 'seed fund' WHEN 3 THEN 'registration' WHEN 4 THEN 'certificate' ELSE 'programme' END, 'Equity support up to ' || CAST(p_size AS STRING) || ' lakh', 'Applicant should be private limited', 'Dairy and food technology', p_brand)
+            WHEN 2 THEN @ARRAY(p_name || ' ' || CASE p_size % 6 WHEN 0 THEN 'grant' WHEN 1 THEN 'loan scheme' WHEN 2 THEN 'seed fund' WHEN 3 THEN 'registration' WHEN 4 THEN 'certificate' ELSE 'programme' END, 'Equity support up to ' || CAST(p_size AS STRING) || ' lakh', 'Applicant should be private limited', 'Dairy and food technology')
             ELSE @ARRAY(CAST(p_partkey AS STRING), p_name) END,
           CASE WHEN p_size % 5 = 0 THEN @ARRAY('', 'https://link.example/' || p_brand, '', '', '') ELSE @ARRAY('', '', '', '', '') END
           FROM {part}
