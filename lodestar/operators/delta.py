@@ -123,23 +123,25 @@ def existing_needles(incoming: DataFrame, existing: DataFrame, keys: list[str])
     an equi-join on (keys, word). Texts of one or two words meet on the keys alone.
     """
     a = incoming.select("needle_id", *keys, F.col("norm").alias("needle"))
-    b = existing.select(*keys, F.col("norm").alias("body")).distinct()
+    b = existing.select(*keys, F.col("norm").alias("body")).distinct().withColumn("body_id", F.sha2("body", 256))
+    a, b = materialize(a), materialize(b)  # both sides are read several times
     blank = a.where("needle = ''").select("needle_id")
     a = a.where("needle <> ''")
-    same = a.join(b.withColumnRenamed("body", "needle"), [*keys, "needle"], "left_semi").select("needle_id")
-    long_a = a.where(F.length("needle") >= CONTAIN_LENGTH).withColumn("word", _inner_word(F.col("needle")))
-    long_b = b.where(F.length("body") >= CONTAIN_LENGTH).withColumn("word", _inner_word(F.col("body")))
-    words_a = a.withColumn("word", F.explode(F.array_distinct(F.split("needle", " "))))
-    words_b = b.withColumn("word", F.explode(F.array_distinct(F.split("body", " "))))
-    test = text_exists(F.col("needle"), F.col("body"))
-    inside = long_a.where("word IS NOT NULL").join(words_b, [*keys, "word"]).where(test)
-    around = words_a.join(long_b.where("word IS NOT NULL"), [*keys, "word"]).where(test)
-    brief_a = long_a.where("word IS NULL").drop("word").join(b, keys).where(test)
-    brief_b = a.join(long_b.where("word IS NULL").drop("word"), keys).where(test)
-    out = blank.union(same)
-    for part in (inside, around, brief_a, brief_b):
-        out = out.union(part.select("needle_id"))
-    return out.distinct()
+    same = a.withColumn("body_id", F.sha2("needle", 256)).join(b.select(*keys, "body_id"), [*keys, "body_id"], "left_semi").select("needle_id")
+    same = materialize(same)
+    # words travel with ids only; texts are fetched for the pairs that share a word
+    long_a = a.where(F.length("needle") >= CONTAIN_LENGTH).select("needle_id", *keys, _inner_word(F.col("needle")).alias("word"))
+    long_b = b.where(F.length("body") >= CONTAIN_LENGTH).select("body_id", *keys, _inner_word(F.col("body")).alias("word"))
+    words_a = a.select("needle_id", *keys, F.explode(F.array_distinct(F.split("needle", " "))).alias("word"))
+    words_b = b.select("body_id", *keys, F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
+    pair = ["needle_id", "body_id", *keys]
+    pairs = long_a.where("word IS NOT NULL").join(words_b, [*keys, "word"]).select(*pair)
+    pairs = pairs.union(words_a.join(long_b.where("word IS NOT NULL"), [*keys, "word"]).select(*pair))
+    pairs = pairs.union(long_a.where("word IS NULL").drop("word").join(b.select("body_id", *keys), keys).select(*pair))
+    pairs = pairs.union(a.select("needle_id", *keys).join(long_b.where("word IS NULL").drop("word"), keys).select(*pair))
+    open_pairs = pairs.distinct().join(same, "needle_id", "left_anti")
+    shown = open_pairs.join(a, ["needle_id", *keys]).join(b, ["body_id", *keys]).where(text_exists(F.col("needle"), F.col("body")))
+    return blank.union(same).union(shown.select("needle_id")).distinct()
 
 
 def _bucket_table(spark, own: dict, child: dict | None = None) -> DataFrame:
