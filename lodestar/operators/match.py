@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import eligibility as el
 from ..functions import pitch, text
 from ..functions.wordlists import GENERIC_WILDCARDS, PRIORITY_RANK, STATE_WILDCARDS
-from ..session import BROADCAST_ROWS, materialize
+from ..session import BROADCAST_ROWS, materialize, spread
 
 #: (client column, service column, label, extra wildcards)
 CATEGORICAL = (
@@ -264,7 +264,7 @@ def match_all(clients: DataFrame, services: DataFrame, today, k: int = 50, block
     """
     profile_id = F.sha2(F.to_json(F.struct(*PROFILE), {"ignoreNullFields": "false"}), 256)
     tagged = clients.select("client_id", profile_id.alias("profile_id"), *PROFILE)
-    profiles = tagged.select("profile_id", *PROFILE).distinct().repartition("profile_id")
+    profiles = spread(tagged.select("profile_id", *PROFILE).distinct(), "profile_id")
     rules = services.where(pitch.pitchable(today)).select(
         F.col("id").alias("service_id"), F.lower("title").alias("t"), priority_rank().alias("p"),
         *[c for _, c, *_ in CATEGORICAL],

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import titles as tt
-from ..session import materialize
+from ..session import materialize, spread
 
 BLOCK_TITLES = 50_000
 BEST_SCHEMA = "canonical string, best_id bigint, best_title string, score double, shared int, containment double, anchor string"
@@ -30,6 +30,19 @@ def sequence_ratio(left: str, right: str) -> float:
     return SequenceMatcher(None, left, right).ratio()
 
 
+def common_subsequence(left: str, masks: dict[str, int], right: str) -> int:
+    """Length of the longest common subsequence; ``masks`` are the letter positions of ``left``.
+
+    The blocks of the sequence ratio are a common subsequence, so this bounds it from above.
+    """
+    full = (1 << len(left)) - 1
+    row = full
+    for c in right:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(left) - row.bit_count()
+
+
 def _letter_counts(value: str) -> np.ndarray:
     return np.array([value.count(c) for c in _LETTERS], np.int16)
 
@@ -46,6 +59,7 @@ class TitleBlock:
         for i, tokens in enumerate(words):
             for token in tokens:
                 postings.setdefault(token, []).append(i)
+        self.matchers: dict[int, SequenceMatcher] = {}
         self.postings = {t: np.array(p, np.int64) for t, p in postings.items()}
         self.n_words = np.array([len(w) for w in words], np.int64)
         self.phrases = {p: np.array([p in c for c in self.canonical]) for p, _ in tt.PHRASE_FLOORS}
@@ -55,6 +69,14 @@ class TitleBlock:
         hit = [self.postings[t] for t in tokens if t in self.postings]
         return np.bincount(np.concatenate(hit), minlength=len(self.ids)) if hit else np.zeros(len(self.ids), np.int64)
 
+    def _ratio(self, left: str, i: int) -> float:
+        """Sequence ratio with the catalogue side's index kept for the next title."""
+        matcher = self.matchers.get(i)
+        if matcher is None:
+            matcher = self.matchers[i] = SequenceMatcher(None, "", self.canonical[i])
+        matcher.set_seq1(left)
+        return matcher.ratio()
+
     def best(self, left: str):
         """(row, score, distinctive shared words, containment, anchor) of the best candidate."""
         tokens = set(left.split())
@@ -76,11 +98,17 @@ class TitleBlock:
         bound = 2 * np.minimum(self.letters, _letter_counts(left)).sum(axis=1) / (self.size + len(left))
         score = np.minimum(np.round(fixed, 4), 1)
         top = score.max()
-        for i in np.argsort(-bound, kind="stable"):
-            if bound[i] + 1e-4 < top:
+        masks: dict[str, int] = {}
+        for at, c in enumerate(left):
+            masks[c] = masks.get(c, 0) | (1 << at)
+        near = np.flatnonzero((bound + 1e-4 >= top) & (bound > fixed))
+        tight = [2 * common_subsequence(left, masks, self.canonical[i]) / (self.size[i] + len(left)) for i in near]
+        for at in np.argsort(-np.array(tight), kind="stable"):
+            i = near[at]
+            if tight[at] + 1e-4 < top:
                 break
-            if bound[i] > fixed[i]:
-                score[i] = min(round(max(sequence_ratio(left, self.canonical[i]), fixed[i]), 4), 1)
+            if tight[at] > fixed[i]:
+                score[i] = min(round(max(self._ratio(left, i), fixed[i]), 4), 1)
                 top = max(top, score[i])
         row = int(np.lexsort((np.arange(len(score)), -contained, -distinct, -score))[0])
         names = [p for p, _ in tt.PHRASE_FLOORS] + [tt.PRIVATE_REGISTRATION[2], None]
@@ -117,7 +145,8 @@ def resolve_titles(incoming: DataFrame, catalogue: DataFrame, block_titles: int
     known = materialize(known)
     exact = known.select("canonical", F.col("id").alias("exact_id"), F.col("title").alias("exact_title"))
     joined = named.join(exact, "canonical", "left")
-    rest = joined.where("exact_id IS NULL AND canonical <> ''").select("canonical").distinct().repartition("canonical")
+    rest = joined.where("exact_id IS NULL AND canonical <> ''").select("canonical").distinct()
+    rest = spread(rest, "canonical")
     blocks = -(-known.count() // block_titles)
     best = None
     for number in range(blocks):

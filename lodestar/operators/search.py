@@ -135,16 +135,22 @@ def _pieces(word: Column, size: int) -> Column:
     return F.when(F.length(word) >= size, F.transform(starts, lambda i: F.substring(word, i, F.lit(size))))
 
 
-def _grams(word: Column) -> Column:
-    """Distinct pieces of one to three letters."""
-    return F.array_distinct(F.flatten(F.array_compact(F.array(*[_pieces(word, n) for n in (1, 2, 3)]))))
+def _grams(word: Column, sizes: list[int]) -> Column:
+    """Distinct pieces of the given lengths."""
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*[_pieces(word, n) for n in sizes]))))
 
 
 def word_hits(texts: DataFrame, sought: DataFrame) -> DataFrame:
-    """(word, anchor) for every distinct text word that contains an anchor."""
-    vocabulary = texts.select(F.explode(_words(F.col("text"))).alias("word")).distinct()
-    pieces = vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    """(word, anchor) for every distinct text word that contains an anchor.
+
+    Both meet on the anchor's first three letters; shorter anchors meet on all of theirs.
+    """
     anchors = sought.select("anchor").distinct().withColumn("gram", F.substring("anchor", 1, 3))
+    sizes = sorted(r[0] for r in anchors.select(F.length("gram")).distinct().collect())  # at most 1, 2 and 3
+    if not sizes:
+        return anchors.select(F.col("anchor").alias("word"), "anchor")
+    vocabulary = texts.select(F.explode(_words(F.col("text"))).alias("word")).distinct()
+    pieces = vocabulary.select("word", F.explode(_grams(F.col("word"), sizes)).alias("gram"))
     return pieces.join(anchors, "gram").where(F.contains("word", F.col("anchor"))).select("word", "anchor").distinct()
 
 

@@ -11,6 +11,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread_few_files
+
 TODAY = "2024-06-15"
 
 
@@ -245,7 +247,9 @@ BASE_TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One supplied table; long texts in one small file are spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_few_files(df) if name == "documents" else df
 
 
 def _dialect(sql: str, spark_side: bool) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.windows import carry_forward, previous_in_group
+from ..session import spread
 from ..sources.files import sheet_rows
 
 #: fixed values: failures that lock, and seconds from the first failure until they expire
@@ -81,7 +82,8 @@ def detect_lockouts(logins: DataFrame, block: str = "day") -> DataFrame:
     fresh = F.col("before").isNull() | ~F.col("before.failed") | (gap >= LOCK_SECONDS)
     rows = rows.withColumn("opens", F.when(fresh, F.col("ts")))
     rows = carry_forward(rows, ["lock_key"], part, ["ts", "success"], "opens", "stretch")
-    ordered = rows.select("lock_key", "stretch", "ts", "success").repartition("lock_key", "stretch").sortWithinPartitions("lock_key", "stretch", "ts", "success")
+    parted = spread(rows.select("lock_key", "stretch", "ts", "success"), "lock_key", "stretch")
+    ordered = parted.sortWithinPartitions("lock_key", "stretch", "ts", "success")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, start, count = None, None, 0
