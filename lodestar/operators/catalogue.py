@@ -249,3 +249,13 @@ def recents(events: DataFrame, k: int = 12) -> DataFrame:
     last = events.groupBy("user_id", "service_id").agg(F.max("created_at").alias("last_at"))
     w = Window.partitionBy("user_id").orderBy(F.desc("last_at"), F.desc("service_id"))
     return last.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+
+
+def resort(rows: DataFrame, mode: str) -> DataFrame:
+    """Order of a shown result: by kind, newest verification first, or as ranked."""
+    orders = {
+        "kind": ["service_kind", "rank"],
+        "verified": [F.desc_nulls_last("verified_at"), "rank"],
+        "original": ["rank"],
+    }
+    return rows.orderBy(*orders[mode])

@@ -290,3 +290,24 @@ def rollback_batch(store: SnapshotStore, batch_id: int) -> int:
         new[t] = kept.unionByName(back)
     marked = log.withColumn("is_reversed", F.col("is_reversed") | (F.col("batch_id") == batch_id))
     return store.commit({**new, "ledger": marked}, batch_id, "ROLLBACK")
+
+
+def candidate_links(candidates: DataFrame) -> DataFrame:
+    """Hyperlinks of candidates as differences: ``(cand_id, service_id, ord, provenance, links)`` exploded."""
+    x = candidates.select("cand_id", "service_id", "ord", "provenance", F.explode("links").alias("l"))
+    return x.select("cand_id", "service_id", "ord", "provenance", F.coalesce("l.field", F.lit("reference_link")).alias("field"), F.col("l.url").alias("incoming"))
+
+
+def gate_reasons(batches: DataFrame, rows: DataFrame) -> DataFrame:
+    """Why each batch may not be applied, NULL when it may: the gate of ``check_gate`` for many batches."""
+    twins = review.duplicate_batches(batches).select("id", F.lit(True).alias("twin"))
+    pending = review.batch_preview(rows).select(F.col("batch_id").alias("id"), "pending_changes")
+    illegal = dispatch(rows).groupBy(F.col("batch_id").alias("id")).agg(F.count_if(F.col("step") == "ABORT").alias("illegal"))
+    reason = (
+        F.when(~F.col("status").isin(*review.REVIEWABLE), "status")
+        .when(F.col("twin"), "duplicate")
+        .when(F.coalesce("pending_changes", F.lit(0)) > 0, "pending")
+        .when(F.coalesce("illegal", F.lit(0)) > 0, "illegal rows")
+    )
+    out = batches.join(twins, "id", "left").join(pending, "id", "left").join(illegal, "id", "left")
+    return out.select("id", reason.alias("reason"))

@@ -41,6 +41,9 @@ def build_session(
     return builder.getOrCreate()
 
 
+_OWN_SCRATCH: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the one the cluster names in
     ``spark.checkpoint.dir``. Only a local session without that setting gets its own."""
@@ -49,9 +52,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="lodestar-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_SCRATCH:
+        _OWN_SCRATCH[app] = tempfile.mkdtemp(prefix="lodestar-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return _OWN_SCRATCH[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:

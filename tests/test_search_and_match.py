@@ -9,8 +9,8 @@ from lodestar.operators import match as ma
 from lodestar.operators import search as se
 
 TITLES = [
-    "HDFC Working Capital Credit Scheme", "ICICI MSME Term Loan Programme",
-    "Axis Export Invoice Discounting", "SBI Supply Chain Finance Facility",
+    "Alpha Working Capital Credit Scheme", "Beta MSME Term Loan Programme",
+    "Gamma Export Invoice Discounting", "Delta Supply Chain Finance Facility",
 ]
 EMPTY = ("bde_summary overview benefits eligibility_summary applicable_for_raw funding_organisation funding_type subsidy_details "
          "sales_pitch restrictions important_notes application_deadline_raw").split()
@@ -18,7 +18,7 @@ EMPTY = ("bde_summary overview benefits eligibility_summary applicable_for_raw f
 
 @pytest.fixture(scope="module")
 def catalogue(spark):
-    rows = [(i, f"CACHE-{i:04d}", t) for i, t in enumerate(TITLES)]
+    rows = [(i, f"ITEM-{i:04d}", t) for i, t in enumerate(TITLES)]
     df = spark.createDataFrame(rows, "id bigint, service_id string, title string")
     for c in EMPTY:
         df = df.withColumn(c, F.lit(""))
