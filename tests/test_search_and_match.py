@@ -23,7 +23,7 @@ def catalogue(spark):
     for c in EMPTY:
         df = df.withColumn(c, F.lit(""))
     return df.withColumns({
-        "service_kind": F.lit("LOAN"), "domain_name": F.lit("Finance"), "category_name": F.lit("Bank"), "domain_order": F.lit(1),
+        "service_kind": F.lit("REGISTRATION"), "domain_name": F.lit("Finance"), "category_name": F.lit("Bank"), "domain_order": F.lit(1),
         "industries": F.array().cast("array<string>"),
     })
 
