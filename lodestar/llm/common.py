@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, size in enumerate(sizes.tolist()):
         if i > start and (total + size > SLICE_CHARS or i - start >= SLICE_ROWS):
@@ -78,7 +79,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def string_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all values joined, n + 1 offsets) of a string column; null counts as empty."""
-    array = pa.compute.fill_null(array.cast(pa.large_binary()), b"")
+    array = pc.fill_null(array.cast(pa.large_binary()), b"")
     _, offsets, data = array.buffers()
     offsets = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
