@@ -56,7 +56,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no slice has many rows or, unless it is a single row, very much text."""
     if column not in batch.schema.names:
         for at in range(0, batch.num_rows, SLICE_ROWS):
@@ -65,7 +65,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, size in enumerate(sizes.tolist()):
-        if i > start and (total + size > SLICE_CHARS or i - start >= SLICE_ROWS):
+        if i > start and (total + size > chars or i - start >= SLICE_ROWS):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size
@@ -116,27 +116,37 @@ def _powers(base: int, n: int) -> np.ndarray:
 _INVERSE = pow(int(_POLY), -1, 1 << 64)
 
 
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of every byte: 0 for white space, else 1; or 1 for letters (and all beyond ASCII), 2 for digits, 3 for marks."""
+    byte = np.arange(256)
+    space = (byte == 32) | ((byte >= 9) & (byte <= 13))
+    letter = ((byte | 32) >= 97) & ((byte | 32) <= 122) | (byte >= 128)
+    runs = np.where(space, 0, np.where(letter, 1, np.where((byte >= 48) & (byte <= 57), 2, 3)))
+    return (~space).astype(np.uint8), runs.astype(np.uint8)
+
+
+_WORD_KIND, _RUN_KIND = _kinds()
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a string column, A-Z lower-cased, as 64-bit hashes.
 
     ``hashes``, ``starts``, ``ends`` (bytes) have one entry per word; ``first[i]:first[i + 1]`` are the words
-    of row ``i``. Everything is computed on the joined bytes of the batch, without a loop over texts.
+    of row ``i``. With ``runs`` words are cut further, where letters, digits and marks meet. Everything is computed on the joined bytes of the batch, without a loop over texts.
     """
 
-    def __init__(self, array: pa.Array, lower: bool = True):
+    def __init__(self, array: pa.Array, lower: bool = True, runs: bool = False):
         raw, bounds = string_bytes(array)
         if lower:
             raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-        solid = (raw != 32) & ((raw < 9) | (raw > 13))
-        begins = solid.copy()
-        begins[1:] &= ~solid[:-1]
+        kind = (_RUN_KIND if runs else _WORD_KIND)[raw]
         cuts = bounds[1:-1]
-        inner = cuts[cuts < len(raw)]
-        begins[inner] = solid[inner]
-        finish = solid.copy()
-        finish[:-1] &= ~solid[1:]
-        last = inner[inner > 0] - 1
-        finish[last] = solid[last]
+        inner = cuts[(cuts > 0) & (cuts < len(raw))]
+        change = np.ones(len(raw) + 1, bool)
+        change[1:-1] = kind[1:] != kind[:-1]
+        change[inner] = True
+        solid = kind > 0
+        begins, finish = solid & change[:-1], solid & change[1:]
         self.raw, self.bounds = raw, bounds
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(finish) + 1

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, pii, quality_rules, topk
+from . import byte_bpe, packing, pii, quality_classifier, quality_rules, topk
+from .common import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 3) == 1
+    scored = quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False))
@@ -47,6 +54,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_topk": op4_topk,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
 }
 
