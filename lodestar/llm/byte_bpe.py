@@ -20,15 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import array_column, map_arrow, texts_of
-from .word_cache import CachedEncoder
-
-
-@lru_cache(maxsize=4)
-def byte_symbols() -> tuple[str, ...]:
-    """Character that stands for each byte: itself if it prints in Latin-1, else the next free one from 256."""
-    shows = [33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)]
-    hidden = [b for b in range(256) if not shows[b]]
-    return tuple(chr(b) if shows[b] else chr(256 + hidden.index(b)) for b in range(256))
+from .word_cache import CachedEncoder, byte_symbols
 
 
 @lru_cache(maxsize=4)
