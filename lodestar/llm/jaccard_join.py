@@ -239,7 +239,8 @@ class _Join:
         known = known.select("a", "b", F.col("n_b_a").alias("n_a"), F.col("n_b_b").alias("n_b"), F.col("n_a_a").alias("n_lead"), "lacks_a", "adds_a", "lacks_b", "adds_b")
         return known.mapInArrow(_derived, "a bigint, b bigint, n_a bigint, n_b bigint, overlap bigint"), shared
 
-    def run(self) -> DataFrame:
+    def placed(self) -> DataFrame:
+        """doc_id, text_hash, n_shingles and label (a set of the component) of every document."""
         sets = self.index()
         lists = self.lists(sets)
         seen = self.compare(self.first_pairs(lists), sets, "compared1")
@@ -251,9 +252,12 @@ class _Join:
         compared = self.compare(rest, sets, "compared2")
         more = derived.filter(linked(self.percent)).select("a", "b").unionByName(compared.filter(linked(self.percent)).select("a", "b"))
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), self.scratch, "round2")
-        placed = sets.select("doc_id", "n", "set").join(labels.withColumnRenamed("node", "set"), "set", "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "set").alias("label"))
-        placed = self.scratch.keep(placed, "placed")
+        placed = sets.select("doc_id", "text_hash", "n", "set").join(labels.withColumnRenamed("node", "set"), "set", "left").select(
+            "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("label", "set").alias("label"))
+        return self.scratch.keep(placed, "placed")
+
+    def run(self) -> DataFrame:
+        placed = self.placed()
         first = placed.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("first"))
         return placed.join(first, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -261,3 +265,14 @@ class _Join:
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document; sets link from ``percent`` hundredths of similarity on."""
     return _Join(docs, words, percent, key, text).run()
+
+
+def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row of smallest id (nulls last), with all
+    its columns. Texts without words stay; of rows that repeat both id and text one stays."""
+    placed = _Join(docs, words, percent, key, text).placed()
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = placed.filter("n_shingles > 0").groupBy("label").agg(F.min(row).alias("r")).select("r.doc_id", "r.text_hash")
+    stay = first.unionByName(placed.filter("n_shingles = 0").select("doc_id", "text_hash")).select(F.xxhash64("doc_id", "text_hash").alias("_stays")).distinct()
+    mine = F.xxhash64(F.col(key).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn("_stays", mine).join(stay, "_stays", "left_semi").dropDuplicates(["_stays"]).drop("_stays")

@@ -200,3 +200,22 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "d
     scratch = Scratch(docs.sparkSession, "classifier")
     rows = scratch.keep(features(docs, word_vectors(docs), key=key), "features")
     return score(rows, fit(rows, labels, train, key=key), key=key)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` predicted 1, with all their columns. Rows are scored in place, so texts aren't shuffled."""
+    scratch = Scratch(docs.sparkSession, "classifier")
+    vectors = word_vectors(docs, text=text)
+    model = fit(scratch.keep(features(docs, vectors, key=key, text=text), "features"), labels, train, key=key)
+    shared, at = docs.sparkSession.sparkContext.broadcast(vectors), docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
+            start = 0
+            for part in slices(texts, chars=POOL_CHARS):
+                rows = pooled(shared.value, part.column("text")).astype(np.float64)
+                yield batch.slice(start, part.num_rows).filter(pa.array(model.score(rows) >= 0.5))
+                start += part.num_rows
+
+    return docs.mapInArrow(run, docs.schema)

@@ -75,8 +75,8 @@ def _left_out(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
-def statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: the contract's counts, and the shares that rules use."""
+def statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: the contract's counts, the shares that rules use, and the columns of ``keep``."""
     body = F.coalesce(F.col(text), F.lit(""))
     words = _words(body)
 
@@ -85,14 +85,14 @@ def statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
 
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     base = docs.select(
-        F.col(key), bind(words, all_of).alias("w"),
+        F.col(key), *keep, bind(words, all_of).alias("w"),
         F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         _left_out(body, SYMBOLS).alias("n_symbols"),
         bind(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
         _left_out(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"), _left_out(body, "!?").alias("n_marks"),
     )
     chars, n = F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
-    return base.select(key, F.col("w.n_words").alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"),
+    return base.select(key, *keep, F.col("w.n_words").alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"),
                        F.col("w.n_repeat_words").alias("n_repeat_words"), F.col("w.n_distinct").alias("n_distinct"), F.col("l.n").alias("n_lines"), "n_upper", "n_marks").select(
         "*",
         (F.col("n_symbols") / chars).alias("symbol_share"), (F.col("n_upper") / chars).alias("upper_share"), (F.col("n_marks") / chars).alias("mark_share"),
@@ -223,6 +223,14 @@ def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
         "kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns. Rows are judged in place, so texts aren't shuffled."""
+    scratch = Scratch(docs.sparkSession, "rules")
+    rules = learn(scratch.keep(statistics(docs, key=key, text=text), "statistics"), labels, key=key, scratch=scratch)
+    whole = docs.select(F.col(key), F.col(text), F.struct("*").alias("_row"))
+    return judge(statistics(whole, key=key, text=text, keep=("_row",)), rules).filter("kept").select("_row.*")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id") -> tuple[DataFrame, DecisionList]:
     """Judged statistics of every document, and the list that was learned."""
     scratch = Scratch(docs.sparkSession, "rules")
