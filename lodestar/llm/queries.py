@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, packing, pii, quality_classifier, quality_rules, topk
+from . import byte_bpe, jaccard_join, maxent_lm, packing, pii, quality_classifier, quality_rules, topk
 from .common import fold
 
 
@@ -42,6 +42,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_corpus(_table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 3) == 1
     scored = quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out)
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_topk": op4_topk,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_maxent_lm": op6_maxent_lm,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
 }
