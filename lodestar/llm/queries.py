@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, maxent_lm, packing, pii, quality_classifier, quality_rules, topk
+from . import byte_bpe, html_wrappers, jaccard_join, maxent_lm, packing, pii, quality_classifier, quality_rules, topk
 from .common import fold
 
 
@@ -57,6 +57,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False))
 
 
+def op9_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract_pages(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_pii": op2_pii,
@@ -66,6 +70,7 @@ QUERIES = {
     "op6_maxent_lm": op6_maxent_lm,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
+    "op9_html_wrappers": op9_html_wrappers,
 }
 
 SQL: dict[str, str] = {
