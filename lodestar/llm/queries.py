@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_wrappers, jaccard_join, maxent_lm, packing, pii, quality_classifier, quality_rules, topk
+from . import byte_bpe, html_wrappers, jaccard_join, language_id, maxent_lm, packing, pii, quality_classifier, quality_rules, topk
 from .common import fold
 
 
@@ -61,6 +61,10 @@ def op9_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract_pages(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_pii": op2_pii,
@@ -71,6 +75,7 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
     "op9_html_wrappers": op9_html_wrappers,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {
