@@ -49,7 +49,8 @@ def shingle_hashes(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]
     with np.errstate(over="ignore"):
         whole = words.hashes.copy()
         for k in range(1, size):
-            whole[: len(whole) - k] = whole[: len(whole) - k] * _P + words.hashes[k:]
+            if len(whole) > k:
+                whole[:-k] = whole[:-k] * _P + words.hashes[k:]
         whole = mix(whole)
         keep = np.maximum(n - size + 1, (n > 0).astype(n.dtype))
         bounds = np.concatenate([[0], np.cumsum(keep)])
@@ -86,8 +87,8 @@ def _counts(size: int):
         table = np.zeros(1 << TABLE_BITS, np.int64)
         for batch in batches:
             for part in slices(batch):
-                for found in sets_of(part.column("text"), size):
-                    np.add.at(table, (found >> np.uint64(64 - TABLE_BITS)).astype(np.int64), 1)
+                found = np.concatenate([*sets_of(part.column("text"), size), np.zeros(0, np.uint64)])
+                table += np.bincount((found >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table))
         some = np.flatnonzero(table)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(some, pa.int32()), "n": pa.array(table[some], pa.int64())})
 
