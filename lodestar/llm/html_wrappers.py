@@ -35,8 +35,9 @@ from .common import map_arrow, slices
 SALTS, MERGE_PARTS = 64, 32
 #: Pages on which fixed text must be seen to count as the template's.
 FIXED_PAGES = 8
-#: Children of a pattern node that are aligned; sequences beyond it are folded to distinct labels first.
-MAX_CHILDREN = 60
+#: Children of a pattern node that are aligned; sequences beyond it are folded to distinct labels first. Elements nested
+#: deeper than MAX_DEPTH count as part of the one at that depth.
+MAX_CHILDREN, MAX_DEPTH = 60, 100
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -78,6 +79,7 @@ class Page:
         self._path: list[tuple[int, str]] = []
         self._text: list[str] = []
         self._nodes = 0
+        self._deep: list[str] = []
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -111,6 +113,16 @@ class Page:
         self._flush()
         if tag == "br" or tag in _VOID:
             return
+        if self._deep or len(self._path) >= MAX_DEPTH and not end:
+            if not end:
+                self._deep.append(tag)
+            elif tag in self._deep:
+                while self._deep.pop() != tag:
+                    pass
+            elif any(label.split(".", 1)[0] == tag for _, label in self._path):
+                self._deep.clear()
+                self._close((tag,), frozenset())
+            return
         if end:
             self._close((tag,), frozenset())
             return
@@ -152,7 +164,8 @@ def fold_repeats(node: list) -> list:
             out[-1] = joined(out[-1], child, same_page=True)
             out[-1][REPEATED] = True
         elif len(out) > 2 and out[-2][LABEL] == child[LABEL] and out[-3][LABEL] == out[-1][LABEL]:
-            out[-3] = joined(out[-3], out.pop(), same_page=True)
+            last = out.pop()
+            out[-2] = joined(out[-2], last, same_page=True)
             out[-1] = joined(out[-1], child, same_page=True)
             out[-2][REPEATED] = out[-1][REPEATED] = True
         else:
