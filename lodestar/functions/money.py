@@ -12,19 +12,18 @@ AMOUNT = r"(?<![0-9])([0-9]+(?:\.[0-9]+)?)\s*(lakh|lakhs|lac|lacs|crore|crores|c
 
 
 def amounts_in_lakh(text: Column) -> Column:
-    """Distinct amounts of the text, in lakh: ``1 crore`` is 100."""
+    """Distinct amounts of the text, in lakh: ``1 crore`` is 100. Amounts beyond 22 digits are left out."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
     numbers = F.regexp_extract_all(lowered, F.lit(AMOUNT), 1)
     units = F.regexp_extract_all(lowered, F.lit(AMOUNT), 2)
-    return F.array_distinct(
-        F.zip_with(
-            numbers,
-            units,
-            lambda n, u: (
-                n.cast("decimal(28,6)") * F.when(u.startswith("cr"), F.lit(100)).otherwise(F.lit(1))
-            ).cast("decimal(28,6)"),
-        )
+    lakhs = F.zip_with(
+        numbers,
+        units,
+        lambda n, u: (
+            n.try_cast("decimal(28,6)") * F.when(u.startswith("cr"), F.lit(100)).otherwise(F.lit(1))
+        ).try_cast("decimal(28,6)"),
     )
+    return F.array_distinct(F.array_compact(lakhs))
 
 
 #: fixed values: written forms searched for one requested amount

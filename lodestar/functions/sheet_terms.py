@@ -21,7 +21,6 @@ HEADER_ALIASES = {
 }
 #: an alias of at least this length also matches inside a longer header
 CONTAINED_ALIAS = 7
-HEADER_ROWS = 30
 COMMERCIAL_FIELDS = ("vendor_cost", "bdm_deduction", "minimum_charge", "government_charge", "commercial_remark")
 HEADER_LABELS = (
     "scheme",

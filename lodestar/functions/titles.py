@@ -23,12 +23,10 @@ TITLE_REWRITES = (
     (r"\bgovt\b", "government"),
 )
 # --- fixed values: words that do not identify a service ---------------------------------------
-GENERIC_TITLE_WORDS = frozenset(
-    (
-        "service services scheme application company registration certificate certification government india "
-        "indian fund funding grant loan programme program"
-    ).split()
-)
+GENERIC_TITLE_WORDS = frozenset((
+    "service", "services", "scheme", "application", "company", "registration", "certificate", "certification",
+    "government", "india", "indian", "fund", "funding", "grant", "loan", "programme", "program",
+))
 # --- fixed values: shared phrases and the least score they give ---------------------------------
 PHRASE_FLOORS = (
     ("limited liability partnership", 0.97),

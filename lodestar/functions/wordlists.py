@@ -1,18 +1,17 @@
 """Word lists, labels and patterns that results depend on."""
 
 # --- fixed values: sector terms --------------------------------------------------------
-SECTOR_STOPWORDS = frozenset(
-    "scheme schemes service services sector related for the and business company client".split()
-)
+SECTOR_STOPWORDS = frozenset((
+    "scheme", "schemes", "service", "services", "sector", "related", "for", "the", "and", "business", "company",
+    "client",
+))
 SECTOR_WILDCARDS = ("all", "all india", "all industries", "all sectors", "any", "any industry")
 
 # --- fixed values: keyword matching -----------------------------------------------------
-MATCH_STOPWORDS = frozenset(
-    (
-        "related relating for the a an to of and or client company business scheme schemes "
-        "service services looking need needs"
-    ).split()
-)
+MATCH_STOPWORDS = frozenset((
+    "related", "relating", "for", "the", "a", "an", "to", "of", "and", "or", "client", "company", "business",
+    "scheme", "schemes", "service", "services", "looking", "need", "needs",
+))
 STATE_WILDCARDS = ("all india", "pan india", "all states", "any state", "india", "nationwide")
 GENERIC_WILDCARDS = (
     "all",

@@ -9,16 +9,17 @@ from ..functions import pitch, text
 from ..functions.wordlists import SECTOR_WILDCARDS, SOURCE_LABELS, SOURCE_PRIORITY
 
 #: own text columns that the plain text filter searches
-CORE_COLUMNS = (
-    "sales_pitch subsidy_details funding_type service_kind application_deadline_raw "
-    "funding_organisation applicable_for_raw eligibility_summary benefits overview bde_summary title service_id"
-).split()
-
-SUGGESTION_COLUMNS = (
-    "id service_id title slug domain_name category_name service_kind industries bde_summary overview benefits "
-    "eligibility_summary applicable_for_raw funding_organisation funding_type subsidy_details sales_pitch "
-    "application_deadline_raw"
-).split()
+CORE_COLUMNS = [
+    "sales_pitch", "subsidy_details", "funding_type", "service_kind", "application_deadline_raw",
+    "funding_organisation", "applicable_for_raw", "eligibility_summary", "benefits", "overview", "bde_summary",
+    "title", "service_id",
+]
+
+SUGGESTION_COLUMNS = [
+    "id", "service_id", "title", "slug", "domain_name", "category_name", "service_kind", "industries", "bde_summary",
+    "overview", "benefits", "eligibility_summary", "applicable_for_raw", "funding_organisation", "funding_type",
+    "subsidy_details", "sales_pitch", "application_deadline_raw",
+]
 
 
 def enrich(services: DataFrame, domains: DataFrame, categories: DataFrame) -> DataFrame:

@@ -41,9 +41,14 @@ def header_field(value) -> Column:
     return out
 
 
-def detect_headers(rows: DataFrame) -> DataFrame:
-    """Best header row among the first rows of each sheet, with its field positions."""
-    first = top_per_group(rows.select(*KEYS, "row_no", "values"), KEYS, ["row_no"], st.HEADER_ROWS).drop("rank")
+def detect_headers(rows: DataFrame, first_rows: int | None = None) -> DataFrame:
+    """Best header row of each sheet, with its field positions.
+
+    ``first_rows`` looks at that many rows of a sheet only; by default all rows are candidates.
+    """
+    first = rows.select(*KEYS, "row_no", "values")
+    if first_rows is not None:
+        first = top_per_group(first, KEYS, ["row_no"], first_rows).drop("rank")
     fields = first.select(
         *KEYS, "row_no", "values", F.transform("values", header_field).alias("fields"),
         F.size(F.filter("values", lambda v: text.norm_alnum(v) != "")).alias("nonempty"),
@@ -77,6 +82,10 @@ def sheet_kinds(rows: DataFrame, headers: DataFrame) -> DataFrame:
     for field in st.COMMERCIAL_FIELDS:
         there = F.trim(F.coalesce(_cell(field), F.lit(""))) != ""
         commercial = there if commercial is None else commercial | there
+    # a marker counts once per sheet, in whichever row it stands
+    words = F.array_join(F.transform("cells", text.norm_alnum), " ")
+    joined = joined.withColumn("words", words)
+    signals = {"n_comm": st.COMMUNICATION_SIGNALS, "n_know": st.KNOWLEDGE_SIGNALS}
     shape = joined.groupBy(*KEYS).agg(
         F.max(F.size("values")).alias("width"),
         F.count(F.lit(1)).alias("n_rows"),
@@ -86,16 +95,11 @@ def sheet_kinds(rows: DataFrame, headers: DataFrame) -> DataFrame:
         F.count_if(is_data & (F.size("cells") >= 2)).alias("n_multi"),
         F.count_if(titled).alias("n_titled"),
         F.count_if(titled & commercial).alias("n_commercial"),
+        *(F.max(F.contains("words", F.lit(m)).cast("int")).alias(f"{name}_{i}") for name, markers in signals.items() for i, m in enumerate(markers)),
     )
-    # the first thousand values need at most the first thousand rows
-    start = top_per_group(rows.select(*KEYS, "row_no", filled.alias("cells")), KEYS, ["row_no"], 1000)
-    words = start.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("x")).select(
-        *KEYS,
-        F.array_join(F.transform(F.slice(F.flatten(F.transform("x", lambda r: r["cells"])), 1, 1000), text.norm_alnum), " ").alias("joined"),
-    )
-    f = shape.join(words, KEYS).join(headers, KEYS, "left")
-    comm, know = marker_count(F.col("joined"), st.COMMUNICATION_SIGNALS), marker_count(F.col("joined"), st.KNOWLEDGE_SIGNALS)
-    f = f.withColumns({"n_comm": comm, "n_know": know})
+    f = shape.join(headers, KEYS, "left").withColumns({
+        name: sum((F.col(f"{name}_{i}") for i in range(1, len(markers))), F.col(f"{name}_0")) for name, markers in signals.items()
+    })
     has = F.col("header_row").isNotNull()
     scheme = F.coalesce(F.map_contains_key("mapping", F.lit("scheme_name")), F.lit(False))
     known = F.coalesce(F.size("mapping"), F.lit(0))
@@ -417,7 +421,7 @@ def stage_rows(rows: DataFrame, candidates: DataFrame, services: DataFrame, batc
     payload = F.to_json(F.struct("candidate", "file", "links", "row_no", "sheet", "values"), {"ignoreNullFields": "false"})
     return joined.select(
         F.lit(batch_id).cast("bigint").alias("batch_id"), *KEYS, "row_no",
-        F.substring(F.coalesce(F.when(F.col("c_title") != "", F.col("c_title")), first_cell, F.lit("")), 1, 255).alias("source_key"),
+        F.coalesce(F.when(F.col("c_title") != "", F.col("c_title")), first_cell, F.lit("")).alias("source_key"),
         F.sha2(payload, 256).alias("row_hash"), payload.alias("raw_data"),
         *staging_status(F.col("match_action"), stale),
         F.when(F.col("known"), F.col("sid")).alias("matched_service_id"),

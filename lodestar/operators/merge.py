@@ -50,7 +50,10 @@ LINK_KINDS = {
     "flyer": "FLYER",
     "reference_link": "REFERENCE",
 }
-SECTION_TYPES = "OVERVIEW BENEFITS ELIGIBILITY FUNDING SCOPE PROCESS DOCUMENTS TIMELINE NOTES GLOSSARY COMMERCIAL OTHER".split()
+SECTION_TYPES = (
+    "OVERVIEW", "BENEFITS", "ELIGIBILITY", "FUNDING", "SCOPE", "PROCESS", "DOCUMENTS", "TIMELINE", "NOTES",
+    "GLOSSARY", "COMMERCIAL", "OTHER",
+)
 
 CONTENT_SCHEMA = "child_key string, service_id bigint, section_type string, heading string, content string, visibility string, provenance string"
 SOURCE_SCHEMA = "child_key string, service_id bigint, source_kind string, source_url string, provenance string"
@@ -204,16 +207,25 @@ def new_services(rows: DataFrame, services: DataFrame, categories: DataFrame, ba
     slug = text.numbered(F.col("base"), F.col("k") + F.coalesce("taken", F.lit(0)), 240)
     return numbered.select(
         "cand_id", "ord", (F.lit(top) + F.col("n")).alias("id"),
-        F.substring(F.concat(F.lit(f"{prefix}-{batch_id}-"), F.col("cand_id").cast("string")), 1, 40).alias("service_id"),
+        _short_key(F.concat(F.lit(f"{prefix}-{batch_id}-"), F.col("cand_id").cast("string"))).alias("service_id"),
         text.strip(F.col("title")).alias("title"), slug.alias("slug"), "category_id", "domain_id", "service_kind", F.lit("PUBLISHED").alias("status"),
     )
 
 
+def _short_key(key: Column, size: int = 40) -> Column:
+    """The key, or where it is longer than ``size`` its start and a hash of all of it, so that no two keys become one."""
+    return F.when(F.length(key) <= size, key).otherwise(F.concat(F.substring(key, 1, size - 17), F.lit("-"), F.substring(F.sha2(key, 256), 1, 16)))
+
+
+#: images keep the full precision of timestamps
+IMAGE = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def ledger(old: DataFrame, new: DataFrame, table: str, batch_id: int, actions: tuple[str, str]) -> DataFrame:
     """Before and after image of every row the merge added or changed."""
     key = KEYS[table]
-    a = old.select(F.col(key).cast("string").alias("object_key"), F.to_json(F.struct(*old.columns), {"ignoreNullFields": "false"}).alias("before_json"))
-    b = new.select(F.col(key).cast("string").alias("object_key"), F.to_json(F.struct(*old.columns), {"ignoreNullFields": "false"}).alias("after_json"))
+    a = old.select(F.col(key).cast("string").alias("object_key"), F.to_json(F.struct(*old.columns), IMAGE).alias("before_json"))
+    b = new.select(F.col(key).cast("string").alias("object_key"), F.to_json(F.struct(*old.columns), IMAGE).alias("after_json"))
     both = a.join(b, "object_key", "full").where(~F.col("before_json").eqNullSafe(F.col("after_json")))
     action = F.when(F.col("before_json").isNull(), actions[0]).otherwise(actions[1])
     return both.select(
@@ -238,13 +250,15 @@ def apply_batch(
     counts = check_gate(batch, batches, rows, reconcile)
     if dry_run:
         return counts
+    if store.status(batch["id"]) == "IMPORTED":
+        raise MergeRefused("the batch is imported already")
     old = {t: store.read(t) for t in KEYS}
     steps = materialize(dispatch(rows))
     made = materialize(new_services(steps.where("step = 'CREATE'"), old["service"], categories, batch["id"]))
     target = steps.where("step IN ('CREATE', 'UPDATE')").join(made.select("cand_id", F.col("id").alias("made_id")), "cand_id", "left").select(
         "cand_id", "ord", "provenance", "step", F.coalesce("made_id", "matched_service_id").alias("service_id"))
     d = materialize(route(diffs.join(target, "cand_id")))
-    if not order_conflicts(d.where("step = 'UPDATE' AND target = 'core'")).limit(1).isEmpty():
+    if not order_conflicts(d.where("step = 'UPDATE' AND target <> 'source'")).limit(1).isEmpty():
         raise MergeRefused("two rows of the batch give different texts for one place")
     base = old["service"].unionByName(made.drop("cand_id", "ord"), allowMissingColumns=True)
     service, overflow = fill_core(base, d.where("target = 'core'"))
@@ -264,7 +278,9 @@ def apply_batch(
         changes = part if changes is None else changes.unionByName(part)
     version = store.current() + 1
     log = store.read("ledger").unionByName(changes.withColumn("version", F.lit(version).cast("bigint")))
-    store.commit({**new, "ledger": log}, batch["id"], "APPLY")
+    outcome = steps.where("step <> 'ABORT'").join(target.select("cand_id", "service_id"), "cand_id", "left").select(
+        F.lit(batch["id"]).cast("bigint").alias("batch_id"), "cand_id", F.when(F.col("step") == "SKIPPED", "SKIPPED").otherwise("PROCESSED").alias("status"), "service_id")
+    store.commit({**new, "ledger": log, "outcome": outcome}, batch["id"], "APPLY")
     return {**counts, "version": version}
 
 
@@ -275,7 +291,10 @@ def undo_plan(changes: DataFrame) -> DataFrame:
 
 
 def rollback_batch(store: SnapshotStore, batch_id: int) -> int:
-    """Restore every object the batch changed and mark its ledger rows as reversed."""
+    """Restore what the batch changed, as far as it still exists, delete what it added, and mark its ledger rows as
+    reversed. Only an imported batch can be rolled back."""
+    if store.status(batch_id) != "IMPORTED":
+        raise MergeRefused("only an imported batch can be rolled back")
     log = store.read("ledger")
     mine = log.where(F.col("batch_id") == batch_id)
     if mine.where(~F.col("is_reversed")).limit(1).isEmpty():
@@ -286,7 +305,8 @@ def rollback_batch(store: SnapshotStore, batch_id: int) -> int:
         now = store.read(t)
         part = plan.where(F.col("object_table") == t)
         kept = now.join(part.select(F.col("object_key").alias("__k")), F.col(key).cast("string") == F.col("__k"), "left_anti")
-        back = part.where("before_json <> ''").select(F.from_json("before_json", now.schema).alias("x")).select("x.*")
+        there = part.where("before_json <> ''").join(now.select(F.col(key).cast("string").alias("object_key")), "object_key", "left_semi")
+        back = there.select(F.from_json("before_json", now.schema, IMAGE).alias("x")).select("x.*")
         new[t] = kept.unionByName(back)
     marked = log.withColumn("is_reversed", F.col("is_reversed") | (F.col("batch_id") == batch_id))
     return store.commit({**new, "ledger": marked}, batch_id, "ROLLBACK")

@@ -22,18 +22,19 @@ from ..functions.search_terms import (
     SPECIFIC_FINANCE,
     TOKEN_TO_CONCEPT,
 )
-from ..session import fits_broadcast, materialize
+from ..session import materialize
 
 #: never part of a query, so joined fields cannot match across their border
 FIELD_BREAK = "\u0001"
-OWN_TEXT = (
-    "sales_pitch subsidy_details funding_type service_kind application_deadline_raw funding_organisation "
-    "applicable_for_raw eligibility_summary benefits overview bde_summary title service_id category_name domain_name"
-).split()
-RANK_TEXT = (
-    "title service_id bde_summary overview benefits eligibility_summary applicable_for_raw funding_organisation "
-    "funding_type subsidy_details sales_pitch restrictions important_notes"
-).split()
+OWN_TEXT = [
+    "sales_pitch", "subsidy_details", "funding_type", "service_kind", "application_deadline_raw",
+    "funding_organisation", "applicable_for_raw", "eligibility_summary", "benefits", "overview", "bde_summary",
+    "title", "service_id", "category_name", "domain_name",
+]
+RANK_TEXT = [
+    "title", "service_id", "bde_summary", "overview", "benefits", "eligibility_summary", "applicable_for_raw",
+    "funding_organisation", "funding_type", "subsidy_details", "sales_pitch", "restrictions", "important_notes",
+]
 
 
 def _literal_map(table: dict) -> Column:
@@ -165,21 +166,15 @@ def needle_match(body: Column, sector: Column, terms: Column) -> Column:
 def group_hits(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """Distinct ``(grp, service_id)`` where any variant of the group is found.
 
-    The hit words are few when the queries are. Up to a row bound they are broadcast, so texts
-    are only scanned; beyond it row keys, not texts, meet the hit words in a shuffle.
+    Row keys, not texts, meet the hit words; only texts with a hit word are read again and compared in full.
     """
     sought = materialize(needles(groups).withColumnRenamed("sector", "n_sector"))
     hits = materialize(word_hits(texts, sought))
-    small = fits_broadcast(hits) and fits_broadcast(sought)
     test = (F.col("sector") == F.col("n_sector")) & needle_match(F.col("text"), F.col("sector"), F.col("terms"))
-    if small:
-        rows = texts.select("service_id", "sector", "text", F.explode(_words(F.col("text"))).alias("word"))
-        found = rows.join(F.broadcast(hits), "word").join(F.broadcast(sought), "anchor").where(test)
-    else:
-        keyed = texts.withColumn("text_key", F.sha2("text", 256))
-        rows = keyed.select("service_id", "sector", "text_key", F.explode(_words(F.col("text"))).alias("word"))
-        pairs = rows.join(hits, "word").select("service_id", "sector", "text_key", "anchor").distinct()
-        found = pairs.join(keyed, ["service_id", "sector", "text_key"]).join(sought, "anchor").where(test)
+    keyed = texts.withColumn("text_key", F.sha2("text", 256))
+    rows = keyed.select("service_id", "sector", "text_key", F.explode(_words(F.col("text"))).alias("word"))
+    pairs = rows.join(hits, "word").select("service_id", "sector", "text_key", "anchor").distinct()
+    found = pairs.join(keyed, ["service_id", "sector", "text_key"]).join(sought, "anchor").where(test)
     return found.select("grp", "service_id").distinct()
 
 
@@ -337,10 +332,10 @@ TYPEAHEAD_FIELDS = {
     "area_cat": ["category_name"],
     "area_dom": ["domain_name"],
     "industries_c": None,
-    "direct_c": (
-        "bde_summary overview benefits eligibility_summary applicable_for_raw funding_organisation funding_type "
-        "subsidy_details sales_pitch application_deadline_raw"
-    ).split(),
+    "direct_c": [
+        "bde_summary", "overview", "benefits", "eligibility_summary", "applicable_for_raw", "funding_organisation",
+        "funding_type", "subsidy_details", "sales_pitch", "application_deadline_raw",
+    ],
 }
 
 

@@ -49,8 +49,7 @@ def _canon_sql(expr: str) -> str:
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-HEAD = f"""hd AS (SELECT *, row_number() OVER (PARTITION BY file, sheet ORDER BY row_no) AS rn FROM v_sheet),
- fl AS (SELECT file, sheet, row_no, values, list_transform(values, lambda x: {_field_sql('x')}) AS fields, len(list_filter(values, lambda x: {NORM.format('x')} <> '')) AS nonempty FROM hd WHERE rn <= 30),
+HEAD = f"""fl AS (SELECT file, sheet, row_no, values, list_transform(values, lambda x: {_field_sql('x')}) AS fields, len(list_filter(values, lambda x: {NORM.format('x')} <> '')) AS nonempty FROM v_sheet),
  sc AS (SELECT *, list_distinct(list_filter(fields, lambda f: f IS NOT NULL)) AS found FROM fl),
  bs AS (SELECT *, len(found) * 10 + least(nonempty, 10) AS score FROM sc WHERE len(found) > 0),
  hr AS (SELECT file, sheet, row_no AS header_row, nonempty, score, fields, found FROM (SELECT *, row_number() OVER (PARTITION BY file, sheet ORDER BY score DESC, row_no) AS k FROM bs) WHERE k = 1)"""
@@ -83,9 +82,9 @@ def incoming_titles(v):
 
 
 def register(reg: Registry) -> None:
-    @reg.add("I1_header_fields", "v_sheet", f"SELECT DISTINCT x AS header, {_field_sql('x')} AS field FROM (SELECT unnest(values) AS x FROM v_sheet WHERE row_no <= 2)")
+    @reg.add("I1_header_fields", "v_sheet", f"SELECT DISTINCT x AS header, {_field_sql('x')} AS field FROM (SELECT unnest(values) AS x FROM v_sheet)")
     def _(v):
-        cells = v.sheet.where("row_no <= 2").select(F.explode("values").alias("header")).distinct()
+        cells = v.sheet.select(F.explode("values").alias("header")).distinct()
         return cells.select("header", ing.header_field("header").alias("field"))
 
     for key in ("I2_header_detection", "W8_header_argmax"):

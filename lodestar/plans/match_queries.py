@@ -110,7 +110,7 @@ def register(reg: Registry) -> None:
         return f"list_filter([{arms}], lambda x: x IS NOT NULL)"
 
     clean = "trim(regexp_replace(regexp_replace(lower(regexp_replace({}, '<[^>]+>', ' ', 'g')), '[–—]', '-', 'g'), '\\s+', ' ', 'g'))"
-    named = labels_sql([(s, (el.state_pattern(s),)) for s in el.STATES])
+    named = labels_sql(el.STATES)
     rest = f"regexp_replace(body, '{el.LLP_WORDS}', ' ', 'g')"
 
     def agg(expr: str) -> str:

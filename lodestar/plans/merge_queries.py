@@ -17,8 +17,8 @@ EXISTS = "(n.norm = '' OR EXISTS (SELECT 1 FROM ex WHERE {keys} AND (ex.norm = n
 
 #: every line of every document, each offered to the service of its own or of the next document
 LINES_SQL = f"""ln AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\\n'), 1) AS pos FROM documents),
-  n AS (SELECT doc_id * 100000 + pos AS needle_id, (doc_id + pos % 2) % 97 AS service_id, line, {NT.format('line')} AS norm FROM ln),
-  ex AS (SELECT DISTINCT doc_id % 97 AS service_id, {NT.format('text')} AS norm FROM documents)"""
+  n AS (SELECT doc_id * 100000 + pos AS needle_id, doc_id + pos % 2 AS service_id, line, {NT.format('line')} AS norm FROM ln),
+  ex AS (SELECT DISTINCT doc_id AS service_id, {NT.format('text')} AS norm FROM documents)"""
 
 
 def lines(v):
@@ -26,8 +26,8 @@ def lines(v):
 
     docs = table(v.spark, v.sf_dir, "documents")
     ln = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("pos", F.col("p") + 1)
-    n = ln.select((F.col("doc_id") * 100000 + F.col("pos")).alias("needle_id"), ((F.col("doc_id") + F.col("pos") % 2) % 97).alias("service_id"), "line", text.normalize_text("line").alias("norm"))
-    ex = docs.select((F.col("doc_id") % 97).alias("service_id"), text.normalize_text("text").alias("norm")).where("norm <> ''").distinct()
+    n = ln.select((F.col("doc_id") * 100000 + F.col("pos")).alias("needle_id"), (F.col("doc_id") + F.col("pos") % 2).alias("service_id"), "line", text.normalize_text("line").alias("norm"))
+    ex = docs.select(F.col("doc_id").alias("service_id"), text.normalize_text("text").alias("norm")).where("norm <> ''").distinct()
     return n, ex
 
 
@@ -191,12 +191,21 @@ def register(reg: Registry) -> None:
                                                               (F.col("id") % 25).alias("category_id"), F.lit("GRANT").alias("service_kind"))
         return mg.new_services(r, v.service, v.category, 1).select("cand_id", "id", "slug", "domain_id")
 
-    @reg.add("M7j_change_ledger", "v_service", """SELECT CAST(id AS VARCHAR) AS object_key, CASE WHEN id % 10 = 4 THEN 'SERVICE_CREATE' ELSE 'SERVICE_UPDATE' END AS action FROM v_service WHERE id % 10 IN (3, 4)""")
+    @reg.add("M7j_change_ledger", "v_service", """SELECT CAST(id AS VARCHAR) AS object_key, CASE WHEN id % 10 = 4 THEN 'SERVICE_CREATE' ELSE 'SERVICE_UPDATE' END AS action,
+      CASE WHEN id % 10 = 4 THEN NULL ELSE title END AS title_before, CASE WHEN id % 10 = 3 THEN title || ' new' ELSE title END AS title_after,
+      CASE WHEN id % 10 = 4 THEN NULL ELSE id * 1000 + 123456 END AS micros_before, id * 1000 + CASE WHEN id % 10 IN (3, 5) THEN 123457 ELSE 123456 END AS micros_after
+      FROM v_service WHERE id % 10 IN (3, 4, 5)""")
     def _(v):
-        s = v.service.select("id", "title", "status")
+        s = v.service.select("id", "title", "status", F.timestamp_micros(F.col("id") * 1000 + 123456).alias("updated_at"))
         old = s.where("id % 10 <> 4")
-        new = s.withColumn("title", F.when(F.col("id") % 10 == 3, F.concat("title", F.lit(" new"))).otherwise(F.col("title")))
-        return mg.ledger(old, new, "service", 1, ("SERVICE_CREATE", "SERVICE_UPDATE")).select("object_key", "action")
+        later = F.when(F.col("id") % 10 == 3, F.concat("title", F.lit(" new"))).otherwise(F.col("title"))
+        moved = F.timestamp_micros(F.col("id") * 1000 + F.when((F.col("id") % 10).isin(3, 5), 123457).otherwise(123456))
+        new = s.withColumns({"title": later, "updated_at": moved})
+        log = mg.ledger(old, new, "service", 1, ("SERVICE_CREATE", "SERVICE_UPDATE"))
+        image = lambda c: F.from_json(c, s.schema, mg.IMAGE)
+        log = log.withColumns({"b": image("before_json"), "a": image("after_json")})
+        return log.select("object_key", "action", F.col("b.title").alias("title_before"), F.col("a.title").alias("title_after"),
+                          F.unix_micros("b.updated_at").alias("micros_before"), F.unix_micros("a.updated_at").alias("micros_after"))
 
     @reg.add("M7l_order_conflicts", "v_service", f"""WITH {dd}, fr AS (SELECT *, CASE field WHEN 'eligibility' THEN 'eligibility_summary' WHEN 'deadline' THEN 'application_deadline_raw' WHEN 'additional_info' THEN 'important_notes' ELSE field END AS place FROM dd),
       f1 AS (SELECT *, first_value(cand_id) OVER w AS fc, first_value(norm) OVER w AS fnorm FROM fr WINDOW w AS (PARTITION BY service_id, place ORDER BY ord, norm, cand_id)),

@@ -16,10 +16,20 @@ def _folder(v, name: str) -> str:
     return f"{scratch_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def table_stream(spark, sf_dir: str, name: str):
+    """A supplied table as a file stream, whether it is one file or a folder of part files."""
+    path = f"{sf_dir}/{name}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getFileStatus(place).isDirectory():
+        return source.parquet(path)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def event_stream(v):
     """The events table as a file stream."""
-    schema = v.spark.read.parquet(f"{v.sf_dir}/events.parquet").schema
-    raw = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
+    raw = table_stream(v.spark, v.sf_dir, "events")
     return raw.select(F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("action"), "user_id", "event_id")
 
 

@@ -11,8 +11,6 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread_few_files
-
 TODAY = "2024-06-15"
 
 
@@ -241,15 +239,14 @@ VIEW_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 BASE_TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings "
-    "pages benchmark labels conversations"
-).split()
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One supplied table; long texts in one small file are spread over the cores."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_few_files(df) if name == "documents" else df
+    """One supplied table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _dialect(sql: str, spark_side: bool) -> str:

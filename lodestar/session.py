@@ -76,15 +76,3 @@ def task_count(spark: SparkSession) -> int:
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash-partition rows of little size but much work; adaptive execution keeps the number."""
     return df.repartition(task_count(df.sparkSession), *columns)
-
-
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Spread a table stored in fewer files than there are cores; leave others as they lie."""
-    if len(df.inputFiles()) >= df.sparkSession.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``limit`` rows. Counts at most ``limit + 1`` rows."""
-    return df.limit(limit + 1).count() <= limit

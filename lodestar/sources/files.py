@@ -6,6 +6,7 @@ import csv
 import io
 import posixpath
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
@@ -15,9 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_COLUMNS = 200
 ROW_SCHEMA = "file string, sha256 string, sheet string, row_no int, values array<string>, links array<string>, merged int"
 _BATCH = 2_000
+DELIMITERS = ",;\t|"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
@@ -34,17 +35,23 @@ def fingerprints(files: DataFrame) -> DataFrame:
 
 
 # --- CSV --------------------------------------------------------------------------------------
+def delimiter_of(body: str) -> str:
+    """The delimiter that most lines of the whole file hold, then the most frequent one; a comma if there is none."""
+    lines = dict.fromkeys(DELIMITERS, 0)
+    for line in io.StringIO(body):
+        for d in DELIMITERS:
+            lines[d] += d in line
+    return max(DELIMITERS, key=lambda d: (lines[d], body.count(d)))
+
+
 def csv_rows(raw: bytes) -> Iterator[tuple[str, int, list[str], list[None]]]:
     """Non-blank rows of one delimited file of unknown encoding and delimiter."""
     try:
         body = raw.decode("utf-8-sig")
     except UnicodeDecodeError:
         body = raw.decode("cp1252")
-    try:
-        dialect = csv.Sniffer().sniff(body[:8192], delimiters=",;\t|")
-    except csv.Error:
-        dialect = csv.excel
-    for number, row in enumerate(csv.reader(io.StringIO(body), dialect), 1):
+    csv.field_size_limit(sys.maxsize)  # a cell may be as long as the file
+    for number, row in enumerate(csv.reader(io.StringIO(body), delimiter=delimiter_of(body)), 1):
         if any(v.strip() for v in row):
             yield "CSV", number, row, [None] * len(row)
 
@@ -135,7 +142,6 @@ def xlsx_rows(raw: bytes) -> Iterator[tuple[str, int, list[str], list[str | None
                 for cell in row.findall(f"{_MAIN}c"):
                     values[_column(cell.get("r"))] = _cell_text(cell, shared, dates)
                 filled = [c for c, v in values.items() if v.strip()] + [c for c in linked.get(number, ())]
-                filled = [c for c in filled if c <= MAX_COLUMNS]
                 if filled:
                     width = max(filled)
                     yield (

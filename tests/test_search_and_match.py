@@ -64,12 +64,6 @@ def test_query_groups(spark):
     assert "the of" not in got
 
 
-def test_shuffle_path_equals_broadcast_path(spark, catalogue, monkeypatch):
-    want = found(spark, catalogue, "credit", "msme term loan")
-    monkeypatch.setattr(se, "fits_broadcast", lambda df: False)
-    assert found(spark, catalogue, "credit", "msme term loan") == want
-
-
 SERVICE = "id bigint, title string, priority string, status string, effective_from date, pitch_until date, application_deadline date, business_types array<string>, business_stages array<string>, industries array<string>, applicable_states array<string>, founder_categories array<string>, min_business_age_months int, max_business_age_months int, min_turnover decimal(16,2), max_turnover decimal(16,2)"
 CLIENT = "client_id bigint, business_type string, business_stage string, industry string, state string, founder_category string, business_age_months int, annual_turnover decimal(16,2)"
 
