@@ -143,7 +143,7 @@ def rank_buckets(evaluated: DataFrame, keys: list[str], k: int = 50) -> DataFram
     return top.join(counts, [*keys, "classification"])
 
 
-def match_need(clients: DataFrame, services: DataFrame, found: DataFrame, today, k: int = 50) -> DataFrame:
+def match_need(clients: DataFrame, services: DataFrame, found: DataFrame, today, k: int = 50, limits_in_lakh: bool = False) -> DataFrame:
     """Clients with a need: only services their search finds, relevance as tie break.
 
     ``found`` is ``(query, service_id, score)`` with the title boost already added.
@@ -153,7 +153,7 @@ def match_need(clients: DataFrame, services: DataFrame, found: DataFrame, today,
     pairs = asked.join(found, "query").join(
         svc.drop("service_id").withColumnRenamed("sid", "service_id"), "service_id"
     )
-    rows = evaluate(pairs, today).withColumn("relevance", F.greatest(F.lit(0), F.col("score")))
+    rows = evaluate(pairs, today, limits_in_lakh).withColumn("relevance", F.greatest(F.lit(0), F.col("score")))
     return rank_buckets(rows, ["client_id"], k)
 
 
@@ -257,10 +257,12 @@ def _score_block(profiles: DataFrame, block: DataFrame, k: int) -> DataFrame:
     return profiles.mapInPandas(score, MATCH_SCHEMA)
 
 
-def match_all(clients: DataFrame, services: DataFrame, today, k: int = 50, block_rows: int = BROADCAST_ROWS) -> DataFrame:
+def match_all(
+    clients: DataFrame, services: DataFrame, today, k: int = 50, block_rows: int = BROADCAST_ROWS, limits_in_lakh: bool = False,
+) -> DataFrame:
     """Verdict buckets of every client over all pitchable services, first ``k`` of each.
 
-    Catalogues above ``block_rows`` services are scored block by block, then merged.
+    ``limits_in_lakh`` converts turnover limits to rupees, the unit of client turnover. Catalogues above ``block_rows`` services are scored block by block, then merged.
     """
     profile_id = F.sha2(F.to_json(F.struct(*PROFILE), {"ignoreNullFields": "false"}), 256)
     tagged = clients.select("client_id", profile_id.alias("profile_id"), *PROFILE)
@@ -268,7 +270,8 @@ def match_all(clients: DataFrame, services: DataFrame, today, k: int = 50, block
     rules = services.where(pitch.pitchable(today)).select(
         F.col("id").alias("service_id"), F.lower("title").alias("t"), priority_rank().alias("p"),
         *[c for _, c, *_ in CATEGORICAL],
-        *[F.col(c).cast("double").alias(c) for c in ("min_business_age_months", "max_business_age_months", "min_turnover", "max_turnover")],
+        *[F.col(c).cast("double").alias(c) for c in ("min_business_age_months", "max_business_age_months")],
+        *[(F.col(c) * (100_000 if limits_in_lakh else 1)).cast("double").alias(c) for c in ("min_turnover", "max_turnover")],
     )
     total = rules.count()
     n_blocks = max(1, -(-total // block_rows))

@@ -85,12 +85,11 @@ def test_blocks_equal_pairwise_evaluation(spark):
     ]
     s, c = spark.createDataFrame(services, SERVICE), spark.createDataFrame(clients, CLIENT)
     pairs = ma.prepare_clients(c).crossJoin(ma.prepare_services(s.where(ma.pitch.pitchable(today))).withColumnRenamed("id", "service_id"))
-    want = ma.rank_buckets(ma.evaluate(pairs, today).withColumn("relevance", F.lit(0)), ["client_id"], 5)
     columns = ["client_id", "classification", "service_id", "rank", "bucket_count", "matched_count", "mismatch_count", "unknown_count"]
-    expected = sorted(map(tuple, want.select(columns).collect()))
-    for block in (200_000, 7):
-        got = ma.match_all(c, s, today, k=5, block_rows=block).select(columns)
-        assert sorted(map(tuple, got.collect())) == expected
+    for block, lakh in ((200_000, False), (7, True)):
+        want = ma.rank_buckets(ma.evaluate(pairs, today, lakh).withColumn("relevance", F.lit(0)), ["client_id"], 5)
+        got = ma.match_all(c, s, today, k=5, block_rows=block, limits_in_lakh=lakh)
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
 
 
 def test_reasons(spark):
