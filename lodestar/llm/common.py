@@ -25,10 +25,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and read it back: computed once, lineage cut, safe against lost executors."""
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -37,6 +39,12 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.discard(name)
+
+    def release(self, *needed: str) -> None:
+        """Delete all tables but those that the result still reads."""
+        for name in sorted(self.names.difference(needed)):
+            self.drop(name)
 
 
 def fold(column: str, n: int) -> Column:

@@ -149,6 +149,7 @@ def pack(rows: DataFrame, *, size: int = SEQUENCE, per_task: int = PIECES_PER_TA
             break
         pool = packed.filter("given_up").select("doc_id", "piece", "start", "length", "ids_crc32")
         tasks, level = -(-tasks // shrink), level + 1
+    scratch.drop("pieces")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

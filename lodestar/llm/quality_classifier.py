@@ -214,6 +214,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, train: Column, *, key: str = "
     scratch = Scratch(docs.sparkSession, "classifier")
     vectors = word_vectors(docs, text=text)
     model = fit(scratch.keep(features(docs, vectors, key=key, text=text), "features"), labels, train, key=key)
+    scratch.release()
     shared, at = docs.sparkSession.sparkContext.broadcast(vectors), docs.columns.index(text)
 
     def run(batches):

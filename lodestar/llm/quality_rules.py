@@ -213,6 +213,8 @@ def learn(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: st
         rules.rules.append(rule)
         rest = ~_all(c.on_bins() for c in rule)
         grow, prune = grow.filter(rest), prune.filter(rest)
+    scratch.drop("labelled")
+    scratch.drop("binned")
     return rules
 
 
@@ -227,6 +229,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     """The rows of ``docs`` that pass, with all their columns. Rows are judged in place, so texts aren't shuffled."""
     scratch = Scratch(docs.sparkSession, "rules")
     rules = learn(scratch.keep(statistics(docs, key=key, text=text), "statistics"), labels, key=key, scratch=scratch)
+    scratch.release()
     whole = docs.select(F.col(key), F.col(text), F.struct("*").alias("_row"))
     return judge(statistics(whole, key=key, text=text, keep=("_row",)), rules).filter("kept").select("_row.*")
 
