@@ -11,7 +11,7 @@ import numpy as np
 
 #: Entries of the young half of the cache. A full half becomes the old one, from which words that come back are taken
 #: over; this changes time only.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 80_000
 #: Longer words are encoded each time.
 CACHE_CHARS = 48
 
