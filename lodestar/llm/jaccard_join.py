@@ -12,10 +12,11 @@ is missed.
 3. *Index lists* are not paired out. Each list is led by its entry of lowest position, and every entry is compared
    with the leader alone. Very frequent shingles are dealt over sub-lists with leaders of their own, which meet in a
    second step.
-4. *Answers from answers.* A comparison with a leader stores what a set lacks and what it adds. Sets that link
-   with the same leader are in one component, so their pairs are never formed. Pairs of one list that are still in
-   different components follow; their overlap is derived from the stored differences to a common leader without
-   their texts, and from the texts only where they have none in common.
+4. *Answers from answers.* A comparison with a leader stores what a set lacks and what it adds, if the two are much
+   alike. Sets that link with the same leader are in one component, so their pairs are never formed. Pairs of one list
+   that are still in different components follow. The numbers of differences to a common leader bound their overlap
+   from both sides, which settles most; what is left is derived from the stored differences without the texts, and
+   from the texts only where there are none.
 
 Sets, not rows, are the nodes: equal sets share a 64-bit signature. Texts without words have an empty set and link with
 nothing. Null ids keep their row; a component's id is its smallest id that isn't null. Repeated rows come back as they
@@ -38,6 +39,8 @@ TABLE_BITS, LIST_ENTRIES = 18, 4_096
 KEY_BITS = 40
 #: Members that are compared with one copy of a leader's text.
 MEMBERS_PER_COPY = 500
+#: Width of the filter that texts pass before they are shuffled: this many hash values at most are broadcast.
+FILTER_BITS = 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,7 +132,7 @@ def _indexed(table, size: int, percent: int):
     return run
 
 
-def _compared(size: int):
+def _compared(size: int, differences: bool):
     """Rows (leader, copy, member, text) sorted so that the leader's text comes before its members."""
 
     def run(batches):
@@ -145,7 +148,9 @@ def _compared(size: int):
                     if key != (a, copy):
                         raise ValueError("a leader's text is missing")
                     lacks, adds = np.setdiff1d(mine, found, True), np.setdiff1d(found, mine, True)
-                    values = (a, b, len(mine), len(found), len(mine) - len(lacks), lacks.tobytes(), adds.tobytes())
+                    overlap = len(mine) - len(lacks)
+                    alike = differences and 3 * overlap >= len(mine) + len(found)  # half of the union or more
+                    values = (a, b, len(mine), len(found), overlap, lacks.tobytes() if alike else None, adds.tobytes() if alike else None)
                     for name, value in zip(rows, values, strict=True):
                         rows[name].append(value)
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k in ("lacks", "adds") else pa.int64()) for k, v in rows.items()})
@@ -181,12 +186,22 @@ class _Join:
         return self.scratch.keep(self.texts.mapInArrow(_indexed(table, self.size, self.percent), schema), "sets")
 
     def lists(self, sets: DataFrame) -> DataFrame:
-        """Entries of index lists that hold at least two sets, with the leader of their list."""
+        """Entries of index lists that a link can come from, with the leader of their list.
+
+        By its position an entry reaches partners up to a size (``most``). The smaller set of a pair must reach its own
+        size, it is *early*. So a list needs two sets and an early entry, and an entry that isn't early needs an early
+        one of a size that both reach.
+        """
         entry = sets.select("set", "n", "lists", F.posexplode("keys").alias("pos", "h")).withColumn("lists", F.get("lists", F.col("pos")))
         entry = entry.select("h", F.pmod(F.xxhash64("set"), "lists").cast("int").alias("part"), "lists", "set", F.col("n").cast("int").alias("n"), "pos")
+        # dealt before anything is derived, so that only the entries themselves are shuffled
+        entry = entry.repartition("h", "part")
         of = Window.partitionBy("h", "part")
-        led = entry.withColumn("lead", F.min(F.struct("pos", "n", "set")).over(of)).withColumn("last", F.max("set").over(of)).withColumn("first", F.min("set").over(of))
-        return self.scratch.keep(led.filter("first <> last or lists > 1").select("h", "lists", "set", "n", "pos", "lead"), "lists")
+        entry = entry.withColumn("most", F.floor((F.col("n") - F.col("pos")) * (100.0 + self.percent) / self.percent - F.col("n") + 1e-6)).withColumn("early", F.col("most") >= F.col("n"))
+        led = entry.select("*", F.min(F.struct("pos", "n", "set")).over(of).alias("lead"), F.max("set").over(of).alias("last"), F.min("set").over(of).alias("first"),
+                           F.max(F.when(F.col("early"), F.col("most"))).over(of).alias("far"), F.min(F.when(F.col("early"), F.col("n"))).over(of).alias("small"))
+        met = (F.col("first") != F.col("last")) & F.col("far").isNotNull() & (F.col("early") | (F.col("small") <= F.col("most")) & (F.col("n") <= F.col("far")))
+        return self.scratch.keep(led.filter(met | (F.col("lists") > 1)).select("h", "lists", "set", "n", "pos", "lead"), "lists")
 
     def reach(self, n, pos, m, pos_m) -> Column:
         """Whether what follows both positions can still make a link."""
@@ -203,19 +218,22 @@ class _Join:
         heads = heads.withColumn("lead", F.min(F.struct("pos", "n", "set")).over(Window.partitionBy("h")))
         return self.scratch.keep(with_leader(lists).unionByName(with_leader(heads)).distinct(), "pairs1")
 
-    def compare(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """Overlap and differences of pairs (a, b) from the texts, each leader's text beside its members' texts."""
+    def compare(self, pairs: DataFrame, sets: DataFrame, name: str, differences: bool) -> DataFrame:
+        """Overlap (and differences) of pairs (a, b) from the texts, each leader's text beside its members' texts."""
         copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_PER_COPY).cast("int").alias("copies"))
         members = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy"))
         leaders = copies.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
         reps = sets.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
         roles = members.unionByName(leaders).join(reps.withColumnRenamed("set", "b"), "b").groupBy("rep").agg(F.collect_list(F.struct("a", "copy", "b")).alias("roles"))
         roles = self.scratch.keep(roles.select(F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash"), "roles"), f"{name}_roles")
-        texts = self.texts.join(roles, (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
+        short = lambda c: F.col(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        asked = F.broadcast(roles.select(short("r_hash").alias("short")).distinct())
+        texts = self.texts.join(asked, short("text_hash") == F.col("short"), "left_semi")
+        texts = texts.join(roles, (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
         rows = texts.select(F.explode("roles").alias("r"), "text").select("r.a", "r.copy", "r.b", "text")
         rows = rows.repartition("a", "copy").sortWithinPartitions("a", "copy", (F.col("a") != F.col("b")), "b")
         schema = "a bigint, b bigint, n_a bigint, n_b bigint, overlap bigint, lacks binary, adds binary"
-        return self.scratch.keep(rows.mapInArrow(_compared(self.size), schema), name)
+        return self.scratch.keep(rows.mapInArrow(_compared(self.size, differences), schema), name)
 
     def second_pairs(self, lists: DataFrame, labels: DataFrame, seen: DataFrame) -> DataFrame:
         """Pairs of one list that are in different components and weren't compared yet."""
@@ -230,32 +248,46 @@ class _Join:
         return self.scratch.keep(pairs.join(done, ["a", "b"], "left_anti"), "pairs2")
 
     def derive(self, pairs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Overlaps of pairs whose two sets were compared with one leader, and these pairs."""
-        def side(s: str, *more: str) -> DataFrame:
-            return seen.select(F.col("a").alias("lead"), F.col("b").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in more))
+        """What comparisons with common leaders tell of ``pairs``: links (a, b), and pairs that stay open.
 
-        shared = pairs.join(side("a"), "a").join(side("b"), ["b", "lead"]).groupBy("a", "b").agg(F.min("lead").alias("lead"))
-        shared = self.scratch.keep(shared, "shared")
-        known = shared.join(side("a", "n_a", "n_b", "lacks", "adds"), ["lead", "a"]).join(side("b", "n_b", "lacks", "adds"), ["lead", "b"])
-        known = known.select("a", "b", F.col("n_b_a").alias("n_a"), F.col("n_b_b").alias("n_b"), F.col("n_a_a").alias("n_lead"), "lacks_a", "adds_a", "lacks_b", "adds_b")
-        return known.mapInArrow(_derived, "a bigint, b bigint, n_a bigint, n_b bigint, overlap bigint"), shared
+        With l lacking and a added against a leader of size n, the overlap of two sets is
+        n - l1 - l2 + (common to what they lack) + (common to what they add).
+        """
+        def side(s: str, *more: str) -> DataFrame:
+            cols = [F.col("a").alias("lead"), F.col("b").alias(s), F.col("n_a").alias(f"n_lead_{s}"), F.col("n_b").alias(f"n_{s}"), (F.col("n_a") - F.col("overlap")).alias(f"l_{s}"), (F.col("n_b") - F.col("overlap")).alias(f"p_{s}")]
+            return seen.select(*cols, F.col("lacks").isNotNull().alias(f"kept_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in more))
+
+        n, least = F.col("n_lead_a"), F.col("n_lead_a") - F.col("l_a") - F.col("l_b")
+        most = n - F.greatest("l_a", "l_b") + F.least("p_a", "p_b")
+        met = pairs.join(side("a"), "a").join(side("b"), ["b", "lead"])
+        alike = lambda x: 100 * x >= self.percent * (F.col("n_a") + F.col("n_b") - x)
+        told = met.groupBy("a", "b").agg(
+            F.bool_or(alike(least)).alias("sure"), F.bool_and(alike(most)).alias("may"), F.min(F.when(F.col("kept_a") & F.col("kept_b"), F.col("lead"))).alias("lead"))
+        told = self.scratch.keep(told, "told")
+        ask = told.filter("not sure and may and lead is not null").select("a", "b", "lead")
+        known = ask.join(side("a", "lacks", "adds"), ["lead", "a"]).join(side("b", "lacks", "adds"), ["lead", "b"])
+        known = known.select("a", "b", "n_a", "n_b", n.alias("n_lead"), "lacks_a", "adds_a", "lacks_b", "adds_b")
+        derived = known.mapInArrow(_derived, "a bigint, b bigint, n_a bigint, n_b bigint, overlap bigint")
+        links = told.filter("sure").select("a", "b").unionByName(derived.filter(linked(self.percent)).select("a", "b"))
+        settled = told.filter("sure or not may or lead is not null")
+        return links, pairs.join(settled, ["a", "b"], "left_anti")
 
     def placed(self) -> DataFrame:
         """doc_id, text_hash, n_shingles and label (a set of the component) of every document."""
         sets = self.index()
         lists = self.lists(sets)
-        seen = self.compare(self.first_pairs(lists), sets, "compared1")
+        seen = self.compare(self.first_pairs(lists), sets, "compared1", differences=True)
         links = seen.filter(linked(self.percent)).select("a", "b")
         labels = components(links, self.scratch, "round1")
-        pairs = self.second_pairs(lists, labels, seen)
-        derived, shared = self.derive(pairs, seen)
-        rest = pairs.join(shared, ["a", "b"], "left_anti")
-        compared = self.compare(rest, sets, "compared2")
-        more = derived.filter(linked(self.percent)).select("a", "b").unionByName(compared.filter(linked(self.percent)).select("a", "b"))
+        derived, rest = self.derive(self.second_pairs(lists, labels, seen), seen)
+        compared = self.compare(self.scratch.keep(rest, "rest"), sets, "compared2", differences=False)
+        more = derived.unionByName(compared.filter(linked(self.percent)).select("a", "b"))
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), self.scratch, "round2")
         placed = sets.select("doc_id", "text_hash", "n", "set").join(labels.withColumnRenamed("node", "set"), "set", "left").select(
             "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("label", "set").alias("label"))
-        return self.scratch.keep(placed, "placed")
+        placed = self.scratch.keep(placed, "placed")
+        self.scratch.release("placed")
+        return placed
 
     def run(self) -> DataFrame:
         placed = self.placed()
