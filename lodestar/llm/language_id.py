@@ -28,8 +28,9 @@ from .common import Scratch, mix, slices, string_bytes
 
 #: Hashed trigrams, and the smoothing of their counts.
 GRAMS, SMOOTH = 1 << 14, 0.5
-#: Trigrams of a text aren't independent: their log likelihoods count by this share, and by this much at most.
-TEMPER, MOST = 0.0625, 8.0
+#: Trigrams of a text aren't independent: their log likelihoods count by this share. Their sum grows with the text, so
+#: that a long text outweighs a prior or a declaration, however many pages these were learned from.
+TEMPER = 0.0625
 #: Pages that a parent's prior counts as, and counts added to each value of a declaration.
 STRENGTH, DECLARED_SMOOTH = 5.0, 0.5
 #: Parts that the pages of a host are dealt over to meet the host's prior.
@@ -91,7 +92,7 @@ def text_evidence(pages: DataFrame, langs: list[str], logs: np.ndarray, *, key:
                 rows = np.repeat(np.arange(part.num_rows), np.diff(bounds))
                 columns = [np.bincount(rows, weights=shared.value[grams, k], minlength=part.num_rows) for k in range(len(langs))]
                 total = np.stack(columns, axis=1) * TEMPER
-                total = np.maximum(total - total.max(axis=1, keepdims=True), -MOST)
+                total -= total.max(axis=1, keepdims=True)
                 yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in ("key", "host", "suffix", "code", "declared")}, "logs": pa.array(list(total), pa.list_(pa.float64()))})
 
     address = F.coalesce(F.col(url), F.lit(""))

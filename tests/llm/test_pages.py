@@ -72,6 +72,16 @@ def test_language_of_pages(spark):
     assert language_id.identify(hard_pages(spark).limit(0), docs).count() == 0
 
 
+def test_long_text_outweighs_a_host_of_any_size(spark):
+    words = {"en": "the house and the river with that thing ", "de": "das haus und der fluss mit einem ding "}
+    docs = spark.createDataFrame([(i, t * 30, k) for i, (k, t) in enumerate(words.items())], "doc_id bigint, text string, lang string")
+    for n in (10, 10_000):
+        rows = [(i, f"http://big.example.org/en/{i}", f"<html lang='en'><p>{words['en']}</p></html>") for i in range(n)]
+        rows += [(-1, "http://big.example.org/en/x", f"<html lang='en'><p>{words['de'] * 50}</p></html>"), (-2, "http://big.example.org/en/y", "<html lang='en'><p>ding</p></html>")]
+        got = by_id(language_id.identify(hard_pages(spark, rows), docs).filter("page_id < 1"), "page_id")
+        assert (got[-1][0]["lang"], got[-2][0]["lang"], got[0][0]["lang"]) == ("de", "en", "en")
+
+
 def test_host_prior_is_smoothed_over_its_parents(spark):
     counts = spark.createDataFrame([([8.0, 0.0],)], "c array<double>")
     from pyspark.sql import functions as F
