@@ -6,8 +6,9 @@ text is looked at, so the work is linear in the text whatever it holds.
 
 Kinds, in this order: ``email``, ``ip``, ``card``, ``phone`` (the base: leftmost non-overlapping matches of fixed
 patterns, failing matches dropped), ``address`` (URL with user information, an e-mail address or a session or
-account parameter in it) and ``account`` (the value behind an identifier cue: IBAN with its check digits, account
-numbers, passwords, tokens and keys that hold a digit).
+account parameter in it) and ``account`` (the value behind an identifier cue and perhaps words like "number" or "is":
+IBAN with its check digits, also written in groups, account numbers, passwords, tokens and keys that hold a digit, of
+any length).
 
 Null texts count as empty and have no spans. Rows are independent, so repeated rows and ties have no influence; an
 empty table gives an empty table; other columns are ignored by ``find`` and kept by ``mask``.
@@ -17,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +44,12 @@ CUES = ("account", "acct", "iban", "ssn", "passport", "password", "passwd", "tok
 _SCHEME, _AT, _PLUS, _CUE = range(4)
 _RUN = re.compile("[0-9]+")
 _SENSITIVE = re.compile(r"[?&;](?:account|acct|iban|ssn|token|session|sessionid|sid|user|uid|email)=[^&#;]+", re.I)
-#: Shortest and longest value behind a cue.
-VALUE_CHARS = (6, 128)
+#: What may stand between a cue and its value.
+_LINK = re.compile(r"""[_-]?(?:numbers?|num|nr|no|id|is|was)(?:(?=[ :=#"'])|\.(?=[ :=#"'0-9]))|[ :=#"']""", re.I)
+#: Groups of an IBAN; further ones in the same case.
+_IBAN_HEAD, _GROUP, _LOWER_GROUP = re.compile(r"[A-Za-z]{2} ?[0-9]{2}"), re.compile(r" ?[A-Z0-9]+"), re.compile(r" ?[a-z0-9]+")
+#: Shortest value behind a cue, and most letters and digits of an IBAN.
+VALUE_CHARS, IBAN_CHARS = 6, 34
 
 Span = tuple[int, int]
 
@@ -152,28 +159,64 @@ def url_at(text: str, at: int, free: int) -> Span | None:
 
 def iban(value: str) -> bool:
     value = value.replace(" ", "").upper()
-    if not 15 <= len(value) <= 34 or not value[:2].isalpha() or not value.isalnum() or not value.isascii():
+    if not 15 <= len(value) <= IBAN_CHARS or not value[:2].isalpha() or not value.isalnum() or not value.isascii():
         return False
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
-def account_after(text: str, cue: int, end: int) -> Span | None:
-    """The identifier behind a cue word: separators, perhaps quotes, then one value with a digit in it."""
+def spaced_iban(text: str, at: int) -> Span | None:
+    """The longest IBAN from ``at`` that is written in groups with single spaces."""
+    head = _IBAN_HEAD.match(text, at)
+    if not head:
+        return None
+    group = _LOWER_GROUP if text[at].islower() else _GROUP
+    end, size, found = head.end(), 4, None
+    while m := group.match(text, end, end + IBAN_CHARS + 2):
+        size += len(m[0].lstrip())
+        if size > IBAN_CHARS:
+            break
+        end = m.end()
+        if (end == len(text) or not text[end].isalnum()) and iban(text[at:end]):
+            found = (at, end)
+    return found
+
+
+class Values:
+    """Ends of the values of one text, and the digits in them. Values that end together are walked through once."""
+
+    def __init__(self, text: str, runs: list[Span]):
+        self.text, self.starts = text, [a for a, _ in runs]
+        self.before = [0, *accumulate(b - a for a, b in runs)]
+        self.known = self.last = self.stop = 0
+
+    def end(self, at: int) -> int:
+        if not self.known <= at < self.last:
+            self.known, self.last = at, _on(self.text, at, _SECRET)
+            self.stop = self.last
+            while self.stop > at and self.text[self.stop - 1] in ".-=":
+                self.stop -= 1
+        return max(at, self.stop)
+
+    def digits(self, at: int, stop: int) -> int:
+        """Digits from ``at``, which isn't within a run of digits, up to ``stop``, which isn't either."""
+        return self.before[bisect_left(self.starts, stop)] - self.before[bisect_left(self.starts, at)]
+
+
+def account_after(text: str, cue: int, end: int, values: Values) -> Span | None:
+    """The identifier behind a cue word: separators and link words, perhaps quotes, then one value with a digit in it."""
     if cue and (text[cue - 1].isalnum() or text[cue - 1] == "_") or end < len(text) and text[end].isalnum():
         return None
     at, marked = end, False
-    while at < len(text) and at < end + 8 and text[at] in " :=#\"'":
-        marked |= text[at] in ":=#"
-        at += 1
-    stop = at
-    while stop < len(text) and stop <= at + VALUE_CHARS[1] and text[stop] in _SECRET:
-        stop += 1
-    while stop > at and text[stop - 1] in ".-=":
-        stop -= 1
-    value = text[at:stop]
-    if not VALUE_CHARS[0] <= len(value) <= VALUE_CHARS[1] or not any(c in _DIGITS for c in value):
+    while m := _LINK.match(text, at):
+        marked |= m[0][-1] in ":=#"
+        at = m.end()
+    stop, span = values.end(at), spaced_iban(text, at)
+    if span and span[1] > stop:
+        return span
+    digits = values.digits(at, stop)
+    if stop - at < VALUE_CHARS or not digits:
         return None
-    return (at, stop) if marked or iban(value) or sum(c in _DIGITS for c in value) >= 6 else None
+    return (at, stop) if marked or span or digits >= 6 or stop - at <= IBAN_CHARS and iban(text[at:stop]) else None
 
 
 def spans_of(text: str) -> dict[str, list[Span]]:
@@ -187,6 +230,8 @@ def spans_of(text: str) -> dict[str, list[Span]]:
             if valid:
                 found[kind].append(span)
 
+    runs = [m.span() for m in _RUN.finditer(text)]
+    values = Values(text, runs)
     lowered = text if text.islower() else _ascii_lower(text)
     for last, (what, n) in _anchors().iter(lowered):
         at = last - n + 1
@@ -199,9 +244,8 @@ def spans_of(text: str) -> dict[str, list[Span]]:
         elif what == _SCHEME:
             if at >= free["address"]:
                 take("address", url_at(text, at, free["address"]))
-        else:
-            take("account", account_after(text, at, last + 1))
-    runs = [m.span() for m in _RUN.finditer(text)]
+        elif at >= free["account"]:
+            take("account", account_after(text, at, last + 1, values))
     if len(runs) > 3 or runs and runs[-1][1] - runs[0][0] > 12:
         dots, gaps = chains(text, runs)
         found["ip"], found["card"] = ips_of(text, dots), cards_of(text, gaps)
@@ -239,13 +283,13 @@ def find(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def masked(text: str) -> str:
-    """Every span replaced by ``<KIND>``; where spans overlap, the one that starts first (then the longer) counts."""
+    """Every span replaced by ``<KIND>``; spans that overlap are masked as one, of the kind that starts first (then the longer)."""
     spans = sorted((a, -b, k) for k, found in spans_of(text).items() for a, b in found)
     out, at = [], 0
     for a, b, kind in spans:
         if a >= at:
             out += [text[at:a], f"<{kind.upper()}>"]
-            at = -b
+        at = max(at, -b)
     return "".join([*out, text[at:]]) if spans else text
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 from lodestar.llm import pii, quality_rules
@@ -42,6 +43,34 @@ def test_added_kinds_and_mask():
     assert pii.masked("nothing here, 12 or 2024") == "nothing here, 12 or 2024"
 
 
+def test_values_behind_cues_are_whole():
+    long = "eyJhbGciOiJIUzI1NiJ9." + "aB3-_x" * 400 + ".sig9"
+    iban = "DE89 3704 0044 0532 0130 00"
+    for text, values in (
+        (f"token={long}, so", [long]), (f'access_key: "{long}"', [long]), ("account number: 12345678.", ["12345678"]), ("Account no. 12345678", ["12345678"]),
+        ("passport number X1234567 of", ["X1234567"]), ("account_id = ab1234", ["ab1234"]), ("token id is 9876543", ["9876543"]), ("token=id_ab12cd34", ["id_ab12cd34"]),
+        (f"IBAN: {iban}, BIC", [iban]), (f"iban is {iban} and more", [iban]), ("IBAN GB29 NWBK 6016 1331 9268 19", ["GB29 NWBK 6016 1331 9268 19"]), ("IBAN: DE88 3704 0044 0532 0130 00", []),
+        ("account no longer than 12 lines", []), ("password" + " " * 20 + ": ab1234", ["ab1234"]), ("account token=a1b2c3", ["a1b2c3"]),
+    ):
+        found = pii.spans_of(text)["account"]
+        assert [text[a:b] for a, b in found] == values, text
+        assert all(v not in pii.masked(text) for v in values)
+
+
+def test_overlapping_spans_are_masked_to_the_last_end():
+    text = "account: key/4111 1111 1111 1111 or more"
+    found = pii.spans_of(text)
+    assert [text[a:b] for k in ("account", "card") for a, b in found[k]] == ["key/4111", "4111 1111 1111 1111"]
+    assert pii.masked(text) == "account: <ACCOUNT> or more"
+
+
+def test_values_take_linear_time():
+    started = time.process_time()
+    for text in ("token=" * 100_000, "token=" + "token-" * 100_000 + "=" * 300_000, "account number " * 50_000, "iban=de89" * 80_000):
+        pii.spans_of(text)
+    assert time.process_time() - started < 20
+
+
 def test_spans_of_hard_rows(spark):
     docs = documents(spark)
     rows = by_id(pii.find(docs))
