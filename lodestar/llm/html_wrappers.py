@@ -33,8 +33,9 @@ from .common import map_arrow, slices
 
 #: Parts that a host's pages are dealt over before they meet their wrapper, and that partial wrappers are merged in.
 SALTS, MERGE_PARTS = 64, 32
-#: Pages on which fixed text must be seen to count as the template's.
-FIXED_PAGES = 8
+#: Different pages on which fixed text must be seen to count as the template's, the different pages that a pattern node
+#: remembers (those of smallest fingerprint, an even sample) and the share of its article's pages it must be on.
+FIXED_PAGES, SEEN_PAGES, FIXED_SHARE = 8, 16, 0.9
 #: Children of a pattern node that are aligned; sequences beyond it are folded to distinct labels first. Elements nested
 #: deeper than MAX_DEPTH count as part of the one at that depth.
 MAX_CHILDREN, MAX_DEPTH = 60, 100
@@ -134,26 +135,38 @@ class Page:
         self._path.append((self._nodes, label_of(tag, attrs)))
 
 
-# A pattern is a list [label, optional, repeated, pages, chars, slot, children]; slot is None (no text), a number (the
-# fingerprint of text that is the same everywhere) or "*" (text that varies).
+# A pattern is a list [label, optional, repeated, pages, chars, slot, children]; pages are the SEEN_PAGES smallest
+# fingerprints of the articles of pages with this node, so copies of a page count once; slot is None (no text), a number
+# (the fingerprint of text that is the same everywhere) or "*" (text that varies).
 LABEL, OPTIONAL, REPEATED, PAGES, CHARS, SLOT, CHILDREN = range(7)
 
 
+_DIGITS = re.compile(r"\d+")
+
+
+def fingerprint(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
 def pattern_of(page: Page) -> list:
     """The pattern of a single page, siblings folded."""
-    root = ["", False, False, 1, 0, None, []]
+    pages = [0]
+    root = ["", False, False, pages, 0, None, []]
     nodes: dict[int, list] = {}
     for path, text in page.blocks:
         node = root
         for number, label in path:
             if number not in nodes:
-                nodes[number] = [label, False, False, 1, 0, None, []]
+                nodes[number] = [label, False, False, pages, 0, None, []]
                 node[CHILDREN].append(nodes[number])
             node = nodes[number]
-        mark = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        mark = fingerprint(text)
         node[SLOT] = mark if node[SLOT] is None else "*"
         node[CHARS] += len(text)
-    return fold_repeats(root)
+    folded = fold_repeats(root)
+    # every node holds this list
+    pages[0] = fingerprint(_DIGITS.sub("", "\n".join(main_blocks(page, place_of(folded)))))
+    return folded
 
 
 def fold_repeats(node: list) -> list:
@@ -161,34 +174,34 @@ def fold_repeats(node: list) -> list:
     out: list[list] = []
     for child in map(fold_repeats, node[CHILDREN]):
         if out and out[-1][LABEL] == child[LABEL]:
-            out[-1] = joined(out[-1], child, same_page=True)
+            out[-1] = joined(out[-1], child)
             out[-1][REPEATED] = True
         elif len(out) > 2 and out[-2][LABEL] == child[LABEL] and out[-3][LABEL] == out[-1][LABEL]:
             last = out.pop()
-            out[-2] = joined(out[-2], last, same_page=True)
-            out[-1] = joined(out[-1], child, same_page=True)
+            out[-2] = joined(out[-2], last)
+            out[-1] = joined(out[-1], child)
             out[-2][REPEATED] = out[-1][REPEATED] = True
         else:
             out.append(child)
     if len(out) > MAX_CHILDREN:
         first: dict[str, list] = {}
         for child in out:
-            first[child[LABEL]] = joined(first[child[LABEL]], child, same_page=True) if child[LABEL] in first else child
+            first[child[LABEL]] = joined(first[child[LABEL]], child) if child[LABEL] in first else child
         out = list(first.values())
     node[CHILDREN] = out
     return node
 
 
-def joined(a: list, b: list, same_page: bool = False) -> list:
+def joined(a: list, b: list) -> list:
     """Two patterns of the same label as one: children are aligned, mismatches become optional."""
     slot = b[SLOT] if a[SLOT] is None else a[SLOT] if b[SLOT] is None or a[SLOT] == b[SLOT] else "*"
-    pages = max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES]
-    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], slot, aligned(a[CHILDREN], b[CHILDREN], same_page)]
+    pages = a[PAGES] if a[PAGES] == b[PAGES] else sorted({*a[PAGES], *b[PAGES]})[:SEEN_PAGES]
+    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], slot, aligned(a[CHILDREN], b[CHILDREN])]
 
 
-def aligned(a: list, b: list, same_page: bool) -> list:
+def aligned(a: list, b: list) -> list:
     if [x[LABEL] for x in a] == [x[LABEL] for x in b]:
-        return [joined(x, y, same_page) for x, y in zip(a, b, strict=True)]
+        return [joined(x, y) for x, y in zip(a, b, strict=True)]
     # longest common sequence of labels
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -197,7 +210,7 @@ def aligned(a: list, b: list, same_page: bool) -> list:
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i][LABEL] == b[j][LABEL]:
-            out.append(joined(a[i], b[j], same_page))
+            out.append(joined(a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
             out.append([*a[i][:OPTIONAL], True, *a[i][REPEATED:]])
@@ -212,7 +225,7 @@ def volume(node: list) -> int:
     """Characters of variable text below a node, without what is away from the article."""
     if away(node[LABEL]):
         return 0
-    own = node[CHARS] if node[SLOT] == "*" or node[REPEATED] or node[PAGES] < FIXED_PAGES else 0
+    own = node[CHARS] if node[SLOT] == "*" or node[REPEATED] or len(node[PAGES]) < FIXED_PAGES else 0
     return own + sum(map(volume, node[CHILDREN]))
 
 
@@ -246,35 +259,43 @@ def place_of(node: list) -> list[str]:
     return path
 
 
-def fixed_of(node: list, path: list[str]) -> list[int]:
-    """Fingerprints of the template's own text below the article's place."""
+def fixed_of(node: list, path: list[str]) -> list[list]:
+    """The template's own text below the article's place: labels from the place on, and fingerprint.
+
+    Text counts as the template's if nearly all different pages with the place have it. What a single article has,
+    however often that page is stored, stays.
+    """
     for label in path:
         node = next((c for c in node[CHILDREN] if c[LABEL] == label), None)
         if node is None:
             return []
-    out: list[int] = []
+    least = max(FIXED_PAGES, FIXED_SHARE * len(node[PAGES]))
+    sample = set(node[PAGES])
+    out: list[list] = []
 
-    def look(x: list) -> None:
-        single = x[SLOT] not in (None, "*") and not x[REPEATED] and x[PAGES] >= FIXED_PAGES
+    def look(x: list, labels: list[str]) -> None:
+        labels = [*labels, x[LABEL]]
+        single = x[SLOT] not in (None, "*") and not x[REPEATED] and len(sample.intersection(x[PAGES])) >= least
         if single and not re.match(r"h[1-6]\b", x[LABEL]):
-            out.append(x[SLOT])
+            out.append([labels, x[SLOT]])
         for child in x[CHILDREN]:
-            look(child)
+            look(child, labels)
 
     if volume(node):
         for child in node[CHILDREN]:
-            look(child)
+            look(child, [])
     return out
 
 
-def main_blocks(page: Page, place: list[str], fixed: frozenset | set = frozenset()) -> list[str]:
+def main_blocks(page: Page, place: list[str], fixed: list[list] = ()) -> list[str]:
     """Blocks of the article: those below ``place`` that nothing marks as away from it."""
     n = len(place)
+    known = {(*labels, mark) for labels, mark in fixed}
     out = []
     for path, text in page.blocks:
         labels = [label for _, label in path]
         if labels[:n] == place and not any(map(_AWAY.__getitem__, labels)):
-            if not fixed or zlib.crc32(text.encode("utf-8", "surrogatepass")) not in fixed:
+            if not known or (*labels[n:], fingerprint(text)) not in known:
                 out.append(text)
     return out
 
@@ -298,7 +319,7 @@ def extract(source: str, rule: str | None) -> str:
     blocks: list[str] = []
     if rule:
         found = json.loads(rule)
-        blocks = main_blocks(page, found["place"], set(found["fixed"]))
+        blocks = main_blocks(page, found["place"], found["fixed"])
     if not blocks:
         blocks = main_blocks(page, place_of(pattern_of(page)))
     return "\n".join(blocks)

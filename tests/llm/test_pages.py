@@ -39,6 +39,22 @@ def test_wrapper_of_two_pages():
     assert [(c[0], c[html_wrappers.REPEATED]) for c in turns[html_wrappers.CHILDREN]] == [("dt", True), ("dd", True)]
 
 
+def test_copies_of_a_page_are_not_its_template(spark):
+    def article(i, more=""):
+        return f"<html><body><article><h1>T{i}</h1>{more}<div class=note>All rights reserved.</div>" + "".join(f"<p>Words {k} of {'abcdefghijklmnop'[i]}</p>" for k in range(3)) + "</article></body></html>"
+
+    quote = "<blockquote>Said once</blockquote><pre>code</pre>"
+    rows = [(i, f"http://mixed.org/{i}", article(i), 1) for i in range(1, 13)]
+    rows += [(100 + i, f"http://mixed.org/0?utm={i}", article(0, quote), 1) for i in range(30)]
+    rows += [(200 + i, f"http://copies.org/0?page={i}", article(0, quote), 1) for i in range(30)]
+    got = by_id(html_wrappers.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")), "page_id")
+    own = lambda i, *more: "\n".join([f"T{i}", *more, *(f"Words {k} of {'abcdefghijklmnop'[i]}" for k in range(3))])
+    assert all(got[i][0]["text"] == own(i) for i in range(1, 13))
+    assert all(got[100 + i][0]["text"] == own(0, "Said once", "code") for i in range(30))
+    # where there is no other article to tell by, all stays
+    assert all(got[200 + i][0]["text"] == own(0, "Said once", "code", "All rights reserved.") for i in range(30))
+
+
 HARD = [
     (1, "http://a.de/de/x", None), (2, None, ""), (3, "http://a.de/x", "<p"), (4, "not a url", "plain text only"), (5, "http://b.com/en/", "<div>" * 3_000 + "deep"),
     (6, "http://a.de/x", "<article><p>same</p></article>"), (6, "http://a.de/x", "<article><p>same</p></article>"), (None, "http://a.de/x", "<p>no id</p>"), (8, "http://c.fr/", "<p>" + "many words " * 20_000),
