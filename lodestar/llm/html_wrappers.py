@@ -7,9 +7,10 @@ optional, different text becomes a variable slot. The result, a regular expressi
 wrapper; it is inferred from all its pages, first inside tasks, then by grouped steps, and its size depends on the
 templates, not on the number of pages.
 
-The wrapper names the place of the article: the ``article`` or ``main`` element, else the element below which most
-variable text lies, away from menus, headers, footers, sidebars, notices, adverts, forms and comments. It also tells
-fixed text inside that place from the articles' own. Pages that don't have that place are judged on their own.
+The wrapper names the places of the article: all ``article`` and ``main`` elements, else the element below which most
+variable text lies and whatever stands beside it or around it and holds variable text too, away from menus, headers,
+footers, sidebars, notices, adverts, forms and comments. It also tells fixed text inside those places from the
+articles' own. Pages that have none of the places are judged on their own.
 
 Null html and html without text give an empty text; a null URL counts as a host of its own. Markup without any tag
 is one text. Rows are extracted one by one, so repeated rows give the same text; an empty table gives an empty table;
@@ -165,7 +166,7 @@ def pattern_of(page: Page) -> list:
         node[CHARS] += len(text)
     folded = fold_repeats(root)
     # every node holds this list
-    pages[0] = fingerprint(_DIGITS.sub("", "\n".join(main_blocks(page, place_of(folded)))))
+    pages[0] = fingerprint(_DIGITS.sub("", "\n".join(main_blocks(page, places_of(folded)))))
     return folded
 
 
@@ -221,32 +222,34 @@ def aligned(a: list, b: list) -> list:
     return out
 
 
+def own_volume(node: list) -> int:
+    """Characters of variable text of a node itself."""
+    return node[CHARS] if node[SLOT] == "*" or node[REPEATED] or len(node[PAGES]) < FIXED_PAGES else 0
+
+
 def volume(node: list) -> int:
     """Characters of variable text below a node, without what is away from the article."""
-    if away(node[LABEL]):
-        return 0
-    own = node[CHARS] if node[SLOT] == "*" or node[REPEATED] or len(node[PAGES]) < FIXED_PAGES else 0
-    return own + sum(map(volume, node[CHILDREN]))
+    return 0 if away(node[LABEL]) else own_volume(node) + sum(map(volume, node[CHILDREN]))
 
 
-def place_of(node: list) -> list[str]:
-    """Labels on the way from the root to the article."""
-    found: list[tuple[int, list[str]]] = []
+def places_of(node: list) -> list[tuple[list[str], bool, list]]:
+    """Places of the article: labels on the way from the root, whether all below counts or only the text of the node
+    itself, and the node."""
+    found: list[tuple[list[str], bool, list]] = []
 
     def look(x: list, path: list[str]) -> None:
         if away(x[LABEL]):
             return
         path = [*path, x[LABEL]]
         if x[LABEL].split(".")[0] in ("article", "main") or "main" in x[LABEL].split(".")[1:]:
-            found.append((volume(x), path))
+            found.append((path[1:], True, x))
             return
         for child in x[CHILDREN]:
             look(child, path)
 
     look(node, [])
     if found:
-        best = max(v for v, _ in found)
-        return next(p for v, p in found if v == best)[1:]
+        return [p for p in found if volume(p[2])] or found
     path: list[str] = []
     while node[CHILDREN]:
         total = volume(node)
@@ -254,48 +257,48 @@ def place_of(node: list) -> list[str]:
         # a single leaf is a paragraph, not the place of the article
         if not total or volume(child) < 0.7 * total or not child[CHILDREN] and child[LABEL].split(".")[0] not in ("div", "section", "td", "body", "html"):
             break
-        node = child
-        path.append(node[LABEL])
-    return path
+        # what stands around and beside that child may be the article's title, lead or end
+        if own_volume(node):
+            found.append((path, False, node))
+        found += [([*path, c[LABEL]], True, c) for c in node[CHILDREN] if c is not child and volume(c)]
+        node, path = child, [*path, child[LABEL]]
+    return [*found, (path, True, node)]
 
 
-def fixed_of(node: list, path: list[str]) -> list[list]:
-    """The template's own text below the article's place: labels from the place on, and fingerprint.
+def fixed_of(places: list[tuple[list[str], bool, list]]) -> list[list]:
+    """The template's own text below the article's places: labels from the root on, and fingerprint.
 
     Text counts as the template's if nearly all different pages with the place have it. What a single article has,
     however often that page is stored, stays.
     """
-    for label in path:
-        node = next((c for c in node[CHILDREN] if c[LABEL] == label), None)
-        if node is None:
-            return []
-    least = max(FIXED_PAGES, FIXED_SHARE * len(node[PAGES]))
-    sample = set(node[PAGES])
     out: list[list] = []
 
-    def look(x: list, labels: list[str]) -> None:
+    def look(x: list, labels: list[str], sample: set[int]) -> None:
         labels = [*labels, x[LABEL]]
+        least = max(FIXED_PAGES, FIXED_SHARE * len(sample))
         single = x[SLOT] not in (None, "*") and not x[REPEATED] and len(sample.intersection(x[PAGES])) >= least
         if single and not re.match(r"h[1-6]\b", x[LABEL]):
             out.append([labels, x[SLOT]])
         for child in x[CHILDREN]:
-            look(child, labels)
+            look(child, labels, sample)
 
-    if volume(node):
-        for child in node[CHILDREN]:
-            look(child, [])
+    for path, whole, node in places:
+        if whole and volume(node):
+            for child in node[CHILDREN]:
+                look(child, path, set(node[PAGES]))
     return out
 
 
-def main_blocks(page: Page, place: list[str], fixed: list[list] = ()) -> list[str]:
-    """Blocks of the article: those below ``place`` that nothing marks as away from it."""
-    n = len(place)
+def main_blocks(page: Page, places: list, fixed: list[list] = ()) -> list[str]:
+    """Blocks of the article: those at its places that nothing marks as away from it."""
+    whole, own = ({tuple(p) for p, w, *_ in places if w == all_below} for all_below in (True, False))
+    depths = {len(p) for p in whole}
     known = {(*labels, mark) for labels, mark in fixed}
     out = []
     for path, text in page.blocks:
-        labels = [label for _, label in path]
-        if labels[:n] == place and not any(map(_AWAY.__getitem__, labels)):
-            if not known or (*labels[n:], fingerprint(text)) not in known:
+        labels = tuple(label for _, label in path)
+        if (labels in own or any(labels[:n] in whole for n in depths)) and not any(map(_AWAY.__getitem__, labels)):
+            if not known or (*labels, fingerprint(text)) not in known:
                 out.append(text)
     return out
 
@@ -319,9 +322,9 @@ def extract(source: str, rule: str | None) -> str:
     blocks: list[str] = []
     if rule:
         found = json.loads(rule)
-        blocks = main_blocks(page, found["place"], found["fixed"])
+        blocks = main_blocks(page, found["places"], found["fixed"])
     if not blocks:
-        blocks = main_blocks(page, place_of(pattern_of(page)))
+        blocks = main_blocks(page, places_of(pattern_of(page)))
     return "\n".join(blocks)
 
 
@@ -359,8 +362,9 @@ def _merge_part(key, rows: pd.DataFrame) -> pd.DataFrame:
 
 def _rule(key, rows: pd.DataFrame) -> pd.DataFrame:
     wrapper = _merged(rows)
-    place = place_of(wrapper)
-    return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)], "rule": [json.dumps({"place": place, "fixed": fixed_of(wrapper, place)})]})
+    places = places_of(wrapper)
+    rule = {"places": [[path, whole] for path, whole, _ in places], "fixed": fixed_of(places)}
+    return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper)], "rule": [json.dumps(rule)]})
 
 
 def _with_host(pages: DataFrame, url: str, source: str, *keep) -> DataFrame:
@@ -369,7 +373,7 @@ def _with_host(pages: DataFrame, url: str, source: str, *keep) -> DataFrame:
 
 
 def wrappers(pages: DataFrame, *, url: str = "url", source: str = "html") -> DataFrame:
-    """host, wrapper (JSON) and rule (JSON: place of the article and fixed text) of every host."""
+    """host, wrapper (JSON) and rule (JSON: places of the article and fixed text) of every host."""
     local = _with_host(pages, url, source).mapInArrow(_local_wrappers, "host string, wrapper string")
     parts = local.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(MERGE_PARTS))).groupBy("host", "part").applyInPandas(_merge_part, "host string, wrapper string")
     return parts.groupBy("host").applyInPandas(_rule, "host string, wrapper string, rule string")

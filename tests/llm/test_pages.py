@@ -55,6 +55,27 @@ def test_copies_of_a_page_are_not_its_template(spark):
     assert all(got[200 + i][0]["text"] == own(0, "Said once", "code", "All rights reserved.") for i in range(30))
 
 
+def test_text_beside_the_largest_element_stays(spark):
+    def text(i, name, n):
+        return [f"The {name} number {k} of page {i} in many words." for k in range(n)]
+
+    tags = lambda lines: "".join(f"<p>{x}</p>" for x in lines)
+    kinds = {
+        "a.org": lambda i: (f"<h1>Title {i}</h1><p class=lead>Lead {i}</p><div class=body>{tags(text(i, 'line', 6))}</div>", [f"Title {i}", f"Lead {i}", *text(i, "line", 6)]),
+        "b.org": lambda i: (f"<div class=tagline>All the words</div><div class=outer>Own {i}<div class=content>{tags(text(i, 'line', 9))}</div><div class=continued>{tags(text(i, 'end', 3))}</div></div>",
+                            [f"Own {i}", *text(i, "line", 9), *text(i, "end", 3)]),
+        "c.org": lambda i: (f"<article class=intro>{tags(text(i, 'start', 2))}</article><div>Between</div><article class=body>{tags(text(i, 'line', 6))}</article>", [*text(i, "start", 2), *text(i, "line", 6)]),
+    }
+    away = "<nav>Menu</nav><div class=sidebar>Side</div>"
+    rows = [(f"{h}{i}", f"http://{h}/{i}", f"<html><body>{away}{f('abcdefghijkl'[i])[0]}<footer>f</footer></body></html>", 1) for h, f in kinds.items() for i in range(12)]
+    got = by_id(html_wrappers.extract_pages(spark.createDataFrame(rows, "page_id string, url string, html string, text int")), "page_id")
+    for h, f in kinds.items():
+        for i in range(12):
+            assert got[f"{h}{i}"][0]["text"].split("\n") == f("abcdefghijkl"[i])[1]
+    # without a wrapper, too
+    assert extract(rows[0][2], None).split("\n") == kinds["a.org"]("a")[1]
+
+
 HARD = [
     (1, "http://a.de/de/x", None), (2, None, ""), (3, "http://a.de/x", "<p"), (4, "not a url", "plain text only"), (5, "http://b.com/en/", "<div>" * 3_000 + "deep"),
     (6, "http://a.de/x", "<article><p>same</p></article>"), (6, "http://a.de/x", "<article><p>same</p></article>"), (None, "http://a.de/x", "<p>no id</p>"), (8, "http://c.fr/", "<p>" + "many words " * 20_000),
