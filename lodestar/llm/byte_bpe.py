@@ -98,17 +98,18 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
     return map_arrow(df.select(F.col(key), F.col(text).alias("text")), run, schema)
 
 
-def decode(df: DataFrame, path: str, *, key: str = "doc_id", ids: str = "ids", as_text: bool = True) -> DataFrame:
-    """Bytes behind packed ids: ``key``, ``ids``, ``decoded`` (binary) and, with ``as_text``, ``text``, in which bytes
+def decode(df: DataFrame, path: str, *, key: str = "doc_id", ids: str = "ids", as_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Bytes behind packed ids: ``key``, ``ids``, the columns of ``keep``, ``decoded`` (binary) and, with ``as_text``, ``text``, in which bytes
     that form no character, as ids that stop within one leave them, become U+FFFD."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         get = _pieces(path)[0].__getitem__
         raw = [b"".join(map(get, np.frombuffer(p or b"", "<u4").tolist())) for p in batch.column("ids").to_pylist()]
-        columns = {key: batch.column(key), "ids": batch.column("ids"), "decoded": pa.array(raw, pa.binary())}
+        columns = {**{c: batch.column(c) for c in (key, "ids", *keep)}, "decoded": pa.array(raw, pa.binary())}
         if as_text:
             columns["text"] = pa.array([r.decode("utf-8", errors="replace") for r in raw], pa.string())
         return pa.RecordBatch.from_pydict(columns)
 
     kind = df.schema[key].dataType.simpleString()
-    return map_arrow(df.select(F.col(key), F.col(ids).alias("ids")), run, f"`{key}` {kind}, ids binary, decoded binary" + (", text string" if as_text else ""))
+    kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return map_arrow(df.select(F.col(key), F.col(ids).alias("ids"), *keep), run, f"`{key}` {kind}, ids binary{kept}, decoded binary" + (", text string" if as_text else ""))

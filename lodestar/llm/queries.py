@@ -34,11 +34,12 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents")
-    ids = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, offsets=False)
-    back = byte_bpe.decode(ids, path, as_text=False)
+    ids = byte_bpe.encode(docs, path, public_tokenizers.PATTERN).withColumn("offsets_xxhash64", F.xxhash64("starts", "ends"))
+    back = byte_bpe.decode(ids, path, keep=("offsets_xxhash64",))
     return back.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        "offsets_xxhash64", F.length("text").cast("long").alias("n_chars"),
     )
 
 

@@ -138,3 +138,18 @@ def test_digests(spark):
     ids = reference().encode_ordinary(text)
     assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_query_covers_offsets_and_text(spark):
+    from lodestar.llm import queries
+    from pyspark.sql import functions as F
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    encoding, spans = reference(), []
+    for i, text in docs.items():
+        char_of = [k for k, c in enumerate(text) for _ in c.encode()]
+        ends = np.cumsum([0, *(len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(text))]).tolist()
+        spans.append((i, [char_of[a] for a in ends[:-1]], [char_of[b - 1] + 1 for b in ends[1:]]))
+    want = spark.createDataFrame(spans, "doc_id bigint, starts array<int>, ends array<int>").select("doc_id", F.xxhash64("starts", "ends").alias("h"))
+    rows = queries.op5_byte_bpe(spark, "/root/testdata/sf0.001").join(want, "doc_id").collect()
+    assert len(rows) >= len(docs) and all(r["offsets_xxhash64"] == r["h"] and r["n_chars"] == len(docs[r["doc_id"]]) for r in rows)
