@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..functions.wordlists import KIND_LABELS
 from ..session import materialize
-from ..sources.snapshots import SnapshotStore
+from ..sources.snapshots import Change, SnapshotStore
 from . import delta, review
 from .windows import best_per_group, group_row_number
 
@@ -202,7 +202,8 @@ def new_services(rows: DataFrame, services: DataFrame, categories: DataFrame, ba
     top = services.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     based = joined.withColumns({"base": text.slug_base("title"), "every": F.lit(0)})
     ranked = group_row_number(based, ["every"], F.floor(F.col("ord") / 100_000), ["ord"], "n")
-    taken = services.select(F.regexp_replace("slug", r"-\d+$", "").alias("base"), F.coalesce(F.regexp_extract("slug", r"-(\d+)$", 1).try_cast("bigint"), F.lit(1)).alias("k")).groupBy("base").agg(F.max("k").alias("taken"))
+    bases = based.select("base").distinct()
+    taken = services.withColumn("base", F.regexp_replace("slug", r"-\d+$", "")).join(bases, "base", "left_semi").select("base", F.coalesce(F.regexp_extract("slug", r"-(\d+)$", 1).try_cast("bigint"), F.lit(1)).alias("k")).groupBy("base").agg(F.max("k").alias("taken"))
     numbered = group_row_number(ranked, ["base"], F.floor(F.col("ord") / 100_000), ["ord"], "k").join(taken, "base", "left")
     slug = text.numbered(F.col("base"), F.col("k") + F.coalesce("taken", F.lit(0)), 240)
     return numbered.select(
@@ -222,66 +223,134 @@ IMAGE = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.
 
 
 def ledger(old: DataFrame, new: DataFrame, table: str, batch_id: int, actions: tuple[str, str]) -> DataFrame:
-    """Before and after image of every row the merge added or changed."""
+    """Before and after image of every row the merge added or changed. Give both sides only the rows that may differ."""
     key = KEYS[table]
     a = old.select(F.col(key).cast("string").alias("object_key"), F.to_json(F.struct(*old.columns), IMAGE).alias("before_json"))
-    b = new.select(F.col(key).cast("string").alias("object_key"), F.to_json(F.struct(*old.columns), IMAGE).alias("after_json"))
+    owner = F.col("id" if table == "service" else "service_id").cast("bigint").alias("service_id")
+    b = new.select(F.col(key).cast("string").alias("object_key"), owner, F.to_json(F.struct(*old.columns), IMAGE).alias("after_json"))
     both = a.join(b, "object_key", "full").where(~F.col("before_json").eqNullSafe(F.col("after_json")))
     action = F.when(F.col("before_json").isNull(), actions[0]).otherwise(actions[1])
     return both.select(
-        F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(table).alias("object_table"), "object_key", action.alias("action"),
+        F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(table).alias("object_table"), "object_key", "service_id", action.alias("action"),
         F.coalesce("before_json", F.lit("")).alias("before_json"), F.coalesce("after_json", F.lit("")).alias("after_json"), F.lit(False).alias("is_reversed"),
     )
 
 
-LEDGER_SCHEMA = "batch_id bigint, object_table string, object_key string, action string, before_json string, after_json string, is_reversed boolean, version bigint"
+LEDGER_SCHEMA = "batch_id bigint, object_table string, object_key string, service_id bigint, action string, before_json string, after_json string, is_reversed boolean, version bigint"
+ACTIONS = {"service": ("SERVICE_CREATE", "SERVICE_UPDATE"), "content": ("CONTENT_CREATE", "CONTENT_UPDATE"),
+           "source": ("SOURCE_ADD", "SOURCE_UPDATE"), "commercial": ("COMMERCIAL_CREATE", "COMMERCIAL_UPDATE")}
+#: columns of a service that its own texts are compared with
+TEXT_COLUMNS = sorted({c for cs in delta.CORE_BUCKETS.values() for c in cs})
+
+
+def _of_services(change: Change, table: str, ids: DataFrame) -> DataFrame:
+    """Rows of a table that belong to the services in ``ids`` (service_id), read from their buckets only."""
+    owner = "id" if table == "service" else "service_id"
+    ids = ids.select("service_id").distinct()
+    rows = change.read(table, change.buckets(table, ids))
+    return rows.join(ids.withColumnRenamed("service_id", owner), owner, "left_semi").select(rows.columns)
+
+
+def recheck(
+    store: SnapshotStore, change: Change, rows: DataFrame, diffs: DataFrame, staged_version: int,
+    fields: DataFrame | None = None, links: DataFrame | None = None, sections: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``diffs`` as they stand against the version that ``change`` builds on.
+
+    A candidate's status follows from its own fields and the texts of the service it matches, so only candidates whose
+    service was written to after ``staged_version`` are classified again: from ``fields`` ``(cand_id, field, value)``,
+    ``links`` ``(cand_id, field, url)`` and ``sections`` ``(cand_id, source_row, source_column, section_type, content, is_heading,
+    url)``. Their staged differences are replaced by the new safe ones. A service that is gone is a conflict.
+    """
+    spark = rows.sparkSession
+    moved = store.touched_since(staged_version).withColumnRenamed("service_id", "matched_service_id")
+    stale = rows.where("candidate_action <> 'UNDECIDED' AND matched_service_id IS NOT NULL").join(moved, "matched_service_id", "left_semi")
+    again = materialize(stale.select("cand_id", F.col("candidate_action").alias("action"), "matched_service_id"))
+    if again.limit(1).isEmpty():
+        return rows, diffs
+    if fields is None and sections is None:
+        raise MergeRefused("services changed after the batch was staged; give its fields to check it again")
+    where = again.select("cand_id", F.col("matched_service_id").alias("service_id"))
+    service = materialize(_of_services(change, "service", where))
+    commercial = list(dict.fromkeys(COMMERCIAL_TARGETS.values()))
+    children = {
+        "content": _of_services(change, "content", where).select("service_id", F.col("content").alias("text")),
+        "commercial": _of_services(change, "commercial", where).select("service_id", F.explode(F.array(*commercial)).alias("text")),
+    }
+    texts = materialize(delta.snapshot_texts(service, [c for c in TEXT_COLUMNS if c in service.columns], children))
+    known = materialize(delta.snapshot_urls(_of_services(change, "source", where)))
+    no_links = spark.createDataFrame([], "cand_id bigint, field string, url string") if links is None else links
+    parts = []
+    if fields is not None:
+        parts.append(delta.structured_differences(fields.join(where, "cand_id"), no_links.join(where, "cand_id"), texts, known))
+    if sections is not None:
+        parts.append(delta.narrative_differences(sections.join(where, "cand_id"), texts, known).drop("source_row"))
+    fresh = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    fresh = materialize(fresh.select("cand_id", "field", "incoming", "change_type"))
+    status = delta.candidate_status(again, fresh, service).select("cand_id", F.col("delta_status").alias("__now"))
+    now = rows.join(materialize(status), "cand_id", "left").withColumn("delta_status", F.coalesce("__now", "delta_status")).select(rows.columns)
+    kept = diffs.join(again.select("cand_id"), "cand_id", "left_anti").select("cand_id", "field", "incoming")
+    return now, kept.unionByName(fresh.where("change_type = 'SAFE_ADDITION'").select("cand_id", "field", "incoming"))
 
 
 def apply_batch(
     store: SnapshotStore, batch: dict, batches: DataFrame, rows: DataFrame, diffs: DataFrame, categories: DataFrame,
-    reconcile: bool = False, dry_run: bool = False,
+    reconcile: bool = False, dry_run: bool = False, fields: DataFrame | None = None, links: DataFrame | None = None, sections: DataFrame | None = None,
 ) -> dict:
     """Apply an approved batch as the next catalogue version, all or nothing.
 
     ``rows`` are staged rows ``(cand_id, ord, candidate_action, decision, delta_status,
     matched_service_id, title, category_id, service_kind, provenance)``; ``diffs`` are their safe
-    differences ``(cand_id, field, incoming)``, for new services every field.
+    differences ``(cand_id, field, incoming)``, for new services every field. ``batch["staged_version"]`` is the version they
+    were compared with (0, the oldest, where it is missing); see ``recheck`` for what changed since.
+
+    Only buckets of matched services are read and, where a service changes, written; new rows are appended. Another
+    change that is committed in the meantime makes this one fail with ``CommitConflict``; nothing of it is visible then.
     """
-    counts = check_gate(batch, batches, rows, reconcile)
-    if dry_run:
-        return counts
-    if store.status(batch["id"]) == "IMPORTED":
-        raise MergeRefused("the batch is imported already")
-    old = {t: store.read(t) for t in KEYS}
-    steps = materialize(dispatch(rows))
-    made = materialize(new_services(steps.where("step = 'CREATE'"), old["service"], categories, batch["id"]))
-    target = steps.where("step IN ('CREATE', 'UPDATE')").join(made.select("cand_id", F.col("id").alias("made_id")), "cand_id", "left").select(
-        "cand_id", "ord", "provenance", "step", F.coalesce("made_id", "matched_service_id").alias("service_id"))
-    d = materialize(route(diffs.join(target, "cand_id")))
-    if not order_conflicts(d.where("step = 'UPDATE' AND target <> 'source'")).limit(1).isEmpty():
-        raise MergeRefused("two rows of the batch give different texts for one place")
-    base = old["service"].unionByName(made.drop("cand_id", "ord"), allowMissingColumns=True)
-    service, overflow = fill_core(base, d.where("target = 'core'"))
-    content = d.where("target = 'content'").select(overflow.columns).unionByName(overflow)
-    new = {
-        "service": service,
-        "content": old["content"].unionByName(new_content(content, old["content"])),
-        "source": old["source"].unionByName(new_sources(d.where("target = 'source'"), old["source"])),
-        "commercial": old["commercial"].unionByName(new_commercial(d.where("target = 'commercial'"), old["commercial"])),
-    }
-    new = {t: materialize(x) for t, x in new.items()}
-    names = {"service": ("SERVICE_CREATE", "SERVICE_UPDATE"), "content": ("CONTENT_CREATE", "CONTENT_UPDATE"),
-             "source": ("SOURCE_ADD", "SOURCE_UPDATE"), "commercial": ("COMMERCIAL_CREATE", "COMMERCIAL_UPDATE")}
-    changes = None
-    for t in KEYS:
-        part = ledger(old[t], new[t], t, batch["id"], names[t])
-        changes = part if changes is None else changes.unionByName(part)
-    version = store.current() + 1
-    log = store.read("ledger").unionByName(changes.withColumn("version", F.lit(version).cast("bigint")))
-    outcome = steps.where("step <> 'ABORT'").join(target.select("cand_id", "service_id"), "cand_id", "left").select(
-        F.lit(batch["id"]).cast("bigint").alias("batch_id"), "cand_id", F.when(F.col("step") == "SKIPPED", "SKIPPED").otherwise("PROCESSED").alias("status"), "service_id")
-    store.commit({**new, "ledger": log, "outcome": outcome}, batch["id"], "APPLY")
-    return {**counts, "version": version}
+    with store.begin() as change:
+        rows, diffs = recheck(store, change, rows, diffs, batch.get("staged_version", 0), fields, links, sections)
+        counts = check_gate(batch, batches, rows, reconcile)
+        if dry_run:
+            return counts
+        if store.status(batch["id"]) == "IMPORTED":
+            raise MergeRefused("the batch is imported already")
+        steps = materialize(dispatch(rows))
+        made = materialize(new_services(steps.where("step = 'CREATE'"), change.read("service"), categories, batch["id"]))
+        target = materialize(steps.where("step IN ('CREATE', 'UPDATE')").join(made.select("cand_id", F.col("id").alias("made_id")), "cand_id", "left").select(
+            "cand_id", "ord", "provenance", "step", F.coalesce("made_id", "matched_service_id").alias("service_id")))
+        d = materialize(route(diffs.join(target, "cand_id")))
+        if not order_conflicts(d.where("step = 'UPDATE' AND target <> 'source'")).limit(1).isEmpty():
+            raise MergeRefused("two rows of the batch give different texts for one place")
+        matched = target.where("step = 'UPDATE'").select("service_id").distinct()
+        old = {t: materialize(_of_services(change, t, matched)) for t in KEYS}
+        if not matched.join(old["service"].select(F.col("id").alias("service_id")), "service_id", "left_anti").limit(1).isEmpty():
+            raise MergeRefused("a row matches a service that does not exist")
+        base = old["service"].unionByName(made.drop("cand_id", "ord"), allowMissingColumns=True)
+        service, overflow = fill_core(base, d.where("target = 'core'"))
+        content = d.where("target = 'content'").select(overflow.columns).unionByName(overflow)
+        fresh = {
+            "content": new_content(content, old["content"]),
+            "source": new_sources(d.where("target = 'source'"), old["source"]),
+            "commercial": new_commercial(d.where("target = 'commercial'"), old["commercial"]),
+        }
+        fresh = {t: materialize(old[t].limit(0).unionByName(x, allowMissingColumns=True)) for t, x in fresh.items()}
+        service = materialize(service)
+        changes = ledger(old["service"], service, "service", batch["id"], ACTIONS["service"])
+        for t, x in fresh.items():
+            changes = changes.unionByName(ledger(old[t].limit(0), x, t, batch["id"], ACTIONS[t]))
+        changes = materialize(changes)
+        updated = changes.where("action = 'SERVICE_UPDATE'").select(F.col("service_id").alias("id"))
+        change.rewrite("service", "id", change.buckets("service", updated), service.join(updated, "id", "left_semi").select(service.columns), updated)
+        change.insert("service", service.join(made.select("id"), "id", "left_semi").select(service.columns))
+        for t, x in fresh.items():
+            change.insert(t, x)
+        change.note("ledger", changes)
+        change.note("touched", changes.select("service_id").distinct())
+        outcome = steps.where("step <> 'ABORT'").join(target.select("cand_id", "service_id"), "cand_id", "left").select(
+            F.col("cand_id").cast("string").alias("cand_id"), F.when(F.col("step") == "SKIPPED", "SKIPPED").otherwise("PROCESSED").alias("status"),
+            F.when(F.col("step") == "PROCESSED", F.col("matched_service_id")).otherwise(F.col("service_id")).alias("service_id"))
+        change.note("outcome", outcome)
+        return {**counts, "version": change.commit(batch["id"], "APPLY")}
 
 
 def undo_plan(changes: DataFrame) -> DataFrame:
@@ -291,25 +360,30 @@ def undo_plan(changes: DataFrame) -> DataFrame:
 
 
 def rollback_batch(store: SnapshotStore, batch_id: int) -> int:
-    """Restore what the batch changed, as far as it still exists, delete what it added, and mark its ledger rows as
-    reversed. Only an imported batch can be rolled back."""
-    if store.status(batch_id) != "IMPORTED":
-        raise MergeRefused("only an imported batch can be rolled back")
-    log = store.read("ledger")
-    mine = log.where(F.col("batch_id") == batch_id)
-    if mine.where(~F.col("is_reversed")).limit(1).isEmpty():
-        raise MergeRefused("the batch has no active changes")
-    plan = materialize(undo_plan(mine))
-    new = {}
-    for t, key in KEYS.items():
-        now = store.read(t)
-        part = plan.where(F.col("object_table") == t)
-        kept = now.join(part.select(F.col("object_key").alias("__k")), F.col(key).cast("string") == F.col("__k"), "left_anti")
-        there = part.where("before_json <> ''").join(now.select(F.col(key).cast("string").alias("object_key")), "object_key", "left_semi")
-        back = there.select(F.from_json("before_json", now.schema, IMAGE).alias("x")).select("x.*")
-        new[t] = kept.unionByName(back)
-    marked = log.withColumn("is_reversed", F.col("is_reversed") | (F.col("batch_id") == batch_id))
-    return store.commit({**new, "ledger": marked}, batch_id, "ROLLBACK")
+    """Restore what the batch changed, as far as it still exists, and delete what it added. Its ledger rows count as
+    reversed from then on. Only an imported batch can be rolled back. Reads the batch's part of the ledger and rewrites the
+    buckets of the services in it."""
+    with store.begin() as change:
+        if store.status(batch_id) != "IMPORTED":
+            raise MergeRefused("only an imported batch can be rolled back")
+        last = store.commits().where((F.col("batch_id") == batch_id) & (F.col("kind") == "APPLY")).agg(F.max_by("write", "version").alias("w")).first()["w"]
+        mine = store.history("ledger", [last])
+        if mine.limit(1).isEmpty():
+            raise MergeRefused("the batch has no active changes")
+        owner = mine.groupBy("object_table", "object_key").agg(F.min("service_id").alias("service_id"))
+        plan = materialize(undo_plan(mine).join(owner, ["object_table", "object_key"]))
+        for t, key in KEYS.items():
+            part = plan.where(F.col("object_table") == t)
+            buckets = change.buckets(t, part.select("service_id"))
+            if not buckets:
+                continue
+            now = change.read(t, buckets)
+            kind = now.schema[key].dataType.simpleString()
+            there = part.where("before_json <> ''").join(now.select(F.col(key).cast("string").alias("object_key")), "object_key", "left_semi")
+            back = there.select(F.from_json("before_json", now.schema, IMAGE).alias("x")).select("x.*")
+            change.rewrite(t, key, buckets, back, part.where("before_json = ''").select(F.col("object_key").cast(kind).alias(key)))
+        change.note("touched", plan.select("service_id").distinct())
+        return change.commit(batch_id, "ROLLBACK")
 
 
 def candidate_links(candidates: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar import import_batch
 from lodestar.functions import text
 from lodestar.operators import delta as dl
 from lodestar.operators import merge as mg
 from lodestar.operators import review as rv
-from lodestar.sources.snapshots import SnapshotStore
+from lodestar.sources.snapshots import MAX_WRITES, CommitConflict, Files, SnapshotStore
 
 
 def exists(needle, bodies):
@@ -150,3 +151,145 @@ def test_reconciliation_counts(spark):
     assert got == {1: "SKIPPED", 2: "PENDING"}
     with pytest.raises(ValueError):
         rv.reconciliation_rows(rows, {"NO_CHANGE": 2})
+
+
+# -- commits, buckets, later changes --------------------------------------------------------------
+
+
+def many(spark, n):
+    return spark.range(n).selectExpr("id", "'S' || id AS service_id", "'T' || id AS title", "'t-' || id AS slug", "1L AS category_id", "1L AS domain_id", "'GRANT' AS service_kind", "'PUBLISHED' AS status",
+                                     "'' AS benefits", "'have' AS eligibility_summary", *(f"'' AS {c}" for c in ("applicable_for_raw", "funding_organisation", "funding_type", "application_deadline_raw", "important_notes")))
+
+
+def big_store(spark, tmp_path, n=4_000, per=50):
+    st = SnapshotStore(spark, str(tmp_path / "big"), rows_per_bucket=per)
+    content = spark.range(n).selectExpr("'c' || id AS child_key", "id AS service_id", "'NOTES' AS section_type", "'h' AS heading", "'text ' || id AS content", "'BDE' AS visibility", "'load' AS provenance")
+    st.commit({"service": many(spark, n), "content": content, "source": spark.createDataFrame([], mg.SOURCE_SCHEMA), "commercial": spark.createDataFrame([], mg.COMMERCIAL_SCHEMA)}, 0, "LOAD")
+    return st
+
+
+def sizes(path):
+    return {p: p.stat().st_size for p in path.rglob("*.parquet")}
+
+
+def test_a_batch_writes_its_buckets_only(spark, tmp_path):
+    st = big_store(spark, tmp_path)
+    before = sizes(tmp_path / "big")
+    mg.apply_batch(st, *world(spark, [UPDATE], DIFFS[:4]))
+    after = sizes(tmp_path / "big")
+    assert before.items() <= after.items()  # no folder of the old version was touched
+    new = [p for p in after if p not in before]
+    assert sum(after[p] for p in new) < 0.1 * sum(before.values())
+    assert len({p.parent for p in new if "/service/" in str(p)}) == 1  # one bucket of eighty
+    assert st.read("service").count() == 4_000 and st.read("content").count() == 4_001
+    assert st.read("service").where("id = 1").first()["benefits"] == "Five lakh" and st.read("service", 1).where("id = 1").first()["benefits"] == ""
+    mg.rollback_batch(st, 7)
+    assert st.read("service").where("benefits <> ''").count() == 0 and st.read("content").count() == 4_000
+    assert st.read("ledger").where("NOT is_reversed").count() == 0 and st.read("ledger").count() == 4
+
+
+def test_two_writers_from_one_version(spark, store):
+    rows = store.read("service")
+    with store.begin() as a, store.begin() as b:
+        for change, title in ((a, "A"), (b, "B")):
+            new = rows.withColumn("title", F.lit(title))
+            change.rewrite("service", "id", change.buckets("service", rows.select("id")), new, rows.select("id"))
+            change.note("touched", rows.select(F.col("id").alias("service_id")))
+        assert b.commit(8, "APPLY") == 2
+        with pytest.raises(CommitConflict):
+            a.commit(9, "APPLY")
+    assert [r["title"] for r in store.read("service").collect()] == ["B"] and store.current() == 2
+    assert store.status(9) is None and store.read("touched").count() == 1
+    assert all(not store.files.names(p) for p in a.written)
+
+
+def test_many_writers_at_once(spark, store):
+    """Threads that add a row each and begin again after a conflict: every row is there once, every version has one writer."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def add(k):
+        for _ in range(50):
+            with store.begin() as change:
+                change.insert("source", spark.createDataFrame([(f"k{k}", 1, "FLYER", f"https://{k}/", "p")], mg.SOURCE_SCHEMA))
+                try:
+                    return change.commit(100 + k, "APPLY")
+                except CommitConflict:
+                    continue
+
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(add, range(12)))
+    assert sorted(versions) == list(range(2, 14))
+    assert sorted(r["child_key"] for r in store.read("source").collect()) == sorted(f"k{k}" for k in range(12))
+    # one bucket got twelve rows; it is folded before it has more folders than allowed
+    live = store.manifest(store.current())["tables"]["source"]["live"]
+    assert len(live) <= MAX_WRITES
+    at_five = [r["child_key"] for r in store.read("source", 5).collect()]
+    assert len(at_five) == 4
+    assert store.expire(store.current()) > 0 and store.read("source").count() == 12
+
+
+def test_a_manifest_is_created_once(spark, tmp_path):
+    files = Files(spark)
+    (tmp_path / "m").mkdir()
+    name = str(tmp_path / "m" / "1.json")
+    assert files.create_once(name, "first") and not files.create_once(name, "second") and files.read(name) == "first"
+    for text in ("a", "b"):  # the way of file systems whose rename never replaces
+        (tmp_path / "m" / f"draft-{text}").write_text(text)
+    other = str(tmp_path / "m" / "2.json")
+    assert files._move(str(tmp_path / "m" / "draft-a"), other) and not files._move(str(tmp_path / "m" / "draft-b"), other)
+    assert files.read(other) == "a"
+
+
+def later(spark, st, benefits="Changed meanwhile"):
+    """Another batch that fills the benefits of service 1."""
+    batch, batches, r, d, cats = world(spark, [(20, 1, "UPDATE", "APPROVED", "SAFE_ADDITION", 1, None, None, None)], [(20, "benefits", benefits)], sha="t")
+    mg.apply_batch(st, {**batch, "id": 8}, batches, r, d, cats)
+
+
+def test_rows_are_checked_again_after_later_changes(spark, store):
+    later(spark, store)
+    staged = world(spark, [UPDATE], [(10, "benefits", "Five lakh")])
+    staged[0]["staged_version"] = 1
+    fields = spark.createDataFrame([(10, "benefits", "Five lakh")], "cand_id bigint, field string, value string")
+    with pytest.raises(mg.MergeRefused, match="give its fields"):
+        mg.apply_batch(store, *staged)
+    with pytest.raises(mg.MergeRefused, match="may not be applied"):
+        mg.apply_batch(store, *staged, fields=fields)
+    staged[0]["staged_version"] = 2  # compared with the changed catalogue, so nothing is stale
+    assert mg.apply_batch(store, *staged, fields=fields)["version"] == 3
+
+
+def test_a_text_that_came_meanwhile_is_no_change(spark, store):
+    later(spark, store, "Five lakh")
+    staged = world(spark, [UPDATE], DIFFS[:2])
+    fields = spark.createDataFrame([(10, "benefits", "Five lakh"), (10, "portal_link", "https://p.q/")], "cand_id bigint, field string, value string")
+    mg.apply_batch(store, *staged, fields=fields)
+    assert store.read("content").count() == 0 and store.read("source").count() == 1
+    mg.rollback_batch(store, 7)
+    staged[0]["id"] = 9
+    sections = spark.createDataFrame([(10, 1, 1, "NOTES", "five  LAKH", False, None)], "cand_id bigint, source_row int, source_column int, section_type string, content string, is_heading boolean, url string")
+    assert mg.apply_batch(store, *staged, sections=sections, dry_run=True)["no_change"] == 1  # a rollback counts as a change too
+
+
+def test_a_row_of_a_missing_service_is_refused(spark, store):
+    gone = (10, 1, "UPDATE", "APPROVED", "SAFE_ADDITION", 77, None, None, None)
+    with pytest.raises(mg.MergeRefused, match="does not exist"):
+        mg.apply_batch(store, *world(spark, [gone], DIFFS[:1]))
+    assert store.current() == 1
+
+
+def test_commands(spark, store, tmp_path, capsys):
+    batch, batches, r, d, cats = world(spark, [UPDATE, CREATE], DIFFS)
+    folder = str(tmp_path / "staged")
+    for name, df in (("batches", batches), ("rows", r), ("differences", d), ("categories", cats)):
+        df.write.parquet(f"{folder}/{name}")
+    staged = import_batch.Staged.read(spark, folder)
+    assert staged.fields is None
+    outcomes = []
+    for flags in ({}, {"dry_run": True}, {"confirm": True}, {"confirm": True}, {"rollback": True}):
+        done = import_batch.run(store, staged, 7, **flags)
+        outcomes.append((done["outcome"], done["version"], done["candidate_rows"], done["approved"]))
+    assert outcomes == [("PREVIEWED", None, 2, 2), ("DRY_RUN", None, 2, 2), ("IMPORTED", 2, 2, 2), ("REFUSED", None, 2, 2), ("ROLLED_BACK", 3, 2, 2)]
+    assert import_batch.main([store.root, folder, "7", "--rollback"]) == 1 and '"REFUSED"' in capsys.readouterr().out
+    with pytest.raises(mg.MergeRefused, match="no batch"):
+        import_batch.run(store, staged, 5)
