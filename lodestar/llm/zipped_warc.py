@@ -39,11 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import task_count
 from .common import Scratch
 
 LEAST_BYTES = 1000
-#: Size and records of an archive; bytes of records that are fetched at once; bytes of directory or index read at once.
-ARCHIVE_BYTES, ARCHIVE_RECORDS, BLOCK_BYTES, READ_BYTES = 1 << 30, 200_000, 4 << 20, 1 << 20
+#: Size and records of an archive; bytes of records that a task reads, and that it fetches at once; bytes of directory or index
+#: read at once.
+ARCHIVE_BYTES, ARCHIVE_RECORDS, TASK_BYTES, BLOCK_BYTES, READ_BYTES = 1 << 30, 200_000, 64 << 20, 4 << 20, 1 << 20
 #: Copies of one payload above one in so many of all copies are looked up in the task.
 HOT_SHARE = 1000
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
@@ -475,6 +477,9 @@ def read_records(archives: DataFrame, *, payload: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     blocks = archives.select("archive").mapInArrow(_blocks, "archive string, offsets array<bigint>, lengths array<bigint>")
-    dealt = blocks.repartition(F.xxhash64("archive", F.col("offsets")[0]))
+    # a row of blocks is small and its records are not, so the number of tasks follows the archives' size
+    size = archives.agg(F.sum("n_bytes")).first()[0] if "n_bytes" in archives.columns else 0
+    tasks = max(task_count(archives.sparkSession), -(-(size or 0) // TASK_BYTES))
+    dealt = blocks.repartition(tasks, F.xxhash64("archive", F.col("offsets")[0]))
     kinds = {"binary": "binary", "bool": "boolean", "int64": "bigint", "string": "string"}
     return dealt.mapInArrow(run, ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in schema))
