@@ -20,9 +20,13 @@ An empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, array_column, map_arrow, slices, texts_of
-from .word_cache import CachedEncoder, byte_symbols
+from .word_cache import byte_symbols
 
 #: Pairs whose counts travel to the tasks, and pairs that a task gathers before it passes them on.
-HEAD_PAIRS, FLUSH_PAIRS = 1 << 18, 1_000_000
-#: Bytes whose links are formed at once (a single longer text is still taken whole).
-LINK_BYTES = 2_000_000
+HEAD_PAIRS, FLUSH_PAIRS = 1 << 18, 400_000
+#: Bytes of ids whose links are formed at once (a single longer text is still taken whole).
+LINK_BYTES = 400_000
 #: Entries that a product may form before equal ones are summed.
 PRODUCT_ENTRIES = 1 << 22
 
@@ -54,7 +58,7 @@ class Csr:
         return len(self.indptr) - 1
 
     def row_of(self) -> np.ndarray:
-        return np.repeat(np.arange(self.rows), np.diff(self.indptr))
+        return np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(self.indptr))
 
     def transposed(self) -> Csr:
         order = np.argsort(self.indices, kind="stable")
@@ -78,7 +82,7 @@ class Csr:
 
     def _block(self, other: Csr, at: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mine = self.indices[self.indptr[at] : self.indptr[to]]
-        row = np.repeat(np.arange(at, to), np.diff(self.indptr[at : to + 1]))
+        row = np.repeat(np.arange(at, to, dtype=np.int32), np.diff(self.indptr[at : to + 1]))
         value = None if self.values is None else self.values[self.indptr[at] : self.indptr[to]]
         sizes = np.diff(other.indptr)[mine]
         if (sizes == 1).all():
@@ -87,22 +91,26 @@ class Csr:
             place = np.arange(sizes.sum()) + np.repeat(other.indptr[mine] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
             row = np.repeat(row, sizes)
             value = None if value is None else np.repeat(value, sizes)
-        pair = row * other.columns + other.indices[place]
-        value = np.ones(len(pair), np.int64) if value is None else value
+        column = other.indices[place]
         if other.values is not None:
-            value = value * other.values[place]
-        if not (pair[1:] >= pair[:-1]).all():
-            order = np.argsort(pair, kind="stable")
-            pair, value = pair[order], value[order]
-        starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-        summed = np.add.reduceat(value, starts) if len(starts) else value
-        return pair[starts] // other.columns, pair[starts] % other.columns, summed
+            value = other.values[place] if value is None else value * other.values[place]
+        same_row, step = row[1:] == row[:-1], np.diff(column)
+        if (same_row & (step < 0)).any():
+            order = np.lexsort((column, row))
+            row, column, value = row[order], column[order], None if value is None else value[order]
+            same_row, step = row[1:] == row[:-1], np.diff(column)
+        starts = np.flatnonzero(np.concatenate([[True], ~same_row | (step != 0)])) if len(row) else np.zeros(0, np.int64)
+        if value is None:
+            summed = np.diff(np.concatenate([starts, [len(row)]]))
+        else:
+            summed = np.add.reduceat(value, starts) if len(starts) else value
+        return row[starts], column[starts], summed
 
 
 def incidence(lengths: np.ndarray) -> Csr:
     """Token-byte matrix of tokens that stand one after another."""
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    return Csr(ends, np.arange(ends[-1]), int(ends[-1]))
+    return Csr(ends, np.arange(ends[-1], dtype=np.int32), int(ends[-1]))
 
 
 class Aligned:
@@ -176,40 +184,75 @@ def _names(size: int) -> Names:
     return Names(size)
 
 
-class PieceEncoder(CachedEncoder):
-    """Ids by a sentencepiece model whose pieces hold the space mark at their start only, so words are cut apart like those of
-    byte-level vocabularies. The model puts the first space back by itself. A space mark in a text counts as a space to the model, so
-    texts that hold one never have their own bytes; their ids may differ from those of the whole text."""
+class PieceEncoder:
+    """Ids of whole texts by a sentencepiece model, which puts the first space there by itself."""
+
+    lossless = False
 
     def __init__(self, model):
-        super().__init__(None, lead=" ")
         self.model = model
-        mark = "▁"
-        if any(mark in model.id_to_piece(i).lstrip(mark) for i in range(model.get_piece_size())):
-            raise ValueError("pieces with an inner space mark: texts can't be cut at spaces")
-        self.space = np.array([model.piece_to_id(mark)], "<u4").tobytes()
 
-    def _ask(self, words: list[str]) -> list[bytes]:
-        found = self.model.encode([w[1:] for w in words], num_threads=1)
-        return [np.array(ids, "<u4").tobytes() if ids else self.space if w else b"" for w, ids in zip(words, found, strict=True)]
+    def encode(self, spaced: list[str]) -> list[list[int]]:
+        return self.model.encode([t[1:] for t in spaced], num_threads=1)
+
+
+# Fixed value: the words that byte-level vocabularies of this kind are trained and applied on.
+BYTE_LEVEL_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts with a longer run of white space go to the tokenizers library, for the other one's pattern matching can't hold it.
+LONG_RUN = re.compile(r"\s{2000}")
+
+
+class ByteLevelEncoder:
+    """Ids of whole texts by a byte-level vocabulary. Where its merges stand in the order of their ids, and its words are the usual ones,
+    it is the same as a rank table, which the tiktoken library applies several times faster."""
+
+    def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            about = json.load(file)
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        vocabulary = about["model"]["vocab"]
+        self.table = [b""] * (max([*vocabulary.values(), *(t["id"] for t in about["added_tokens"])]) + 1)
+        for written, i in vocabulary.items():
+            self.table[i] = bytes(byte_of[c] for c in written) if all(c in byte_of for c in written) else written.encode()
+        self.ranks = self._ranks(about, {self.table[i]: i for i in vocabulary.values()})
+        #: a rank table holds all bytes, so its ids always have the bytes of the text
+        self.lossless = self.ranks is not None
+
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
 
-    def _ask_letters(self, words: list[str]) -> list[bytes]:
-        return self._ask([" " + w for w in words])
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
+    def _ranks(self, about: dict, ids: dict[bytes, int]):
+        cut, merges = about["pre_tokenizer"], about["model"]["merges"]
+        usual = about["normalizer"] is None and cut == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": cut.get("trim_offsets"), "use_regex": True}
+        made = [about["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        if not usual or made != sorted(set(made)) or len(set(ids)) < 256 + len(made):
+            return None
+        import tiktoken
+
+        kept = {s: ids[s] for s in ids if len(s) == 1} | {self.table[i]: i for i in made}
+        return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=kept, special_tokens={})
+
+    def encode(self, spaced: list[str]) -> list[list[int]]:
+        return [self._ids(t) for t in spaced]
+
+    def _ids(self, text: str) -> list[int]:
+        if self.ranks is None or LONG_RUN.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.ranks.encode_ordinary(text)
 
 
 @lru_cache(maxsize=2)
-def byte_level(path: str) -> tuple[CachedEncoder, list[bytes]]:
+def byte_level(path: str) -> tuple[ByteLevelEncoder, list[bytes]]:
     """Encoder of a byte-level vocabulary and the bytes of its ids; strings of special tokens are ordinary text."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    byte_of = {c: b for b, c in enumerate(byte_symbols())}
-    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-    table = [b""] * (max(vocabulary.values()) + 1)
-    for written, i in vocabulary.items():
-        table[i] = bytes(byte_of[c] for c in written) if all(c in byte_of for c in written) else written.encode()
-    return CachedEncoder(tokenizer, lead=" "), table
+    encoder = ByteLevelEncoder(path)
+    return encoder, encoder.table
 
 
 @lru_cache(maxsize=2)
@@ -225,24 +268,28 @@ def pieces(path: str) -> tuple[PieceEncoder, list[bytes]]:
     return PieceEncoder(model), table
 
 
+def id_type(table) -> str:
+    """Packed ids are little-endian unsigned numbers of 16 bits (``H``) where the vocabulary fits in them, else of 32 bits (``I``)."""
+    return "H" if len(table) <= 1 << 16 else "I"
+
+
 @lru_cache(maxsize=4)
 def _lengths(load, path: str) -> np.ndarray:
     return np.array([len(x) for x in load(path)[1]], np.int64)
 
 
 def tokens(docs: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``a`` and ``b``: ids of every text by both vocabularies (packed, little-endian unsigned 32 bit); empty where the
-    text has no tokens."""
+    """``key``, ``a`` and ``b``: ids of every text by both vocabularies (packed, see ``id_type``); empty where the text has no tokens."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         spaced = [" " + t if t else "" for t in texts_of(batch)]
         sides = []
         for load, path in ((byte_level, a_path), (pieces, b_path)):
             encoder, table = load(path)
-            get = table.__getitem__
+            get, kind = table.__getitem__, id_type(table)
             ids = encoder.encode(spaced)
-            whole = [b"".join(map(get, np.frombuffer(i, "<u4").tolist())) == t.encode() for i, t in zip(ids, spaced, strict=True)]
-            sides.append((ids, whole))
+            whole = [encoder.lossless or b"".join(map(get, i)) == t.encode() for i, t in zip(ids, spaced, strict=True)]
+            sides.append(([array(kind, i).tobytes() for i in ids], whole))
         (a, a_whole), (b, b_whole) = sides
         both = [x and y and t != "" for x, y, t in zip(a_whole, b_whole, spaced, strict=True)]
         return pa.RecordBatch.from_pydict({
@@ -255,9 +302,10 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id", te
 
 def _aligned(batch: pa.RecordBatch, a_path: str, b_path: str) -> Aligned:
     rows = [batch.column(c).to_pylist() for c in ("a", "b")]
-    ids = [np.frombuffer(b"".join(r), "<u4") for r in rows]
-    sizes = [np.array([len(x) // 4 for x in r], np.int64) for r in rows]
-    return Aligned(*ids, *sizes, _lengths(byte_level, a_path), _lengths(pieces, b_path))
+    lengths = [_lengths(byte_level, a_path), _lengths(pieces, b_path)]
+    ids = [np.frombuffer(b"".join(r), id_type(n)) for r, n in zip(rows, lengths, strict=True)]
+    sizes = [np.array([len(x) for x in r], np.int64) // i.itemsize for r, i in zip(rows, ids, strict=True)]
+    return Aligned(*ids, *sizes, *lengths)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 import random
 import re
@@ -96,7 +97,19 @@ def test_whole_ids_are_those_of_the_libraries():
     for load, path, k in ((alignment.byte_level, A, 0), (alignment.pieces, B, 2)):
         got = load(path)[0].encode([" " + t for t in texts])
         want = [row[k] for row in whole_ids(texts)]
-        assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+        assert got == want
+
+
+def test_long_runs_and_other_orders_go_to_the_library(tmp_path, monkeypatch):
+    encoder, library = alignment.ByteLevelEncoder(A), Tokenizer.from_file(A)
+    assert encoder.ranks is not None
+    for text in (" " * 300_000 + "a", " \n" * 100_000, "x" * 100_000, "!?" * 50_000, "a" + " " * 1_999 + "b"):
+        assert encoder.encode([text])[0] == library.encode(text, add_special_tokens=False).ids
+    about = json.load(open(A, encoding="utf-8"))
+    about["model"]["merges"][:2] = about["model"]["merges"][1::-1]
+    (tmp_path / "other.json").write_text(json.dumps(about), encoding="utf-8")
+    other = alignment.ByteLevelEncoder(str(tmp_path / "other.json"))
+    assert other.ranks is None and not other.lossless and len(other.encode(["the theatre"])[0]) > 0
 
 
 def test_links_and_groups(spark):
