@@ -1,7 +1,7 @@
 """What an import would change: incoming candidates against the catalogue's own wording.
 
-Existing texts stay tall: ``(service_id, bucket, norm)``. Text containment inside a service is an
-equi-join on a word both texts must share, so a service with very many texts is no single group.
+Existing texts stay tall: ``(service_id, bucket, norm)``. Text containment inside a service is an equi-join on the rarest
+feature that a contained text and its container must share, so a service with very many texts is no single group.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..session import materialize
+from ..session import BROADCAST_ROWS, materialize
 
 # --- fixed values: field routing ---------------------------------------------------------------
 CORE_BUCKETS = {
@@ -108,40 +108,128 @@ def text_exists(needle: Column, existing: Column) -> Column:
     return (needle == existing) | inside | around
 
 
-def _inner_word(norm) -> Column:
-    """Longest word that is neither first nor last, NULL for fewer than three words."""
-    words = F.split(norm, " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    return F.when(F.size(words) >= 3, longest["w"])
+#: pieces of words that stand for texts of one or two words
+EDGE, GRAM = 3, 6
+#: rows of one (keys, feature) that a task meets; features of more rows are split
+HEAVY_ROWS = 20_000
+
+
+def _pairs(first: Column, second: Column, key: Column, kind: str, p: int | None = None, q: int | None = None) -> Column:
+    """Hashes of neighbouring words, whole or cut to the last ``p`` and first ``q`` characters."""
+    if p is None:
+        return F.zip_with(first, second, lambda x, y: F.xxhash64(key, F.lit(kind), x, y))
+    cut = F.zip_with(first, second, lambda x, y: F.when(
+        (F.length(x) >= p) & (F.length(y) >= q), F.xxhash64(key, F.lit(kind), F.right(x, F.lit(p)), F.left(y, F.lit(q)))))
+    return F.array_compact(cut)
+
+
+def _kinds(texts: DataFrame) -> list[tuple]:
+    """Kinds of features that the contained texts need: at most 1 + 1 + EDGE * EDGE + 1."""
+    n = F.size("words")
+    edge = [F.least(F.length(F.get("words", F.lit(i))), F.lit(EDGE)) for i in (0, 1)]
+
+    def named(kind: str, p: Column | None = None, q: Column | None = None) -> Column:
+        none = F.lit(0)
+        return F.struct(F.lit(kind).alias("kind"), (none if p is None else p).alias("p"), (none if q is None else q).alias("q"))
+
+    kind = F.when(n >= 4, named("b")).when(n == 3, named("w")).when(n == 2, named("p", *edge)).otherwise(named("g"))
+    return sorted(tuple(r["k"]) for r in texts.where(F.col("size") >= CONTAIN_LENGTH).select(kind.alias("k")).distinct().collect())
+
+
+def _contained_features(texts: DataFrame) -> DataFrame:
+    """``(small_id, small_size, h)``: what every text that contains this one must show too.
+
+    Between the first and the last word of a contained text words stand as they are: from four words on each
+    pair of neighbours among them is a feature, with three words the middle one is. Of two words the end of the first and the
+    start of the second are kept, of a single long word its first letters.
+    """
+    n, w, key = F.size("words"), F.col("words"), F.col("key")
+    inner = _pairs(F.slice(w, 2, F.greatest(n - 3, F.lit(0))), F.slice(w, 3, F.greatest(n - 3, F.lit(0))), key, "b")
+    edge = F.xxhash64(key, F.lit("p"), F.right(F.get(w, F.lit(0)), F.lit(EDGE)), F.left(F.get(w, F.lit(1)), F.lit(EDGE)))
+    h = F.when(n >= 4, F.array_distinct(inner)).when(n == 3, F.array(F.xxhash64(key, F.lit("w"), F.get(w, F.lit(1))))).when(
+        n == 2, F.array(edge)).otherwise(F.array(F.xxhash64(key, F.lit("g"), F.left(F.get(w, F.lit(0)), F.lit(GRAM)))))
+    return texts.where(F.col("size") >= CONTAIN_LENGTH).select(F.col("id").alias("small_id"), F.col("size").alias("small_size"), F.explode(h).alias("h"))
+
+
+def _shown_features(texts: DataFrame, kinds: list[tuple]) -> DataFrame:
+    """``(big_id, big_size, h)``: all features of the given kinds in a text, each once."""
+    n, w, key = F.size("words"), F.col("words"), F.col("key")
+    first, second = F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0)))
+    parts = []
+    for kind, p, q in kinds:
+        if kind == "b":
+            parts.append(_pairs(first, second, key, "b"))
+        elif kind == "w":
+            parts.append(F.transform(w, lambda x: F.xxhash64(key, F.lit("w"), x)))
+        elif kind == "p":
+            parts.append(_pairs(first, second, key, "p", p, q))
+        else:
+            starts = lambda x: F.sequence(F.lit(1), F.length(x) - GRAM + 1)
+            long = F.filter(w, lambda x: F.length(x) >= CONTAIN_LENGTH)
+            parts.append(F.flatten(F.transform(long, lambda x: F.transform(starts(x), lambda i: F.xxhash64(key, F.lit("g"), F.substring(x, i, F.lit(GRAM)))))))
+    return texts.select(F.col("id").alias("big_id"), F.col("size").alias("big_size"), F.explode(F.array_distinct(F.concat(*parts))).alias("h"))
+
+
+def _containing_pairs(small: DataFrame, big: DataFrame, sizes: Column) -> DataFrame | None:
+    """``(small_id, big_id)`` of texts ``(id, key, size, words)`` that may contain one another.
+
+    A text is looked up by one feature only, the one that the fewest possible containers of its key show; a text with a
+    feature that none shows is in none. Lookups of a feature that many rows show are dealt over several tasks.
+    """
+    kinds = _kinds(small)
+    if not kinds:
+        return None
+    shown = _shown_features(big, kinds)
+    counts = shown.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    wanted = _contained_features(small)
+    # a text is open only while all its features are shown
+    rare = wanted.join(counts, "h", "left").groupBy("small_id", "small_size").agg(
+        F.min(F.struct("n", "h")).alias("x"), F.count_if(F.col("n").isNull()).alias("missing")).where("missing = 0")
+    parts = F.ceil(F.col("x.n") / HEAVY_ROWS).cast("int")
+    rare = materialize(rare.select("small_id", "small_size", F.col("x.h").alias("h"), parts.alias("parts")))
+    heavy = rare.where("parts > 1").select("h", "parts").distinct()
+    few = heavy.limit(BROADCAST_ROWS + 1).count()
+    if few:
+        heavy = F.broadcast(heavy) if few <= BROADCAST_ROWS else heavy
+        shown = shown.join(heavy, "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("big_id"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+        rare = rare.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rare.drop("parts").join(shown, ["h", "part"] if few else ["h"]).where(sizes).select("small_id", "big_id")
 
 
 def existing_needles(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming ``(needle_id, keys, norm)`` rows whose text some existing ``(keys, norm)`` shows.
 
-    An inner word of a contained text is a whole word of the other text, which makes containment
-    an equi-join on (keys, word). Texts of one or two words meet on the keys alone.
+    Equal texts meet in an equi-join. Containment, either way, meets on one hashed feature of (keys, contained text); texts
+    are fetched for these pairs only and compared in full. Blank texts count as shown; rows with a NULL key or text are not.
     """
-    a = incoming.select("needle_id", *keys, F.col("norm").alias("needle"))
-    b = existing.select(*keys, F.col("norm").alias("body")).distinct().withColumn("body_id", F.sha2("body", 256))
-    a, b = materialize(a), materialize(b)  # both sides are read several times
-    blank = a.where("needle = ''").select("needle_id")
-    a = a.where("needle <> ''")
-    same = a.withColumn("body_id", F.sha2("needle", 256)).join(b.select(*keys, "body_id"), [*keys, "body_id"], "left_semi").select("needle_id")
-    same = materialize(same)
-    # words travel with ids only; texts are fetched for the pairs that share a word
-    long_a = a.where(F.length("needle") >= CONTAIN_LENGTH).select("needle_id", *keys, _inner_word(F.col("needle")).alias("word"))
-    long_b = b.where(F.length("body") >= CONTAIN_LENGTH).select("body_id", *keys, _inner_word(F.col("body")).alias("word"))
-    words_a = a.select("needle_id", *keys, F.explode(F.array_distinct(F.split("needle", " "))).alias("word"))
-    words_b = b.select("body_id", *keys, F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
-    pair = ["needle_id", "body_id", *keys]
-    pairs = long_a.where("word IS NOT NULL").join(words_b, [*keys, "word"]).select(*pair)
-    pairs = pairs.union(words_a.join(long_b.where("word IS NOT NULL"), [*keys, "word"]).select(*pair))
-    pairs = pairs.union(long_a.where("word IS NULL").drop("word").join(b.select("body_id", *keys), keys).select(*pair))
-    pairs = pairs.union(a.select("needle_id", *keys).join(long_b.where("word IS NULL").drop("word"), keys).select(*pair))
-    open_pairs = pairs.distinct().join(same, "needle_id", "left_anti")
-    shown = open_pairs.join(a, ["needle_id", *keys]).join(b, ["body_id", *keys]).where(text_exists(F.col("needle"), F.col("body")))
-    return blank.union(same).union(shown.select("needle_id")).distinct()
+    def prepared(df: DataFrame, *more: str) -> DataFrame:
+        words = F.split("norm", " ")
+        rows = df.select(*more, *keys, "norm", F.length("norm").alias("size"), F.xxhash64(*keys).alias("key"), words.alias("words"))
+        return materialize(rows.withColumn("id", F.monotonically_increasing_id()))  # read several times
+
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    blank = incoming.where("norm = ''").select("needle_id")
+    b = prepared(existing.select(*keys, "norm").where(known & (F.col("norm") != "")).distinct())
+    open_rows = incoming.select("needle_id", *keys, "norm").where(known & (F.col("norm") != ""))
+    a = prepared(open_rows, "needle_id")
+    equal = materialize(a.select("id", "needle_id", *keys, "norm").join(b.select(*keys, "norm"), [*keys, "norm"], "left_semi").select("id", "needle_id"))
+    rest = a.join(equal.select("id"), "id", "left_anti")
+    a_texts, b_texts = (x.select(F.col("id").alias(f"{n}_id"), F.struct(*keys).alias(f"{n}_keys"), F.col("norm").alias(n)) for x, n in ((a, "needle"), (b, "body")))
+    inside = _containing_pairs(rest, b, F.col("small_size") <= F.col("big_size"))
+    around = _containing_pairs(b, rest, (F.col("small_size") <= F.col("big_size")) & (F.col("small_size") / F.col("big_size") >= CONTAIN_RATIO))
+    shown = None
+    for pairs, small, large in ((inside, "needle", "body"), (around, "body", "needle")):
+        if pairs is not None:
+            part = pairs.select(F.col("small_id").alias(f"{small}_id"), F.col("big_id").alias(f"{large}_id"))
+            shown = part if shown is None else shown.unionByName(part)
+    ids = blank.union(equal.select("needle_id"))
+    if shown is not None:
+        full = shown.join(a_texts, "needle_id").join(b_texts, "body_id")
+        hit = full.where((F.col("needle_keys") == F.col("body_keys")) & text_exists(F.col("needle"), F.col("body"))).select("needle_id").distinct()
+        ids = ids.union(a.select("needle_id", F.col("id").alias("__id")).join(hit.withColumnRenamed("needle_id", "__id"), "__id", "left_semi").select("needle_id"))
+    return ids.distinct()
 
 
 def _bucket_table(spark, own: dict, child: dict | None = None) -> DataFrame:

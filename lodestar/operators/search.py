@@ -310,20 +310,155 @@ def search_candidates(queries: DataFrame, services: DataFrame, texts: DataFrame)
     return matched.join(scores, ["query", "service_id"], "left").fillna(0, ["score"])
 
 
+#: services of a block, and queries that are answered together; both bound what a task holds
+BLOCK_SERVICES, BLOCK_QUERIES = 4_096, 1_000
+#: lists that aren't hits of a concept group: offered amounts, and by prefix exact amounts, short terms and titles
+OFFERED, PAID, TERM, TITLE, RAW = "offered", "paid:", "term:", "title:", "raw:"
+
+
+def title_hits(queries: DataFrame, services: DataFrame) -> DataFrame:
+    """``(query, service_id, boost)`` of titles that contain a query, met on the query's longest word."""
+    asked = queries.select("query", text.normalize_query("query").alias("q")).where("q <> ''").withColumn("anchor", _longest(_words(F.col("q"))))
+    titles = services.select(F.col("id").alias("service_id"), "title", text.normalize_query("title").alias("text")).where("text <> ''")
+    hits = word_hits(titles, asked)
+    rows = titles.select("service_id", F.explode(_words(F.col("text"))).alias("word")).join(hits, "word").select("service_id", "anchor").distinct()
+    found = rows.join(asked, "anchor").join(titles, "service_id").where(F.contains("text", F.col("q")))
+    return found.select("query", "service_id", title_boost("query", "title").alias("boost"))
+
+
+def _placed(services: DataFrame, blocks: int) -> DataFrame:
+    """Services dealt over blocks; ``offset`` counts them within their block in the order that decides between equal scores."""
+    from pyspark.sql import Window
+
+    rows = services.select(F.col("id").alias("service_id"), "title", "domain_order", text.normalize_query("title").alias("order_title"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("service_id"), F.lit(blocks)).cast("int"))
+    w = Window.partitionBy("block").orderBy("domain_order", "order_title", "service_id")
+    return rows.withColumn("offset", (F.row_number().over(w) - 1).cast("int"))
+
+
+def _plans(queries: DataFrame, groups: DataFrame, blocks: int) -> DataFrame:
+    """What to look up for each query: its groups, whether they are amounts, wanted amounts, required terms and all its lists."""
+    keys = groups.groupBy("query").agg(F.collect_list("grp").alias("groups"))
+    wanted = F.transform(amounts_in_lakh(F.col("query")), lambda x: x.cast("string"))
+    rows = queries.join(keys, "query", "left").withColumns({"groups": F.coalesce("groups", F.array().cast("array<string>")), "terms": required_terms(F.col("query"))})
+    n_amounts = F.size(F.filter("groups", lambda g: g.startswith("amount:")))
+    rows = rows.withColumn("n_amounts", n_amounts).withColumn("wanted", F.when(n_amounts > 0, wanted).otherwise(F.array().cast("array<string>")))
+    paid = F.transform("wanted", lambda x: F.concat(F.lit(PAID), x))
+    lists = F.concat(
+        "groups", F.array(F.concat(F.lit(RAW), "query"), F.concat(F.lit(TITLE), "query")), paid, F.transform("terms", lambda t: F.concat(F.lit(TERM), t)),
+        F.when(n_amounts > 0, F.array(F.lit(OFFERED))).otherwise(F.array().cast("array<string>")))
+    return rows.withColumns({"lists": lists, "part": F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")})
+
+
+_FOUND = "query string, block int, strict boolean, best int, n bigint, offsets array<int>, scores array<bigint>"
+
+
+def _answered(k: int):
+    """The first ``k`` services of a block for each query of a part, and how many match in all.
+
+    Whether a query's matches must show all its groups is known only when all blocks are done, so both answers are given.
+    """
+    from bisect import bisect_left
+    from decimal import Decimal
+
+    import numpy as np
+    import pandas as pd
+
+    def run(lists: pd.DataFrame, plans: pd.DataFrame) -> pd.DataFrame:
+        held = {g: (np.asarray(o, np.int64), np.asarray(p, np.int64)) for g, o, p in zip(lists["grp"], lists["offsets"], lists["points"], strict=True)}
+        offered = next((list(map(Decimal, a)) for g, a in zip(lists["grp"], lists["amounts"], strict=True) if g == OFFERED), [])
+        levels = sorted(set(offered))
+        level = np.array([bisect_left(levels, x) for x in offered], np.int64)
+        size = 1 + max((int(o.max()) for o, _ in held.values()), default=0)
+        block, out = int(lists["block"].iloc[0]) if len(lists) else 0, []
+
+        def mask(keys) -> np.ndarray:
+            on = np.zeros(size, bool)
+            for key in keys:
+                if key in held:
+                    on[held[key][0]] = True
+            return on
+
+        for plan in (plans["plans"].iloc[0] if len(plans) and len(lists) else ()):
+            query, groups, n_amounts, n = plan["query"], list(plan["groups"]), plan["n_amounts"], len(plan["groups"])
+            some = [held[g] for g in groups if g in held]
+            if not some and RAW + query not in held:
+                continue
+            plain = [held[g] for g in groups if g in held and not g.startswith("amount:")]
+            count = lambda xs: np.bincount(np.concatenate([o for o, _ in xs]), minlength=size) if xs else np.zeros(size, np.int64)
+            hits, score = count(some), np.zeros(size, np.int64)
+            for offsets, points in plain:
+                score[offsets] += points
+            matches = count(plain)
+            if n_amounts:
+                wanted = list(plan["wanted"])
+                exact, enough = mask(PAID + x for x in wanted), np.zeros(size, bool)
+                if wanted and offered:
+                    enough[held[OFFERED][0][level >= bisect_left(levels, min(map(Decimal, wanted)))]] = True
+                score += n_amounts * np.where(exact, POINTS["amount_exact"], np.where(enough, POINTS["amount_enough"], 0))
+                matches = matches + n_amounts * exact
+            score += np.where(matches == n, POINTS["all_groups"], np.where((n >= 3) & (matches == n - 1), POINTS["all_but_one"], 0))
+            score[hits == 0] = 0
+            if TITLE + query in held:
+                offsets, boost = held[TITLE + query]
+                score[offsets] += boost
+            raw, allowed = mask([RAW + query]), np.ones(size, bool)
+            for term in plan["terms"]:
+                allowed &= mask([TERM + term])
+            enough_groups = n if n <= 2 else 2 if n == 3 else max(2, n - 1)
+            for strict, needed in ((True, n), (False, enough_groups)):
+                found = np.flatnonzero(raw | (hits >= needed) & allowed & (n > 0))
+                first = found[np.lexsort((found, -score[found]))[:k]]
+                out.append((query, block, strict, int(hits.max()), len(found), first.astype(np.int32), score[first]))
+        return pd.DataFrame(out, columns=["query", "block", "strict", "best", "n", "offsets", "scores"])
+
+    return run
+
+
 def search(queries: DataFrame, services: DataFrame, texts: DataFrame, k: int = 250) -> DataFrame:
-    """Ranked search result per query, at most ``k`` rows each, plus the full match count."""
+    """Ranked search result per query, at most ``k`` rows each, plus the full match count.
+
+    Hits of a group become a list of places per block of services, with the group's points. A task combines the lists
+    that a part of the queries needs within one block and keeps ``k`` places a query, so no row per query and hit is ever made.
+    """
     from pyspark.sql import Window
 
-    found = search_candidates(queries, services, texts)
-    facts = services.select(F.col("id").alias("service_id"), "title", "domain_order")
-    rows = found.join(facts, "service_id").withColumn("score", F.col("score") + title_boost("query", "title"))
-    totals = rows.groupBy("query").agg(F.count(F.lit(1)).alias("result_count"))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "domain_order", text.normalize_query("title"), "service_id")
-    top = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.join(totals, "query").select(
-        "query", "service_id", "title", F.col("score").cast("bigint").alias("score"),
-        F.col("rank").cast("bigint").alias("rank"), "result_count",
-    )
+    queries = materialize(queries.select("query").where(F.trim("query") != "").distinct())
+    groups = materialize(query_groups(queries))
+    raw = queries.select("query", F.concat(F.lit(RAW), "query").alias("grp"), F.array("query").alias("variants"))
+    placed = materialize(_placed(services, -(-max(services.count(), 1) // BLOCK_SERVICES)))
+    place = placed.select("service_id", "block", "offset")
+    hits = materialize(group_hits(texts, groups.unionByName(raw)).join(place.select("service_id"), "service_id", "left_semi"))
+    plans = materialize(_plans(queries, groups, -(-max(queries.count(), 1) // BLOCK_QUERIES)))
+    none, post = F.lit(0).cast("bigint").alias("points"), ["grp", "service_id", "points"]
+    posts = _group_points(services, groups, hits).select("grp", "service_id", F.col("points").cast("bigint").alias("points"))
+    posts = posts.unionByName(hits.where(F.col("grp").startswith("amount:") | F.col("grp").startswith(RAW)).select("grp", "service_id", none))
+    posts = posts.unionByName(title_hits(queries, services).select(F.concat(F.lit(TITLE), "query").alias("grp"), "service_id", F.col("boost").cast("bigint").alias("points")))
+    if not plans.where(F.size("terms") > 0).limit(1).isEmpty():
+        posts = posts.unionByName(short_tech_evidence(texts).select(F.concat(F.lit(TERM), "term").alias("grp"), "service_id", none))
+    posts = posts.select(*post, F.lit("").alias("amount"))
+    if not plans.where("n_amounts > 0").limit(1).isEmpty():
+        money = services.select(F.col("id").alias("service_id"), amounts_in_lakh(text.join_nonblank(*RANK_TEXT)).alias("offered"), none).where(F.size("offered") > 0)
+        posts = posts.unionByName(money.select(F.lit(OFFERED).alias("grp"), "service_id", "points", F.array_max("offered").cast("string").alias("amount")))
+        paid = money.select("service_id", "points", F.explode("offered").alias("x"))
+        posts = posts.unionByName(paid.select(F.concat(F.lit(PAID), F.col("x").cast("string")).alias("grp"), "service_id", "points", F.lit("").alias("amount")))
+    # a list lies within one block, so it has a bounded length
+    lists = posts.join(place, "service_id").groupBy("grp", "block").agg(F.collect_set(F.struct("offset", "points", "amount")).alias("x"))
+    lists = lists.select("grp", "block", F.col("x.offset").alias("offsets"), F.col("x.points").alias("points"), F.col("x.amount").alias("amounts"))
+    sought = plans.select("part", F.explode("lists").alias("grp")).distinct()
+    lists = materialize(lists.join(sought, "grp"))
+    packed = plans.groupBy("part").agg(F.collect_list(F.struct("query", "groups", "n_amounts", "wanted", "terms")).alias("plans"))
+    needed = lists.select("part", "block").distinct().join(packed, "part").select(F.col("part").alias("of_part"), F.col("block").alias("of_block"), "plans")
+    both = lists.groupBy("part", "block").cogroup(needed.groupBy("of_part", "of_block")).applyInPandas(_answered(k), _FOUND)
+    found = materialize(both)
+    n_groups = plans.select("query", F.size("groups").alias("n_groups"))
+    rule = found.groupBy("query").agg(F.max("best").alias("best")).join(n_groups, "query")
+    chosen = found.join(rule.select("query", (F.col("best") == F.col("n_groups")).alias("strict")), ["query", "strict"])
+    totals = chosen.groupBy("query").agg(F.sum("n").alias("result_count"))
+    rows = chosen.select("query", "block", F.explode(F.arrays_zip("offsets", "scores")).alias("x")).select("query", "block", F.col("x.offsets").alias("offset"), F.col("x.scores").alias("score"))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "domain_order", "order_title", "service_id")
+    top = rows.join(placed, ["block", "offset"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.join(totals, "query").select("query", "service_id", "title", "score", F.col("rank").cast("bigint").alias("rank"), "result_count")
 
 
 # --- typeahead --------------------------------------------------------------------------------

@@ -33,6 +33,40 @@ def test_containment_join_equals_pairwise(spark):
     assert got == want
 
 
+def random_text(rnd, words, n):
+    return " ".join(rnd.choices(words, k=n))
+
+
+@pytest.mark.parametrize("heavy", [20_000, 3])
+def test_containment_in_one_large_service(spark, monkeypatch, heavy):
+    """One service holds four fifths of all texts; most share their words; contained texts start and end within words."""
+    monkeypatch.setattr(dl, "HEAVY_ROWS", heavy)
+    rnd = random.Random(3)
+    words = ["the", "of", "loan", "registration", "ab", "incorporation", "unternehmensgruendung", "a", "x1", "compliance/check"]
+    own = lambda i: 0 if i % 5 else 1 + i % 7
+    bodies = [(own(i), random_text(rnd, words, rnd.randint(1, 14))) for i in range(300)]
+    needles = []
+    for i in range(900):
+        s, b = bodies[rnd.randrange(len(bodies))]
+        start = rnd.randrange(len(b))
+        piece = b[start : start + rnd.randint(8, 60)]
+        text_ = rnd.choice([piece, piece.strip() + " " + rnd.choice(words), random_text(rnd, words, rnd.randint(1, 5)), b, b + " x1"]).strip()
+        needles.append((i, s, text_))
+    inc = spark.createDataFrame([*needles, (9_000, None, "the loan of the loan"), (9_001, 0, None), (9_002, None, "")], "needle_id bigint, service_id bigint, norm string")
+    ex = spark.createDataFrame([*bodies, (None, "the loan of the loan"), (0, None)], "service_id bigint, norm string").repartition(5)
+    got = {r[0] for r in dl.existing_needles(inc, ex, ["service_id"]).collect()}
+    assert got == {i for i, s, n in needles if exists(n, [b for k, b in bodies if k == s])} | {9_002}
+
+
+def test_a_text_is_looked_up_by_its_rarest_feature(spark):
+    """A thousand texts share all words but one; the pairs to compare are as many as the texts that hold it."""
+    body = spark.range(1_000).selectExpr("id", "1L AS key", "'the same long text with number n' || id || ' in it and more words' AS norm")
+    small = spark.range(1_000).selectExpr("id", "1L AS key", "'ext with number n' || id || ' in i' AS norm")
+    small, body = (x.selectExpr("id", "key", "length(norm) AS size", "split(norm, ' ') AS words") for x in (small, body))
+    assert dl._containing_pairs(small, body, F.lit(True)).count() == 1_000
+    assert dl._containing_pairs(small.where("id < 0"), body, F.lit(True)) is None
+
+
 def test_structured_differences(spark):
     texts = spark.createDataFrame([(1, "benefits", "grant of 5 lakh"), (1, "content", "long existing content about benefits")], "service_id bigint, bucket string, norm string")
     known = spark.createDataFrame([(1, "https://a.b/c", "FLYER")], "service_id bigint, url string, source_kind string")

@@ -1,10 +1,12 @@
 """Search on a small published catalogue; matching against a brute-force statement."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions import text
 from lodestar.operators import match as ma
 from lodestar.operators import search as se
 
@@ -48,6 +50,38 @@ def test_search(spark, catalogue):
     assert got["zzz nothing matches this zzz"] == []
 
 
+@pytest.mark.parametrize("blocks", [(4_096, 1_000), (3, 2)])
+def test_blocks_answer_as_pairs_do(spark, monkeypatch, blocks):
+    """Ranked answers equal those from every (query, service) row, with ties, amounts, short terms, more matches than places."""
+    monkeypatch.setattr(se, "BLOCK_SERVICES", blocks[0])
+    monkeypatch.setattr(se, "BLOCK_QUERIES", blocks[1])
+    rnd = random.Random(4)
+    words = ["loan", "women", "dairy", "ai", "iot", "grant", "export", "5 lakh", "2 crore", "25 lakh", "start-up", "seed", "gst", "repair", "and", "of", "99999999999999999999 lakh"]
+    rows = [(i, f"ITEM-{i:04d}", " ".join(rnd.choices(words, k=rnd.randint(1, 4))), " ".join(rnd.choices(words, k=rnd.randint(0, 5)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, service_id string, title string, benefits string")
+    for c in EMPTY:
+        if c != "benefits":
+            df = df.withColumn(c, F.lit(""))
+    df = df.withColumns({"service_kind": F.lit("REGISTRATION"), "domain_name": F.lit("Finance"), "category_name": F.lit("Bank"), "domain_order": (F.col("id") % 3).cast("int"),
+                         "industries": F.array().cast("array<string>")})
+    asked = [" ".join(rnd.choices(words, k=rnd.randint(1, 5))) for _ in range(40)] + ["ai", "loan for women in dairy with 5 lakh", "zzz", "", "of", "99999999999999999998 lakh grant"]
+    q = spark.createDataFrame([(x,) for x in asked], "query string")
+    none, cats = spark.createDataFrame([], "service_id bigint, category_id bigint"), spark.createDataFrame([], "id bigint, name string")
+    texts = se.catalogue_text(df, none, cats, [])
+    titles = {r[0]: (r[2], r[0] % 3) for r in rows}
+    pairs = {}
+    for r in se.search_candidates(q, df, texts).withColumn("t", F.col("service_id")).collect():
+        pairs.setdefault(r["query"], []).append((r["service_id"], r["score"]))
+    boosts = {(r["query"], r["id"]): r["b"] for r in df.crossJoin(q).select("id", "query", se.title_boost("query", "title").alias("b")).collect()}
+    norm = {r["id"]: r["t"] for r in df.select("id", text.normalize_query("title").alias("t")).collect()}
+    want = []
+    for query, found in pairs.items():
+        ranked = sorted((-(score + boosts[query, i]), titles[i][1], norm[i], i) for i, score in found)
+        want += [(query, i, -score, rank, len(found)) for rank, (score, _, _, i) in enumerate(ranked[:4], 1)]
+    got = [(r["query"], r["service_id"], r["score"], r["rank"], r["result_count"]) for r in se.search(q, df, texts, 4).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 60
+
+
 def test_new_row_is_found_at_once(spark, catalogue):
     more = catalogue.union(catalogue.where("id = 0").withColumns({"id": F.lit(9).cast("bigint"), "title": F.lit("New Credit Line")}))
     assert 9 in found(spark, more, "credit")["credit"]
