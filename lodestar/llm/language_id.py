@@ -36,7 +36,9 @@ STRENGTH, DECLARED_SMOOTH = 5.0, 0.5
 #: Parts that the pages of a host are dealt over to meet the host's prior.
 SALTS = 64
 
-_MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+#: Comments, scripts and styles that aren't closed run to the end.
+_MARKUP = re.compile(r"<!--.*?(?:-->|(?P<comment>\Z))|<(script|style)\b.*?(?:</\2\s*>|(?P<code>\Z))|<[^>]*>", re.S | re.I)
+_HIDDEN = re.compile(r"<!--|<(?:script|style)\b", re.I)
 
 
 def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +80,15 @@ def trigram_model(docs: DataFrame, *, lang: str = "lang", text: str = "text") ->
 
 
 def visible(source: str) -> str:
-    return html.unescape(_MARKUP.sub(" ", source))
+    """Text outside of markup. Behind the last ``>`` no tag can end, so none is looked for: the time is linear in the source."""
+    cut = source.rfind(">") + 1
+    parts, at, rest = [], 0, _HIDDEN.split(source[cut:], 1)[0]
+    for m in _MARKUP.finditer(source, 0, cut):
+        parts.append(source[at : m.start()])
+        at = m.end()
+        if m["comment"] is not None or m["code"] is not None:
+            rest = ""
+    return html.unescape(" ".join([*parts, source[at:cut] + rest]))
 
 
 def text_evidence(pages: DataFrame, langs: list[str], logs: np.ndarray, *, key: str, url: str, source: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 from lodestar.llm import html_wrappers, language_id
 from lodestar.llm.html_wrappers import Page, extract, joined, pattern_of
 
@@ -125,3 +127,13 @@ def test_host_prior_is_smoothed_over_its_parents(spark):
 
     got = counts.select(language_id.smoothed(F.col("c"), F.array(F.lit(0.25), F.lit(0.75)), 2.0).alias("p")).first()["p"]
     assert [round(x, 6) for x in got] == [0.85, 0.15]
+
+
+def test_markup_is_stripped_in_linear_time():
+    started = time.process_time()
+    for piece in ("<script>", "<!--", "<", "<style ", "</script ", "<script></script", "<a href='x'", "<!-- -- >"):
+        language_id.visible(piece * (1_000_000 // len(piece)))
+        language_id.visible("<p>" + piece * (1_000_000 // len(piece)) + ">")
+    assert time.process_time() - started < 20
+    cases = {"a<b>c</b>": "a c ", "a<!-- x": "a", "a <script>x": "a  ", "a<b>c<!-- d": "a c", "<p>a <!-- <b>": " a  ", "1 < 2": "1 < 2", "a<script>x</script >b<!--c-->d": "a b d", "": "", "a > b &amp; c": "a > b & c"}
+    assert {k: language_id.visible(k) for k in cases} == cases
