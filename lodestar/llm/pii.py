@@ -40,12 +40,16 @@ _SECRET = _ALNUM | frozenset("_-.+/=")
 _URL_END = frozenset(" \t\n\x0b\x0c\r\"'<>`{}|\\^")
 
 #: Words that announce an identifier.
-CUES = ("account", "acct", "iban", "ssn", "passport", "password", "passwd", "token", "secret", "api_key", "apikey", "api-key", "access_key")
+CUES = (
+    "account", "acct", "iban", "ssn", "passport", "password", "passwd", "token", "secret", "bearer",
+    "api_key", "apikey", "api-key", "api key", "access_key", "accesskey", "access-key", "access key",
+)
 _SCHEME, _AT, _PLUS, _CUE = range(4)
 _RUN = re.compile("[0-9]+")
-_SENSITIVE = re.compile(r"[?&;](?:account|acct|iban|ssn|token|session|sessionid|sid|user|uid|email)=[^&#;]+", re.I)
+#: Places where a parameter with a value starts; a look-ahead, so one within another's value is found too.
+_SENSITIVE = re.compile(r"(?=[?&;](?:account|acct|iban|ssn|token|session|sessionid|sid|user|uid|email)=[^&#;])", re.I)
 #: What may stand between a cue and its value.
-_LINK = re.compile(r"""[_-]?(?:numbers?|num|nr|no|id|is|was)(?:(?=[ :=#"'])|\.(?=[ :=#"'0-9]))|[ :=#"']""", re.I)
+_LINK = re.compile(r"""[_-]?(?:numbers?|num|nr|no|id|key|is|was)(?:(?=[ :=#"'])|\.(?=[ :=#"'0-9]))|[ :=#"']""", re.I)
 #: Groups of an IBAN; further ones in the same case.
 _IBAN_HEAD, _GROUP, _LOWER_GROUP = re.compile(r"[A-Za-z]{2} ?[0-9]{2}"), re.compile(r" ?[A-Z0-9]+"), re.compile(r" ?[a-z0-9]+")
 #: Shortest value behind a cue, and most letters and digits of an IBAN.
@@ -143,18 +147,34 @@ def cards_of(text: str, gaps: list[list[Span]]) -> list[Span]:
     return out
 
 
-def url_at(text: str, at: int, free: int) -> Span | None:
+class Urls:
+    """What URLs of one text hold. Those that end together are walked through once, whether they point to a person or not."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.known = self.last = self.stop = 0
+        self.mark = -1
+
+    def look(self, at: int) -> tuple[int, int]:
+        """End of the URL whose rest starts at ``at``, and the last place in it that points to a person."""
+        if not self.known <= at < self.last:
+            end = at
+            while end < len(self.text) and self.text[end] not in _URL_END:
+                end += 1
+            self.known = at
+            self.last = self.stop = end
+            while self.stop > at and self.text[self.stop - 1] in ".,;:!?)]":
+                self.stop -= 1
+            marks = (m.start() for m in _SENSITIVE.finditer(self.text, at, self.stop))
+            self.mark = max(self.text.rfind("@", at, self.stop), *marks, -1)
+        return max(at, self.stop), self.mark
+
+
+def url_at(text: str, at: int, free: int, urls: Urls) -> Span | None:
     """The URL around the ``://`` at ``at``, if it points to a person."""
     start = _back(text, at, free, _ALNUM)
-    end = at + 3
-    while end < len(text) and text[end] not in _URL_END:
-        end += 1
-    while end > at + 3 and text[end - 1] in ".,;:!?)]":
-        end -= 1
-    if start == at or end == at + 3:
-        return None
-    body = text[at + 3 : end]
-    return (start, end) if "@" in body or _SENSITIVE.search(body) else None
+    end, mark = urls.look(at + 3)
+    return (start, end) if start < at and end > at + 3 and mark >= at + 3 else None
 
 
 def iban(value: str) -> bool:
@@ -204,11 +224,14 @@ class Values:
 
 def account_after(text: str, cue: int, end: int, values: Values) -> Span | None:
     """The identifier behind a cue word: separators and link words, perhaps quotes, then one value with a digit in it."""
+    marked = text[cue:end].lower() == "bearer"
+    if text[end : end + 1] in ("s", "S"):  # several of them
+        end += 1
     if cue and (text[cue - 1].isalnum() or text[cue - 1] == "_") or end < len(text) and text[end].isalnum():
         return None
-    at, marked = end, False
+    at = end
     while m := _LINK.match(text, at):
-        marked |= m[0][-1] in ":=#"
+        marked |= m[0][-1] in ":=#" or m[0].lower() in ("is", "was")
         at = m.end()
     stop, span = values.end(at), spaced_iban(text, at)
     if span and span[1] > stop:
@@ -231,7 +254,7 @@ def spans_of(text: str) -> dict[str, list[Span]]:
                 found[kind].append(span)
 
     runs = [m.span() for m in _RUN.finditer(text)]
-    values = Values(text, runs)
+    values, urls = Values(text, runs), Urls(text)
     lowered = text if text.islower() else _ascii_lower(text)
     for last, (what, n) in _anchors().iter(lowered):
         at = last - n + 1
@@ -243,7 +266,7 @@ def spans_of(text: str) -> dict[str, list[Span]]:
                 take("phone", span, 9 <= sum(c in _DIGITS for c in text[span[0] : span[1]]) <= 15)
         elif what == _SCHEME:
             if at >= free["address"]:
-                take("address", url_at(text, at, free["address"]))
+                take("address", url_at(text, at, free["address"], urls))
         elif at >= free["account"]:
             take("account", account_after(text, at, last + 1, values))
     if len(runs) > 3 or runs and runs[-1][1] - runs[0][0] > 12:

@@ -71,6 +71,40 @@ def test_values_take_linear_time():
     assert time.process_time() - started < 20
 
 
+def test_urls_take_linear_time_and_equal_single_looks():
+    started = time.process_time()
+    for text in ("a://" * 250_000, "a://b?x=1;" * 100_000, "a://" + "b." * 500_000, "a://?user=" * 100_000 + "&"):
+        pii.spans_of(text)
+    assert time.process_time() - started < 20
+    rng = random.Random(9)
+    parts = ["a://", "://", "@", "?user=", "&sid=", ";token=x", " ", ".", ")", "b", "#", "user=", "?token=a?email=b"]
+    single = re.compile(r"[?&;](?:account|acct|iban|ssn|token|session|sessionid|sid|user|uid|email)=[^&#;]+", re.I)
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        want, free = [], 0
+        for m in re.finditer("://", text):
+            start, end = m.start(), m.end()
+            while start > free and text[start - 1].isalnum():
+                start -= 1
+            while end < len(text) and text[end] != " ":
+                end += 1
+            while end > m.end() and text[end - 1] in ".,;:!?)]":
+                end -= 1
+            body = text[m.end() : end]
+            if m.start() >= free and start < m.start() and body and ("@" in body or single.search(body)):
+                want.append((start, end))
+                free = end
+        assert pii.spans_of(text)["address"] == want, text
+
+
+def test_common_forms_of_cues():
+    for text, values in (
+        ("api key: sk-abc123def456", ["sk-abc123def456"]), ("passwords: abc12345", ["abc12345"]), ("my password is hunter22", ["hunter22"]), ("Authorization: Bearer abcdef1234567890", ["abcdef1234567890"]),
+        ("secret key = zz91zz91", ["zz91zz91"]), ("Access keys: AKIA99887766", ["AKIA99887766"]), ("the password is secret", []), ("a bearer of news in 2024", []), ("tokenset: abc12345", []),
+    ):
+        assert [text[a:b] for a, b in pii.spans_of(text)["account"]] == values, text
+
+
 def test_spans_of_hard_rows(spark):
     docs = documents(spark)
     rows = by_id(pii.find(docs))
