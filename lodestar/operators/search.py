@@ -459,84 +459,3 @@ def search(queries: DataFrame, services: DataFrame, texts: DataFrame, k: int = 2
     w = Window.partitionBy("query").orderBy(F.desc("score"), "domain_order", "order_title", "service_id")
     top = rows.join(placed, ["block", "offset"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.join(totals, "query").select("query", "service_id", "title", "score", F.col("rank").cast("bigint").alias("rank"), "result_count")
-
-
-# --- typeahead --------------------------------------------------------------------------------
-TYPEAHEAD_FIELDS = {
-    "title_c": ["title"],
-    "area_cat": ["category_name"],
-    "area_dom": ["domain_name"],
-    "industries_c": None,
-    "direct_c": [
-        "bde_summary", "overview", "benefits", "eligibility_summary", "applicable_for_raw", "funding_organisation",
-        "funding_type", "subsidy_details", "sales_pitch", "application_deadline_raw",
-    ],
-}
-
-
-def typeahead_catalogue(services: DataFrame, sections: DataFrame) -> DataFrame:
-    """Canonical text columns per service; computed once per catalogue version."""
-    from ..functions.wordlists import KIND_LABELS
-
-    labels = _literal_map(KIND_LABELS)
-    kind = F.coalesce(F.try_element_at(labels, F.col("service_kind")), F.col("service_kind"))
-    pieces = sections.select("service_id", text.canonicalize("content").alias("piece"))
-    out = services.select(
-        F.col("id").alias("service_id"), "title",
-        text.canonicalize("title").alias("title_c"),
-        text.canonicalize("service_id").alias("code_c"),
-        text.canonicalize("category_name").alias("category_c"),
-        text.canonicalize("domain_name").alias("domain_c"),
-        text.canonicalize(kind).alias("kind_c"),
-        text.canonicalize(F.array_join(F.coalesce("industries", F.array().cast("array<string>")), " ")).alias("industries_c"),
-        text.canonicalize(F.concat_ws(" ", *TYPEAHEAD_FIELDS["direct_c"])).alias("direct_c"),
-    )
-    return out, pieces
-
-
-def typeahead(queries: DataFrame, services: DataFrame, sections: DataFrame, k: int = 8) -> DataFrame:
-    """Top suggestions per query: tier by the best place where all its terms occur.
-
-    A term of up to three letters must be a whole word, a longer one any substring. Terms are
-    matched with the catalogue's distinct words through shared letter grams, per field.
-    """
-    from pyspark.sql import Window
-
-    base, pieces = typeahead_catalogue(services, sections)
-    asked = queries.select("query").distinct().select("query", text.canonicalize("query").alias("qc")).where(
-        (F.length(F.trim("query")) >= 2) & (F.col("qc") != "")
-    )
-    terms = asked.select("query", F.explode(F.array_distinct(F.split("qc", " "))).alias("anchor"))
-    fields = ["title_c", "code_c", "category_c", "domain_c", "kind_c", "industries_c", "direct_c"]
-    tall = base.select("service_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")).select(
-        "service_id", "x.field", "x.text").where("text <> ''")
-    tall = tall.unionByName(pieces.select("service_id", F.lit("content_c").alias("field"), F.col("piece").alias("text")))
-    hits = word_hits(tall, terms).where((F.length("anchor") > 3) | (F.col("word") == F.col("anchor")))
-    found = (
-        tall.select("service_id", "field", F.explode(_words(F.col("text"))).alias("word"))
-        .join(hits, "word").select("service_id", "field", "anchor").distinct()
-    )
-    per_term = terms.join(found, "anchor").groupBy("query", "service_id", "anchor").agg(
-        *[F.max(F.col("field") == f).alias(f) for f in [*fields, "content_c"]]
-    )
-    want = terms.groupBy("query").agg(F.count(F.lit(1)).alias("want"))
-    rows = (
-        per_term.groupBy("query", "service_id").agg(F.count(F.lit(1)).alias("have"), *[F.min(f).alias(f) for f in [*fields, "content_c"]])
-        .join(want, "query").where("have = want")
-        .join(asked, "query").join(base.select("service_id", "title", F.col("title_c").alias("tc")), "service_id")
-    )
-    tier = (
-        F.when(F.col("tc") == F.col("qc"), 0)
-        .when((F.length("qc") > 3) & F.col("tc").startswith(F.col("qc")), 1)
-        .when(F.col("title_c"), 2)
-        .when(F.col("category_c") | F.col("domain_c"), 3)
-        .when(F.col("industries_c"), 4)
-        .when(F.col("direct_c"), 5)
-        .when(F.col("content_c"), 6)
-        .otherwise(7)
-    )
-    w = Window.partitionBy("query").orderBy("tier", F.lower("title"), "service_id")
-    return (
-        rows.withColumn("tier", tier).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        .select("query", "service_id", "title", F.col("tier").cast("bigint").alias("tier"), F.col("rank").cast("bigint").alias("rank"))
-    )

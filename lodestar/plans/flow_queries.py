@@ -53,7 +53,7 @@ def register(reg: Registry) -> None:
         rows = ma.evaluate(mq.bought_pairs(Views(spark, sf_dir)), TODAY).withColumn("relevance", F.lit(0))
         return ma.rank_buckets(rows, ["client_id"], 50).select("client_id", "classification", "service_id", F.col("rank").cast("bigint").alias("rank"), "bucket_count")
 
-    for key, same in (("T3_suggestions", "Q8_typeahead"), ("U2_group_intersection", "Q4_intersection_or_threshold"), ("U3_guard_intersection", "F7_short_term_guard")):
+    for key, same in (("U2_group_intersection", "Q4_intersection_or_threshold"), ("U3_guard_intersection", "F7_short_term_guard")):
         reg.queries[key], reg.sql[key] = reg.queries[same], reg.sql[same]
 
     @reg.add("T5_resort", "v_service", "SELECT id, service_kind, title FROM v_service WHERE status IN ('APPROVED','PUBLISHED','EXPIRING') ORDER BY service_kind, id LIMIT 250")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text
 from lodestar.operators import match as ma
 from lodestar.operators import search as se
+from lodestar.operators import suggest as sg
 
 TITLES = [
     "Alpha Working Capital Credit Scheme", "Beta MSME Term Loan Programme",
@@ -132,3 +133,27 @@ def test_reasons(spark):
     row = ma.evaluate(ma.prepare_clients(c).crossJoin(ma.prepare_services(s).withColumnRenamed("id", "service_id")), "2024-06-15").first()
     assert row["classification"] == "NOT_ELIGIBLE" and row["mismatch_count"] == 3
     assert "mismatch" in row["checks"][0]["reason"]
+
+
+def suggestions(df):
+    return sorted((r["query"], r["rank"], r["service_id"], r["title"], r["tier"]) for r in df.collect())
+
+
+def test_index_equals_the_catalogue_and_follows_it(spark, catalogue, tmp_path):
+    asked = spark.createDataFrame([(x,) for x in ("credit", "loan term", "expo", "msme", "supply chain", "zzz", "b", "fin", "delta new", "working cap", "ban")], "query string")
+    notes = spark.createDataFrame([(0, "msme units welcome"), (3, "chain of shops"), (9, "brand new note")], "service_id bigint, content string")
+    index = sg.SuggestIndex(spark, str(tmp_path / "index"), rows_per_bucket=5)
+    assert index.build(catalogue, notes) == 1
+    assert suggestions(index.suggest(asked)) == suggestions(sg.typeahead(asked, catalogue, notes.where("service_id < 9")))
+    # one title changes, one service goes, one comes
+    other = catalogue.where("id <> 2").withColumn("title", F.when(F.col("id") == 3, "Delta New Facility").otherwise(F.col("title")))
+    other = other.unionByName(catalogue.where("id = 1").withColumns({"id": F.lit(9).cast("bigint"), "title": F.lit("Epsilon Loan Term Bank")}))
+    notes = notes.where("service_id <> 3")
+    before = {p for p in (tmp_path / "index").rglob("*.parquet")}
+    assert index.update(other, notes, spark.createDataFrame([(2,), (3,), (9,)], "service_id bigint")) == 2
+    assert before <= {p for p in (tmp_path / "index").rglob("*.parquet")}
+    got = suggestions(index.suggest(asked))
+    assert got == suggestions(sg.typeahead(asked, other, notes)) and {r[2] for r in got} == {0, 1, 3, 9}
+    # a call reads the index, not the catalogue's text
+    plan = index.suggest(asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "benefits" not in plan and "overview" not in plan
