@@ -6,11 +6,13 @@ feature that a contained text and its container must share, so a service with ve
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..session import BROADCAST_ROWS, materialize
+from ..session import BROADCAST_ROWS, materialize, spread
 
 # --- fixed values: field routing ---------------------------------------------------------------
 CORE_BUCKETS = {
@@ -112,6 +114,8 @@ def text_exists(needle: Column, existing: Column) -> Column:
 EDGE, GRAM = 3, 6
 #: rows of one (keys, feature) that a task meets; features of more rows are split
 HEAVY_ROWS = 20_000
+#: so few possible containers of a key are all compared
+FEW_TEXTS = 4
 
 
 def _pairs(first: Column, second: Column, key: Column, kind: str, p: int | None = None, q: int | None = None) -> Column:
@@ -170,15 +174,24 @@ def _shown_features(texts: DataFrame, kinds: list[tuple]) -> DataFrame:
     return texts.select(F.col("id").alias("big_id"), F.col("size").alias("big_size"), F.explode(F.array_distinct(F.concat(*parts))).alias("h"))
 
 
-def _containing_pairs(small: DataFrame, big: DataFrame, sizes: Column) -> DataFrame | None:
+def _containing_pairs(small: DataFrame, big: DataFrame, sizes: Column) -> DataFrame:
     """``(small_id, big_id)`` of texts ``(id, key, size, words)`` that may contain one another.
 
     A text is looked up by one feature only, the one that the fewest possible containers of its key show; a text with a
-    feature that none shows is in none. Lookups of a feature that many rows show are dealt over several tasks.
+    feature that none shows is in none. Lookups of a feature that many rows show are dealt over several tasks. Where a key has at most
+    ``FEW_TEXTS`` possible containers, these are its pairs and no text is taken apart.
     """
+    counted = materialize(big.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    few, many = counted.where(F.col("n") <= FEW_TEXTS).select("key"), counted.where(F.col("n") > FEW_TEXTS).select("key")
+    left = small.where(F.col("size") >= CONTAIN_LENGTH).join(few, "key", "left_semi").select("key", F.col("id").alias("small_id"), F.col("size").alias("small_size"))
+    right = big.join(few, "key", "left_semi").select("key", F.col("id").alias("big_id"), F.col("size").alias("big_size"))
+    pairs = left.join(right, "key").where(sizes).select("small_id", "big_id")
+    if many.limit(1).isEmpty():
+        return pairs
+    small, big = small.join(many, "key", "left_semi"), big.join(many, "key", "left_semi")
     kinds = _kinds(small)
     if not kinds:
-        return None
+        return pairs
     shown = _shown_features(big, kinds)
     counts = shown.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     wanted = _contained_features(small)
@@ -188,12 +201,32 @@ def _containing_pairs(small: DataFrame, big: DataFrame, sizes: Column) -> DataFr
     parts = F.ceil(F.col("x.n") / HEAVY_ROWS).cast("int")
     rare = materialize(rare.select("small_id", "small_size", F.col("x.h").alias("h"), parts.alias("parts")))
     heavy = rare.where("parts > 1").select("h", "parts").distinct()
-    few = heavy.limit(BROADCAST_ROWS + 1).count()
-    if few:
-        heavy = F.broadcast(heavy) if few <= BROADCAST_ROWS else heavy
+    n_heavy = heavy.limit(BROADCAST_ROWS + 1).count()
+    if n_heavy:
+        heavy = F.broadcast(heavy) if n_heavy <= BROADCAST_ROWS else heavy
         shown = shown.join(heavy, "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("big_id"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
         rare = rare.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rare.drop("parts").join(shown, ["h", "part"] if few else ["h"]).where(sizes).select("small_id", "big_id")
+    met = rare.drop("parts").join(shown, ["h", "part"] if n_heavy else ["h"]).where(sizes)
+    return pairs.unionByName(met.select("small_id", "big_id"))
+
+
+def _in_reach(small: DataFrame, big: DataFrame, ratio: float | None) -> tuple[DataFrame, DataFrame]:
+    """Rows that have a partner of fitting size under their key; compared by sizes alone, before any text is taken apart.
+
+    Without a ratio a text fits into a longest one of its key. With a ratio both sizes lie in one step of that ratio or in
+    neighbouring steps.
+    """
+    if ratio is None:
+        most = big.groupBy("key").agg(F.max("size").alias("most"))
+        least = small.where(F.col("size") >= CONTAIN_LENGTH).groupBy("key").agg(F.min("size").alias("least"))
+        near_small = small.join(most, "key").where((F.col("size") <= F.col("most")) & (F.col("size") >= CONTAIN_LENGTH)).drop("most")
+        return near_small, big.join(least, "key").where(F.col("size") >= F.col("least")).drop("least")
+    step = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(ratio))).cast("int")
+    small, big = small.where(F.col("size") >= CONTAIN_LENGTH).withColumn("step", step), big.withColumn("step", step)
+    steps = lambda df, *more: df.select("key", F.explode(F.array(*[F.col("step") + i for i in (0, *more)])).alias("step")).distinct()
+    # one more step on either side, for sizes at a step's border
+    near_small = small.join(steps(big, -1, -2, 1), ["key", "step"], "left_semi").drop("step")
+    return near_small, big.join(steps(small, 1, 2, -1), ["key", "step"], "left_semi").drop("step")
 
 
 def existing_needles(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -202,34 +235,32 @@ def existing_needles(incoming: DataFrame, existing: DataFrame, keys: list[str])
     Equal texts meet in an equi-join. Containment, either way, meets on one hashed feature of (keys, contained text); texts
     are fetched for these pairs only and compared in full. Blank texts count as shown; rows with a NULL key or text are not.
     """
-    def prepared(df: DataFrame, *more: str) -> DataFrame:
-        words = F.split("norm", " ")
-        rows = df.select(*more, *keys, "norm", F.length("norm").alias("size"), F.xxhash64(*keys).alias("key"), words.alias("words"))
-        return materialize(rows.withColumn("id", F.monotonically_increasing_id()))  # read several times
-
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
     blank = incoming.where("norm = ''").select("needle_id")
-    b = prepared(existing.select(*keys, "norm").where(known & (F.col("norm") != "")).distinct())
-    open_rows = incoming.select("needle_id", *keys, "norm").where(known & (F.col("norm") != ""))
-    a = prepared(open_rows, "needle_id")
-    equal = materialize(a.select("id", "needle_id", *keys, "norm").join(b.select(*keys, "norm"), [*keys, "norm"], "left_semi").select("id", "needle_id"))
-    rest = a.join(equal.select("id"), "id", "left_anti")
-    a_texts, b_texts = (x.select(F.col("id").alias(f"{n}_id"), F.struct(*keys).alias(f"{n}_keys"), F.col("norm").alias(n)) for x, n in ((a, "needle"), (b, "body")))
-    inside = _containing_pairs(rest, b, F.col("small_size") <= F.col("big_size"))
-    around = _containing_pairs(b, rest, (F.col("small_size") <= F.col("big_size")) & (F.col("small_size") / F.col("big_size") >= CONTAIN_RATIO))
+    same = [*keys, "norm"]
+    facts = [*same, F.length("norm").alias("size"), F.xxhash64(*keys).alias("key")]
+    # small texts, much work: dealt over all tasks by what the comparison of equal texts needs anyway
+    b = spread(existing.select(*same).where(known & (F.col("norm") != "")), *same).distinct()
+    b = materialize(b.select(*facts).withColumn("id", F.monotonically_increasing_id()))
+    a = spread(incoming.select("needle_id", *same).where(known & (F.col("norm") != "")), *same)
+    a = a.join(b.select(*same, F.lit(True).alias("equal")), same, "left").select("needle_id", *facts, F.coalesce("equal", F.lit(False)).alias("equal"))
+    a = materialize(a.withColumn("id", F.monotonically_increasing_id()))
+    rest = a.where("NOT equal")
+    a_texts, b_texts = (x.select(F.col("id").alias(f"{n}_id"), F.struct(*keys).alias(f"{n}_keys"), F.col("norm").alias(n)) for x, n in ((rest, "needle"), (b, "body")))
     shown = None
-    for pairs, small, large in ((inside, "needle", "body"), (around, "body", "needle")):
-        if pairs is not None:
-            part = pairs.select(F.col("small_id").alias(f"{small}_id"), F.col("big_id").alias(f"{large}_id"))
-            shown = part if shown is None else shown.unionByName(part)
-    ids = blank.union(equal.select("needle_id"))
-    if shown is not None:
-        full = shown.join(a_texts, "needle_id").join(b_texts, "body_id")
-        hit = full.where((F.col("needle_keys") == F.col("body_keys")) & text_exists(F.col("needle"), F.col("body"))).select("needle_id").distinct()
-        ids = ids.union(a.select("needle_id", F.col("id").alias("__id")).join(hit.withColumnRenamed("needle_id", "__id"), "__id", "left_semi").select("needle_id"))
-    return ids.distinct()
+    sizes = F.col("small_size") / F.col("big_size")
+    for small, big, ratio, names in ((rest, b, None, ("needle", "body")), (b, rest, CONTAIN_RATIO, ("body", "needle"))):
+        columns = ["id", "key", "size", F.split("norm", " ").alias("words")]
+        small, big = (x.select(*columns) for x in _in_reach(small, big, ratio))
+        pairs = _containing_pairs(small, big, (sizes <= 1) if ratio is None else (sizes <= 1) & (sizes >= ratio))
+        part = pairs.select(F.col("small_id").alias(f"{names[0]}_id"), F.col("big_id").alias(f"{names[1]}_id"))
+        shown = part if shown is None else shown.unionByName(part)
+    full = shown.join(a_texts, "needle_id").join(b_texts, "body_id")
+    hit = full.where((F.col("needle_keys") == F.col("body_keys")) & text_exists(F.col("needle"), F.col("body"))).select("needle_id").distinct()
+    found = a.select("needle_id", F.col("id").alias("__id")).join(hit.withColumnRenamed("needle_id", "__id"), "__id", "left_semi").select("needle_id")
+    return blank.union(a.where("equal").select("needle_id")).union(found).distinct()
 
 
 def _bucket_table(spark, own: dict, child: dict | None = None) -> DataFrame:

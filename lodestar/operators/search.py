@@ -22,7 +22,7 @@ from ..functions.search_terms import (
     SPECIFIC_FINANCE,
     TOKEN_TO_CONCEPT,
 )
-from ..session import materialize
+from ..session import materialize, spread
 
 #: never part of a query, so joined fields cannot match across their border
 FIELD_BREAK = "\u0001"
@@ -243,7 +243,8 @@ def _group_points(services: DataFrame, groups: DataFrame, hits: DataFrame) -> Da
         + F.when(any_in("core"), POINTS["core"]).otherwise(0)
         + F.when(any_in("area"), POINTS["area"]).otherwise(0)
     )
-    return hits.join(variants, "grp").join(body, "service_id").select("grp", "service_id", points.alias("points"))
+    # little data, much work: dealt over all tasks by the key of the join
+    return spread(hits.join(variants, "grp"), "service_id").join(body, "service_id").select("grp", "service_id", points.alias("points"))
 
 
 def rank_scores(services: DataFrame, groups: DataFrame, hits: DataFrame) -> DataFrame:
@@ -438,7 +439,9 @@ def search(queries: DataFrame, services: DataFrame, texts: DataFrame, k: int = 2
         posts = posts.unionByName(short_tech_evidence(texts).select(F.concat(F.lit(TERM), "term").alias("grp"), "service_id", none))
     posts = posts.select(*post, F.lit("").alias("amount"))
     if not plans.where("n_amounts > 0").limit(1).isEmpty():
-        money = services.select(F.col("id").alias("service_id"), amounts_in_lakh(text.join_nonblank(*RANK_TEXT)).alias("offered"), none).where(F.size("offered") > 0)
+        written = services.select(F.col("id").alias("service_id"), text.join_nonblank(*RANK_TEXT).alias("written")).where(F.regexp_like("written", F.lit("[0-9]")))
+        # read twice; an expression this dear must not be pushed into both uses
+        money = materialize(spread(written, "service_id").select("service_id", amounts_in_lakh(F.col("written")).alias("offered"), none)).where(F.size("offered") > 0)
         posts = posts.unionByName(money.select(F.lit(OFFERED).alias("grp"), "service_id", "points", F.array_max("offered").cast("string").alias("amount")))
         paid = money.select("service_id", "points", F.explode("offered").alias("x"))
         posts = posts.unionByName(paid.select(F.concat(F.lit(PAID), F.col("x").cast("string")).alias("grp"), "service_id", "points", F.lit("").alias("amount")))

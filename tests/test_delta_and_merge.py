@@ -37,10 +37,11 @@ def random_text(rnd, words, n):
     return " ".join(rnd.choices(words, k=n))
 
 
-@pytest.mark.parametrize("heavy", [20_000, 3])
-def test_containment_in_one_large_service(spark, monkeypatch, heavy):
+@pytest.mark.parametrize("heavy,few", [(20_000, 4), (3, 0), (20_000, 1_000)])
+def test_containment_in_one_large_service(spark, monkeypatch, heavy, few):
     """One service holds four fifths of all texts; most share their words; contained texts start and end within words."""
     monkeypatch.setattr(dl, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(dl, "FEW_TEXTS", few)
     rnd = random.Random(3)
     words = ["the", "of", "loan", "registration", "ab", "incorporation", "unternehmensgruendung", "a", "x1", "compliance/check"]
     own = lambda i: 0 if i % 5 else 1 + i % 7
@@ -64,7 +65,7 @@ def test_a_text_is_looked_up_by_its_rarest_feature(spark):
     small = spark.range(1_000).selectExpr("id", "1L AS key", "'ext with number n' || id || ' in i' AS norm")
     small, body = (x.selectExpr("id", "key", "length(norm) AS size", "split(norm, ' ') AS words") for x in (small, body))
     assert dl._containing_pairs(small, body, F.lit(True)).count() == 1_000
-    assert dl._containing_pairs(small.where("id < 0"), body, F.lit(True)) is None
+    assert dl._containing_pairs(small.where("id < 0"), body, F.lit(True)).count() == 0
 
 
 def test_structured_differences(spark):
