@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ..functions import money
 from ..operators import analytics as an
 from ..operators import review as rv
 from ..operators import windows as win
+from ..session import scratch_dir
 from .registry import Registry
 from .views import BASE_TABLES, table
 
@@ -162,6 +164,15 @@ def register(reg: Registry) -> None:
     def _(v):
         return v.activity.where(~an.retention_split(NOW, 515, 525, "created_at", "action")).select("id", "action")
 
+    @reg.add("M8_retention_rewrite", "v_activity", """SELECT id, action FROM v_activity WHERE NOT (CASE WHEN action IN ('LOGIN_FAILED','LOGIN_BLOCKED','PERMISSION_DENIED') THEN created_at < TIMESTAMP '2024-01-07 12:00:00' ELSE created_at < TIMESTAMP '2024-01-17 12:00:00' END)""")
+    def _(v):
+        from ..streaming import activity as ac
+
+        path = f"{scratch_dir(v.spark)}/log-{uuid.uuid4().hex}"
+        ac.append_events(v.activity.drop("day"), path)
+        ac.retain(v.spark, path, NOW, 515, 525)
+        return v.spark.read.parquet(path).select("id", "action")
+
     @reg.add("F24_numeric_targets", "v_activity", "SELECT id, TRY_CAST(target_id AS BIGINT) AS target FROM v_activity WHERE regexp_full_match(target_id, '[0-9]+')")
     def _(v):
         return v.activity.select("id", F.expr("try_cast(target_id AS bigint)").alias("target")).where("target IS NOT NULL")

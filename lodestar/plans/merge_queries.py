@@ -126,7 +126,17 @@ def register(reg: Registry) -> None:
         d = dl.structured_differences(candidate_fields(v), no_links(v), materialize(snapshot(v)), source_urls(v))
         return dl.candidate_status(c, d, v.service).select("cand_id", "delta_status")
 
-    @reg.add("M4_narrative_differences")
+    own = "ex.service_id = n.service_id AND (ex.bucket = 'content' OR (n.section_type = 'ELIGIBILITY' AND ex.bucket = 'rules'))"
+    # every section offers a link of its own, so it is compared though its text is shown
+    narrative = f"""WITH {SNAP}, {SRC}, ex AS (SELECT * FROM sn),
+      n AS (SELECT id AS cand_id, service_id + id % 2 AS service_id, section_type, {NT.format('content')} AS norm FROM v_section WHERE trim(content) <> ''),
+      fl AS (SELECT cand_id, section_type, {EXISTS.format(keys='ex.service_id = n.service_id')} AS shown, {EXISTS.format(keys=own)} AS in_own, EXISTS (SELECT 1 FROM ex WHERE {own}) AS own_filled,
+        EXISTS (SELECT 1 FROM ex WHERE ex.service_id = n.service_id) AS any_filled, EXISTS (SELECT 1 FROM su WHERE su.service_id = n.service_id) AS any_url FROM n),
+      op AS (SELECT * FROM fl WHERE NOT CASE WHEN own_filled THEN in_own ELSE shown END)
+      SELECT cand_id, 'section:' || section_type AS field, CASE WHEN any_filled THEN 'CHANGED_INFORMATION' ELSE 'SAFE_ADDITION' END AS change_type FROM op
+      UNION ALL SELECT cand_id, 'link:' || section_type, CASE WHEN any_url THEN 'CHANGED_INFORMATION' ELSE 'SAFE_ADDITION' END FROM op"""
+
+    @reg.add("M4_narrative_differences", "v_service v_section v_rule", narrative)
     def _(v):
         s = v.section.select(F.col("id").alias("cand_id"), ((F.col("service_id") + F.col("id") % 2)).alias("service_id"), F.col("id").alias("source_row"), F.lit(1).alias("source_column"),
                              "section_type", "content", F.lit(False).alias("is_heading"), F.concat(F.lit("https://x.example/"), F.col("id").cast("string")).alias("url"))
@@ -142,9 +152,9 @@ def register(reg: Registry) -> None:
         return mg.dispatch(v.row).select("id", "step")
 
     def diffs(v):
-        return candidate_fields(v).where("trim(value) <> ''").select("cand_id", (F.col("cand_id") % 5).alias("ord"), (F.col("service_id") % 400).alias("service_id"), "field", F.col("value").alias("incoming"), F.lit("p").alias("provenance"))
+        return candidate_fields(v).where("trim(value) <> ''").select("cand_id", (F.col("cand_id") % 5).alias("ord"), (F.col("service_id") - F.col("service_id") % 4).alias("service_id"), "field", F.col("value").alias("incoming"), F.lit("p").alias("provenance"))
 
-    dd = f"{CAND}, dd AS (SELECT cand_id, cand_id % 5 AS ord, service_id % 400 AS service_id, field, value AS incoming, {NT.format('value')} AS norm FROM cf WHERE trim(value) <> '')"
+    dd = f"{CAND}, dd AS (SELECT cand_id, cand_id % 5 AS ord, service_id - service_id % 4 AS service_id, field, value AS incoming, {NT.format('value')} AS norm FROM cf WHERE trim(value) <> '')"
 
     @reg.add("M7h_route", "v_service", f"WITH {dd} SELECT cand_id, field, CASE field WHEN 'benefits' THEN 'core' WHEN 'eligibility' THEN 'core' WHEN 'deadline' THEN 'core' WHEN 'additional_info' THEN 'core' WHEN 'minimum_charge' THEN 'commercial' WHEN 'portal_link' THEN 'source' ELSE 'content' END AS target FROM dd")
     def _(v):
@@ -161,10 +171,10 @@ def register(reg: Registry) -> None:
         n = sum([F.when(F.col(c) != F.col(f"o_{c}"), 1).otherwise(0) for c in ("benefits", "eligibility_summary", "application_deadline_raw", "important_notes")], F.lit(0))
         return j.select("id", "benefits", "important_notes", n.cast("bigint").alias("filled"))
 
-    @reg.add("J10_existence_anti_join", "v_section", f"SELECT a.id FROM v_section a WHERE NOT EXISTS (SELECT 1 FROM v_section b WHERE b.service_id % 97 = a.id % 97 AND b.id % 2 = 0 AND {NT.format('b.content')} = {NT.format('a.content')})")
+    @reg.add("J10_existence_anti_join", "v_section", f"SELECT a.id FROM v_section a WHERE NOT EXISTS (SELECT 1 FROM v_section b WHERE b.service_id = a.service_id AND b.id % 2 = 0 AND {NT.format('b.content')} = {NT.format('a.content')})")
     def _(v):
-        new = v.section.select("id", (F.col("id") % 97).alias("k"), "content")
-        have = v.section.where("id % 2 = 0").select((F.col("service_id") % 97).alias("k"), "content")
+        new = v.section.select("id", F.col("service_id").alias("k"), "content")
+        have = v.section.where("id % 2 = 0").select(F.col("service_id").alias("k"), "content")
         return kn.missing_rows(new, have, ["k"], "content").select("id")
 
     @reg.add("M7e_content_overflow", "v_service v_section", f"WITH {dd}, ok AS (SELECT DISTINCT service_id, norm FROM dd WHERE field = 'unlisted' AND NOT EXISTS (SELECT 1 FROM v_section x WHERE x.service_id = dd.service_id AND {NT.format('x.content')} = dd.norm)) SELECT service_id, count(*) AS n FROM ok GROUP BY 1")
@@ -221,28 +231,28 @@ def register(reg: Registry) -> None:
         return p.select(F.col("object_key").alias("object_pk"), F.col("before_json").alias("restored"), (F.col("before_json") == "").alias("deleted"))
 
     # --- knowledge -------------------------------------------------------------------------------
-    @reg.add("J13_section_service", "v_section v_row", """, sec AS (SELECT id, CASE WHEN id % 3 = 0 THEN service_id END AS service_id, id * 1000 + 1 AS import_row_id, id % 50 AS document_id FROM v_section),
-      doc AS (SELECT DISTINCT id % 50 AS id, CASE WHEN id % 50 < 25 THEN id % 50 END AS service_id, (id % 50) * 1000 + 2 AS import_row_id FROM v_section)
+    @reg.add("J13_section_service", "v_section v_row", """, sec AS (SELECT id, CASE WHEN id % 3 = 0 THEN service_id END AS service_id, id * 1000 + 1 AS import_row_id, id - id % 5 AS document_id FROM v_section),
+      doc AS (SELECT DISTINCT id - id % 5 AS id, CASE WHEN id % 10 < 5 THEN id - id % 5 END AS service_id, (id - id % 5) * 1000 + 2 AS import_row_id FROM v_section)
       SELECT sec.id, coalesce(sec.service_id, r.imported_service_id, r.matched_service_id, doc.service_id, q.imported_service_id, q.matched_service_id) AS resolved_id,
         CASE WHEN sec.service_id IS NOT NULL THEN 'DIRECT_SERVICE' WHEN coalesce(r.imported_service_id, r.matched_service_id) IS NOT NULL THEN 'SOURCE_IMPORT_ROW' WHEN doc.service_id IS NOT NULL THEN 'DOCUMENT_SERVICE'
          WHEN coalesce(q.imported_service_id, q.matched_service_id) IS NOT NULL THEN 'DOCUMENT_IMPORT_ROW' ELSE 'UNRESOLVED' END AS method
       FROM sec LEFT JOIN v_row r ON r.id = sec.import_row_id LEFT JOIN doc ON doc.id = sec.document_id LEFT JOIN v_row q ON q.id = doc.import_row_id""")
     def _(v):
         i = F.col("id")
-        sec = v.section.select(i, F.when(i % 3 == 0, F.col("service_id")).alias("service_id"), (i * 1000 + 1).alias("import_row_id"), (i % 50).alias("document_id"))
-        d = v.section.select((i % 50).alias("id")).distinct()
-        doc = d.select("id", F.when(i < 25, i).alias("service_id"), (i * 1000 + 2).alias("import_row_id"))
+        sec = v.section.select(i, F.when(i % 3 == 0, F.col("service_id")).alias("service_id"), (i * 1000 + 1).alias("import_row_id"), (i - i % 5).alias("document_id"))
+        d = v.section.select((i - i % 5).alias("id")).distinct()
+        doc = d.select("id", F.when(i % 10 < 5, i).alias("service_id"), (i * 1000 + 2).alias("import_row_id"))
         return kn.resolve_section_service(sec, v.row, doc).select("id", "resolved_id", "method")
 
-    @reg.add("W2_heading_carry", "v_section", "SELECT id, last_value(CASE WHEN id % 4 = 0 THEN title END IGNORE NULLS) OVER (PARTITION BY id % 30, section_type ORDER BY id ROWS UNBOUNDED PRECEDING) AS carried FROM v_section")
+    @reg.add("W2_heading_carry", "v_section", "SELECT id, last_value(CASE WHEN id % 4 = 0 THEN title END IGNORE NULLS) OVER (PARTITION BY id - id % 40, id % 2 ORDER BY id ROWS UNBOUNDED PRECEDING) AS carried FROM v_section")
     def _(v):
-        s = v.section.select("id", (F.col("id") % 30).alias("service_id"), "section_type", F.when(F.col("id") % 4 == 0, F.col("title")).alias("heading"))
+        s = v.section.select("id", (F.col("id") - F.col("id") % 40).alias("service_id"), (F.col("id") % 2).cast("string").alias("section_type"), F.when(F.col("id") % 4 == 0, F.col("title")).alias("heading"))
         return kn.carried_heading(s, 100).select("id", "carried")
 
-    @reg.add("W13_step_numbers", "v_section", """, i AS (SELECT id, id % 30 AS service_id, section_type, unnest(string_split(content, '|')) AS item, generate_subscripts(string_split(content, '|'), 1) AS pos FROM (SELECT id, section_type, 'Step one ' || id || '|Step two|' || title AS content FROM v_section) x)
+    @reg.add("W13_step_numbers", "v_section", """, i AS (SELECT id, id - id % 40 AS service_id, section_type, unnest(string_split(content, '|')) AS item, generate_subscripts(string_split(content, '|'), 1) AS pos FROM (SELECT id, section_type, 'Step one ' || id || '|Step two|' || title AS content FROM v_section) x)
       SELECT id, service_id, section_type, item, row_number() OVER (PARTITION BY service_id, section_type ORDER BY id, pos) AS item_no FROM i""")
     def _(v):
-        s = v.section.select("id", (F.col("id") % 30).alias("service_id"), "section_type", F.concat(F.lit("Step one "), F.col("id").cast("string"), F.lit("|Step two|"), "title").alias("content"))
+        s = v.section.select("id", (F.col("id") - F.col("id") % 40).alias("service_id"), "section_type", F.concat(F.lit("Step one "), F.col("id").cast("string"), F.lit("|Step two|"), "title").alias("content"))
         return kn.section_items(s).select("id", "service_id", "section_type", "item", "item_no")
 
     comp = """fl AS (SELECT service_id, bool_or(section_type = 'ELIGIBILITY') AS el, bool_or(section_type = 'DOCUMENTS') AS doc, bool_or(section_type = 'PROCESS') AS pr, bool_or(section_type = 'FUNDING') AS fu FROM v_section GROUP BY 1),

@@ -88,9 +88,18 @@ def register(reg: Registry) -> None:
         ac.append_events(v.activity.drop("day"), path)
         return v.spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
-    @reg.add("S13_flyer_inventory", "v_section", "SELECT 0 + count(*) AS files FROM (SELECT DISTINCT id % 4 AS k FROM v_section)")
+    #: files of fifty sections each, then one flyer for each section under names and starts of several kinds
+    @reg.add("S13_flyer_inventory", "v_section", """, f AS (SELECT id - id % 50 AS k, string_agg('%PDF-1.4 ' || content || chr(10), '' ORDER BY id) AS body FROM v_section GROUP BY 1),
+      g AS (SELECT id, CASE id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' WHEN 2 THEN 'JPG' WHEN 3 THEN 'jpeg' ELSE 'txt' END AS ext, CASE WHEN id % 2 = 0 THEN '%PDF-1.4 ' ELSE '' END || content AS body FROM v_section)
+      SELECT NULL AS clean_name, NULL AS kind, NULL AS mime, false AS signature_ok, octet_length(encode(body)) BETWEEN 1 AND 20971520 AS size_ok, sha256(body) AS sha256 FROM f
+      UNION ALL SELECT 'Flyer ' || id || '.' || lower(ext), CASE id % 5 WHEN 0 THEN 'PDF' WHEN 4 THEN NULL ELSE 'IMAGE' END, CASE id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 4 THEN NULL ELSE 'image/jpeg' END,
+        ext = 'pdf' AND (starts_with(body, '%PDF-') OR false), octet_length(encode(body)) BETWEEN 1 AND 20971520, sha256(body) FROM g""")
     def _(v):
-        folder = _folder(v, "flyers")
-        v.section.select(F.concat(F.lit("%PDF-1.4 "), "content").alias("value"), (F.col("id") % 4).alias("k")).repartition(4, "k").write.partitionBy("k").text(folder)
-        inv = fs.flyer_inventory(fs.binary_files(v.spark, folder, "*.txt"))
-        return inv.agg(F.countDistinct(F.regexp_extract("file", r"k=(\d+)", 1)).alias("files"))
+        folder, i = _folder(v, "flyers"), F.col("id")
+        lines = v.section.select(F.concat(F.lit("%PDF-1.4 "), "content").alias("value"), (i - i % 50).alias("k"), "id")
+        lines.repartition("k").sortWithinPartitions("k", "id").drop("id").write.partitionBy("k").text(folder)
+        found = fs.flyer_inventory(fs.binary_files(v.spark, folder, "*.txt")).withColumn("clean_name", F.lit(None).cast("string"))
+        ext = F.when(i % 5 == 0, "pdf").when(i % 5 == 1, "png").when(i % 5 == 2, "JPG").when(i % 5 == 3, "jpeg").otherwise("txt")
+        body = F.concat(F.when(i % 2 == 0, "%PDF-1.4 ").otherwise(""), "content").cast("binary")
+        named = v.section.select(F.concat(F.lit("s3://flyers/Flyer "), i.cast("string"), F.lit(" .."), F.lit("."), ext).alias("path"), body.alias("content")).withColumn("length", F.octet_length("content"))
+        return found.unionByName(fs.flyer_inventory(named)).select("clean_name", "kind", "mime", "signature_ok", "size_ok", "sha256")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.analytics import retention_split
 from ..operators.windows import carry_forward, previous_in_group
 from ..session import spread
 from ..sources.files import sheet_rows
+from ..sources.snapshots import Files
 
 #: fixed values: failures that lock, and seconds from the first failure until they expire
 MAX_FAILURES, LOCK_SECONDS = 5, 900
@@ -136,7 +139,12 @@ def stream_lockouts(logins: DataFrame, late: str = "15 minutes") -> DataFrame:
 
 # --- R3: file pickup -------------------------------------------------------------------------------
 def pick_up_files(spark: SparkSession, folder: str, staged: str, checkpoint: str, pattern: str = "*") -> None:
-    """Stage the rows of files that are new by content; safe to run again over the same folder."""
+    """Stage the rows of files that are new by content; safe to run again over the same folder.
+
+    Contents taken in are remembered by their hash, one small folder per micro-batch below ``staged``-known, so a batch never reads
+    staged rows and a file without rows is known too. A batch that runs again after a failure replaces its own folders.
+    """
+    known = f"{staged.rstrip('/')}-known"
     files = (
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("pathGlobFilter", pattern).load(folder)
@@ -146,14 +154,19 @@ def pick_up_files(spark: SparkSession, folder: str, staged: str, checkpoint: str
         hashed = batch.withColumn("sha256", F.sha2("content", 256))
         one = hashed.groupBy("sha256").agg(F.min("path").alias("path")).join(hashed, ["sha256", "path"])
         try:
-            seen = spark.read.parquet(staged).where(F.col("pickup") != number).select("sha256").distinct()
+            seen = spark.read.schema("sha256 string, pickup bigint").parquet(known).where(F.col("pickup") != number).select("sha256")
             one = one.join(seen, "sha256", "left_anti")
         except Exception as exc:  # nothing staged yet
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
-        rows = sheet_rows(one.select("path", "content"))
-        rows.withColumn("pickup", F.lit(number).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("pickup").parquet(staged)
+
+        def put(rows: DataFrame, path: str) -> None:
+            rows.withColumn("pickup", F.lit(number).cast("bigint")).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy("pickup").parquet(path)
+
+        # rows first: if the second write is lost, the batch runs again and finds its own contents unknown
+        put(sheet_rows(one.select("path", "content")), staged)
+        put(one.select("sha256"), known)
 
     query = files.writeStream.foreachBatch(stage).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -165,6 +178,22 @@ def append_events(events: DataFrame, path: str, ts: str = "created_at") -> None:
     events.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(path)
 
 
-def rewrite_retained(log: DataFrame, path: str, expired) -> None:
-    """Retention: write the kept rows as a new table version, days as partitions."""
-    log.where(~F.coalesce(expired, F.lit(False))).write.mode("errorifexists").partitionBy("day").parquet(path)
+def retain(spark: SparkSession, path: str, now: dt.datetime, days: int, security_days: int, ts: str = "created_at", action: str | None = "action") -> list:
+    """Delete expired rows of a log that lies in days; returns the days that were written anew.
+
+    Days after the shorter window are not read. Of the others only those that hold expired rows are replaced, each as a whole, and
+    days without a row left are deleted; all other files stay as they are. A run that was cut short is finished by the next. Rows
+    without a time stay.
+    """
+    log = spark.read.parquet(path)
+    expired = F.coalesce(retention_split(now, days, security_days, ts, action), F.lit(False))
+    old = log.where(F.col("day") <= F.lit((now - dt.timedelta(days=days)).date()))
+    counts = old.groupBy("day").agg(F.count_if(expired).alias("gone"), F.count(F.lit(1)).alias("n")).where("gone > 0").collect()
+    changed = [r["day"] for r in counts]
+    part = [r["day"] for r in counts if r["gone"] < r["n"]]
+    if part:
+        old.where(F.col("day").isin(part) & ~expired).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    files = Files(spark)
+    for day in set(changed) - set(part):
+        files.delete(f"{path.rstrip('/')}/day={day}")
+    return sorted(changed)

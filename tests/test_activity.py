@@ -85,3 +85,38 @@ def test_file_pickup_skips_known_content(spark, tmp_path):
     ac.pick_up_files(spark, str(inbox), staged, ckpt)
     got = sorted(tuple(r["values"]) for r in spark.read.parquet(staged).collect())
     assert got == [("1", "2"), ("3", "4"), ("x", "y"), ("x", "y")]
+
+
+def test_pickup_knows_files_without_rows_and_reads_no_staged_rows(spark, tmp_path):
+    inbox, staged, ckpt = tmp_path / "inbox", str(tmp_path / "staged"), str(tmp_path / "ckpt")
+    inbox.mkdir()
+    (inbox / "blank.csv").write_text(" \n")
+    (inbox / "a.csv").write_text("x\n")
+    ac.pick_up_files(spark, str(inbox), staged, ckpt)
+    known = spark.read.parquet(f"{staged}-known")
+    assert known.count() == known.select("sha256").distinct().count() == 2
+    for path in (tmp_path / "staged").rglob("*.parquet"):  # staged rows may be moved on; what was taken in stays known
+        path.unlink()
+    (inbox / "again.csv").write_text("x\n")
+    (inbox / "blank2.csv").write_text(" \n")
+    ac.pick_up_files(spark, str(inbox), staged, ckpt)
+    assert known.count() == 2 and not [p for p in (tmp_path / "staged").rglob("*.parquet") if spark.read.parquet(str(p)).count()]
+
+
+def test_retention_replaces_only_days_with_expired_rows(spark, tmp_path):
+    rows = [(i, "SEARCH" if i % 3 else "LOGIN_FAILED", NOW - dt.timedelta(days=i // 2, hours=i % 5)) for i in range(80)] + [(99, "SEARCH", None)]
+    df = spark.createDataFrame(rows, "id int, action string, created_at timestamp")
+    path = str(tmp_path / "log")
+    ac.append_events(df, path)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "log").rglob("*.parquet")}
+    before = files()
+    days = ac.retain(spark, path, NOW, 20, 30)
+    kept = {r["id"] for r in spark.read.parquet(path).collect()}
+    want = {i for i, a, t in rows if t is None or t >= NOW - dt.timedelta(days=20 if a == "SEARCH" else 30)}
+    assert kept == want
+    changed = {f"day={d}" for d in days}
+    assert {p: t for p, t in before.items() if p.parent.name not in changed}.items() <= files().items()
+    assert days and all(d <= (NOW - dt.timedelta(days=20)).date() for d in days)
+    gone = {f"day={t.date()}" for _, _, t in rows if t} - {f"day={t.date()}" for i, _, t in rows if t and i in want}
+    assert gone and not any((tmp_path / "log" / d).exists() for d in gone)
+    assert ac.retain(spark, path, NOW, 20, 30) == []
