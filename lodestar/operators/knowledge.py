@@ -75,19 +75,19 @@ def _walk(obj, prefix: str = ""):
 
 
 def flatten_json(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
-    """Leaves of JSON texts of unknown depth as ``(row_id, key, value, links)`` rows."""
+    """Leaves of JSON texts of unknown depth as ``(row_id, pos, key, value, links)`` rows; ``pos`` counts the leaves of a text."""
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [
-                (row_id, key, "" if value is None else str(value), links)
+                (row_id, pos, key, "" if value is None else str(value), links)
                 for row_id, raw in batch.itertuples(index=False, name=None)
-                for key, value, links in _walk(json.loads(raw) if raw else {})
+                for pos, (key, value, links) in enumerate(_walk(json.loads(raw) if raw else {}))
             ]
-            yield pd.DataFrame(out, columns=["row_id", "key", "value", "links"])
+            yield pd.DataFrame(out, columns=["row_id", "pos", "key", "value", "links"])
 
     rows = df.select(F.col(id_column).cast("bigint").alias("row_id"), json_column)
-    flat = rows.mapInPandas(flatten, "row_id bigint, key string, value string, links array<string>")
+    flat = rows.mapInPandas(flatten, "row_id bigint, pos bigint, key string, value string, links array<string>")
     return flat.withColumn("value", text.plain("value")).where("value <> ''")
 
 
@@ -95,10 +95,94 @@ def raw_sections(flat: DataFrame) -> DataFrame:
     """Typed sections of flattened import rows; blocked and untyped keys drop out."""
     kind = key_section_type("key")
     return flat.withColumn("section_type", kind).where("section_type IS NOT NULL").select(
-        "row_id", "section_type", F.initcap(text.normalise_key("key")).alias("title"), F.col("value").alias("content")
+        "row_id", "pos", "section_type", F.initcap(text.normalise_key("key")).alias("title"), F.col("value").alias("content")
     )
 
 
+#: fixed values: a service's own fields as sections, in order
+OWN_SECTIONS = (
+    ("OVERVIEW", "Overview", "overview"), ("BENEFITS", "Benefits", "benefits"), ("ELIGIBILITY", "Eligibility", "eligibility_summary"),
+    ("NOTES", "Restrictions", "restrictions"), ("NOTES", "Important Notes", "important_notes"), ("FUNDING", "Subsidy Details", "subsidy_details"),
+)
+#: order of a candidate within its service: own fields, then import rows by sheet and row
+SOURCE_ORDER = ["is_row", "sheet_name", "row_no", "import_row_id", "pos"]
+
+
+def linked_rows(rows: DataFrame, services: DataFrame) -> DataFrame:
+    """``(service_id, import_row_id, sheet_name, row_no)``: import rows of the given services, by the service they were imported to
+    or matched with, each once."""
+    both = F.array_distinct(F.array_compact(F.array("imported_service_id", "matched_service_id")))
+    x = rows.select(F.col("id").alias("import_row_id"), "sheet_name", "row_no", F.explode(both).alias("service_id"))
+    return x.join(services.select(F.col("id").alias("service_id")), "service_id", "left_semi")
+
+
+def source_sections(services: DataFrame, rows: DataFrame, flat: DataFrame) -> DataFrame:
+    """Candidate sections of published services from their own fields and their linked import rows' raw texts.
+
+    ``rows`` is ``(id, sheet_name, row_no, imported_service_id, matched_service_id)``, ``flat`` their flattened texts. Each
+    (service, type, text) comes once, compared without case and spacing.
+    """
+    shown = services.where("status = 'PUBLISHED'")
+    own = F.explode(F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("pos"), F.lit(kind).alias("section_type"), F.lit(title).alias("title"), text.blank(c).alias("content"))
+        for i, (kind, title, c) in enumerate(OWN_SECTIONS)]))
+    direct = shown.select(F.col("id").alias("service_id"), own.alias("x")).select("service_id", "x.*").withColumns(
+        {"is_row": F.lit(0), "sheet_name": F.lit(""), "row_no": F.lit(0).cast("bigint"), "import_row_id": F.lit(None).cast("bigint")})
+    raw = raw_sections(flat).withColumnRenamed("row_id", "import_row_id").join(linked_rows(rows, shown), "import_row_id").withColumn("is_row", F.lit(1))
+    columns = ["service_id", *SOURCE_ORDER, "section_type", "title", "content"]
+    return dedupe_sections(direct.select(columns).unionByName(raw.withColumn("row_no", F.col("row_no").cast("bigint")).select(columns)), SOURCE_ORDER)
+
+
+def source_items(sections: DataFrame, kind: str) -> DataFrame:
+    """List items of the candidate sections of one type, in order: ``(service_id, SOURCE_ORDER, item_pos, item)``."""
+    rows = sections.where(F.col("section_type") == kind)
+    return rows.select("service_id", *SOURCE_ORDER, F.posexplode(text.split_items("content")).alias("item_pos", "item"))
+
+
+def _numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Numbers per group; a block is an import row, so the rows of a service are numbered in several tasks."""
+    return group_row_number(rows, keys, F.struct(*order[:4]), order[4:], name)
+
+
+def apply_source(sections: DataFrame, content: DataFrame, rules: DataFrame) -> dict[str, DataFrame]:
+    """Rows that candidate sections add to ``content`` ``(service_id, section_type, content)`` and ``rules`` ``(service_id, text)``.
+
+    Commercial sections are never published. Sections are numbered by type, those that exist already included. An eligibility
+    item stays information until it is typed; its number goes on after the rules that the service has.
+    """
+    placed = _numbered(sections.where("section_type <> 'COMMERCIAL'"), ["service_id", "section_type"], SOURCE_ORDER, "display_order")
+    mark = lambda df, *cols: df.select("service_id", *cols).distinct()
+    have = mark(content.withColumn("content", text.strip(F.col("content"))), "section_type", "content")
+    new = placed.join(have, ["service_id", "section_type", "content"], "left_anti").select(
+        "service_id", "section_type", "title", "content", "display_order", "import_row_id", F.lit("BDE").alias("visibility"))
+    items = source_items(sections, "ELIGIBILITY").where("item <> ''")
+    first = best_per_group(items, ["service_id", "item"], [*SOURCE_ORDER, "item_pos"])
+    unknown = first.join(mark(rules.withColumn("item", text.strip(F.col("text"))), "item"), ["service_id", "item"], "left_anti")
+    count = rules.groupBy("service_id").agg(F.count(F.lit(1)).alias("n"))
+    numbered = _numbered(unknown, ["service_id"], [*SOURCE_ORDER, "item_pos"], "k").join(count, "service_id", "left")
+    added = numbered.select("service_id", F.lit("INFORMATION").alias("rule_type"), F.lit("Eligibility information").alias("title"), F.col("item").alias("text"),
+                            (F.coalesce("n", F.lit(0)) + F.col("k")).alias("display_order"))
+    return {"content": new, "rules": added}
+
+
+def plan_report(services: DataFrame, rows: DataFrame, flat: DataFrame, existing: dict[str, DataFrame]) -> DataFrame:
+    """The plan of published services as counts ``(part, service_id, n)``: candidates by kind, what exists in each child table,
+    linked rows and their evidence (values under keys that aren't blocked), and the total of every part, with a NULL service."""
+    shown = services.where("status = 'PUBLISHED'").select(F.col("id").alias("service_id"))
+    sections = materialize(source_sections(services, rows, flat))
+    linked = materialize(linked_rows(rows, services.where("status = 'PUBLISHED'")))
+    evidence = flat.where(~blocked_key("key")).select(F.col("row_id").alias("import_row_id")).join(linked, "import_row_id")
+    parts = {"sections": sections, "linked_import_rows": linked, "evidence": evidence}
+    parts |= {f"{n}_candidates": source_items(sections, k) for n, k in (("eligibility", "ELIGIBILITY"), ("document", "DOCUMENTS"), ("process", "PROCESS"))}
+    parts |= {f"existing_{n}": df.join(shown, "service_id", "left_semi") for n, df in existing.items()}
+    out = None
+    for name, df in parts.items():
+        part = df.groupBy("service_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "service_id", "n")
+        out = part if out is None else out.unionByName(part)
+    both = [["part", "service_id"], ["part"]]
+    return out.groupingSets([[F.col(c) for c in g] for g in both], F.col("part"), F.col("service_id")).agg(F.sum("n").alias("n"))
+
+
 def dedupe_sections(sections: DataFrame, order: list[str]) -> DataFrame:
     """First section of each (service, type, text), compared without case and spacing."""
     kept = sections.withColumn("content", text.plain("content")).where("content <> ''")

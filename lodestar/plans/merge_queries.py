@@ -292,6 +292,49 @@ def register(reg: Registry) -> None:
             out = part if out is None else out.unionByName(part)
         return out
 
+    #: raw texts of import rows: three typed keys, one that is blocked, one of no type
+    raw_cells = {"Eligibility criteria": "'Kind ' || (row_no % 4) || '|Open in ' || delta_status", "Benefits": "'Benefit  ' || (quantity % 3)",
+                 "How to apply": "'Form ' || row_no", "Vendor note": "'secret'", "Colour": "'red'"}
+    typed = {"Eligibility criteria": "ELIGIBILITY", "Benefits": "BENEFITS", "How to apply": "PROCESS"}
+    cells = ", ".join(f"({i}, '{k}', {v}, {repr(typed[k]) if k in typed else 'NULL'})" for i, (k, v) in enumerate(raw_cells.items()))
+    own = ", ".join(f"({i}, '{k}', '{t}', s.{c})" for i, (k, t, c) in enumerate(kn.OWN_SECTIONS))
+    order = "is_row, sheet_name, row_no, row_id, pos"
+    source_sql = f"""pub AS (SELECT * FROM v_service WHERE status = 'PUBLISHED'),
+      ln AS (SELECT DISTINCT r.id AS row_id, r.sheet_name, r.row_no, r.delta_status, CAST(r.quantity AS BIGINT) AS quantity, x.s AS service_id FROM v_row r, unnest([r.imported_service_id, r.matched_service_id]) x(s) WHERE x.s IN (SELECT id FROM pub)),
+      ev AS (SELECT ln.*, c.* FROM ln, LATERAL (VALUES {cells}) c(pos, key, value, section_type)),
+      cd AS (SELECT s.id AS service_id, 0 AS is_row, '' AS sheet_name, 0 AS row_no, NULL AS row_id, o.pos, o.kind AS section_type, o.title, trim(o.content) AS content FROM pub s, LATERAL (VALUES {own}) o(pos, kind, title, content) WHERE trim(o.content) <> ''
+        UNION ALL SELECT service_id, 1, sheet_name, row_no, row_id, pos, section_type, CASE key WHEN 'Eligibility criteria' THEN 'Eligibility Criteria' WHEN 'How to apply' THEN 'How To Apply' ELSE key END, value FROM ev WHERE section_type IS NOT NULL),
+      sc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY service_id, section_type, lower(regexp_replace(content, '\\s+', ' ', 'g')) ORDER BY {order}) AS k FROM cd) WHERE k = 1),
+      it AS (SELECT service_id, section_type, {order}, unnest(string_split(content, '|')) AS item, generate_subscripts(string_split(content, '|'), 1) AS item_pos FROM sc WHERE section_type IN ('ELIGIBILITY', 'DOCUMENTS', 'PROCESS'))"""
+    SV = "v_service v_row v_section v_rule"
+
+    def source(v):
+        cells = [F.expr(e).alias(k) for k, e in raw_cells.items()]
+        typed_rows = v.row.withColumn("quantity", F.col("quantity").cast("bigint"))
+        raw = typed_rows.select("id", F.to_json(F.struct(*cells)).alias("raw"))
+        return kn.flatten_json(raw, "id", "raw")
+
+    def source_tables(v):
+        return kn.apply_source(materialize(kn.source_sections(v.service, v.row, source(v))), v.section, v.rule.select("service_id", F.col("rule_text").alias("text")))
+
+    @reg.add("M14_source_content", SV, f"""WITH {source_sql}, p AS (SELECT *, row_number() OVER (PARTITION BY service_id, section_type ORDER BY {order}) AS display_order FROM sc)
+      SELECT service_id, section_type, title, content, display_order, row_id AS import_row_id FROM p WHERE NOT EXISTS (SELECT 1 FROM v_section x WHERE x.service_id = p.service_id AND x.section_type = p.section_type AND trim(x.content) = p.content)""")
+    def _(v):
+        return source_tables(v)["content"].select("service_id", "section_type", "title", "content", "display_order", "import_row_id")
+
+    @reg.add("M14_source_rules", SV, f"""WITH {source_sql}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY service_id, item ORDER BY {order}, item_pos) AS k FROM it WHERE section_type = 'ELIGIBILITY') WHERE k = 1)
+      SELECT f.service_id, f.item AS text, (SELECT count(*) FROM v_rule r WHERE r.service_id = f.service_id) + row_number() OVER (PARTITION BY f.service_id ORDER BY {order}, item_pos) AS display_order
+      FROM f WHERE NOT EXISTS (SELECT 1 FROM v_rule r WHERE r.service_id = f.service_id AND trim(r.rule_text) = f.item)""")
+    def _(v):
+        return source_tables(v)["rules"].select("service_id", "text", "display_order")
+
+    @reg.add("I17_plan_report", SV, f"""WITH {source_sql}, c AS (SELECT 'sections' AS part, service_id FROM sc UNION ALL SELECT 'linked_import_rows', service_id FROM ln UNION ALL SELECT 'evidence', service_id FROM ev WHERE key <> 'Vendor note'
+        UNION ALL SELECT CASE section_type WHEN 'ELIGIBILITY' THEN 'eligibility_candidates' WHEN 'DOCUMENTS' THEN 'document_candidates' ELSE 'process_candidates' END, service_id FROM it
+        UNION ALL SELECT 'existing_content_sections', service_id FROM v_section WHERE service_id IN (SELECT id FROM pub) UNION ALL SELECT 'existing_eligibility_rules', service_id FROM v_rule WHERE service_id IN (SELECT id FROM pub))
+      SELECT part, service_id, count(*) AS n FROM c GROUP BY GROUPING SETS ((part, service_id), (part))""")
+    def _(v):
+        return kn.plan_report(v.service, v.row, source(v), {"content_sections": v.section.select("service_id"), "eligibility_rules": v.rule.select("service_id")})
+
     @reg.add("X15_flatten_json", "v_row", "SELECT id AS row_id, k AS key, CASE k WHEN 'source.row' THEN CAST(row_no AS VARCHAR) WHEN 'source.cells[0]' THEN sheet_name WHEN 'source.cells[1]' THEN candidate_action ELSE delta_status END AS value FROM v_row, (VALUES ('source.row'), ('source.cells[0]'), ('source.cells[1]'), ('delta')) t(k)")
     def _(v):
         raw = F.to_json(F.struct(
