@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, Words, array_column, mix, slices
 from .components import components
 
-#: Width of the count table in bits, and entries of an index list above the mean that open a further sub-list.
-TABLE_BITS, LIST_ENTRIES = 18, 4_096
+#: Width of the count table and of its blocks in bits.
+TABLE_BITS, BLOCK_BITS = 20, 12
+#: Entries of an index list above the mean that open a further sub-list, and copies of one set, as a share of all rows, that are
+#: reduced to one before lists are made: at most this many sets.
+LIST_ENTRIES, HOT_SHARE = 4_096, 1_000
 #: Bits of a shingle that an index key holds; keys that meet by chance are told apart by the comparison.
 KEY_BITS = 40
 #: Members that are compared with one copy of a leader's text.
@@ -98,12 +101,24 @@ def _counts(size: int):
     return run
 
 
+def _blocks(batches):
+    """Sums of cells, packed by blocks; a block lies in one task."""
+    table = np.zeros(1 << TABLE_BITS, np.int64)
+    for batch in batches:
+        np.add.at(table, batch.column("cell").to_numpy(), batch.column("n").to_numpy())
+    blocks = table.reshape(-1, 1 << BLOCK_BITS)
+    some = np.flatnonzero(blocks.any(axis=1))
+    yield pa.RecordBatch.from_pydict({"block": pa.array(some, pa.int32()), "counts": pa.array([blocks[i].tobytes() for i in some], pa.binary())})
+
+
 def count_table(texts: DataFrame, size: int) -> np.ndarray:
     """Shingle occurrences per cell over all texts; its width doesn't depend on the corpus."""
-    summed = texts.select("text").mapInArrow(_counts(size), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(1 << TABLE_BITS, np.int64)
-    table[summed["cell"].to_numpy(dtype=np.int64)] = summed["n"].to_numpy(dtype=np.int64)
-    return table
+    cells = texts.select("text").mapInArrow(_counts(size), "cell int, n bigint")
+    summed = cells.repartition(F.shiftright("cell", BLOCK_BITS)).mapInArrow(_blocks, "block int, counts binary")
+    table = np.zeros((1 << (TABLE_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int64)
+    for r in summed.collect():
+        table[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    return table.ravel()
 
 
 def _indexed(table, size: int, percent: int):
@@ -183,7 +198,14 @@ class _Join:
     def index(self) -> DataFrame:
         table = self.texts.sparkSession.sparkContext.broadcast(count_table(self.texts, self.size))
         schema = "doc_id bigint, text_hash bigint, set bigint, n bigint, keys array<bigint>, lists array<int>"
-        return self.scratch.keep(self.texts.mapInArrow(_indexed(table, self.size, self.percent), schema), "sets")
+        sets = self.texts.mapInArrow(_indexed(table, self.size, self.percent), schema)
+        return self.scratch.keep(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+
+    def once(self, sets: DataFrame) -> DataFrame:
+        """``sets`` with a single row for those of very many copies; all copies of a set would meet in the same lists."""
+        copies = sets.groupBy("set").agg(F.count("*").alias("copies"), F.min("row").alias("kept"))
+        many = copies.filter((F.col("copies") > 1) & (F.col("copies") * HOT_SHARE >= sets.count())).select("set", "kept")
+        return sets.join(F.broadcast(many), "set", "left").filter("kept is null or row = kept")
 
     def lists(self, sets: DataFrame) -> DataFrame:
         """Entries of index lists that a link can come from, with the leader of their list.
@@ -192,7 +214,7 @@ class _Join:
         size, it is *early*. So a list needs two sets and an early entry, and an entry that isn't early needs an early
         one of a size that both reach.
         """
-        entry = sets.select("set", "n", "lists", F.posexplode("keys").alias("pos", "h")).withColumn("lists", F.get("lists", F.col("pos")))
+        entry = self.once(sets).select("set", "n", "lists", F.posexplode("keys").alias("pos", "h")).withColumn("lists", F.get("lists", F.col("pos")))
         entry = entry.select("h", F.pmod(F.xxhash64("set"), "lists").cast("int").alias("part"), "lists", "set", F.col("n").cast("int").alias("n"), "pos")
         # dealt before anything is derived, so that only the entries themselves are shuffled
         entry = entry.repartition("h", "part")
