@@ -3,9 +3,9 @@
 Texts become subword ids plus an end id; documents longer than a sequence are cut into pieces. Pieces are dealt
 over partitions by hash and each partition packs its own by best-fit decreasing. Dual feasible functions give a
 lower bound of its bin count. A partition that meets its bound keeps all bins but its emptiest one; a partition
-with a gap to the bound gives up every bin that isn't full. What was given up is dealt over fewer partitions and
-packed again, until one small partition is left; its number of rows is the number of bins given up, not of
-documents.
+with a gap to the bound gives up its emptiest bins, as many as have the room to close the gap. What was given up is
+dealt over as many partitions as its number of pieces needs and packed again. Rounds end with one partition or when a
+round saves next to nothing; a round that needs no fewer bins is dropped and the bins given up before it stay.
 
 Null texts count as empty (the end id alone). Repeated rows are packed as separate rows. Ties in length are broken
 by id and piece. An empty table gives an empty table; other columns are ignored.
@@ -31,11 +31,11 @@ SEQUENCE = 4096
 END_ID = 1
 #: Pieces packed by one task.
 PIECES_PER_TASK = 40_000
-#: How many times fewer partitions each further round has.
-SHRINK = 64
+#: A round that saves fewer of its bins than one in this many is the last.
+WORTH = 500
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
-PACK_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, given_up boolean"
+PACK_SCHEMA = "row bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, given_up boolean"
 
 
 @lru_cache(maxsize=2)
@@ -109,6 +109,20 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return where, at, np.array(room, np.int64)
 
 
+def given_up(room: np.ndarray, bound: int, size: int) -> np.ndarray:
+    """Which bins to pack again: the emptiest one, and with a gap to the bound the emptiest ones that have room to close it."""
+    give = np.zeros(len(room), bool)
+    order = np.argsort(-room, kind="stable")
+    order = order[room[order] > 0]
+    gap = len(room) - bound
+    if gap > 0:
+        free = np.cumsum(room[order])
+        give[order[: int(np.searchsorted(free, (gap + 1) * size)) + 1]] = True
+    else:
+        give[order[:1]] = True
+    return give
+
+
 def _pack_partition(size: int, last: bool, base: int):
     def run(frames):
         frames = list(frames)
@@ -119,12 +133,7 @@ def _pack_partition(size: int, last: bool, base: int):
             return
         lengths = rows["length"].to_numpy()
         where, at, room = best_fit(lengths, size)
-        give = np.zeros(len(room), bool)
-        if not last:
-            if len(room) > lower_bound(lengths, size):
-                give = room > 0
-            elif room.max() > 0:
-                give[int(np.argmax(room))] = True
+        give = np.zeros(len(room), bool) if last else given_up(room, lower_bound(lengths, size), size)
         rows["sequence_id"] = base + rows.pop("task").to_numpy() * (1 << 24) + where
         rows["offset"], rows["given_up"] = at, give[where]
         yield rows
@@ -132,25 +141,40 @@ def _pack_partition(size: int, last: bool, base: int):
     return run
 
 
-def pack(rows: DataFrame, *, size: int = SEQUENCE, per_task: int = PIECES_PER_TASK, shrink: int = SHRINK, scratch: Scratch | None = None) -> DataFrame:
-    """Assign pieces (doc_id, piece, start, length, ids_crc32) to sequences: adds sequence_id and offset."""
+def pack(rows: DataFrame, *, size: int = SEQUENCE, per_task: int = PIECES_PER_TASK, scratch: Scratch | None = None) -> DataFrame:
+    """Assign pieces (doc_id, piece, start, length, ids_crc32) to sequences: adds sequence_id and offset.
+
+    Pieces that carry their ``ids`` get them back by a join on a row number; the rounds move lengths only.
+    """
     scratch = scratch or Scratch(rows.sparkSession, "packing")
-    pool = scratch.keep(rows.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
-    tasks = max(1, -(-pool.count() // per_task))
-    done, level = [], 0
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    ids = ["ids"] if "ids" in rows.columns else []
+    stored = scratch.keep(rows.select(F.monotonically_increasing_id().alias("row"), *columns, *ids), "pieces")
+    pool = stored.drop("ids")
+    left, bins, level, done, before = pool.count(), None, 0, [], None
     while True:
-        last = tasks == 1
-        dealt = pool.repartition(1) if last else pool.repartition(tasks, F.xxhash64("doc_id", "piece", "start", F.lit(level)))
+        tasks = max(1, -(-left // per_task))
+        dealt = pool.repartition(1) if tasks == 1 else pool.repartition(tasks, F.xxhash64("row", F.lit(level)))
         dealt = dealt.withColumn("task", F.spark_partition_id().cast("long"))
         dealt = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
-        packed = scratch.keep(dealt.mapInPandas(_pack_partition(size, last, level << 56), PACK_SCHEMA), f"round{level}")
-        done.append(packed.filter(~F.col("given_up")).drop("given_up"))
-        if last:
+        packed = scratch.keep(dealt.mapInPandas(_pack_partition(size, tasks == 1, level << 56), PACK_SCHEMA), f"round{level}")
+        # every bin has one piece at its start
+        now = packed.agg(F.count_if(F.expr("offset = 0")).alias("used"), F.count_if(F.expr("offset = 0 and given_up")).alias("bins"), F.count_if("given_up").alias("left")).first()
+        if bins is not None and now["used"] >= bins:
+            done.append(before.filter("given_up"))
+            scratch.drop(f"round{level}")
             break
-        pool = packed.filter("given_up").select("doc_id", "piece", "start", "length", "ids_crc32")
-        tasks, level = -(-tasks // shrink), level + 1
-    scratch.drop("pieces")
-    out = done[0]
+        small = bins is not None and (bins - now["used"]) * WORTH < bins
+        if not now["left"] or small:
+            done.append(packed)
+            break
+        done.append(packed.filter("not given_up"))
+        pool = packed.filter("given_up").drop("sequence_id", "offset", "given_up")
+        left, bins, before, level = now["left"], now["bins"], packed, level + 1
+    out = done[0].drop("given_up")
     for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        out = out.unionByName(part.drop("given_up"))
+    if ids:
+        return out.join(stored.select("row", "ids"), "row").drop("row")
+    scratch.drop("pieces")
+    return out.drop("row")

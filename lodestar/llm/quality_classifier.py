@@ -180,11 +180,27 @@ def _matrix(packed: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(packed), np.float32).reshape(len(packed), WIDTH).astype(np.float64)
 
 
+def _draw(key: str) -> Column:
+    """A number of the key's hash for drawing the fitting rows, in steps of a sixteenth of a power of two."""
+    return F.floor(F.log2(F.shiftrightunsigned(F.xxhash64(key), 1).cast("double") + 1) * 16)
+
+
 def fit(rows: DataFrame, labels: DataFrame, train: Column, *, key: str = "doc_id", label: str = "quality", limit: int = MAX_FIT_ROWS):
-    """Fit on the labelled rows of ``rows`` (key, features) for which ``train`` holds, ``limit`` of them at most."""
+    """Fit on the labelled rows of ``rows`` (key, features) for which ``train`` holds, ``limit`` of them at most.
+
+    The counts of the steps of the draw (about a thousand) tell which ones hold ``limit`` rows; only their rows are joined with
+    their vectors and sent, whatever the number of tasks. Repeated rows are learned from once.
+    """
     marks = labels.filter(train).select(F.col(key), F.col(label).alias("label")).filter("label is not null").groupBy(key).agg(F.min("label").alias("label"))
-    some = rows.join(marks, key).select("features", (F.col("label") > 0).cast("int").alias("y"), F.xxhash64(key).alias("draw"))
-    got = some.orderBy("draw", "features").limit(limit).collect()
+    steps = rows.select(key).distinct().join(marks.select(key), key, "left_semi").groupBy(_draw(key).alias("step")).count().collect()
+    total, top = 0, -1
+    for step, count in sorted(tuple(r) for r in steps):
+        if total >= limit:
+            break
+        total, top = total + count, step
+    near = _draw(key) <= top
+    some = rows.filter(near).join(marks.filter(near), key).select("features", (F.col("label") > 0).cast("int").alias("y"), F.xxhash64(key).alias("draw")).distinct()
+    got = some.orderBy(F.shiftrightunsigned("draw", 1), "draw", "features").limit(limit).collect()
     y = np.array([r["y"] for r in got], np.float64)
     return Network(_matrix([bytes(r["features"]) for r in got]), y) if len(set(y)) == 2 else Constant(y)
 

@@ -35,6 +35,17 @@ def test_classifier_on_hard_rows(spark):
     assert quality_classifier.classify(docs.limit(0), labels, F.lit(True)).count() == 0
 
 
+def test_fitting_rows_are_bounded_and_do_not_follow_the_layout(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier, "Network", lambda x, y: seen.append(x) or quality_classifier.Constant(y))
+    packed = np.arange(quality_classifier.WIDTH, dtype=np.float32)
+    rows = spark.createDataFrame([(i, (packed + i).tobytes()) for i in range(3_000) for _ in range(1 + (i < 100))], "doc_id bigint, features binary")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4_000)], "doc_id bigint, quality int")
+    for parts, limit in ((1, 500), (40, 500), (8, 5_000)):
+        quality_classifier.fit(rows.repartition(parts), labels, F.lit(True), limit=limit)
+    assert [len(x) for x in seen] == [500, 500, 3_000] and np.array_equal(seen[0], seen[1])
+
+
 def test_pooling_equals_a_loop():
     vectors = np.random.default_rng(1).normal(size=(quality_classifier.BUCKETS, quality_classifier.DIM)).astype(np.float32)
     texts = pa.array(["Ab, cd  12", "", None, "x"])

@@ -2,10 +2,12 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import regex
 import tiktoken
 from tokenizers import Tokenizer
@@ -121,7 +123,7 @@ def test_packing_in_many_partitions(spark):
     rng = np.random.default_rng(5)
     sizes = np.minimum(rng.geometric(1 / 900, 4_000), 4096)
     rows = spark.createDataFrame([(i, 0, 0, int(n), 7) for i, n in enumerate(sizes)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
-    packed = packing.pack(rows, per_task=300, shrink=4).toPandas()
+    packed = packing.pack(rows, per_task=300).toPandas()
     assert sorted(packed["doc_id"]) == list(range(4_000))
     for _, bin_rows in packed.sort_values("offset").groupby("sequence_id"):
         assert bin_rows["length"].sum() <= 4096
@@ -130,6 +132,40 @@ def test_packing_in_many_partitions(spark):
     assert packing.pack(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("low,high", [(1_200, 1_900), (300, 4_000)])
+def test_no_task_packs_more_than_its_share(spark, low, high):
+    sizes = np.random.default_rng(9).integers(low, high, 6_000)
+    rows = spark.createDataFrame([(i, 0, 0, int(n), 7) for i, n in enumerate(sizes)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    packed = packing.pack(rows, per_task=500).toPandas()
+    assert sorted(packed["doc_id"]) == list(range(6_000))
+    assert packed.groupby(packed["sequence_id"] // (1 << 24)).size().max() <= 1.3 * 500
+    room = 4096 - packed.groupby("sequence_id")["length"].sum().to_numpy()
+    assert (room >= 0).all() and packed.groupby("sequence_id")["offset"].nunique().sum() == 6_000
+    alone, _, _ = packing.best_fit(np.sort(sizes)[::-1], 4096)
+    assert len(room) <= 1.02 * (alone.max() + 1)  # what dealing lengths at random over small tasks may cost
+
+
+def test_bins_given_up_have_room_for_the_gap():
+    room = np.array([0, 5, 20, 10, 0, 15])
+    assert packing.given_up(room, 6, 20).tolist() == [False, False, True, False, False, False]
+    assert packing.given_up(room, 5, 20).tolist() == [False, False, True, True, False, True]
+    assert packing.given_up(room, 1, 20).tolist() == [False, True, True, True, False, True]
+    assert not packing.given_up(np.zeros(3, int), 3, 20).any()
+
+
+def test_packed_ids_are_the_documents_ids(spark):
+    docs = documents(spark)
+    packed = packing.pack(packing.pieces(docs, WORDS, size=64), size=64, per_task=20).toPandas()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in packed.itertuples())
+    tokenizer = Tokenizer.from_file(WORDS)
+    want = sorted([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for _, t in TEXTS)
+    got = packed.sort_values("piece").groupby("doc_id", dropna=False)["ids"].sum()
+    once = {i for i, n in Counter(i for i, _ in TEXTS).items() if n == 1 and i is not None}
+    by_doc = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in TEXTS}
+    assert once and all(np.frombuffer(got[i], "<u4").tolist() == by_doc[i] for i in once)
+    assert sum(len(r) for r in packed["ids"]) == 4 * sum(map(len, want))
+
+
 def test_digests(spark):
     from lodestar.llm import queries
 
