@@ -39,8 +39,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the texts into pieces of ids and pack these into sequences of 4096."""
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False))
+    """Cut the texts into pieces of ids and pack these, ids included, into sequences of 4096."""
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [
