@@ -1,12 +1,15 @@
 """Language model: hashed maximum entropy with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The class of a word follows from its last characters. The
-first factor is a log-linear model over hashed features of the history: the previous word, a skip feature on the word
-before it, and the n-gram of the two previous classes. The second is the smoothed share of the word in its class,
-from exact counts of all training tokens.
-
-Training is distributed: every task runs gradient updates over its own training texts from the same start, and the
-mean of the tasks' weights, by tokens, is the model. Its size is fixed; word counts grow with the corpus and stay
+P(word | history) = P(class | history) * P(subclass | class, history) * P(word | subclass). The class of a word follows
+from its last characters, the subclass from the whole word. The first two factors are log-linear models over hashed
+features of the history: the previous word, a skip feature on the word before it, and the n-gram of the two previous
+classes; the second crosses them with the class. They start from the exact shares of classes and subclasses. The last
+is the smoothed share of the word in its subclass, from exact counts of all training tokens.
+
+Training is distributed: the training texts are dealt over ``UPDATES`` parts by hash. For each part every task sums the
+expected and the observed counts of its tokens, a grouped aggregation adds them up by feature, and the difference, scaled
+by the expected count, moves the weights. So the model depends on the table, not on its files or partitions (but for
+rounding). The table of features grows with the tokens up to ``MOST_FEATURES``; word counts grow with the corpus and stay
 in a table. Scoring handles a batch of texts as index arrays. Counts of frequent words travel as one array of at most
 ``HEAD_WORDS`` entries; all other words of a text are looked up by a join, so no word is left out.
 
@@ -23,10 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, Words, array_column, mix, slices
 
-#: Classes (0 is the end token alone) and hashed features.
-CLASSES, FEATURES = 32, 1 << 12
-#: Tokens of an update, learning rate, and rounds of training with averaging.
-UPDATE_TOKENS, RATE, ROUNDS = 4_096, 0.3, 1
+#: Classes (0 is the end token alone) and, as many, subclasses of a class.
+CLASSES = 32
+#: Hashed features of a factor, and the training tokens for each of them.
+LEAST_FEATURES, MOST_FEATURES, FEATURE_TOKENS = 1 << 12, 1 << 16, 1 << 14
+#: Updates of the weights, each from a part of the texts of its own; step, tokens a feature must outweigh, largest step.
+UPDATES, RATE, PRIOR, CLIP = 8, 0.5, 8.0, 1.0
+#: Training tokens of a task for each feature (tasks are merged up to it), and tokens handled at once.
+TASK_TOKENS, CHUNK = 128, 1 << 15
 #: Words whose counts travel to the tasks, and distinct words that a task gathers before it passes them on.
 HEAD_WORDS, FLUSH_WORDS = 1 << 18, 1_000_000
 #: Characters scored at once.
@@ -36,7 +43,7 @@ END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
 
 class Tokens:
-    """Lower-cased words of every text, each text followed by the end token; hashes, classes and feature indices."""
+    """Lower-cased words of every text, each text followed by the end token; hashes, classes, subclasses and histories."""
 
     def __init__(self, column: pa.Array):
         words = Words(column)
@@ -53,10 +60,13 @@ class Tokens:
         self.hashes[at] = words.hashes
         self.classes = np.zeros(self.first[-1], np.int64)
         self.classes[at] = kind
+        self.subclasses = (mix(self.hashes + np.uint64(5)) % np.uint64(CLASSES)).astype(np.int64)
+        self.subclasses[self.classes == 0] = 0
+        self.groups = self.classes * CLASSES + self.subclasses
         self.rows = np.repeat(np.arange(len(n)), self.sizes)
 
-    def features(self) -> np.ndarray:
-        """Indices of each token's features, from what precedes it in its text."""
+    def histories(self) -> list[np.ndarray]:
+        """Hashes of each token's previous word, of the word before it and of the classes of both, within its text."""
         size = len(self.hashes)
         place = np.arange(size) - self.first[self.rows]
         before = np.zeros((2, size), np.uint64)
@@ -66,8 +76,20 @@ class Tokens:
             before[k - 1, has] = self.hashes[has - k]
             kinds[k - 1, has] = self.classes[has - k].astype(np.uint64) + np.uint64(1)
         with np.errstate(over="ignore"):
-            grams = (before[0] ^ np.uint64(1), before[1] * np.uint64(3) + np.uint64(2), (kinds[0] * np.uint64(64) + kinds[1]) * np.uint64(0x2545F491) + np.uint64(3))
-            return np.stack([(mix(g) % np.uint64(FEATURES)).astype(np.uint16) for g in grams], axis=1)
+            return [before[0] ^ np.uint64(1), before[1] * np.uint64(3) + np.uint64(2), (kinds[0] * np.uint64(64) + kinds[1]) * np.uint64(0x2545F491) + np.uint64(3)]
+
+    def factors(self, features: int):
+        """Both log-linear factors, in chunks: (tokens, feature indices, rows of the shares they start from, targets)."""
+        grams = self.histories()
+        words = np.flatnonzero(self.classes)
+        salt = mix(self.classes.astype(np.uint64) + np.uint64(99))
+        for at in range(0, len(self.hashes), CHUNK):
+            part = np.arange(at, min(at + CHUNK, len(self.hashes)))
+            yield part, [(mix(g[part]) % np.uint64(features)).astype(np.int64) for g in grams], np.zeros(len(part), np.int64), self.classes[part]
+        for at in range(0, len(words), CHUNK):
+            part = words[at : at + CHUNK]
+            index = [(mix(g[part] ^ salt[part]) % np.uint64(features)).astype(np.int64) + features for g in grams]
+            yield part, index, self.classes[part], self.subclasses[part]
 
 
 def _counted(batches):
@@ -79,13 +101,13 @@ def _counted(batches):
         return u, c[at], np.bincount(back, weights=n, minlength=len(u)).astype(np.int64)
 
     def rows(h, c, n):
-        return pa.RecordBatch.from_pydict({"word": pa.array(h.view(np.int64)), "class": pa.array(c.astype(np.int32)), "n": pa.array(n)})
+        return pa.RecordBatch.from_pydict({"word": pa.array(h.view(np.int64)), "word_group": pa.array(c.astype(np.int32)), "n": pa.array(n)})
 
     for batch in batches:
         for part in slices(batch):
             t = Tokens(part.column("text"))
             u, at, n = np.unique(t.hashes, return_index=True, return_counts=True)
-            held.append((u, t.classes[at], n))
+            held.append((u, t.groups[at], n))
             if sum(len(x[0]) for x in held) > FLUSH_WORDS:
                 held = [merged()]
                 if len(held[0][0]) > FLUSH_WORDS // 2:
@@ -94,45 +116,44 @@ def _counted(batches):
         yield rows(*merged())
 
 
-def _probabilities(weights: np.ndarray, index: np.ndarray) -> np.ndarray:
-    z = weights[index[:, 0]]
-    for k in range(1, index.shape[1]):
-        z = z + weights[index[:, k]]
+def _probabilities(weights: np.ndarray, shares: np.ndarray, index: list[np.ndarray], context: np.ndarray) -> np.ndarray:
+    z = shares[context]
+    for column in index:
+        z += weights[column]
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
 
 
-def update(weights: np.ndarray, squares: np.ndarray, index: np.ndarray, target: np.ndarray) -> None:
-    """One gradient step on a batch of tokens; each feature's step shrinks with its past gradients."""
-    grad = _probabilities(weights, index)
-    grad[np.arange(len(target)), target] -= 1
-    flat = index.ravel()
-    order = np.argsort(flat, kind="stable")
-    some = flat[order]
-    starts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
-    total = np.add.reduceat(grad[order // index.shape[1]], starts, axis=0)
-    rows = some[starts]
-    squares[rows] += (total * total).mean(axis=1)
-    weights[rows] -= RATE * total / np.sqrt(squares[rows, None] + 1e-6)
+def add_counts(weights: np.ndarray, shares: np.ndarray, tokens: Tokens, expected: np.ndarray, observed: np.ndarray) -> None:
+    """Add the counts of features and outcomes that the model expects in ``tokens``, and those observed."""
+    for _, index, context, target in tokens.factors(len(weights) // 2):
+        p = _probabilities(weights, shares, index, context)
+        for column in index:
+            np.add.at(observed.reshape(-1), column * CLASSES + target, 1)
+            order = np.argsort((column % (len(weights) // 2)).astype(np.uint16), kind="stable")
+            f = column[order]
+            starts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+            expected[f[starts]] += np.add.reduceat(p[order], starts, axis=0)
+
 
+def moved(weights: np.ndarray, expected: np.ndarray, observed: np.ndarray) -> np.ndarray:
+    """The weights after a step against the gradient, scaled by the counts expected."""
+    return (weights - np.clip(RATE * (expected - observed) / (expected + PRIOR), -CLIP, CLIP)).astype(np.float32)
 
-def _trained(start):
+
+def _gradients(model):
     def run(batches):
-        weights, squares, seen = start.value.astype(np.float32), np.ones(FEATURES, np.float32), 0
+        weights, shares = model.value
+        expected, observed = np.zeros(weights.shape), np.zeros(weights.shape, np.int64)
         for batch in batches:
             for part in slices(batch, chars=SCORE_CHARS):
-                t = Tokens(part.column("text"))
-                index = t.features()
-                order = np.random.default_rng(len(index)).permutation(len(index))
-                for at in range(0, len(index), UPDATE_TOKENS):
-                    chosen = order[at : at + UPDATE_TOKENS]
-                    update(weights, squares, index[chosen], t.classes[chosen])
-                seen += len(index)
-        if seen:
-            columns = {f"w{k}": pa.array((weights[:, k] * np.float32(seen / 1e6)).astype(np.float32)) for k in range(CLASSES)}
-            yield pa.RecordBatch.from_pydict({"feature": pa.array(np.arange(FEATURES, dtype=np.int32)), "share": pa.array(np.full(FEATURES, seen / 1e6)), **columns})
+                add_counts(weights, shares, Tokens(part.column("text")), expected, observed)
+        some = np.flatnonzero(expected.any(axis=1))
+        columns = {f"e{k}": pa.array(expected[some, k].astype(np.float32)) for k in range(CLASSES)}
+        columns |= {f"o{k}": pa.array(observed[some, k]) for k in range(CLASSES)}
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(some.astype(np.int32)), **columns})
 
     return run
 
@@ -144,12 +165,10 @@ def _scored(model):
             for part in slices(batch, chars=SCORE_CHARS):
                 t = Tokens(part.column("text"))
                 n_rows = part.num_rows
-                chosen = np.empty(len(t.hashes), np.float64)
-                index = t.features()
-                for at in range(0, len(index), 1 << 16):
-                    to = min(at + (1 << 16), len(index))
-                    chosen[at:to] = np.log10(np.maximum(_probabilities(m["weights"], index[at:to])[np.arange(to - at), t.classes[at:to]], 1e-30))
-                chosen -= m["class_log"][t.classes]
+                chosen = -m["group_log"][t.groups]
+                for at, index, context, target in t.factors(len(m["weights"]) // 2):
+                    p = _probabilities(m["weights"], m["shares"], index, context)[np.arange(len(at)), target]
+                    chosen[at] += np.log10(np.maximum(p, 1e-30, dtype=np.float64))
                 place = np.minimum(np.searchsorted(m["head"], t.hashes), max(len(m["head"]) - 1, 0))
                 known = m["head"][place] == t.hashes if len(m["head"]) else np.zeros(len(t.hashes), bool)
                 counts = np.where(known, m["head_n"][place], 0) if len(m["head"]) else np.zeros(len(t.hashes))
@@ -171,25 +190,39 @@ def _scored(model):
 
 
 class LanguageModel:
-    """Word counts and class weights learned from ``texts`` (a column ``text``)."""
-
-    def __init__(self, texts: DataFrame, scratch: Scratch, rounds: int = ROUNDS):
-        spark = texts.sparkSession
-        partial = texts.select("text").mapInArrow(_counted, "word bigint, class int, n bigint")
-        self.counts = scratch.keep(partial.groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n")), "counts")
-        sizes = {r["class"]: (r["n"], r["v"]) for r in self.counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-        self.tokens, self.words = sum(n for n, _ in sizes.values()), sum(v for _, v in sizes.values())
-        self.class_log = np.array([np.log10(sum(sizes.get(k, (0, 0))) + 1) for k in range(CLASSES)])
+    """Word counts and weights learned from ``texts`` (doc_id, text)."""
+
+    def __init__(self, texts: DataFrame, scratch: Scratch, updates: int = UPDATES):
+        partial = texts.select("text").mapInArrow(_counted, "word bigint, word_group int, n bigint")
+        self.counts = scratch.keep(partial.groupBy("word").agg(F.min("word_group").alias("word_group"), F.sum("n").alias("n")), "counts")
+        n, v = np.zeros(CLASSES * CLASSES, np.int64), np.zeros(CLASSES * CLASSES, np.int64)
+        for group, tokens, words in self.counts.groupBy("word_group").agg(F.sum("n"), F.count("*")).collect():
+            n[group], v[group] = tokens, words
+        self.tokens, self.words = int(n.sum()), int(v.sum())
+        self.group_log = np.log10(n + v + 1.0)
         self.head, self.head_n = self._head()
-        # the start: classes by their share, spread over the features of a token
-        share = np.array([sizes.get(k, (0, 0))[0] + 1.0 for k in range(CLASSES)])
-        self.weights = np.tile(np.log(share / share.sum()) / 3, (FEATURES, 1)).astype(np.float32)
-        schema = "feature int, share double, " + ", ".join(f"w{k} float" for k in range(CLASSES))
-        for _ in range(rounds if self.tokens else 0):
-            moved = texts.select("text").mapInArrow(_trained(spark.sparkContext.broadcast(self.weights)), schema)
-            summed = moved.groupBy("feature").agg(F.sum("share").alias("share"), *(F.sum(f"w{k}").alias(f"w{k}") for k in range(CLASSES)))
-            for r in summed.collect():
-                self.weights[r["feature"]] = np.array(r[2:]) / r["share"]
+        # the start: subclasses by their share in a class; the first row, where no words are, holds the shares of classes
+        share = n.reshape(CLASSES, CLASSES) + 1.0
+        share[0] = n.reshape(CLASSES, CLASSES).sum(axis=1) + 1.0
+        self.shares = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
+        features = LEAST_FEATURES
+        while features < MOST_FEATURES and 2 * features * FEATURE_TOKENS <= self.tokens:
+            features *= 2
+        self.weights = np.zeros((2 * features, CLASSES), np.float32)
+        for k in range(updates if self.tokens else 0):
+            self._update(texts, k, updates)
+
+    def _update(self, texts: DataFrame, k: int, updates: int) -> None:
+        """Move the weights by the summed gradient of the ``k``-th part of the texts."""
+        tasks = max(1, self.tokens // updates // (TASK_TOKENS * len(self.weights) // 2))
+        part = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(updates)) == k).select("text").coalesce(tasks)
+        shared = texts.sparkSession.sparkContext.broadcast((self.weights, self.shares))
+        schema = ", ".join(["feature int", *(f"e{c} float" for c in range(CLASSES)), *(f"o{c} bigint" for c in range(CLASSES))])
+        sums = [F.sum(f"{x}{c}").alias(f"{x}{c}") for x in "eo" for c in range(CLASSES)]
+        got = part.mapInArrow(_gradients(shared), schema).groupBy("feature").agg(*sums).toArrow()
+        rows = got.column("feature").to_numpy()
+        expected, observed = (np.stack([got.column(f"{x}{c}").to_numpy() for c in range(CLASSES)], axis=1) for x in "eo")
+        self.weights[rows] = moved(self.weights[rows], expected, observed)
 
     def _head(self) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the words that occur at least ``2 ** k`` times, for the smallest k that leaves few enough."""
@@ -204,7 +237,7 @@ class LanguageModel:
 
     def score(self, docs: DataFrame, scratch: Scratch) -> DataFrame:
         """Scores of ``docs`` (doc_id, held_out, text)."""
-        shared = docs.sparkSession.sparkContext.broadcast({"weights": self.weights, "class_log": self.class_log, "head": self.head, "head_n": self.head_n})
+        shared = docs.sparkSession.sparkContext.broadcast({"weights": self.weights, "shares": self.shares, "group_log": self.group_log, "head": self.head, "head_n": self.head_n})
         kind = docs.schema["doc_id"].dataType.simpleString()
         schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, head_known bigint, head_log double, class_score double, rest array<bigint>, times array<int>"
         part = scratch.keep(docs.mapInArrow(_scored(shared), schema).withColumn("row", F.monotonically_increasing_id()), "scored")

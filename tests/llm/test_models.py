@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestar.llm import maxent_lm, quality_classifier, queries
-from lodestar.llm.common import fold
+from lodestar.llm.common import Scratch, fold
 
 from .hard import TEXTS, by_id, documents
 
@@ -81,18 +81,59 @@ def test_model_beats_unigrams_on_held_out_text(spark):
     assert got[0] > got[1] + 0.05 * got[2]
 
 
-def test_model_is_a_distribution_and_updates_lower_the_loss():
+def test_scores_do_not_follow_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "TASK_TOKENS", 1)  # so that tasks are not merged
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    runs = [by_id(maxent_lm.score_corpus(docs.repartition(n), fold("doc_id", 7) == 2)) for n in (1, 40, 200)]
+    for other in runs[1:]:
+        assert all(math.isclose(rows[0]["score"], other[i][0]["score"], rel_tol=1e-6) for i, rows in runs[0].items())
+
+
+def test_updates_equal_a_loop_and_lower_the_loss():
+    tokens = maxent_lm.Tokens(pa.array(["The cat sat on the mat " * 40, "", "un deux trois " * 30]))
+    assert tokens.sizes.tolist() == [241, 1, 91] and tokens.groups[tokens.first[1:] - 1].tolist() == [0, 0, 0]
     rng = np.random.default_rng(0)
-    tokens = maxent_lm.Tokens(pa.array(["the cat sat on the mat " * 40, "", "un deux trois " * 30]))
-    index = tokens.features()
-    weights, squares = np.zeros((maxent_lm.FEATURES, maxent_lm.CLASSES), np.float32), np.ones(maxent_lm.FEATURES, np.float32)
-    loss = lambda: -np.log(maxent_lm._probabilities(weights, index)[np.arange(len(index)), tokens.classes]).mean()
+    size, classes = 64, maxent_lm.CLASSES
+    weights, shares = rng.normal(size=(2 * size, classes)).astype(np.float32), rng.normal(size=(classes, classes)).astype(np.float32)
+
+    def probabilities(index, context):
+        z = np.exp(shares[context].astype(float) + sum(weights[i].astype(float) for i in index))
+        return z / z.sum()
+
+    expected, observed = np.zeros(weights.shape), np.zeros(weights.shape)
+    for _, index, context, target in tokens.factors(size):
+        for i in range(len(target)):
+            features = [int(column[i]) for column in index]
+            for f in features:
+                expected[f] += probabilities(features, context[i])
+                observed[f, target[i]] += 1
+    got = np.zeros(weights.shape), np.zeros(weights.shape, np.int64)
+    maxent_lm.add_counts(weights, shares, tokens, *got)
+    assert np.allclose(got[0], expected, rtol=1e-4, atol=1e-3) and np.array_equal(got[1], observed)
+    assert observed.sum() == 3 * (333 + 330) and math.isclose(expected.sum(), observed.sum(), rel_tol=1e-6)
+
+    def loss():
+        return -sum(np.log(maxent_lm._probabilities(weights, shares, i, c)[np.arange(len(t)), t]).sum() for _, i, c, t in tokens.factors(size))
+
     before = loss()
     for _ in range(5):
-        maxent_lm.update(weights, squares, index, tokens.classes)
+        counts = np.zeros(weights.shape), np.zeros(weights.shape, np.int64)
+        maxent_lm.add_counts(weights, shares, tokens, *counts)
+        weights = maxent_lm.moved(weights, *counts)
     assert loss() < 0.7 * before
-    assert np.allclose(maxent_lm._probabilities(weights, index[rng.permutation(len(index))]).sum(axis=1), 1, atol=1e-5)
-    assert tokens.sizes.tolist() == [241, 1, 91] and tokens.classes[tokens.first[1:] - 1].tolist() == [0, 0, 0]
+
+
+def test_shares_sum_to_one(spark):
+    """All words of a group and one unknown word share its mass; so do the outcomes of both factors."""
+    train = spark.createDataFrame(list(enumerate(["a b a c", "b a", "ab ba b"])), "doc_id bigint, text string")
+    model = maxent_lm.LanguageModel(train, Scratch(spark, "test"))
+    mass = Counter()
+    for r in model.counts.collect():
+        mass[r["word_group"]] += r["n"] + 1
+    assert model.tokens == 12 and all(math.isclose(10 ** model.group_log[g], total + 1, rel_tol=1e-9) for g, total in mass.items())
+    tokens = maxent_lm.Tokens(pa.array(["a b", "ba unknown c"]))
+    for _, index, context, _ in tokens.factors(len(model.weights) // 2):
+        assert np.allclose(maxent_lm._probabilities(model.weights, model.shares, index, context).sum(axis=1), 1, atol=1e-5)
 
 
 def test_language_model_on_empty_tables(spark):
