@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -57,38 +53,62 @@ def documents_required(heading, content) -> Column:
 
 
 # --- raw import rows to sections -------------------------------------------------------------
-def _walk(obj, prefix: str = ""):
-    """Yield ``(path, value, urls)`` leaves; ``_meta`` is skipped, ``value`` objects are leaves."""
-    if isinstance(obj, dict):
-        if "value" in obj:
-            links = [obj.get(k) for k in ("hyperlink_target", "hyperlink_location")]
-            yield prefix, obj["value"], [str(u) for u in links if u]
-            return
-        for key, value in obj.items():
-            if key != "_meta":
-                yield from _walk(value, f"{prefix}.{key}" if prefix else str(key))
-    elif isinstance(obj, list):
-        for i, value in enumerate(obj):
-            yield from _walk(value, f"{prefix}[{i}]")
-    else:
-        yield prefix, obj, []
+def _parsed(nodes: DataFrame) -> DataFrame:
+    """Nodes ``(row_id, path, key, text, shape)`` with the members of objects and whether they are leaves. ``shape`` is the first
+    character of a node's JSON, ``text`` the JSON of a container or the plain text of anything else."""
+    entries = F.when(F.col("shape") == "{", F.from_json("text", "map<string,string>"))
+    return nodes.withColumn("entries", entries).withColumn("is_leaf", ~F.col("shape").isin("{", "[") | F.coalesce(F.map_contains_key("entries", F.lit("value")), F.lit(False)))
+
+
+def _children(parsed: DataFrame) -> DataFrame:
+    """The nodes inside containers. Texts of strings lose their quotes, so the same values as variants tell shapes apart."""
+    texts = F.col("texts")
+    variants = F.when(F.col("shape") == "{", F.map_values(F.from_json("text", "map<string,variant>"))).otherwise(F.from_json("text", "array<variant>"))
+    # only texts that look like a container or a truth value need a look at their variant
+    odd = lambda t: F.coalesce(t.rlike(r"^([\[{]|true$|false$)"), F.lit(False))
+    plain = F.transform(texts, lambda t: F.when(t.isNull(), "n").otherwise("s"))
+    looked = F.zip_with(texts, variants, lambda t, v: F.when(t.isNull(), "n").when(odd(t), F.substring(F.to_json(v), 1, 1)).otherwise("s"))
+    shapes = F.when(F.exists(texts, odd), looked).otherwise(plain)
+    names = F.when(F.col("shape") == "{", F.map_keys("entries"))
+    parsed = parsed.withColumn("texts", F.when(F.col("shape") == "{", F.map_values("entries")).otherwise(F.from_json("text", "array<string>")))
+    rows = parsed.where("NOT is_leaf").select("row_id", "path", F.col("key").alias("parent"), F.posexplode(F.arrays_zip(
+        texts.alias("text"), shapes.alias("shape"), F.coalesce(names, F.transform(texts, lambda _: F.lit(None).cast("string"))).alias("name"))).alias("place", "x"))
+    name = F.col("x.name")
+    key = F.when(name.isNull(), F.concat("parent", F.lit("["), "place", F.lit("]"))).when(F.col("parent") == "", name).otherwise(F.concat_ws(".", "parent", name))
+    return rows.where(name.isNull() | (name != "_meta")).select(
+        "row_id", F.concat("path", F.array("place")).alias("path"), key.alias("key"), F.col("x.text").alias("text"), F.col("x.shape").alias("shape"))
 
 
 def flatten_json(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
-    """Leaves of JSON texts of unknown depth as ``(row_id, pos, key, value, links)`` rows; ``pos`` counts the leaves of a text."""
-
-    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [
-                (row_id, pos, key, "" if value is None else str(value), links)
-                for row_id, raw in batch.itertuples(index=False, name=None)
-                for pos, (key, value, links) in enumerate(_walk(json.loads(raw) if raw else {}))
-            ]
-            yield pd.DataFrame(out, columns=["row_id", "pos", "key", "value", "links"])
-
-    rows = df.select(F.col(id_column).cast("bigint").alias("row_id"), json_column)
-    flat = rows.mapInPandas(flatten, "row_id bigint, pos bigint, key string, value string, links array<string>")
-    return flat.withColumn("value", text.plain("value")).where("value <> ''")
+    """Leaves of JSON texts of unknown depth as ``(row_id, pos, key, value, links)`` rows; ``pos`` counts the leaves of a text.
+
+    Level by level: each is written once and opened by the next. ``_meta`` is skipped; an object with a ``value`` is a leaf, with
+    its hyperlinks; a container as such a value stays JSON. Texts that are null, blank or no JSON (a repeated key included) have
+    no leaves; blank values drop out; rows with equal ids count as one text's leaves.
+    """
+    raw = F.col(json_column)
+    shape = F.substring(F.to_json(F.try_parse_json(raw)), 1, 1)
+    top = df.select(F.col(id_column).cast("bigint").alias("row_id"), F.array().cast("array<int>").alias("path"), F.lit("").alias("key"), raw.alias("text"), shape.alias("shape"))
+    plain = F.when(F.col("shape").isin("{", "["), F.col("text")).otherwise(F.get(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>"), F.lit(0)))
+    level, leaves = top.where("shape IS NOT NULL").withColumn("text", plain), []
+    while True:
+        parsed = _parsed(materialize(level))
+        leaves.append(parsed.where("is_leaf").select("row_id", "path", "key", "text", "shape", "entries"))
+        inner = parsed.where("NOT is_leaf")
+        if inner.isEmpty():
+            break
+        level = _children(parsed)
+    rows = leaves[0]
+    for more in leaves[1:]:
+        rows = rows.unionByName(more)
+    held = F.when(F.col("shape") == "{", F.element_at("entries", F.lit("value"))).otherwise(F.col("text"))
+    kind = F.when(F.col("shape") == "{", F.substring(F.to_json(F.element_at(F.from_json("text", "map<string,variant>"), F.lit("value"))), 1, 1)).otherwise(F.col("shape"))
+    held = F.when(kind.isin("t", "f"), F.initcap(held)).otherwise(held)
+    links = F.when(F.col("shape") == "{", F.filter(F.array(F.element_at("entries", F.lit("hyperlink_target")), F.element_at("entries", F.lit("hyperlink_location"))), lambda u: F.coalesce(u != "", F.lit(False))))
+    flat = rows.select(
+        "row_id", (F.row_number().over(Window.partitionBy("row_id").orderBy("path")) - 1).cast("bigint").alias("pos"), "key",
+        text.plain(F.coalesce(held, F.lit(""))).alias("value"), F.coalesce(links, F.array().cast("array<string>")).alias("links"))
+    return flat.where("value <> ''")
 
 
 def raw_sections(flat: DataFrame) -> DataFrame:
