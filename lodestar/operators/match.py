@@ -143,27 +143,41 @@ def rank_buckets(evaluated: DataFrame, keys: list[str], k: int = 50) -> DataFram
     return top.join(counts, [*keys, "classification"])
 
 
-def match_need(clients: DataFrame, services: DataFrame, found: DataFrame, today, k: int = 50, limits_in_lakh: bool = False) -> DataFrame:
+def match_need(clients: DataFrame, services: DataFrame, found: DataFrame, today, k: int = 50, limits_in_lakh: bool = False, block_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Clients with a need: only services their search finds, relevance as tie break.
 
-    ``found`` is ``(query, service_id, score)`` with the title boost already added.
+    ``found`` is ``(query, service_id, score)`` with the title boost already added. Rows of one client rank together.
     """
-    asked = prepare_clients(clients).where("need_query <> ''").withColumnRenamed("need_query", "query")
-    svc = prepare_services(services.where(pitch.pitchable(today))).withColumnRenamed("id", "sid")
-    pairs = asked.join(found, "query").join(
-        svc.drop("service_id").withColumnRenamed("sid", "service_id"), "service_id"
-    )
-    rows = evaluate(pairs, today, limits_in_lakh).withColumn("relevance", F.greatest(F.lit(0), F.col("score")))
-    return rank_buckets(rows, ["client_id"], k)
+    asked = clients.where("need_query <> '' AND client_id IS NOT NULL").withColumnRenamed("need_query", "scope")
+    svc = services.where(pitch.pitchable(today)).drop("service_id").withColumnRenamed("id", "service_id")
+    rules = found.withColumnRenamed("query", "scope").join(svc, "service_id").withColumn("relevance", F.greatest(F.lit(0), F.col("score")))
+    tagged, parts, picked = _match(asked, rules, k, block_rows, limits_in_lakh)
+    columns = ["entry", "scope", "service_id", "title", "priority", "relevance"]
+    merged = _merge(parts.join(picked.select(*columns), ["entry", "scope"]).drop("entry", "scope"), k)
+    out = tagged.join(merged, "pid").drop("pid", "rank")
+    # each row of a repeated client has its own first k; the first k of them all are among these
+    repeated = materialize(asked.groupBy("client_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("client_id"))
+    if repeated.isEmpty():
+        return tagged.join(merged, "pid").drop("pid")
+    many = out.join(repeated, "client_id", "left_semi")
+    w = Window.partitionBy("client_id", "classification").orderBy(*bucket_order())
+    top = many.drop("bucket_count").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    counts = tagged.join(repeated, "client_id", "left_semi").join(merged.select("pid", "classification", "bucket_count").distinct(), "pid").groupBy(
+        "client_id", "classification").agg(F.sum("bucket_count").alias("bucket_count"))
+    alone = tagged.join(repeated, "client_id", "left_anti").join(merged, "pid").drop("pid")
+    return alone.unionByName(top.join(counts, ["client_id", "classification"]))
 
 
 # --- every client against every service -------------------------------------------------------
 #
-# Pairs are never emitted as rows. Clients collapse to distinct profiles. The rule side travels
-# as one sorted, size-checked array block; each task scores whole blocks with numpy and keeps the
-# bucket counts and the first k services. Blocks of any catalogue size merge exactly.
+# Pairs are never emitted as rows. Clients collapse to classes: the same words, and numbers between the same limits of
+# rules, get the same verdicts. Services collapse to their distinct rules, each with its count and its first k services in
+# either tie order, since no other can be among a bucket's first k. The rules travel as one size-checked array block; each
+# task scores whole blocks with numpy. Blocks of any catalogue size merge exactly.
 
 PROFILE = [c for c, *_ in CATEGORICAL] + ["business_age_months", "annual_turnover"]
+LIMITS = {"business_age_months": ("min_business_age_months", "max_business_age_months"), "annual_turnover": ("min_turnover", "max_turnover")}
+RULE = [c for _, c, *_ in CATEGORICAL] + [c for both in LIMITS.values() for c in both]
 
 
 def _code(allowed: list | None, wildcards: frozenset) -> tuple | None:
@@ -174,13 +188,26 @@ def _code(allowed: list | None, wildcards: frozenset) -> tuple | None:
 
 
 class RuleBlock:
-    """Rules of up to a block of services as arrays, in bucket tie order."""
+    """Distinct rules of up to a block of services as arrays, with their services in both tie orders.
+
+    ``picked`` has a row per service: ``rule`` (equal for equal rules), the rule's columns and ``n_services``, ``entry``, and its place
+    ``tie_good`` and ``tie_bad`` among all, NULL in the order in which it isn't one of the rule's first.
+    """
 
-    def __init__(self, rules: pd.DataFrame):
-        self.ids = rules["service_id"].to_numpy(np.int64)
+    def __init__(self, picked: pd.DataFrame):
+        rules = picked.drop_duplicates("rule")
         n = len(rules)
-        self.tie_good = rules["tie_good"].to_numpy(np.int64)
-        self.tie_bad = rules["tie_bad"].to_numpy(np.int64)
+        place = pd.Series(np.arange(n), rules["rule"].to_numpy())
+        rule = place.reindex(picked["rule"].to_numpy()).to_numpy(np.int64)
+        self.count = rules["n_services"].to_numpy(np.int64)
+        self.ties = int(np.nanmax(picked[["tie_good", "tie_bad"]].to_numpy(float))) + 1
+        self.order = {}
+        for name in ("tie_good", "tie_bad"):
+            tie = pd.to_numeric(picked[name]).to_numpy(float)
+            kept = np.flatnonzero(~np.isnan(tie))
+            kept = kept[np.lexsort((tie[kept], rule[kept]))]
+            lengths = np.bincount(rule[kept], minlength=n)
+            self.order[name] = lengths, np.cumsum(lengths) - lengths, tie[kept].astype(np.int64), picked["entry"].to_numpy(np.int64)[kept]
         self.sets, self.codes = [], []
         for _, column, _, extra in CATEGORICAL:
             wild = frozenset((*GENERIC_WILDCARDS, *extra))
@@ -189,16 +216,15 @@ class RuleBlock:
             self.sets.append(list(seen))
             self.codes.append(codes)
 
-        def bounds(low: str, high: str, dtype):
+        def bounds(low: str, high: str):
             lo, hi = pd.to_numeric(rules[low]).to_numpy(float), pd.to_numeric(rules[high]).to_numpy(float)
             return lo, hi, np.isnan(lo) & np.isnan(hi)
 
-        self.age = bounds("min_business_age_months", "max_business_age_months", float)
-        self.turnover = bounds("min_turnover", "max_turnover", float)
+        self.ranges = [bounds(*both) for both in LIMITS.values()]
 
     def states(self, profile) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of matches, mismatches and unknowns per service for one profile."""
-        good = np.zeros(len(self.ids), np.int64)
+        """Counts of matches, mismatches and unknowns per rule for one profile."""
+        good = np.zeros(len(self.count), np.int64)
         bad, open_ = good.copy(), good.copy()
         for value, sets, codes in zip(profile[:5], self.sets, self.codes):
             missing = value is None or value == ""
@@ -207,7 +233,7 @@ class RuleBlock:
             good += kind == 1
             bad += kind == 2
             open_ += kind == 3
-        for value, (lo, hi, none) in zip(profile[5:], (self.age, self.turnover)):
+        for value, (lo, hi, none) in zip(profile[5:], self.ranges):
             if value is None or pd.isna(value):
                 open_ += ~none
                 continue
@@ -220,82 +246,136 @@ class RuleBlock:
     def buckets(self, profile, k: int):
         good, bad, open_ = self.states(profile)
         out = np.where(bad > 0, 2, np.where((good > 0) & (open_ == 0), 0, 1))
-        n = len(self.ids) + 1
         for b, name in enumerate(BUCKETS):
             where = np.flatnonzero(out == b)
             if not len(where):
                 continue
-            if b == 2:
-                key = (bad[where] * 16 - good[where] + 8) * n + self.tie_bad[where]
-            else:
-                key = ((8 - good[where]) * 16 + open_[where]) * n + self.tie_good[where]
+            total = int(self.count[where].sum())
+            lengths, starts, ties, entries = self.order["tie_bad" if b == 2 else "tie_good"]
+            level = bad[where] * 16 - good[where] + 8 if b == 2 else (8 - good[where]) * 16 + open_[where]
+            by = np.argsort(level, kind="stable")
+            # best levels until they hold k services
+            reach = np.searchsorted(np.cumsum(lengths[where[by]]), k)
+            near = level <= level[by[min(reach, len(by) - 1)]]
+            where, level = where[near], level[near]
+            size = lengths[where]
+            rule = np.repeat(np.arange(len(where)), size)
+            at = np.arange(len(rule)) - np.repeat(np.cumsum(size) - size, size) + starts[where][rule]
+            key = level[rule] * self.ties + ties[at]
             first = np.argpartition(key, k)[:k] if len(key) > k else np.arange(len(key))
-            for i in where[first]:
-                yield name, len(where), int(self.ids[i]), int(good[i]), int(bad[i]), int(open_[i])
+            for i in first:
+                r = where[rule[i]]
+                yield name, total, int(entries[at[i]]), int(good[r]), int(bad[r]), int(open_[r])
 
 
 MATCH_SCHEMA = (
-    "profile_id string, classification string, bucket_count bigint, service_id bigint, "
+    "pid bigint, scope string, classification string, bucket_count bigint, entry bigint, "
     "matched_count bigint, mismatch_count bigint, unknown_count bigint"
 )
 
 
 def _score_block(profiles: DataFrame, block: DataFrame, k: int) -> DataFrame:
     rules = block.toPandas()
-    shared = profiles.sparkSession.sparkContext.broadcast(RuleBlock(rules))
+    blocks = {scope: RuleBlock(rows) for scope, rows in rules.groupby("scope")}
+    shared = profiles.sparkSession.sparkContext.broadcast(blocks)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rule_block = shared.value
         for batch in batches:
-            rows = [
-                (row[0], *entry)
-                for row in batch[["profile_id", *PROFILE]].itertuples(index=False, name=None)
-                for entry in rule_block.buckets(row[1:], k)
-            ]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MATCH_SCHEMA.split(", ")])
+            # equal words and numbers apart, a profile makes up to three times k rows
+            for start in range(0, len(batch), 200):
+                rows = [
+                    (*row[:2], *entry)
+                    for row in batch[["pid", "scope", *PROFILE]].iloc[start : start + 200].itertuples(index=False, name=None)
+                    if row[1] in shared.value
+                    for entry in shared.value[row[1]].buckets(row[2:], k)
+                ]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in MATCH_SCHEMA.split(", ")])
 
     return profiles.mapInPandas(score, MATCH_SCHEMA)
 
 
+def _between(value: str, limits: DataFrame) -> Column:
+    """Which of the sorted limits a number is on or between; above ``BROADCAST_ROWS`` limits the number itself."""
+    found = [r[0] for r in limits.limit(BROADCAST_ROWS + 1).collect()]
+    number = F.col(value).cast("double")
+    if len(found) > BROADCAST_ROWS:
+        return number
+    edges = np.sort(np.array(found, float))
+
+    @F.pandas_udf("double")
+    def place(v: pd.Series) -> pd.Series:
+        at = np.searchsorted(edges, v, "left") + np.searchsorted(edges, v, "right")
+        return pd.Series(np.where(v.isna(), np.nan, at))
+
+    return F.when(number.isNotNull() & ~F.isnan(number), place(number))
+
+
+def _match(clients: DataFrame, services: DataFrame, k: int, block_rows: int, limits_in_lakh: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clients ``(client_id, pid)``, the first ``k`` of each block for every ``(pid, classification)`` and the services that can be
+    among them by ``entry``. Both sides carry a ``scope``; only equal ones meet."""
+    scale = {c: 100_000 if limits_in_lakh and c.endswith("turnover") else 1 for c in RULE[len(CATEGORICAL):]}
+    typed = services.select(
+        "scope", "service_id", "title", "priority", "relevance", F.lower("title").alias("t"), priority_rank().alias("p"),
+        *RULE[:len(CATEGORICAL)], *[(F.col(c) * n).cast("double").alias(c) for c, n in scale.items()])
+    as_text = {"ignoreNullFields": "false"}
+    typed = materialize(typed.withColumn("rule", F.sha2(F.to_json(F.struct("scope", *RULE), as_text), 256)).withColumn("entry", F.monotonically_increasing_id()))
+    good = Window.partitionBy("rule").orderBy(F.desc("relevance"), F.desc("p"), "t", "service_id", "entry")
+    bad = Window.partitionBy("rule").orderBy(F.desc("relevance"), "t", "service_id", "entry")
+    first = None
+    for name, w in (("is_good", good), ("is_bad", bad)):
+        part = typed.select("entry", "rule", F.row_number().over(w).alias("k")).where(F.col("k") <= k).select("entry", F.lit(name).alias("order"))
+        first = part if first is None else first.unionByName(part)
+    orders = first.groupBy("entry").agg(*[F.count_if(F.col("order") == n).alias(n) for n in ("is_good", "is_bad")])
+    held = typed.groupBy("rule").agg(F.count(F.lit(1)).alias("n_services"))
+    picked = materialize(typed.join(orders, "entry").join(held, "rule"))
+
+    edges = {c: _between(c, typed.select(F.explode(F.array(*both)).alias("x")).where("x IS NOT NULL AND NOT isnan(x)").distinct()) for c, both in LIMITS.items()}
+    words = [c for c, *_ in CATEGORICAL]
+    tagged = clients.select("client_id", "scope", *words, *LIMITS).withColumns({f"{c}__at": e for c, e in edges.items()})
+    profile_id = F.sha2(F.to_json(F.struct("scope", *words, *[f"{c}__at" for c in LIMITS]), as_text), 256)
+    tagged = materialize(tagged.withColumn("profile_id", profile_id))
+    classes = tagged.groupBy("profile_id").agg(*[F.first(c).alias(c) for c in ("scope", *PROFILE)])
+    classes = materialize(classes.withColumn("pid", F.monotonically_increasing_id()))
+    profiles = spread(classes.select("pid", "scope", *PROFILE), "pid")
+
+    n_blocks = max(1, -(-picked.count() // block_rows))
+    parts = None
+    for number in range(n_blocks):
+        part = picked if n_blocks == 1 else picked.where(F.pmod(F.xxhash64("rule"), F.lit(n_blocks)) == number)
+        one = Window.partitionBy(F.lit(0))  # at most one block of rows
+        ranks = {
+            "tie_good": F.when(F.col("is_good") > 0, F.row_number().over(one.orderBy(F.desc("relevance"), F.desc("p"), "t", "service_id"))),
+            "tie_bad": F.when(F.col("is_bad") > 0, F.row_number().over(one.orderBy(F.desc("relevance"), "t", "service_id"))),
+        }
+        part = part.withColumns(ranks).select("scope", "rule", "entry", "n_services", *ranks, *RULE)
+        scored = _score_block(profiles, part, k).withColumn("block", F.lit(number))
+        parts = scored if parts is None else parts.unionByName(scored)
+    parts = materialize(parts)
+    if n_blocks > 1:
+        sums = parts.select("pid", "classification", "block", "bucket_count").distinct().groupBy("pid", "classification").agg(F.sum("bucket_count").alias("bucket_count"))
+        parts = parts.drop("bucket_count").join(sums, ["pid", "classification"])
+    return tagged.join(classes.select("profile_id", "pid"), "profile_id").select("client_id", "pid"), parts.drop("block"), picked
+
+
+def _merge(rows: DataFrame, k: int) -> DataFrame:
+    """First ``k`` of each class and bucket, of those that came from all blocks."""
+    w = Window.partitionBy("pid", "classification").orderBy(*bucket_order())
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def match_all(
     clients: DataFrame, services: DataFrame, today, k: int = 50, block_rows: int = BROADCAST_ROWS, limits_in_lakh: bool = False,
 ) -> DataFrame:
     """Verdict buckets of every client over all pitchable services, first ``k`` of each.
 
-    ``limits_in_lakh`` converts turnover limits to rupees, the unit of client turnover. Catalogues above ``block_rows`` services are scored block by block, then merged.
+    ``limits_in_lakh`` converts turnover limits to rupees, the unit of client turnover. Catalogues with above ``block_rows`` services
+    that can be among a first ``k`` are scored block by block, then merged.
     """
-    profile_id = F.sha2(F.to_json(F.struct(*PROFILE), {"ignoreNullFields": "false"}), 256)
-    tagged = clients.select("client_id", profile_id.alias("profile_id"), *PROFILE)
-    profiles = spread(tagged.select("profile_id", *PROFILE).distinct(), "profile_id")
-    rules = services.where(pitch.pitchable(today)).select(
-        F.col("id").alias("service_id"), F.lower("title").alias("t"), priority_rank().alias("p"),
-        *[c for _, c, *_ in CATEGORICAL],
-        *[F.col(c).cast("double").alias(c) for c in ("min_business_age_months", "max_business_age_months")],
-        *[(F.col(c) * (100_000 if limits_in_lakh else 1)).cast("double").alias(c) for c in ("min_turnover", "max_turnover")],
-    )
-    total = rules.count()
-    n_blocks = max(1, -(-total // block_rows))
-    parts = None
-    for number in range(n_blocks):
-        part = rules if n_blocks == 1 else rules.where(F.pmod(F.xxhash64("service_id"), F.lit(n_blocks)) == number)
-        one = Window.partitionBy(F.lit(0))  # at most one block of rows
-        part = part.select(
-            "*",
-            F.row_number().over(one.orderBy(F.desc("p"), "t", "service_id")).alias("tie_good"),
-            F.row_number().over(one.orderBy("t", "service_id")).alias("tie_bad"),
-        ).drop("t", "p")
-        scored = _score_block(profiles, part, k)
-        parts = scored if parts is None else parts.unionByName(scored)
+    rules = services.where(pitch.pitchable(today)).drop("service_id").withColumnRenamed("id", "service_id").withColumns({"scope": F.lit(""), "relevance": F.lit(0)})
+    tagged, parts, picked = _match(clients.withColumn("scope", F.lit("")), rules, k, block_rows, limits_in_lakh)
     named = services.select(F.col("id").alias("service_id"), "title", "priority")
-    rows = parts.join(named, "service_id").withColumn("relevance", F.lit(0))
-    w = Window.partitionBy("profile_id", "classification").orderBy(*bucket_order())
-    merged = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    if n_blocks > 1:
-        per_block = rows.groupBy("profile_id", "classification", F.pmod(F.xxhash64("service_id"), F.lit(n_blocks)).alias("b")).agg(
-            F.first("bucket_count").alias("n"))
-        sums = per_block.groupBy("profile_id", "classification").agg(F.sum("n").alias("bucket_count"))
-        merged = merged.drop("bucket_count").join(sums, ["profile_id", "classification"])
-    return tagged.select("client_id", "profile_id").join(merged, "profile_id").drop("profile_id", "relevance")
+    rows = parts.join(picked.select("entry", "service_id"), "entry").join(named, "service_id").drop("entry", "scope").withColumn("relevance", F.lit(0))
+    return tagged.join(_merge(rows, k), "pid").drop("pid", "relevance")
 
 
 # --- eligibility extraction -------------------------------------------------------------------

@@ -127,6 +127,35 @@ def test_blocks_equal_pairwise_evaluation(spark):
         assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
 
 
+def test_need_equals_pairwise_evaluation(spark):
+    """Queries of many services with equal rules, equal texts and ties; clients that come twice with other needs; several blocks."""
+    rnd = random.Random(3)
+    services = [(i, f"Service {i % 11}", rnd.choice(["HIGH", "LOW", ""]), "PUBLISHED", None, None, None, rnd.choice([None, ["LLP"], ["Trust", " llp "]]), None, None,
+                 rnd.choice([["Pan India"], ["Goa"], None]), None, rnd.choice([None, 12]), rnd.choice([None, 60, 24]), None, None) for i in range(150)]
+    clients = [(i % 40, rnd.choice(["LLP", "trust ", None]), None, None, rnd.choice(["Goa", "Assam", None]), None, rnd.choice([12, 18, 24, 24, 25, 90, None]), None, rnd.choice(["loan", "", "grant"])) for i in range(50)]
+    s, c = spark.createDataFrame(services, SERVICE), spark.createDataFrame(clients, CLIENT + ", need_query string")
+    found = spark.createDataFrame([(q, i, rnd.choice([-3, 5, 10])) for q in ("loan", "grant", "other") for i in range(150) if rnd.random() < 0.8], "query string, service_id bigint, score int")
+    today = dt.date(2024, 6, 15)
+    pairs = ma.prepare_clients(c).withColumnRenamed("need_query", "query").join(found, "query").join(ma.prepare_services(s).withColumnRenamed("id", "service_id"), "service_id")
+    want = ma.rank_buckets(ma.evaluate(pairs, today).withColumn("relevance", F.greatest(F.lit(0), "score")), ["client_id"], 4)
+    columns = ["client_id", "classification", "service_id", "rank", "relevance", "bucket_count", "matched_count", "mismatch_count", "unknown_count"]
+    expected = sorted(map(tuple, want.select(columns).collect()))
+    for block in (200_000, 40):
+        got = ma.match_need(c, s, found, today, k=4, block_rows=block)
+        assert sorted(map(tuple, got.select(columns).collect())) == expected
+
+
+def test_work_grows_with_distinct_rules_and_classes(spark):
+    """3,000 services of two rules and 2,000 clients of as many turnovers are scored as a few services and classes."""
+    s = spark.createDataFrame([(i, f"Service {i}", "", "PUBLISHED", None, None, None, None, None, None, None, None, None, None, 100, 200 + i % 2) for i in range(3_000)],
+                              SERVICE.replace("decimal(16,2)", "int"))
+    c = spark.createDataFrame([(i, "LLP", None, None, None, None, 5, i) for i in range(2_000)], CLIENT.replace("decimal(16,2)", "int"))
+    rules = s.withColumnRenamed("id", "service_id").withColumns({"scope": F.lit(""), "relevance": F.lit(0)})
+    tagged, parts, picked = ma._match(c.withColumn("scope", F.lit("")), rules, 5, 200_000, False)
+    assert tagged.count() == 2_000 and tagged.select("pid").distinct().count() == 6 and picked.count() <= 2 * 2 * 5
+    assert {r["bucket_count"] for r in parts.collect()} == {1_500, 3_000}
+
+
 def test_reasons(spark):
     s = spark.createDataFrame([(1, "T", "LOW", "PUBLISHED", None, None, dt.date(2024, 1, 1), ["LLP"], None, None, None, None, None, 12, None, None)], SERVICE)
     c = spark.createDataFrame([(1, "Trust", None, None, None, None, 24, None)], CLIENT)
