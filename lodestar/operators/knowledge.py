@@ -53,56 +53,64 @@ def documents_required(heading, content) -> Column:
 
 
 # --- raw import rows to sections -------------------------------------------------------------
-def _parsed(nodes: DataFrame) -> DataFrame:
-    """Nodes ``(row_id, path, key, text, shape)`` with the members of objects and whether they are leaves. ``shape`` is the first
-    character of a node's JSON, ``text`` the JSON of a container or the plain text of anything else."""
-    entries = F.when(F.col("shape") == "{", F.from_json("text", "map<string,string>"))
-    return nodes.withColumn("entries", entries).withColumn("is_leaf", ~F.col("shape").isin("{", "[") | F.coalesce(F.map_contains_key("entries", F.lit("value")), F.lit(False)))
-
-
-def _children(parsed: DataFrame) -> DataFrame:
-    """The nodes inside containers. Texts of strings lose their quotes, so the same values as variants tell shapes apart."""
-    texts = F.col("texts")
-    variants = F.when(F.col("shape") == "{", F.map_values(F.from_json("text", "map<string,variant>"))).otherwise(F.from_json("text", "array<variant>"))
-    # only texts that look like a container or a truth value need a look at their variant
-    odd = lambda t: F.coalesce(t.rlike(r"^([\[{]|true$|false$)"), F.lit(False))
-    plain = F.transform(texts, lambda t: F.when(t.isNull(), "n").otherwise("s"))
-    looked = F.zip_with(texts, variants, lambda t, v: F.when(t.isNull(), "n").when(odd(t), F.substring(F.to_json(v), 1, 1)).otherwise("s"))
-    shapes = F.when(F.exists(texts, odd), looked).otherwise(plain)
-    names = F.when(F.col("shape") == "{", F.map_keys("entries"))
-    parsed = parsed.withColumn("texts", F.when(F.col("shape") == "{", F.map_values("entries")).otherwise(F.from_json("text", "array<string>")))
-    rows = parsed.where("NOT is_leaf").select("row_id", "path", F.col("key").alias("parent"), F.posexplode(F.arrays_zip(
-        texts.alias("text"), shapes.alias("shape"), F.coalesce(names, F.transform(texts, lambda _: F.lit(None).cast("string"))).alias("name"))).alias("place", "x"))
-    name = F.col("x.name")
-    key = F.when(name.isNull(), F.concat("parent", F.lit("["), "place", F.lit("]"))).when(F.col("parent") == "", name).otherwise(F.concat_ws(".", "parent", name))
-    return rows.where(name.isNull() | (name != "_meta")).select(
-        "row_id", F.concat("path", F.array("place")).alias("path"), key.alias("key"), F.col("x.text").alias("text"), F.col("x.shape").alias("shape"))
+#: levels of a text that are opened before the nodes are written
+LEVELS = 3
+
+
+def _open(nodes: DataFrame) -> DataFrame:
+    """Nodes ``(row_id, path, key, text, shape, done)`` with each container that is no leaf replaced by the nodes inside. ``shape`` is
+    the first character of a node's JSON, ``text`` the JSON of a container or the plain text of anything else."""
+    container = F.col("shape").isin("{", "[")
+    entries = F.when(~F.col("done") & (F.col("shape") == "{"), F.from_json("text", "map<string,string>"))
+    parsed = nodes.withColumn("entries", entries).withColumn("done", F.col("done") | ~container | F.coalesce(F.map_contains_key("entries", F.lit("value")), F.lit(False)))
+    # texts of strings lose their quotes: where one may look like a container or a truth value, the same values as variants tell
+    doubtful = ~F.col("done") & F.col("text").rlike(r"(?s)^.+[\[{]|true|false")
+    variants = F.when(doubtful, F.when(F.col("shape") == "{", F.map_values(F.from_json("text", "map<string,variant>"))).otherwise(F.from_json("text", "array<variant>")))
+    names = F.when(F.col("shape") == "{", F.map_keys("entries")).otherwise(F.array().cast("array<string>"))
+    texts = F.when(F.col("shape") == "{", F.map_values("entries")).otherwise(F.from_json("text", "array<string>"))
+    none = F.expr("CAST(array() AS array<variant>)")
+    inside = F.arrays_zip(names.alias("name"), texts.alias("text"), F.coalesce(variants, none).alias("v"))
+    itself = F.arrays_zip(F.array(F.lit(None).cast("string")).alias("name"), F.array("text").alias("text"), none.alias("v"))
+    rows = parsed.select("row_id", "path", "key", "shape", "done", F.posexplode(F.when(F.col("done"), itself).otherwise(inside)).alias("place", "x"))
+    name, held = F.col("x.name"), F.col("x.text")
+    key = F.when(name.isNull(), F.concat("key", F.lit("["), "place", F.lit("]"))).when(F.col("key") == "", name).otherwise(F.concat_ws(".", "key", name))
+    odd = held.rlike(r"^([\[{]|true$|false$)")
+    shape = F.when(held.isNull(), "n").when(odd, F.substring(F.to_json(F.col("x.v")), 1, 1)).otherwise("s")
+    keep = lambda c, new: F.when(F.col("done"), F.col(c)).otherwise(new).alias(c)
+    opened = rows.where(name.isNull() | (name != "_meta")).select(
+        "row_id", keep("path", F.concat("path", F.array("place"))), keep("key", key), held.alias("text"), keep("shape", shape), "done")
+    return opened.withColumn("done", F.col("done") | ~container)
 
 
 def flatten_json(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
     """Leaves of JSON texts of unknown depth as ``(row_id, pos, key, value, links)`` rows; ``pos`` counts the leaves of a text.
 
-    Level by level: each is written once and opened by the next. ``_meta`` is skipped; an object with a ``value`` is a leaf, with
-    its hyperlinks; a container as such a value stays JSON. Texts that are null, blank or no JSON (a repeated key included) have
-    no leaves; blank values drop out; rows with equal ids count as one text's leaves.
+    ``LEVELS`` levels are opened in a pass and written once; passes go on with what is not open yet. ``_meta`` is skipped; an
+    object with a ``value`` is a leaf, with its hyperlinks; a container as such a value stays JSON. Texts that are null, blank or no
+    JSON (a repeated key included) have no leaves; blank values drop out; rows with equal ids count as one text's leaves.
     """
     raw = F.col(json_column)
-    shape = F.substring(F.to_json(F.try_parse_json(raw)), 1, 1)
+    parsed = F.try_parse_json(raw)
+    first = F.regexp_extract(raw, r"^\s*([\[{]?)", 1)
+    shape = F.when(parsed.isNotNull(), F.when(first != "", first).otherwise(F.substring(F.to_json(parsed), 1, 1)))
     top = df.select(F.col(id_column).cast("bigint").alias("row_id"), F.array().cast("array<int>").alias("path"), F.lit("").alias("key"), raw.alias("text"), shape.alias("shape"))
-    plain = F.when(F.col("shape").isin("{", "["), F.col("text")).otherwise(F.get(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>"), F.lit(0)))
-    level, leaves = top.where("shape IS NOT NULL").withColumn("text", plain), []
+    container = F.col("shape").isin("{", "[")
+    plain = F.when(container, F.col("text")).otherwise(F.get(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>"), F.lit(0)))
+    nodes, leaves = top.where("shape IS NOT NULL").withColumn("text", plain).withColumn("done", ~container), []
     while True:
-        parsed = _parsed(materialize(level))
-        leaves.append(parsed.where("is_leaf").select("row_id", "path", "key", "text", "shape", "entries"))
-        inner = parsed.where("NOT is_leaf")
-        if inner.isEmpty():
+        for _ in range(LEVELS):
+            nodes = _open(nodes)
+        level = materialize(nodes)
+        leaves.append(level.where("done").drop("done"))
+        nodes = level.where("NOT done")
+        if nodes.isEmpty():
             break
-        level = _children(parsed)
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)
+    rows = rows.withColumn("entries", F.when(F.col("shape") == "{", F.from_json("text", "map<string,string>")))
     held = F.when(F.col("shape") == "{", F.element_at("entries", F.lit("value"))).otherwise(F.col("text"))
-    kind = F.when(F.col("shape") == "{", F.substring(F.to_json(F.element_at(F.from_json("text", "map<string,variant>"), F.lit("value"))), 1, 1)).otherwise(F.col("shape"))
+    kind = F.when(F.col("shape") == "{", F.when(held.isin("true", "false"), F.substring(F.to_json(F.element_at(F.from_json("text", "map<string,variant>"), F.lit("value"))), 1, 1))).otherwise(F.col("shape"))
     held = F.when(kind.isin("t", "f"), F.initcap(held)).otherwise(held)
     links = F.when(F.col("shape") == "{", F.filter(F.array(F.element_at("entries", F.lit("hyperlink_target")), F.element_at("entries", F.lit("hyperlink_location"))), lambda u: F.coalesce(u != "", F.lit(False))))
     flat = rows.select(
