@@ -281,7 +281,7 @@ def _score_block(profiles: DataFrame, block: DataFrame, k: int) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            # equal words and numbers apart, a profile makes up to three times k rows
+            # a profile makes up to three times k rows, so few at a time
             for start in range(0, len(batch), 200):
                 rows = [
                     (*row[:2], *entry)
