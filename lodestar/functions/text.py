@@ -152,12 +152,22 @@ def display_values(values) -> Column:
     return F.when(F.size(kept) == 0, F.lit("Not specified")).otherwise(F.array_join(kept, ", "))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: Spark computes it again for each element of a lambda that names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unique_strings(values: Column) -> Column:
     """First occurrence of each value, compared without case and spacing."""
     kept = F.filter(F.transform(values, plain), lambda x: x != "")
-    prints = F.transform(kept, normalize_ws)
-    firsts = F.transform(F.array_distinct(prints), lambda p: F.array_position(prints, p).cast("int"))
-    return F.transform(firsts, lambda i: F.element_at(kept, i))
+    by_print = F.array_sort(F.transform(kept, lambda x, i: F.struct(normalize_ws(x).alias("p"), i.alias("i"), x.alias("x"))))
+
+    def firsts(rows: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.transform(rows, lambda r: r["p"]))
+        marked = F.zip_with(rows, F.slice(before, F.lit(1), F.size(rows)), lambda r, p: F.when(p.isNull() | (p != r["p"]), F.struct(r["i"].alias("i"), r["x"].alias("x"))))
+        return F.transform(F.array_sort(F.array_compact(marked)), lambda r: r["x"])
+
+    return bound(by_print, firsts)
 
 
 #: fixed pattern of a bullet, number or letter that starts a list line
@@ -177,25 +187,23 @@ def _parts(value: Column, separator: str) -> Column:
 
 def split_items(value) -> Column:
     """List lines if any, else ``|`` parts if there are two, else the whole text."""
-    text = plain(value)
-    marked, piped = _marked_lines(text), _parts(text, r"\|")
-    return (
-        F.when(text == "", F.array().cast("array<string>"))
-        .when(F.size(marked) > 0, unique_strings(marked))
-        .when(F.size(piped) >= 2, unique_strings(piped))
-        .otherwise(F.array(text))
-    )
+
+    def piped(text: Column, parts: Column) -> Column:
+        return F.when(F.size(parts) >= 2, unique_strings(parts)).otherwise(F.array(text))
+
+    def listed(text: Column, marked: Column) -> Column:
+        return F.when(F.size(marked) > 0, unique_strings(marked)).otherwise(bound(_parts(text, r"\|"), lambda parts: piped(text, parts)))
+
+    return bound(plain(value), lambda text: F.when(text == "", F.array().cast("array<string>")).otherwise(
+        bound(_marked_lines(text), lambda marked: listed(text, marked))))
 
 
 def split_items_strict(value) -> Column:
     """At least two list lines, else at least two ``;`` parts, else nothing."""
-    text = plain(value)
-    marked, parts = _marked_lines(text), _parts(text, ";")
-    return (
-        F.when(F.size(marked) >= 2, marked)
-        .when(F.size(parts) >= 2, parts)
-        .otherwise(F.array().cast("array<string>"))
-    )
+    none = F.array().cast("array<string>")
+    parted = lambda parts: F.when(F.size(parts) >= 2, parts).otherwise(none)
+    return bound(plain(value), lambda text: bound(_marked_lines(text), lambda marked: F.when(F.size(marked) >= 2, marked).otherwise(
+        bound(_parts(text, ";"), parted))))
 
 
 def list_layout(value) -> Column:

@@ -79,3 +79,17 @@ def test_row_fingerprint_ignores_column_order(spark):
     df = spark.createDataFrame([("x", 1, None)], "b string, a int, c string")
     row = df.select(text.row_fingerprint("a", "b", "c").alias("x"), text.row_fingerprint("c", "b", "a").alias("y")).first()
     assert row["x"] == row["y"] and re.fullmatch("[0-9a-f]{64}", row["x"])
+
+
+def test_items_of_a_long_list_take_linear_time(spark):
+    import time
+
+    lines = "\n".join(f"- Item {i % 3000} of the list" for i in range(6000))
+    start = time.time()
+    got = one(spark, lines, text.split_items)
+    assert got == [f"Item {i} of the list" for i in range(3000)]
+    assert time.time() - start < 20
+
+
+def test_unique_strings_keep_the_first_form_in_order(spark):
+    assert one(spark, "b|A|B |a|none|c", lambda c: text.unique_strings(F.split(c, r"\|"))) == ["b", "A", "c"]
