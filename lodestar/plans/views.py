@@ -10,6 +10,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.windows import group_row_number
 
 TODAY = "2024-06-15"
 
@@ -75,6 +78,25 @@ SELECT p.p_partkey AS id,
 FROM {{part}} p
 """
 
+SHEET_ROWS = """        SELECT 'Sheet_' || CAST(cat AS STRING) AS sheet, 0 AS ord, cat AS id, 0 AS sub,
+          CASE cat % 4 WHEN 0 THEN @ARRAY('Updated list', '', '') WHEN 1 THEN @ARRAY('Service', 'Vendor Cost', 'Our Fee', 'Remarks') WHEN 3 THEN @ARRAY('Sr No', 'Benefit') ELSE @ARRAY('Programme overview') END AS vals,
+          @ARRAY('', '', '', '') AS urls
+          FROM (SELECT DISTINCT (p_partkey * 7) % 25 AS cat FROM {part}) c WHERE cat % 4 <> 2
+        UNION ALL SELECT 'Sheet_' || CAST(cat AS STRING), 1, cat, 0, @ARRAY('Scheme Name', 'Benefits', 'Eligibility Criteria', 'Last Date', 'Portal Link'), @ARRAY('', '', '', '', '')
+          FROM (SELECT DISTINCT (p_partkey * 7) % 25 AS cat FROM {part}) c WHERE cat % 4 = 0
+        UNION ALL SELECT 'Sheet_' || CAST((p_partkey * 7) % 25 AS STRING), 2, p_partkey, 0,
+          CASE ((p_partkey * 7) % 25) % 4
+            WHEN 0 THEN @ARRAY(p_name || ' ' || CASE p_size % 3 WHEN 0 THEN 'seed funding' WHEN 1 THEN 'loan' ELSE 'certificate' END, CASE WHEN p_size % 2 = 0 THEN 'Grant of Rs. 5 lakh' ELSE '' END, 'Registered MSME', CAST(p_size AS STRING) || ' March', 'https://portal.example/' || CAST(p_partkey AS STRING))
+            WHEN 1 THEN @ARRAY(p_name || ' registration', 'Rs ' || CAST(p_size * 100 AS STRING), CASE WHEN p_size % 3 = 0 THEN '' ELSE 'Rs 10' END, '')
+            WHEN 2 THEN @ARRAY(p_name || ' ' || CASE p_size % 6 WHEN 0 THEN 'grant' WHEN 1 THEN 'loan scheme' WHEN 2 THEN 'seed fund' WHEN 3 THEN 'registration' WHEN 4 THEN 'certificate' ELSE 'programme' END, 'Equity support up to ' || CAST(p_size AS STRING) || ' lakh', 'Applicant should be private limited', 'Dairy and food technology')
+            ELSE @ARRAY(CAST(p_partkey AS STRING), p_name) END,
+          CASE WHEN p_size % 5 = 0 THEN @ARRAY('', 'https://link.example/' || p_brand, '', '', '') ELSE @ARRAY('', '', '', '', '') END
+          FROM {part}
+        UNION ALL SELECT 'Story_' || source, 3, doc_id, 0, @ARRAY(CASE doc_id % 6 WHEN 0 THEN 'Eligibility:' WHEN 1 THEN '*Documents required*' WHEN 2 THEN 'small ring grant' WHEN 3 THEN 'Benefits' WHEN 4 THEN 'How to apply' ELSE 'Other details' END, ''), @ARRAY('', '') FROM {documents}
+        UNION ALL SELECT 'Story_' || source, 3, doc_id, 1, @ARRAY(text), @ARRAY('') FROM {documents}"""
+#: ids of a sheet's rows that are numbered in one task
+SHEET_IDS = 10_000
+
 VIEW_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
     "v_service": (SERVICE_SQL, ("part",)),
     "v_domain": (
@@ -109,23 +131,8 @@ VIEW_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         ("customer", "nation"),
     ),
     "v_sheet": (
-        """SELECT 'catalogue' AS file, sheet, CAST(row_number() OVER (PARTITION BY sheet ORDER BY ord, id, sub) AS INT) AS row_no, vals AS values, urls AS links FROM (
-        SELECT 'Sheet_' || CAST(cat AS STRING) AS sheet, 0 AS ord, cat AS id, 0 AS sub,
-          CASE cat % 4 WHEN 0 THEN @ARRAY('Updated list', '', '') WHEN 1 THEN @ARRAY('Service', 'Vendor Cost', 'Our Fee', 'Remarks') WHEN 3 THEN @ARRAY('Sr No', 'Benefit') ELSE @ARRAY('Programme overview') END AS vals,
-          @ARRAY('', '', '', '') AS urls
-          FROM (SELECT DISTINCT (p_partkey * 7) % 25 AS cat FROM {part}) c WHERE cat % 4 <> 2
-        UNION ALL SELECT 'Sheet_' || CAST(cat AS STRING), 1, cat, 0, @ARRAY('Scheme Name', 'Benefits', 'Eligibility Criteria', 'Last Date', 'Portal Link'), @ARRAY('', '', '', '', '')
-          FROM (SELECT DISTINCT (p_partkey * 7) % 25 AS cat FROM {part}) c WHERE cat % 4 = 0
-        UNION ALL SELECT 'Sheet_' || CAST((p_partkey * 7) % 25 AS STRING), 2, p_partkey, 0,
-          CASE ((p_partkey * 7) % 25) % 4
-            WHEN 0 THEN @ARRAY(p_name || ' ' || CASE p_size % 3 WHEN 0 THEN 'seed funding' WHEN 1 THEN 'loan' ELSE 'certificate' END, CASE WHEN p_size % 2 = 0 THEN 'Grant of Rs. 5 lakh' ELSE '' END, 'Registered MSME', CAST(p_size AS STRING) || ' March', 'https://portal.example/' || CAST(p_partkey AS STRING))
-            WHEN 1 THEN @ARRAY(p_name || ' registration', 'Rs ' || CAST(p_size * 100 AS STRING), CASE WHEN p_size % 3 = 0 THEN '' ELSE 'Rs 10' END, '')
-            WHEN 2 THEN @ARRAY(p_name || ' ' || CASE p_size % 6 WHEN 0 THEN 'grant' WHEN 1 THEN 'loan scheme' WHEN 2 THEN 'seed fund' WHEN 3 THEN 'registration' WHEN 4 THEN 'certificate' ELSE 'programme' END, 'Equity support up to ' || CAST(p_size AS STRING) || ' lakh', 'Applicant should be private limited', 'Dairy and food technology')
-            ELSE @ARRAY(CAST(p_partkey AS STRING), p_name) END,
-          CASE WHEN p_size % 5 = 0 THEN @ARRAY('', 'https://link.example/' || p_brand, '', '', '') ELSE @ARRAY('', '', '', '', '') END
-          FROM {part}
-        UNION ALL SELECT 'Story_' || source, 3, doc_id, 0, @ARRAY(CASE doc_id % 6 WHEN 0 THEN 'Eligibility:' WHEN 1 THEN '*Documents required*' WHEN 2 THEN 'small ring grant' WHEN 3 THEN 'Benefits' WHEN 4 THEN 'How to apply' ELSE 'Other details' END, ''), @ARRAY('', '') FROM {documents}
-        UNION ALL SELECT 'Story_' || source, 3, doc_id, 1, @ARRAY(text), @ARRAY('') FROM {documents}) x""",
+        f"""SELECT 'catalogue' AS file, sheet, CAST(row_number() OVER (PARTITION BY sheet ORDER BY ord, id, sub) AS INT) AS row_no, vals AS values, urls AS links FROM (
+{SHEET_ROWS}) x""",
         ("part", "documents"),
     ),
     "v_query": (
@@ -264,7 +271,14 @@ def _dialect(sql: str, spark_side: bool) -> str:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Spark DataFrame for one derived view."""
     sql, tables = VIEW_SQL[name]
-    return spark.sql(_dialect(sql, True), **{t: table(spark, sf_dir, t) for t in tables})
+    read = {t: table(spark, sf_dir, t) for t in tables}
+    if name == "v_sheet":
+        # the row numbers of its SQL, block by block: a sheet holds the texts of a whole source
+        rows = spark.sql(_dialect(SHEET_ROWS, True), **read)
+        block = F.struct("ord", F.floor(F.col("id") / SHEET_IDS))
+        numbered = group_row_number(rows, ["sheet"], block, ["ord", "id", "sub"], "row_no")
+        return numbered.select(F.lit("catalogue").alias("file"), "sheet", F.col("row_no").cast("int").alias("row_no"), F.col("vals").alias("values"), F.col("urls").alias("links"))
+    return spark.sql(_dialect(sql, True), **read)
 
 
 @lru_cache(maxsize=None)
