@@ -328,3 +328,30 @@ def test_commands(spark, store, tmp_path, capsys):
     assert import_batch.main([store.root, folder, "7", "--rollback"]) == 1 and '"REFUSED"' in capsys.readouterr().out
     with pytest.raises(mg.MergeRefused, match="no batch"):
         import_batch.run(store, staged, 5)
+
+
+def test_existing_texts_are_not_copied_for_each_field(spark, monkeypatch):
+    """A text is compared once per bucket, whatever the number of fields or section types that read it."""
+    from lodestar.operators import delta as dl
+
+    seen, plain = [], dl.existing_needles
+
+    def counted(incoming, existing, keys):
+        seen.append(existing.count())
+        return plain(incoming, existing, keys)
+
+    monkeypatch.setattr(dl, "existing_needles", counted)
+    texts = spark.createDataFrame([(1, "content", "grant for small dairy farms"), (1, "rules", "only for women"), (2, "benefits", "tax holiday")], "service_id bigint, bucket string, norm string")
+    urls = spark.createDataFrame([], "service_id bigint, url string, source_kind string")
+    rows = [(10, 1, "benefits", "Grant for small dairy farms"), (10, 1, "eligibility", "Only for women"), (10, 1, "deadline", "Only for women"), (10, 1, "odd", "only for WOMEN"),
+            (10, 1, "benefits2", "new text"), (20, 2, "deadline", "31 March"), (30, 3, "odd", "-*-,"), (30, 3, "other", "x"), (40, None, "benefits", "Grant")]
+    fields = spark.createDataFrame(rows, "cand_id bigint, service_id bigint, field string, value string")
+    links = spark.createDataFrame([], "cand_id bigint, service_id bigint, field string, url string")
+    got = {(r["cand_id"], r["field"], r["change_type"]) for r in dl.structured_differences(fields, links, texts, urls).collect()}
+    assert got == {(10, "deadline", "CHANGED_INFORMATION"), (10, "benefits2", "CHANGED_INFORMATION"), (20, "deadline", "SAFE_ADDITION"),
+                   (30, "odd", "SAFE_ADDITION"), (30, "other", "SAFE_ADDITION"), (40, "benefits", "SAFE_ADDITION")}
+    sections = spark.createDataFrame([(1, 1, i, 1, kind, body, False, "") for i, (kind, body) in enumerate([("ELIGIBILITY", "Only for women"), ("NOTES", "Only for women"), ("GLOSSARY", "grant")])],
+                                     "cand_id bigint, service_id bigint, source_row int, source_column int, section_type string, content string, is_heading boolean, url string")
+    got = {(r["field"], r["change_type"]) for r in dl.narrative_differences(sections, texts, urls).collect()}
+    assert got == {("section:GLOSSARY", "CHANGED_INFORMATION")}
+    assert max(seen) <= 3
