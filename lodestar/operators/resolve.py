@@ -47,6 +47,28 @@ def _letter_counts(value: str) -> np.ndarray:
     return np.array([value.count(c) for c in _LETTERS], np.int16)
 
 
+def _codes(values: list[str]) -> np.ndarray:
+    """Letters of the values as numbers, one row each; other characters count as one letter, the end as another."""
+    of = {c: i for i, c in enumerate(_LETTERS)}
+    out = np.full((len(values), max((len(v) for v in values), default=0)), len(_LETTERS) + 1, np.uint8)
+    for i, v in enumerate(values):
+        out[i, : len(v)] = [of.get(c, len(_LETTERS)) for c in v]
+    return out
+
+
+def common_subsequences(left: str, codes: np.ndarray) -> np.ndarray:
+    """``common_subsequence`` of ``left``, at most 64 letters, with many values at once."""
+    masks = np.zeros(len(_LETTERS) + 2, np.uint64)
+    for at, code in enumerate(_codes([left])[0]):
+        masks[code] |= np.uint64(1 << at)
+    full = np.uint64((1 << len(left)) - 1)
+    row = np.full(len(codes), full)
+    for column in codes.T:
+        hit = row & masks[column]
+        row = ((row + hit) | (row - hit)) & full
+    return len(left) - np.bitwise_count(row).astype(np.int64)
+
+
 class TitleBlock:
     """Canonical catalogue titles of one block, in catalogue order."""
 
@@ -54,6 +76,7 @@ class TitleBlock:
         self.ids, self.shown, self.canonical = list(ids), list(shown), list(canonical)
         self.size = np.array([len(c) for c in self.canonical], np.int64)
         self.letters = np.array([_letter_counts(c) for c in self.canonical], np.int16).reshape(-1, len(_LETTERS))
+        self.codes = _codes(self.canonical)
         postings: dict[str, list[int]] = {}
         words = [set(c.split()) for c in self.canonical]
         for i, tokens in enumerate(words):
@@ -98,12 +121,16 @@ class TitleBlock:
         bound = 2 * np.minimum(self.letters, _letter_counts(left)).sum(axis=1) / (self.size + len(left))
         score = np.minimum(np.round(fixed, 4), 1)
         top = score.max()
-        masks: dict[str, int] = {}
-        for at, c in enumerate(left):
-            masks[c] = masks.get(c, 0) | (1 << at)
         near = np.flatnonzero((bound + 1e-4 >= top) & (bound > fixed))
-        tight = [2 * common_subsequence(left, masks, self.canonical[i]) / (self.size[i] + len(left)) for i in near]
-        for at in np.argsort(-np.array(tight), kind="stable"):
+        if len(left) <= 64:
+            common = common_subsequences(left, self.codes[near, : self.size[near].max(initial=0)])
+        else:
+            masks: dict[str, int] = {}
+            for at, c in enumerate(left):
+                masks[c] = masks.get(c, 0) | (1 << at)
+            common = np.array([common_subsequence(left, masks, self.canonical[i]) for i in near], np.int64)
+        tight = 2 * common / (self.size[near] + len(left))
+        for at in np.argsort(-tight, kind="stable"):
             i = near[at]
             if tight[at] + 1e-4 < top:
                 break
@@ -146,7 +173,8 @@ def resolve_titles(incoming: DataFrame, catalogue: DataFrame, block_titles: int
     exact = known.select("canonical", F.col("id").alias("exact_id"), F.col("title").alias("exact_title"))
     joined = named.join(exact, "canonical", "left")
     rest = joined.where("exact_id IS NULL AND canonical <> ''").select("canonical").distinct()
-    rest = spread(rest, "canonical")
+    # dealt by a hash of its own: a repartition by the key of ``distinct`` is dropped, and few tasks would do all the work
+    rest = spread(rest.withColumn("deal", F.xxhash64("canonical")), "deal").drop("deal")
     blocks = -(-known.count() // block_titles)
     best = None
     for number in range(blocks):

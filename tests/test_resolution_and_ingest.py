@@ -1,6 +1,7 @@
 """Title resolution against brute force; files, sheets and candidates."""
 
 import io
+import random
 import zipfile
 from difflib import SequenceMatcher
 
@@ -83,6 +84,33 @@ KINDS = [
 ]
 
 
+def test_unmatched_titles_are_dealt_over_tasks(spark, monkeypatch):
+    """The titles that are compared with the catalogue must not be merged into one task, however small they are."""
+    best = rs._best_in_block
+    monkeypatch.setattr(rs, "_best_in_block", lambda left, block: parts.append(left.select(F.spark_partition_id()).distinct().count()) or best(left, block))
+    parts, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        incoming = spark.createDataFrame([(f"matter {i}",) for i in range(200)], "title string")
+        catalogue = spark.createDataFrame([(1, "Matter 300"), (2, "Seed fund")], "id bigint, title string")
+        assert rs.resolve_titles(incoming, catalogue).count() == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert parts[0] > 4
+
+
+def test_many_common_subsequences():
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abc 1") for _ in range(n))
+    values = ["", "a", "a" * 70, *(word(rnd.randint(1, 80)) for _ in range(60))]
+    for left in ["a", "b" * 64, *(word(rnd.randint(1, 64)) for _ in range(30))]:
+        masks = {c: sum(1 << i for i, x in enumerate(left) if x == c) for c in left}
+        want = [rs.common_subsequence(left, masks, v) for v in values]
+        assert rs.common_subsequences(left, rs._codes(values)).tolist() == want
+    # letters beyond the alphabet may only raise the bound
+    assert rs.common_subsequences("\u00e4\u00f6", rs._codes(["\u00e4\u00f6"])).tolist() == [2]
+
+
 @pytest.mark.parametrize("kind,rows", KINDS, ids=[k for k, _ in KINDS])
 def test_sheet_kinds(spark, kind, rows):
     df = sheet(spark, rows)
