@@ -22,7 +22,7 @@ from ..functions.search_terms import (
     SPECIFIC_FINANCE,
     TOKEN_TO_CONCEPT,
 )
-from ..session import materialize, spread
+from ..session import gather, materialize, spread
 
 #: never part of a query, so joined fields cannot match across their border
 FIELD_BREAK = "\u0001"
@@ -171,11 +171,13 @@ def group_hits(texts: DataFrame, groups: DataFrame) -> DataFrame:
     sought = materialize(needles(groups).withColumnRenamed("sector", "n_sector"))
     hits = materialize(word_hits(texts, sought))
     test = (F.col("sector") == F.col("n_sector")) & needle_match(F.col("text"), F.col("sector"), F.col("terms"))
-    keyed = texts.withColumn("text_key", F.sha2("text", 256))
+    # texts that share a key are all compared, so a short key loses nothing
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
     rows = keyed.select("service_id", "sector", "text_key", F.explode(_words(F.col("text"))).alias("word"))
-    pairs = rows.join(hits, "word").select("service_id", "sector", "text_key", "anchor").distinct()
-    found = pairs.join(keyed, ["service_id", "sector", "text_key"]).join(sought, "anchor").where(test)
-    return found.select("grp", "service_id").distinct()
+    place = ["service_id", "sector", "text_key"]
+    pairs = gather(rows.join(hits, "word").select(*place, "anchor"), *place).distinct()
+    found = pairs.join(keyed, place).join(sought, "anchor").where(test)
+    return gather(found.select("grp", "service_id"), "grp", "service_id").distinct()
 
 
 def short_tech_evidence(texts: DataFrame) -> DataFrame:
@@ -211,10 +213,16 @@ def guard(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
     return free.unionByName(bound.join(shown, ["query", "service_id"], "left_semi"))
 
 
+def group_counts(groups: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(query, service_id, hits)``: how many groups of a query hit a service."""
+    rows = groups.select("query", "grp").join(hits, "grp").select("query", "service_id")
+    return gather(rows, "query", "service_id").groupBy("query", "service_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
 def natural_matches(groups: DataFrame, hits: DataFrame) -> DataFrame:
     """``(query, service_id, hits, n_groups)``: all groups if any service has all, else enough."""
     sizes = groups.groupBy("query").agg(F.count(F.lit(1)).alias("n_groups"))
-    counts = groups.select("query", "grp").join(hits, "grp").groupBy("query", "service_id").agg(F.count(F.lit(1)).alias("hits"))
+    counts = group_counts(groups, hits)
     best = counts.groupBy("query").agg(F.max("hits").alias("best"))
     n = F.col("n_groups")
     enough = F.when(n <= 2, n).when(n == 3, 2).otherwise(F.greatest(F.lit(2), n - 1))
@@ -255,7 +263,7 @@ def rank_scores(services: DataFrame, groups: DataFrame, hits: DataFrame) -> Data
     points = _group_points(services, groups, hits)
     amount_hits = hits.where(F.col("grp").startswith("amount:")).select("grp", "service_id", F.lit(0).alias("points"))
     base = (
-        groups.select("query", "grp").join(points.unionByName(amount_hits), "grp")
+        gather(groups.select("query", "grp").join(points.unionByName(amount_hits), "grp"), "query", "service_id")
         .groupBy("query", "service_id")
         .agg(F.sum("points").alias("points"), F.count_if(~F.col("grp").startswith("amount:")).alias("plain"))
         .join(sizes.withColumn("wanted", amounts_in_lakh(F.col("query"))), "query")
@@ -306,7 +314,7 @@ def search_candidates(queries: DataFrame, services: DataFrame, texts: DataFrame)
     if not queries.where(F.size(required_terms(F.col("query"))) > 0).isEmpty():
         natural = guard(natural, short_tech_evidence(texts))
     direct = raw.select("query", "grp").join(hits, "grp").select("query", "service_id")
-    matched = natural.union(direct).distinct()
+    matched = gather(natural.union(direct), "query", "service_id").distinct()
     scores = rank_scores(services, groups, hits)
     return matched.join(scores, ["query", "service_id"], "left").fillna(0, ["score"])
 

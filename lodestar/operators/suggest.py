@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.wordlists import KIND_LABELS
-from ..session import materialize
+from ..session import gather, materialize
 from ..sources.snapshots import SnapshotStore
 from .search import _grams, _literal_map, _words
 
@@ -45,7 +45,7 @@ def canonical_text(services: DataFrame, sections: DataFrame) -> DataFrame:
 def postings(services: DataFrame, sections: DataFrame) -> DataFrame:
     """``(word, service_id, fields)``: all words of a service, with the fields that show them as bits."""
     words = canonical_text(services, sections).select("service_id", "bit", F.explode(_words(F.col("text"))).alias("word"))
-    return words.groupBy("word", "service_id").agg(F.bit_or("bit").cast("int").alias("fields"))
+    return gather(words, "word", "service_id").groupBy("word", "service_id").agg(F.bit_or("bit").cast("int").alias("fields"))
 
 
 def titles(services: DataFrame) -> DataFrame:
@@ -75,9 +75,9 @@ def term_words(terms: DataFrame, grams: DataFrame) -> DataFrame:
 def ranked(asked: DataFrame, terms: DataFrame, words: DataFrame, posting: DataFrame, title: DataFrame, k: int) -> DataFrame:
     """Top suggestions per query: tier by the best place where all its terms occur. Terms are looked up once, whatever the
     number of queries that use them."""
-    found = words.join(posting, "word").groupBy("anchor", "service_id").agg(F.bit_or("fields").alias("fields"))
+    found = gather(words.join(posting, "word").select("anchor", "service_id", "fields"), "anchor", "service_id").groupBy("anchor", "service_id").agg(F.bit_or("fields").alias("fields"))
     want = terms.groupBy("query").agg(F.count(F.lit(1)).alias("want"))
-    per_query = terms.join(found, "anchor").groupBy("query", "service_id").agg(F.count(F.lit(1)).alias("have"), F.bit_and("fields").alias("fields"))
+    per_query = gather(terms.join(found, "anchor").select("query", "service_id", "fields"), "query", "service_id").groupBy("query", "service_id").agg(F.count(F.lit(1)).alias("have"), F.bit_and("fields").alias("fields"))
     rows = per_query.join(want, "query").where("have = want").join(asked, "query").join(title, "service_id")
 
     def all_in(*fields: str) -> Column:

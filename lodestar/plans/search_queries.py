@@ -113,7 +113,7 @@ def register(reg: Registry) -> None:
         g = materialize(se.query_groups(v.query))
         vis = catalogue(v).select(F.col("id").alias("service_id"))
         hits = se.group_hits(texts(v), g).join(vis, "service_id", "left_semi")
-        return g.select("query", "grp").join(hits, "grp").groupBy("query", "service_id").agg(F.count(F.lit(1)).alias("hits"))
+        return se.group_counts(g, hits)
 
     @reg.add("Q4_intersection_or_threshold", VIEWS, f"WITH {GROUPS}, {TEXTS}, {NATURAL} SELECT query, service_id, hits, n AS n_groups FROM nm")
     def _(v):

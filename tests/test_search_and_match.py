@@ -42,6 +42,29 @@ def found(spark, catalogue, *queries):
     return out
 
 
+def combined_before_shuffle(df):
+    """Aggregations that run on what a task reads, below the lowest shuffle of a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    last = max(i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line)
+    return [line for line in plan[last:] if "HashAggregate" in line]
+
+
+def test_rows_are_shuffled_before_they_are_combined(spark, catalogue):
+    """No task may hold the keys of all it reads, or of all that a join with few rows makes of it."""
+    sections = spark.createDataFrame([(0, "dairy loan"), (1, "dairy farm")], "service_id bigint, content string")
+    assert combined_before_shuffle(sg.postings(catalogue, sections)) == []
+    groups = spark.createDataFrame([("q", "g"), ("q", "h"), ("r", "g")], "query string, grp string")
+    hits = spark.createDataFrame([("g", 1), ("h", 1), ("g", 2)], "grp string, service_id bigint")
+    counts = se.group_counts(F.broadcast(groups), hits)
+    assert combined_before_shuffle(counts) == []
+    assert sorted(map(tuple, counts.collect())) == [("q", 1, 2), ("q", 2, 1), ("r", 1, 1), ("r", 2, 1)]
+    texts = spark.createDataFrame([(1, False, "dairy loan loan-able"), (1, False, "dairy loan loan-able"), (2, True, "loan"), (3, False, "")], "service_id bigint, sector boolean, text string")
+    wanted = spark.createDataFrame([("g", ["loan"]), ("h", ["dairy loan"])], "grp string, variants array<string>")
+    found = se.group_hits(texts, wanted)
+    assert combined_before_shuffle(found) == []
+    assert sorted(map(tuple, found.collect())) == [("g", 1), ("g", 2), ("h", 1)]
+
+
 def test_search(spark, catalogue):
     got = found(spark, catalogue, "credit", "working capital", "msme term loan", "export invoice discounting", "zzz nothing matches this zzz")
     assert set(got["credit"]) == {0, 1}  # credit and loan are one concept
