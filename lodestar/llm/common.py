@@ -133,7 +133,33 @@ def _kinds() -> tuple[np.ndarray, np.ndarray]:
     return (~space).astype(np.uint8), runs.astype(np.uint8)
 
 
-_WORD_KIND, _RUN_KIND = _kinds()
+_WORD_KIND, _RUN_KIND = (kinds.tobytes() for kinds in _kinds())
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+#: Bytes whose words are hashed at once; a longer word is still taken whole.
+HASH_BYTES = 1 << 18
+
+
+def _translated(raw: np.ndarray, table: bytes) -> np.ndarray:
+    return np.frombuffer(raw.tobytes().translate(table), np.uint8)
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``raw``. A hash is free of the word's place, so words are taken block by block: powers and
+    sums need eight bytes a byte of a block, not of all texts."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            begin = int(starts[at])
+            upto = max(at + 1, int(np.searchsorted(ends, begin + HASH_BYTES, side="right")))
+            first, last = starts[at:upto] - begin, ends[at:upto] - begin
+            size = int(last[-1])
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum((raw[begin : begin + size].astype(np.uint64) + np.uint64(1)) * _powers(int(_POLY), size), out=sums[1:])
+            local = (sums[last] - sums[first]) * _powers(_INVERSE, size + 1)[first]
+            out[at:upto] = mix(local ^ ((last - first).astype(np.uint64) << np.uint64(48)))
+            at = upto
+    return out
 
 
 class Words:
@@ -146,8 +172,8 @@ class Words:
     def __init__(self, array: pa.Array, lower: bool = True, runs: bool = False):
         raw, bounds = string_bytes(array)
         if lower:
-            raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-        kind = (_RUN_KIND if runs else _WORD_KIND)[raw]
+            raw = _translated(raw, _LOWER)
+        kind = _translated(raw, _RUN_KIND if runs else _WORD_KIND)
         cuts = bounds[1:-1]
         inner = cuts[(cuts > 0) & (cuts < len(raw))]
         change = np.ones(len(raw) + 1, bool)
@@ -159,11 +185,7 @@ class Words:
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(finish) + 1
         self.first = np.searchsorted(self.starts, bounds)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(int(_POLY), len(raw)), out=sums[1:])
-            local = (sums[self.ends] - sums[self.starts]) * _powers(_INVERSE, len(raw) + 1)[self.starts]
-            self.hashes = mix(local ^ ((self.ends - self.starts).astype(np.uint64) << np.uint64(48)))
+        self.hashes = _word_hashes(raw, self.starts, self.ends)
 
     @property
     def counts(self) -> np.ndarray:
