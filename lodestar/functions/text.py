@@ -72,18 +72,35 @@ def clean_text(value) -> Column:
     return squeeze(F.regexp_replace(text, "[–—]", "-"))
 
 
+def plain_word(stripped: Column) -> Column:
+    """The words none, null and nan mean blank."""
+    return F.when(F.lower(stripped).isin("none", "null", "nan"), F.lit("")).otherwise(stripped)
+
+
 def plain(value) -> Column:
     """Trimmed text; the words none, null and nan mean blank."""
-    text = strip(blank(value))
-    return F.when(F.lower(text).isin("none", "null", "nan"), F.lit("")).otherwise(text)
+    return plain_word(strip(blank(value)))
 
 
 def norm_space(value) -> Column:
     return normalize_ws(plain(value))
 
 
+#: what a pattern's white space stands for, and the other ends of a line that its end of text passes over
+SPACE, LINE_ENDS = " \t\n\x0b\f\r", "\u0085\u2028\u2029"
+
+
+def plain_once(value) -> Column:
+    """As ``plain``, computed once; patterns are left out where a text has no white space at its ends."""
+
+    def stripped(v: Column) -> Column:
+        return F.when(F.btrim(v, F.lit(SPACE + LINE_ENDS)) == v, v).otherwise(strip(v))
+
+    return bound(bound(blank(value), stripped), plain_word)
+
+
 def normalise_key(value) -> Column:
-    return squeeze(F.regexp_replace(F.lower(plain(value)), r"[_\-/]+", " "))
+    return F.trim(F.regexp_replace(F.lower(plain_once(value)), r"[\s_\-/]+", " "))
 
 
 def canonicalize(value) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +25,29 @@ def contains_any(haystack: Column, needles) -> Column:
     return F.regexp_like(haystack, F.lit("|".join(rf"\Q{n}\E" for n in needles)))
 
 
+def any_contained(haystack: Column, needles) -> Column:
+    """As ``contains_any``, for a haystack that is at hand: a search for each needle that holds no other, which short texts pass sooner."""
+    fewest = [n for n in needles if not any(m != n and m in n for m in needles)]
+    return functools.reduce(operator.or_, [F.contains(haystack, F.lit(n)) for n in fewest])
+
+
 def blocked_key(key) -> Column:
     """Keys about internal or commercial data."""
-    return contains_any(text.normalise_key(key), BLOCKED_KEY_PARTS)
+    return text.bound(text.normalise_key(key), lambda k: any_contained(k, BLOCKED_KEY_PARTS))
 
 
-def key_section_type(key) -> Column:
-    """Section type of a raw key, NULL when blocked or unknown."""
-    k = text.normalise_key(key)
-    out = F.when((k == "") | blocked_key(key), F.lit(None))
+def _typed(k: Column) -> Column:
+    out = F.when((k == "") | any_contained(k, BLOCKED_KEY_PARTS), F.lit(None))
     for section, markers in KEY_SECTION_MARKERS:
-        out = out.when(contains_any(k, markers), F.lit(section))
+        out = out.when(any_contained(k, markers), F.lit(section))
     return out
 
 
+def key_section_type(key) -> Column:
+    """Section type of a raw key, NULL when blocked or unknown."""
+    return text.bound(text.normalise_key(key), _typed)
+
+
 def rule_type(value) -> Column:
     n = text.norm_space(value)
     return (
@@ -53,78 +65,130 @@ def documents_required(heading, content) -> Column:
 
 
 # --- raw import rows to sections -------------------------------------------------------------
-#: levels of a text that are opened before the nodes are written
+#: levels of a text that are opened before its nodes are written
 LEVELS = 3
+_NODE = "struct<key:string,text:string,shape:string,links:array<string>>"
 
 
-def _open(nodes: DataFrame) -> DataFrame:
-    """Nodes ``(row_id, path, key, text, shape, done)`` with each container that is no leaf replaced by the nodes inside. ``shape`` is
-    the first character of a node's JSON, ``text`` the JSON of a container or the plain text of anything else."""
-    container = F.col("shape").isin("{", "[")
-    entries = F.when(~F.col("done") & (F.col("shape") == "{"), F.from_json("text", "map<string,string>"))
-    parsed = nodes.withColumn("entries", entries).withColumn("done", F.col("done") | ~container | F.coalesce(F.map_contains_key("entries", F.lit("value")), F.lit(False)))
+def _node(key: Column, held: Column, shape: Column, links: Column | None = None) -> Column:
+    links = F.lit(None) if links is None else links
+    return F.struct(key.alias("key"), held.alias("text"), shape.alias("shape"), links.cast("array<string>").alias("links"))
+
+
+def _is_open(node: Column) -> Column:
+    return node["shape"].isin("{", "[")
+
+
+def _inside(node: Column) -> Column:
+    """Nodes inside an open node. ``shape`` is the first character of a node's JSON, ``text`` the JSON of a container or the plain text
+    of anything else."""
+    body, is_object = node["text"], node["shape"] == "{"
     # texts of strings lose their quotes: where one may look like a container or a truth value, the same values as variants tell
-    doubtful = ~F.col("done") & F.col("text").rlike(r"(?s)^.+[\[{]|true|false")
-    variants = F.when(doubtful, F.when(F.col("shape") == "{", F.map_values(F.from_json("text", "map<string,variant>"))).otherwise(F.from_json("text", "array<variant>")))
-    names = F.when(F.col("shape") == "{", F.map_keys("entries")).otherwise(F.array().cast("array<string>"))
-    texts = F.when(F.col("shape") == "{", F.map_values("entries")).otherwise(F.from_json("text", "array<string>"))
-    none = F.expr("CAST(array() AS array<variant>)")
-    inside = F.arrays_zip(names.alias("name"), texts.alias("text"), F.coalesce(variants, none).alias("v"))
-    itself = F.arrays_zip(F.array(F.lit(None).cast("string")).alias("name"), F.array("text").alias("text"), none.alias("v"))
-    rows = parsed.select("row_id", "path", "key", "shape", "done", F.posexplode(F.when(F.col("done"), itself).otherwise(inside)).alias("place", "x"))
-    name, held = F.col("x.name"), F.col("x.text")
-    key = F.when(name.isNull(), F.concat("key", F.lit("["), "place", F.lit("]"))).when(F.col("key") == "", name).otherwise(F.concat_ws(".", "key", name))
-    odd = held.rlike(r"^([\[{]|true$|false$)")
-    shape = F.when(held.isNull(), "n").when(odd, F.substring(F.to_json(F.col("x.v")), 1, 1)).otherwise("s")
-    keep = lambda c, new: F.when(F.col("done"), F.col(c)).otherwise(new).alias(c)
-    opened = rows.where(name.isNull() | (name != "_meta")).select(
-        "row_id", keep("path", F.concat("path", F.array("place"))), keep("key", key), held.alias("text"), keep("shape", shape), "done")
-    return opened.withColumn("done", F.col("done") | ~container)
+    doubtful = any_contained(body, ('"[', '"{', '"\\', '"true"', '"false"'))
+    objects, lists = F.map_values(F.from_json(body, "map<string,variant>")), F.from_json(body, "array<variant>")
+    variants = F.when(doubtful, F.when(is_object, objects).otherwise(lists))
+    none = F.array().cast(f"array<{_NODE}>")
+
+    def shape_of(held: Column, place: Column, v: Column) -> Column:
+        first = F.substring(held, 1, 1)
+        known = F.when(v.isNull(), first).otherwise(F.substring(F.to_json(F.get(v, place)), 1, 1))
+        return F.when(held.isNull(), "n").when(first.isin("[", "{") | held.isin("true", "false"), known).otherwise("s")
+
+    def leaf(entries: Column) -> Column:
+        held = F.try_element_at(entries, F.lit("value"))
+        links = F.filter(F.array(*[F.try_element_at(entries, F.lit(k)) for k in ("hyperlink_target", "hyperlink_location")]), lambda u: F.coalesce(u != "", F.lit(False)))
+        place = F.array_position(F.map_keys(entries), "value").cast("int") - 1
+        shape = F.when(held.isin("true", "false"), text.bound(variants, lambda v: shape_of(held, place, v))).otherwise("s")
+        return F.array(_node(node["key"], held, shape, links))
+
+    def fields(entries: Column) -> Column:
+        def child(v: Column) -> Column:
+            def made(e: Column, i: Column) -> Column:
+                key = F.when(node["key"] == "", e["key"]).otherwise(F.concat_ws(".", node["key"], e["key"]))
+                return F.when(e["key"] != "_meta", _node(key, e["value"], shape_of(e["value"], i, v)))
+
+            made_all = F.transform(F.map_entries(entries), made)
+            return F.when(F.map_contains_key(entries, F.lit("_meta")), F.filter(made_all, lambda n: n.isNotNull())).otherwise(made_all)
+
+        return F.when(F.map_contains_key(entries, F.lit("value")), leaf(entries)).otherwise(text.bound(variants, child))
+
+    def items(v: Column) -> Column:
+        def made(x: Column, i: Column) -> Column:
+            return _node(F.concat(node["key"], F.lit("["), i.cast("string"), F.lit("]")), x, shape_of(x, i, v))
+
+        return F.transform(F.from_json(body, "array<string>"), made)
+
+    opened = F.when(is_object, text.bound(F.from_json(body, "map<string,string>"), fields)).otherwise(text.bound(variants, items))
+    return F.coalesce(opened, none)
+
+
+def _open(nodes: Column) -> Column:
+    """The nodes in order, each container that is no leaf replaced by the nodes inside."""
+
+    def opened(held: Column) -> Column:
+        inside = F.flatten(F.transform(held, lambda n: F.when(_is_open(n), _inside(n)).otherwise(F.array(n))))
+        return F.when(F.exists(held, _is_open), inside).otherwise(held)
+
+    return text.bound(nodes, opened)
+
+
+def _leaf(node: Column) -> Column:
+    held = F.when(node["shape"].isin("t", "f"), F.initcap(node["text"])).otherwise(F.coalesce(node["text"], F.lit("")))
+    return F.struct(node["key"].alias("key"), text.plain_once(held).alias("value"), F.coalesce(node["links"], F.array().cast("array<string>")).alias("links"))
 
 
 def flatten_json(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
     """Leaves of JSON texts of unknown depth as ``(row_id, pos, key, value, links)`` rows; ``pos`` counts the leaves of a text.
 
-    ``LEVELS`` levels are opened in a pass and written once; passes go on with what is not open yet. ``_meta`` is skipped; an
-    object with a ``value`` is a leaf, with its hyperlinks; a container as such a value stays JSON. Texts that are null, blank or no
-    JSON (a repeated key included) have no leaves; blank values drop out; rows with equal ids count as one text's leaves.
+    A text stays one row until its leaves are known: ``LEVELS`` levels are opened in a pass and written once; passes go on with the
+    texts that are not open yet. ``_meta`` is skipped; an object with a ``value`` is a leaf, with its hyperlinks; a container as
+    such a value stays JSON. Texts that are null, blank or no JSON (a repeated key included) have no leaves; blank values drop out;
+    rows with equal ids count as one text's leaves.
     """
-    raw = F.col(json_column)
-    parsed = F.try_parse_json(raw)
-    first = F.regexp_extract(raw, r"^\s*([\[{]?)", 1)
-    shape = F.when(parsed.isNotNull(), F.when(first != "", first).otherwise(F.substring(F.to_json(parsed), 1, 1)))
-    top = df.select(F.col(id_column).cast("bigint").alias("row_id"), F.array().cast("array<int>").alias("path"), F.lit("").alias("key"), raw.alias("text"), shape.alias("shape"))
-    container = F.col("shape").isin("{", "[")
-    plain = F.when(container, F.col("text")).otherwise(F.get(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>"), F.lit(0)))
-    nodes, leaves = top.where("shape IS NOT NULL").withColumn("text", plain).withColumn("done", ~container), []
+    # the first value stays a column of its own, as it is read several times
+    rows = df.select(F.col(id_column).cast("bigint").alias("row_id"), F.col(json_column).alias("text"))
+    raw, none = F.col("text"), F.array().cast(f"array<{_NODE}>")
+
+    def top(first: Column) -> Column:
+        scalar = F.get(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>"), F.lit(0))
+        alone = _node(F.lit(""), scalar, F.substring(F.to_json(F.try_parse_json(raw)), 1, 1))
+        return F.when(F.try_parse_json(raw).isNull(), none).when(first.isin("{", "["), F.array(_node(F.lit(""), raw, first))).otherwise(F.array(alone))
+
+    left, leaves = rows.select("row_id", text.bound(F.substring(F.ltrim(raw, F.lit(text.SPACE)), 1, 1), top).alias("nodes")), None
     while True:
+        nodes = F.col("nodes")
         for _ in range(LEVELS):
             nodes = _open(nodes)
-        level = materialize(nodes)
-        leaves.append(level.where("done").drop("done"))
-        nodes = level.where("NOT done")
-        if nodes.isEmpty():
+
+        def settled(n: Column) -> Column:
+            more = F.exists(n, _is_open)
+            return F.struct(F.when(more, n).alias("nodes"), F.when(~more, F.transform(n, _leaf)).alias("leaves"))
+
+        level = materialize(left.select("row_id", text.bound(nodes, settled).alias("x")).select("row_id", "x.nodes", "x.leaves"))
+        done = level.where("leaves IS NOT NULL").select("row_id", "leaves")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        left = level.where("nodes IS NOT NULL").select("row_id", "nodes")
+        if left.isEmpty():
             break
-    rows = leaves[0]
-    for more in leaves[1:]:
-        rows = rows.unionByName(more)
-    rows = rows.withColumn("entries", F.when(F.col("shape") == "{", F.from_json("text", "map<string,string>")))
-    held = F.when(F.col("shape") == "{", F.element_at("entries", F.lit("value"))).otherwise(F.col("text"))
-    kind = F.when(F.col("shape") == "{", F.when(held.isin("true", "false"), F.substring(F.to_json(F.element_at(F.from_json("text", "map<string,variant>"), F.lit("value"))), 1, 1))).otherwise(F.col("shape"))
-    held = F.when(kind.isin("t", "f"), F.initcap(held)).otherwise(held)
-    links = F.when(F.col("shape") == "{", F.filter(F.array(F.element_at("entries", F.lit("hyperlink_target")), F.element_at("entries", F.lit("hyperlink_location"))), lambda u: F.coalesce(u != "", F.lit(False))))
-    flat = rows.select(
-        "row_id", (F.row_number().over(Window.partitionBy("row_id").orderBy("path")) - 1).cast("bigint").alias("pos"), "key",
-        text.plain(F.coalesce(held, F.lit(""))).alias("value"), F.coalesce(links, F.array().cast("array<string>")).alias("links"))
-    return flat.where("value <> ''")
+    shared = materialize(leaves.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row_id").alias("shared_id")))
+    columns = ["row_id", "pos", "x.key", "x.value", "x.links"]
+    if shared.isEmpty():
+        flat = leaves.select("row_id", F.posexplode("leaves").alias("pos", "x"))
+    else:
+        same = F.col("row_id").eqNullSafe(F.col("shared_id"))
+        alone = leaves.join(shared, same, "left_anti").select("row_id", F.posexplode("leaves").alias("pos", "x"))
+        mixed = leaves.join(shared, same, "left_semi").select("row_id", F.posexplode("leaves").alias("at", "x"))
+        numbered = mixed.withColumn("pos", F.row_number().over(Window.partitionBy("row_id").orderBy("at", "x")) - 1)
+        flat = alone.unionByName(numbered.select("row_id", "pos", "x"))
+    return flat.select(*columns).withColumn("pos", F.col("pos").cast("bigint")).where("value <> ''")
 
 
 def raw_sections(flat: DataFrame) -> DataFrame:
     """Typed sections of flattened import rows; blocked and untyped keys drop out."""
-    kind = key_section_type("key")
-    return flat.withColumn("section_type", kind).where("section_type IS NOT NULL").select(
-        "row_id", "pos", "section_type", F.initcap(text.normalise_key("key")).alias("title"), F.col("value").alias("content")
-    )
+    typed = text.bound(text.normalise_key("key"), lambda k: F.struct(_typed(k).alias("section_type"), F.initcap(k).alias("title")))
+    # exploded, so that the filter below doesn't type each key once more
+    rows = flat.select("row_id", "pos", F.explode_outer(F.array(typed)).alias("x"), F.col("value").alias("content"))
+    return rows.where("x.section_type IS NOT NULL").select("row_id", "pos", "x.section_type", "x.title", "content")
 
 
 #: fixed values: a service's own fields as sections, in order
@@ -144,11 +208,16 @@ def linked_rows(rows: DataFrame, services: DataFrame) -> DataFrame:
     return x.join(services.select(F.col("id").alias("service_id")), "service_id", "left_semi")
 
 
-def source_sections(services: DataFrame, rows: DataFrame, flat: DataFrame) -> DataFrame:
+def _of_linked(flat: DataFrame, linked: DataFrame) -> DataFrame:
+    """Leaves of linked import rows; keys are typed for these only."""
+    return flat.join(linked.select(F.col("import_row_id").alias("row_id")), "row_id", "left_semi")
+
+
+def source_sections(services: DataFrame, rows: DataFrame, flat: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """Candidate sections of published services from their own fields and their linked import rows' raw texts.
 
     ``rows`` is ``(id, sheet_name, row_no, imported_service_id, matched_service_id)``, ``flat`` their flattened texts. Each
-    (service, type, text) comes once, compared without case and spacing.
+    (service, type, text) comes once, compared without case and spacing. ``linked`` is their ``linked_rows``, where these are at hand.
     """
     shown = services.where("status = 'PUBLISHED'")
     own = F.explode(F.array(*[
@@ -156,7 +225,8 @@ def source_sections(services: DataFrame, rows: DataFrame, flat: DataFrame) -> Da
         for i, (kind, title, c) in enumerate(OWN_SECTIONS)]))
     direct = shown.select(F.col("id").alias("service_id"), own.alias("x")).select("service_id", "x.*").withColumns(
         {"is_row": F.lit(0), "sheet_name": F.lit(""), "row_no": F.lit(0).cast("bigint"), "import_row_id": F.lit(None).cast("bigint")})
-    raw = raw_sections(flat).withColumnRenamed("row_id", "import_row_id").join(linked_rows(rows, shown), "import_row_id").withColumn("is_row", F.lit(1))
+    linked = materialize(linked_rows(rows, shown)) if linked is None else linked
+    raw = raw_sections(_of_linked(flat, linked)).withColumnRenamed("row_id", "import_row_id").join(linked, "import_row_id").withColumn("is_row", F.lit(1))
     columns = ["service_id", *SOURCE_ORDER, "section_type", "title", "content"]
     return dedupe_sections(direct.select(columns).unionByName(raw.withColumn("row_no", F.col("row_no").cast("bigint")).select(columns)), SOURCE_ORDER)
 
@@ -197,15 +267,19 @@ def plan_report(services: DataFrame, rows: DataFrame, flat: DataFrame, existing:
     """The plan of published services as counts ``(part, service_id, n)``: candidates by kind, what exists in each child table,
     linked rows and their evidence (values under keys that aren't blocked), and the total of every part, with a NULL service."""
     shown = services.where("status = 'PUBLISHED'").select(F.col("id").alias("service_id"))
-    sections = materialize(source_sections(services, rows, flat))
     linked = materialize(linked_rows(rows, services.where("status = 'PUBLISHED'")))
-    evidence = flat.where(~blocked_key("key")).select(F.col("row_id").alias("import_row_id")).join(linked, "import_row_id")
+    flat = materialize(_of_linked(flat, linked))
+    sections = materialize(source_sections(services, rows, flat, linked))
+    # the values of a row lie together, so they are counted before the shuffle
+    values = flat.where(~blocked_key("key")).groupBy(F.col("row_id").alias("import_row_id")).agg(F.count(F.lit(1)).alias("values"))
+    evidence = values.join(linked, "import_row_id")
     parts = {"sections": sections, "linked_import_rows": linked, "evidence": evidence}
     parts |= {f"{n}_candidates": source_items(sections, k) for n, k in (("eligibility", "ELIGIBILITY"), ("document", "DOCUMENTS"), ("process", "PROCESS"))}
     parts |= {f"existing_{n}": df.join(shown, "service_id", "left_semi") for n, df in existing.items()}
     out = None
     for name, df in parts.items():
-        part = df.groupBy("service_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "service_id", "n")
+        counted = F.sum("values") if name == "evidence" else F.count(F.lit(1))
+        part = df.groupBy("service_id").agg(counted.alias("n")).select(F.lit(name).alias("part"), "service_id", "n")
         out = part if out is None else out.unionByName(part)
     both = [["part", "service_id"], ["part"]]
     return out.groupingSets([[F.col(c) for c in g] for g in both], F.col("part"), F.col("service_id")).agg(F.sum("n").alias("n"))

@@ -45,3 +45,35 @@ def test_plan_is_native_and_tables_may_be_empty(spark):
     assert flatten_json(rows.limit(0), "id", "raw").count() == 0
     held = flatten_json(spark.createDataFrame([(1, '{"k": {"value": [1, "a"]}}')], "id bigint, raw string"), "id", "raw")
     assert [(r["key"], r["value"]) for r in held.collect()] == [("k", '[1,"a"]')]
+
+
+def test_strings_that_look_like_containers_stay_strings(spark):
+    texts = [(1, r'{"a": "[1]", "b": "true", "c": "[x]", "d": true, "e": {"value": "true"}, "f": {"value": true}}'), (2, '["{}", {"k": ["true", false]}]'), (3, r'{"a": "\u005b1]"}')]
+    got = flatten_json(spark.createDataFrame(texts, "id bigint, raw string"), "id", "raw").orderBy("row_id", "pos").collect()
+    assert [(r["row_id"], r["key"], r["value"]) for r in got] == [
+        (1, "a", "[1]"), (1, "b", "true"), (1, "c", "[x]"), (1, "d", "True"), (1, "e", "true"), (1, "f", "True"), (2, "[0]", "{}"), (2, "[1].k[0]", "true"), (2, "[1].k[1]", "False"), (3, "a", "[1]")]
+
+
+def test_rows_with_equal_ids_count_as_one_text(spark):
+    rows = spark.createDataFrame([(1, '{"a": "x", "b": "y"}'), (1, '{"c": "z"}'), (None, '["p"]'), (None, '["q", ""]'), (2, '["only"]')], "id bigint, raw string")
+    got = flatten_json(rows, "id", "raw").collect()
+    places = {}
+    for r in got:
+        places.setdefault(r["row_id"], []).append(r["pos"])
+    assert {k: len(set(v)) for k, v in places.items()} == {1: 3, None: 2, 2: 1} and len(got) == 6 and sorted(places[1]) == [0, 1, 2]
+
+
+def test_key_types_as_patterns_tell(spark):
+    """Keys typed by plain searches, against the markers themselves."""
+    from lodestar.functions.wordlists import BLOCKED_KEY_PARTS, KEY_SECTION_MARKERS
+    from lodestar.operators.knowledge import raw_sections
+
+    keys = [" Eligibility_criteria ", "How-to / apply", "Vendor note", "none", "", " \t", "Colour", "fund ", "Required  Documents\n", "Internal scope", "NOTES", "loan amount", "Subsidy "]
+    flat = spark.createDataFrame([(i, 0, k, f"v{i}", []) for i, k in enumerate(keys)], "row_id bigint, pos bigint, key string, value string, links array<string>")
+    want = {}
+    for i, key in enumerate(keys):
+        k = " ".join(x for x in key.strip(" \t\n").lower().replace("_", " ").replace("-", " ").replace("/", " ").split(" ") if x)
+        kind = next((s for s, m in KEY_SECTION_MARKERS if any(x in k for x in m)), None)
+        if k not in ("", "none") and kind and not any(x in k for x in BLOCKED_KEY_PARTS):
+            want[i] = (kind, f"v{i}")
+    assert {r["row_id"]: (r["section_type"], r["content"]) for r in raw_sections(flat).collect()} == want
