@@ -22,7 +22,7 @@ from ..functions.search_terms import (
     SPECIFIC_FINANCE,
     TOKEN_TO_CONCEPT,
 )
-from ..session import gather, materialize, spread
+from ..session import by_key, gather, materialize, spread
 
 #: never part of a query, so joined fields cannot match across their border
 FIELD_BREAK = "\u0001"
@@ -206,11 +206,11 @@ def guard(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
     bound = pairs.where(F.size(needed) > 0)
     shown = (
         bound.select("query", "service_id", F.explode(needed).alias("term"), F.size(needed).alias("want"))
-        .join(evidence, ["term", "service_id"])
+        .join(by_key(evidence), ["term", "service_id"])
         .groupBy("query", "service_id", "want").agg(F.count(F.lit(1)).alias("have"))
         .where("have = want").select("query", "service_id")
     )
-    return free.unionByName(bound.join(shown, ["query", "service_id"], "left_semi"))
+    return free.unionByName(bound.join(by_key(shown), ["query", "service_id"], "left_semi"))
 
 
 def group_counts(groups: DataFrame, hits: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def _group_points(services: DataFrame, groups: DataFrame, hits: DataFrame) -> Da
         + F.when(any_in("area"), POINTS["area"]).otherwise(0)
     )
     # little data, much work: dealt over all tasks by the key of the join
-    return spread(hits.join(variants, "grp"), "service_id").join(body, "service_id").select("grp", "service_id", points.alias("points"))
+    return spread(hits.join(variants, "grp"), "service_id").join(by_key(body), "service_id").select("grp", "service_id", points.alias("points"))
 
 
 def rank_scores(services: DataFrame, groups: DataFrame, hits: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def rank_scores(services: DataFrame, groups: DataFrame, hits: DataFrame) -> Data
     money = services.select(F.col("id").alias("service_id"), amounts_in_lakh(text.join_nonblank(*RANK_TEXT)).alias("offered"))
     exact = F.arrays_overlap("wanted", "offered")
     enough = F.array_max("offered") >= F.array_min("wanted")
-    rows = base.join(money, "service_id").withColumn(
+    rows = base.join(by_key(money), "service_id").withColumn(
         "exact", F.coalesce(exact, F.lit(False)) & (F.col("n_amounts") > 0)
     )
     gained = (
@@ -309,14 +309,14 @@ def search_candidates(queries: DataFrame, services: DataFrame, texts: DataFrame)
     groups = materialize(query_groups(queries))
     raw = queries.select("query", F.concat(F.lit("raw:"), "query").alias("grp"), F.array("query").alias("variants"))
     visible = services.select(F.col("id").alias("service_id"))
-    hits = materialize(group_hits(texts, groups.unionByName(raw)).join(visible, "service_id", "left_semi"))
+    hits = materialize(group_hits(texts, groups.unionByName(raw)).join(by_key(visible), "service_id", "left_semi"))
     natural = natural_matches(groups, hits).select("query", "service_id")
     if not queries.where(F.size(required_terms(F.col("query"))) > 0).isEmpty():
         natural = guard(natural, short_tech_evidence(texts))
     direct = raw.select("query", "grp").join(hits, "grp").select("query", "service_id")
     matched = gather(natural.union(direct), "query", "service_id").distinct()
     scores = rank_scores(services, groups, hits)
-    return matched.join(scores, ["query", "service_id"], "left").fillna(0, ["score"])
+    return matched.join(by_key(scores), ["query", "service_id"], "left").fillna(0, ["score"])
 
 
 #: services of a block, and queries that are answered together; both bound what a task holds
@@ -331,7 +331,7 @@ def title_hits(queries: DataFrame, services: DataFrame) -> DataFrame:
     titles = services.select(F.col("id").alias("service_id"), "title", text.normalize_query("title").alias("text")).where("text <> ''")
     hits = word_hits(titles, asked)
     rows = titles.select("service_id", F.explode(_words(F.col("text"))).alias("word")).join(hits, "word").select("service_id", "anchor").distinct()
-    found = rows.join(asked, "anchor").join(titles, "service_id").where(F.contains("text", F.col("q")))
+    found = rows.join(asked, "anchor").join(by_key(titles), "service_id").where(F.contains("text", F.col("q")))
     return found.select("query", "service_id", title_boost("query", "title").alias("boost"))
 
 
@@ -437,7 +437,7 @@ def search(queries: DataFrame, services: DataFrame, texts: DataFrame, k: int = 2
     raw = queries.select("query", F.concat(F.lit(RAW), "query").alias("grp"), F.array("query").alias("variants"))
     placed = materialize(_placed(services, -(-max(services.count(), 1) // BLOCK_SERVICES)))
     place = placed.select("service_id", "block", "offset")
-    hits = materialize(group_hits(texts, groups.unionByName(raw)).join(place.select("service_id"), "service_id", "left_semi"))
+    hits = materialize(group_hits(texts, groups.unionByName(raw)).join(by_key(place.select("service_id")), "service_id", "left_semi"))
     plans = materialize(_plans(queries, groups, -(-max(queries.count(), 1) // BLOCK_QUERIES)))
     none, post = F.lit(0).cast("bigint").alias("points"), ["grp", "service_id", "points"]
     posts = _group_points(services, groups, hits).select("grp", "service_id", F.col("points").cast("bigint").alias("points"))
@@ -454,7 +454,7 @@ def search(queries: DataFrame, services: DataFrame, texts: DataFrame, k: int = 2
         paid = money.select("service_id", "points", F.explode("offered").alias("x"))
         posts = posts.unionByName(paid.select(F.concat(F.lit(PAID), F.col("x").cast("string")).alias("grp"), "service_id", "points", F.lit("").alias("amount")))
     # a list lies within one block, so it has a bounded length
-    lists = posts.join(place, "service_id").groupBy("grp", "block").agg(F.collect_set(F.struct("offset", "points", "amount")).alias("x"))
+    lists = posts.join(by_key(place), "service_id").groupBy("grp", "block").agg(F.collect_set(F.struct("offset", "points", "amount")).alias("x"))
     lists = lists.select("grp", "block", F.col("x.offset").alias("offsets"), F.col("x.points").alias("points"), F.col("x.amount").alias("amounts"))
     sought = plans.select("part", F.explode("lists").alias("grp")).distinct()
     lists = materialize(lists.join(sought, "grp"))
@@ -468,5 +468,5 @@ def search(queries: DataFrame, services: DataFrame, texts: DataFrame, k: int = 2
     totals = chosen.groupBy("query").agg(F.sum("n").alias("result_count"))
     rows = chosen.select("query", "block", F.explode(F.arrays_zip("offsets", "scores")).alias("x")).select("query", "block", F.col("x.offsets").alias("offset"), F.col("x.scores").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "domain_order", "order_title", "service_id")
-    top = rows.join(placed, ["block", "offset"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = rows.join(by_key(placed), ["block", "offset"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.join(totals, "query").select("query", "service_id", "title", "score", F.col("rank").cast("bigint").alias("rank"), "result_count")

@@ -209,3 +209,18 @@ def test_index_equals_the_catalogue_and_follows_it(spark, catalogue, tmp_path):
     # a call reads the index, not the catalogue's text
     plan = index.suggest(asked)._jdf.queryExecution().optimizedPlan().toString()
     assert "benefits" not in plan and "overview" not in plan
+
+
+def test_rows_by_service_are_not_sent_through_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    from lodestar.operators import search as se
+
+    names = ["title", *[c for c in se.RANK_TEXT if c != "title"], "category_name", "domain_name"]
+    services = spark.range(50).select("id", *[F.concat(F.lit(f"{n} loan "), F.col("id").cast("string")).alias(n) for n in names])
+    groups = spark.createDataFrame([("dairy loan", "literal:loan", ["loan"])], "query string, grp string, variants array<string>")
+    hits = spark.range(50).select(F.lit("literal:loan").alias("grp"), F.col("id").alias("service_id"))
+    for made in (se._group_points(services, groups, hits), se.rank_scores(services, groups, hits)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [service_id" not in plan and "SortMergeJoin [service_id" in plan
+    assert se.rank_scores(services, groups, hits).count() == 50
